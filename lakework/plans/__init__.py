@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each beside its SQL oracle."""
 
-from lakework.plans import raster  # noqa: F401 - registers queries
+from lakework.plans import feed, raster  # noqa: F401 - registers queries
 from lakework.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
