@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakework.functions.tiles import cells_of, make_tile
 from lakework.operators.cells import tile_columns
 from lakework.operators.layers import KEY
-from lakework.operators.resample import _single
+from lakework.operators.resample import _uniform
 from lakework.session import cut_lineage
 
 
@@ -88,7 +88,7 @@ def build_pyramid(layer: DataFrame, max_zoom: int, min_zoom: int = 0) -> DataFra
         raise ValueError("min_zoom must not be above max_zoom")
     bands = tile_columns(layer)
     base = layer.select(KEY, *bands)
-    cols, rows = _single(base, f"{bands[0]}.cols"), _single(base, f"{bands[0]}.rows")
+    cols, rows = _uniform(base, f"{bands[0]}.cols", f"{bands[0]}.rows")
     levels, current = [base.withColumn("zoom", F.lit(max_zoom))], base
     for zoom in range(max_zoom - 1, min_zoom - 1, -1):
         current = cut_lineage(parent_level(current, cols, rows))

@@ -14,12 +14,14 @@ from lakework.operators.cells import st_assemble_tile, tile_columns
 from lakework.operators.layers import KEY, with_extent
 
 
-def _single(df: DataFrame, col: str):
-    """The one value of a column; a layer has a single CRS and tile size."""
-    row = df.agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
-    if row.a != row.b:
-        raise ValueError(f"{col} must be the same in all rows, found {row.a!r} and {row.b!r}")
-    return row.a
+def _uniform(df: DataFrame, *cols: str) -> list:
+    """The one value of each column, in one scan; a layer has a single CRS and tile size."""
+    bounds = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("low", F.min), ("high", F.max))]
+    row = df.agg(*bounds).first()
+    for i, c in enumerate(cols):
+        if row[f"low{i}"] != row[f"high{i}"]:
+            raise ValueError(f"{c} must be the same in all rows, found {row[f'low{i}']!r} and {row[f'high{i}']!r}")
+    return [row[f"low{i}"] for i in range(len(cols))]
 
 
 def resample_pairs(
@@ -153,8 +155,8 @@ def raster_join(
     if clash:
         raise ValueError(f"both layers have {sorted(clash)}")
     left_tile = tile_columns(left)[0]
-    left_crs, right_crs = _single(left, "crs"), _single(right, "crs")
-    cols, rows = _single(left, f"{left_tile}.cols"), _single(left, f"{left_tile}.rows")
+    left_crs, cols, rows = _uniform(left, "crs", f"{left_tile}.cols", f"{left_tile}.rows")
+    (right_crs,) = _uniform(right, "crs")
     targets = left.select(
         F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), F.col("extent").alias("_te")
     )
@@ -226,7 +228,7 @@ def to_zoomed_layout(
     Each source tile finds the target keys under it by arithmetic; no join is needed.
     """
     bands = tile_columns(layer)
-    crs = _single(layer, "crs")
+    (crs,) = _uniform(layer, "crs")
     sources = layer.select(
         F.col("extent").alias("_se"), _source_order().alias("_ord"),
         reproject_extent("extent", crs, "EPSG:3857").alias("_sb"), *bands,

@@ -33,10 +33,9 @@ def _local(name: str, expression: Callable[[], Column], sql: str) -> None:
     """Register a cell-wise function over the two gappy bands."""
 
     def run(spark, sf_dir):
-        out = frames.gappy_layer(spark, sf_dir).select(KEY, expression().alias("v"))
-        return cells_of_layer(out, "v").withColumn("v", F.round("v", 6))
+        return cells_of_layer(frames.gappy_layer(spark, sf_dir).select(KEY, expression().alias("v")), "v")
 
-    query(name, f"SELECT {_PLACE}, round({sql}, 6) AS v FROM ({GAPPY_CELLS})")(run)
+    query(name, f"SELECT {_PLACE}, {sql} AS v FROM ({GAPPY_CELLS})")(run)
 
 
 _local("tile_local_add", lambda: tiles.st_local_add("band_1", "band_2"), "band_1 + band_2")
@@ -50,8 +49,8 @@ _local(
 _local("tile_local_less", lambda: tiles.st_local_less("band_1", 10500), "CAST(band_1 < 10500 AS DOUBLE)")
 _local(
     "tile_log",
-    lambda: tiles.st_log(tiles.st_local_subtract("band_1", 10000)),
-    "CASE WHEN band_1 > 10000 THEN ln(band_1 - 10000) END",
+    lambda: tiles.map_cells(tiles.st_log(tiles.st_local_subtract("band_1", 10000)), lambda x: F.round(x, 6)),
+    "CASE WHEN band_1 > 10000 THEN round(ln(band_1 - 10000), 6) END",
 )
 _local("tile_mask", lambda: tiles.st_mask("band_2", "band_1"), "CASE WHEN band_1 IS NOT NULL THEN band_2 END")
 _local(
@@ -85,14 +84,13 @@ def _(spark, sf_dir):
 
 @query(
     "ndvi_of_joined_bands",
-    f"SELECT {_PLACE}, round(CASE WHEN band_1 + band_2 <> 0 THEN (band_1 - band_2) / (band_1 + band_2) END, 6) AS ndvi"
-    f" FROM ({CELLS})",
+    f"SELECT {_PLACE}, CASE WHEN band_1 + band_2 <> 0 THEN (band_1 - band_2) / (band_1 + band_2) END AS ndvi FROM ({CELLS})",
 )
 def ndvi_of_joined_bands(spark, sf_dir):
     left, right = frames.band_layer(spark, sf_dir, "band_1"), frames.band_layer(spark, sf_dir, "band_2")
     joined = layers.spatial_join(left, right)
     ndvi = joined.select(KEY, tiles.normalized_difference("band_1", "band_2").alias("ndvi"))
-    return cells_of_layer(ndvi, "ndvi").withColumn("ndvi", F.round("ndvi", 6))
+    return cells_of_layer(ndvi, "ndvi")
 
 
 @query(
@@ -142,11 +140,11 @@ def _(spark, sf_dir):
 @query(
     "layer_statistics",
     "SELECT count(band_1) AS data_cells, count(*) - count(band_1) AS no_data_cells, min(band_1) AS min, max(band_1) AS max,"
-    f" round(avg(band_1), 4) AS mean, round(var_pop(band_1), 2) AS variance FROM ({GAPPY_CELLS})",
+    f" avg(band_1) AS mean, round(var_pop(band_1), 2) AS variance FROM ({GAPPY_CELLS})",
 )
 def _(spark, sf_dir):
     stats = cell_ops.st_agg_stats(frames.gappy_layer(spark, sf_dir), "band_1")
-    return stats.withColumns({"mean": F.round("mean", 4), "variance": F.round("variance", 2)})
+    return stats.withColumn("variance", F.round("variance", 2))
 
 
 @query("layer_explode_tiles", f"SELECT {_PLACE}, band_1, band_2 FROM ({GAPPY_CELLS})")
@@ -358,13 +356,13 @@ def _(spark, sf_dir):
 @query(
     "raster_zonal_statistics",
     "SELECT CAST(label AS DOUBLE) AS zone, count(band_1) AS data_cells, count(*) - count(band_1) AS no_data_cells,"
-    " min(band_1) AS min, max(band_1) AS max, round(avg(band_1), 4) AS mean, round(var_pop(band_1), 2) AS variance"
+    " min(band_1) AS min, max(band_1) AS max, avg(band_1) AS mean, round(var_pop(band_1), 2) AS variance"
     f" FROM ({GAPPY_CELLS}) GROUP BY label",
 )
 def _(spark, sf_dir):
     joined = layers.spatial_join(frames.gappy_layer(spark, sf_dir), frames.label_layer(spark, sf_dir))
     stats = cell_ops.zonal_stats(joined, "band_1", "target")
-    return stats.withColumns({"mean": F.round("mean", 4), "variance": F.round("variance", 2)})
+    return stats.withColumn("variance", F.round("variance", 2))
 
 
 @query(
