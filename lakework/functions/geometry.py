@@ -261,9 +261,10 @@ def _utm_inverse(x: Column, y: Column, zone: int, south: bool) -> tuple[Column,
     # Conformal to geodetic latitude, by the series in e^2.
     lat = (
         chi
-        + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12) * F.sin(2 * chi)
-        + (7 * e2**2 / 48 + 29 * e2**3 / 240) * F.sin(4 * chi)
-        + (7 * e2**3 / 120) * F.sin(6 * chi)
+        + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) * F.sin(2 * chi)
+        + (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) * F.sin(4 * chi)
+        + (7 * e2**3 / 120 + 81 * e2**4 / 1120) * F.sin(6 * chi)
+        + (4279 * e2**4 / 161280) * F.sin(8 * chi)
     )
     lon = F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + (zone * 6 - 183)
     return lon, F.degrees(lat)

@@ -219,10 +219,13 @@ class TableShape:
 
 
 def field_list(df: DataFrame) -> DataFrame:
-    """One row per database, table and column: the type ids seen, decimal digits and position."""
-    fields = df.select("db_name", "table_name", "image", "source_ts", "seq", F.posexplode("fields").alias("pos", "f"))
+    """One row per database, table and column: key, the type ids seen, decimal digits and position."""
+    order = F.struct("source_ts", "seq").alias("order")
+    fields = df.select("db_name", "table_name", "image", "pk", order, F.posexplode("fields").alias("pos", "f"))
     has_value = F.try_element_at("image", F.col("f.name")).isNotNull()
     return fields.groupBy("db_name", "table_name", F.col("f.name").alias("name")).agg(
+        F.max_by("pk", "order").alias("pk"),
+        F.max("order").alias("order"),
         F.min("pos").alias("pos"),
         F.sort_array(F.collect_set("f.type")).alias("types"),
         F.max(F.when(has_value, F.col("f.precision") - F.col("f.scale"))).alias("whole"),
@@ -236,14 +239,10 @@ def table_shapes(df: DataFrame, options: TypeOptions = TypeOptions()) -> list[Ta
     Only names, type ids and digit counts reach the driver; their number is that of
     the columns in the source databases.
     """
-    keys = {
-        (r.db_name, r.table_name): tuple(r.pk)
-        for r in df.groupBy("db_name", "table_name")
-        .agg(F.max_by("pk", F.struct("source_ts", "seq")).alias("pk"))
-        .collect()
-    }
+    listed = field_list(df).collect()
+    keys = {(r.db_name, r.table_name): tuple(r.pk) for r in sorted(listed, key=lambda r: r.order)}
     columns: dict[tuple[str, str], list] = {}
-    for r in sorted(field_list(df).collect(), key=lambda r: (r.pos, r.name)):
+    for r in sorted(listed, key=lambda r: (r.pos, r.name)):
         decimal = _decimal_for(r, options)
         kinds = [spark_type_for(i, decimal, options) for i in r.types]
         kind = kinds[0]

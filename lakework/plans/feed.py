@@ -117,8 +117,12 @@ def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records as JSON bytes."""
-    return changes.encode_envelope(change_records(spark, sf_dir))
+    """The records as JSON bytes, spread by position as over the partitions of a topic."""
+    return changes.encode_envelope(_spread(change_records(spark, sf_dir)))
+
+
+def _spread(records: DataFrame) -> DataFrame:
+    return records.repartition(records.sparkSession.sparkContext.defaultParallelism, "seq")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +317,7 @@ def _in_batches(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     records = change_records(spark, sf_dir)
     steps = [F.col("source_ts") == _T0 + 1, F.col("source_ts").between(_T0 + 2, _T0 + 3), F.col("source_ts") > _T0 + 3]
     for batch_id, step in enumerate(steps):
-        feed.apply_batch(changes.encode_envelope(records.where(step)), batch_id, config)
+        feed.apply_batch(changes.encode_envelope(_spread(records.where(step))), batch_id, config)
     return _plain_orders(upsert.read_upsert_table(spark, f"{root}/shop/orders"))
 
 

@@ -87,7 +87,7 @@ def apply_catalog(
         column = F.col(c.source).cast(c.kind)
         # An expression over the column is opaque to the source, so its filters stay in Spark.
         if c.kind == "bigint" and not push_down_range_long:
-            column = column + F.lit(0).cast("bigint")
+            column = F.bitwise_not(F.bitwise_not(column))
         if c.kind == "string" and not push_down_range_string:
             column = F.concat(column, F.lit(""))
         out.append(column.alias(c.name))
