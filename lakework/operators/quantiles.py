@@ -18,9 +18,15 @@ def min_max(df: DataFrame, col: str) -> DataFrame:
 
 
 def _bin_of(value: Column, low: float, high: float, bins: int) -> Column:
+    """Equal-width bin of a value; the lowest is in the first bin and the highest in the last."""
     if high <= low:
         return F.lit(0)
-    index = F.floor((value - F.lit(low)) / F.lit((high - low) / bins))
+    width = (high - low) / bins
+    if not math.isfinite(width):
+        width = high / bins - low / bins
+    if width == 0:
+        return F.when(value > F.lit(low), F.lit(bins - 1)).otherwise(F.lit(0))
+    index = F.floor((value / width) - F.lit(low / width)) if math.isinf(high - low) else F.floor((value - F.lit(low)) / width)
     return F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
@@ -34,7 +40,7 @@ def cell_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> list[float]:
-    """Interpolated quantiles of a numeric column.
+    """Interpolated quantiles of a numeric column; NULL and NaN do not count.
 
     Each pass counts the values of the open intervals in equal bins, with partial
     sums on the map side, and narrows every interval to the bin that holds its rank.
@@ -43,10 +49,12 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     """
     if not probabilities:
         return []
-    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     total = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not total.n:
         raise ValueError(f"no data in column {col!r}")
+    if math.isinf(total.lo) or math.isinf(total.hi):
+        raise ValueError(f"infinite values in column {col!r}")
     positions = [p * (total.n - 1) for p in probabilities]
     ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
     # rank -> (low, high, rows below low); equal intervals share one scan.
@@ -70,7 +78,8 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     out = []
     for p in positions:
         a, b = found[math.floor(p)], found[math.ceil(p)]
-        out.append(a + (b - a) * (p - math.floor(p)))
+        share = p - math.floor(p)
+        out.append(a + (b - a) * share if math.isfinite(b - a) else a * (1 - share) + b * share)
     return out
 
 

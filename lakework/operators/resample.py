@@ -54,13 +54,17 @@ def resample_pairs(
         ((F.col("_se.xmax") - F.col("_se.xmin")) / F.col("_sw")).alias("_scw"),
         ((F.col("_se.ymax") - F.col("_se.ymin")) / F.col("_sh")).alias("_sch"),
     )
-    # Bilinear reads half a source cell beyond the tile; measured in target cells.
-    margin_x = F.lit(1) + (F.col("_box.xmax") - F.col("_box.xmin")) / F.col("_sw") / F.col("_cw")
-    margin_y = F.lit(1) + (F.col("_box.ymax") - F.col("_box.ymin")) / F.col("_sh") / F.col("_ch")
+    # A reprojected edge is curved, so its box may fall short by part of a cell; bilinear
+    # reads half a source cell beyond the tile. Both are measured in target cells.
+    margin_x = margin_y = F.lit(0.0 if source_crs == target_crs else 1.0)
+    if method == "bilinear":
+        margin_x = margin_x + (F.col("_box.xmax") - F.col("_box.xmin")) / F.col("_sw") / F.col("_cw")
+        margin_y = margin_y + (F.col("_box.ymax") - F.col("_box.ymin")) / F.col("_sh") / F.col("_ch")
 
     def window(low: Column, high: Column, margin: Column, size: int) -> Column:
-        first = F.greatest(F.lit(0), F.floor(low - margin).cast("int"))
-        last = F.least(F.lit(size - 1), F.ceil(high + margin).cast("int"))
+        # Cell centres lie at i + 0.5.
+        first = F.greatest(F.lit(0), F.floor(low - margin - 0.5).cast("int"))
+        last = F.least(F.lit(size - 1), F.ceil(high + margin - 0.5).cast("int"))
         return F.when(first <= last, F.sequence(first, last))
 
     x_range = window(
@@ -191,8 +195,9 @@ def raster_join(
         .drop("_bx", "_by", "_sb")
     )
     drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample)
-    drawn = drawn.select(F.struct(F.col("_tc").alias("col"), F.col("_tr").alias("row")).alias(KEY), *bands)
-    return left.join(drawn, on=KEY, how=how)
+    # On the key's fields, by which the drawn tiles are partitioned already.
+    same = (F.col(f"{KEY}.col") == F.col("_tc")) & (F.col(f"{KEY}.row") == F.col("_tr"))
+    return left.join(drawn, same, how).drop("_tc", "_tr")
 
 
 def _widest(df: DataFrame, box: str) -> float:

@@ -298,3 +298,18 @@ def test_stream_job_resumes_and_reports(spark, tmp_path):
 def test_settings_from_text():
     config = feed.CdcConfig.from_properties({"base_path": "/x", "all_to_string": "true", "max_delta_commits": "3", "other": "1"})
     assert (config.base_path, config.all_to_string, config.max_delta_commits) == ("/x", True, 3)
+
+
+def test_catalog_follows_and_its_failure_does_not_stop(spark, tmp_path, monkeypatch):
+    config = feed.CdcConfig(str(tmp_path), table_type=upsert.COPY_ON_WRITE, catalog_sync=True, catalog_db="synced")
+    feed.apply_batch(envelopes(spark, *[simple("INSERT", i, i, "a") for i in range(20)]), 0, config)
+    assert spark.table("synced.t").count() == 20
+    feed.apply_batch(envelopes(spark, simple("DELETE", 30, 7), simple("UPDATE", 31, 8, "b")), 1, config)
+    assert sorted(r.v for r in spark.table("synced.t").collect()) == ["a"] * 18 + ["b"]
+
+    def broken(*args):
+        raise RuntimeError("no catalog")
+
+    monkeypatch.setattr(feed, "sync_table", broken)
+    feed.apply_batch(envelopes(spark, simple("INSERT", 40, 40, "c")), 2, config)
+    assert (40, "c") in read(spark, tmp_path)

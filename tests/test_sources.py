@@ -130,7 +130,7 @@ def test_statements_are_cut_outside_quotes_and_comments(spark):
         relational.run_statements(spark, [" -- nothing\n"])
 
 
-@pytest.mark.parametrize("shape", ["normal", "hot", "heavy", "constant"])
+@pytest.mark.parametrize("shape", ["normal", "hot", "heavy", "constant", "wide", "tiny"])
 def test_quantiles_equal_numpy(spark, shape):
     rng = np.random.default_rng(7)
     data = {
@@ -138,11 +138,22 @@ def test_quantiles_equal_numpy(spark, shape):
         "hot": np.where(rng.random(6000) < 0.34, 3.5, rng.normal(size=6000)),
         "heavy": np.exp(rng.normal(size=4000) * 12),
         "constant": np.full(100, 2.0),
+        "wide": np.array([-1.7e308, -1.0, 0.0, 1e-300, 1.0, 1.7e308]),
+        "tiny": np.array([0.0, 5e-324, 1e-323, 1.5e-323]),
     }[shape]
-    df = spark.createDataFrame([(float(v),) for v in data] + [(None,)], "v double")
+    df = spark.createDataFrame([(float(v),) for v in data] + [(None,), (float("nan"),)], "v double")
     probabilities = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 1.0]
     got = quantiles.exact_quantiles(df, "v", probabilities)
-    assert np.allclose(got, np.quantile(data, probabilities), rtol=1e-12)
+    ordered = np.sort(data)
+    for p, value in zip(probabilities, got):
+        place = p * (len(data) - 1)
+        low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+        assert value == low + (high - low) * (place - np.floor(place)) or (np.isinf(high - low) and low <= value)
+
+
+def test_infinite_values_have_no_quantiles(spark):
+    with pytest.raises(ValueError):
+        quantiles.exact_quantiles(spark.createDataFrame([(float("inf"),), (1.0,)], "v double"), "v", [0.5])
 
 
 def test_histogram_counts_everything(spark):
