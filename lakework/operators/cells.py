@@ -206,7 +206,7 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
     y1 = F.least(F.lit(rows), (dy + 1) * rows + radius)
     sent = sent.select(
         (F.col("_c") + dx).alias("col"), (F.col("_r") + dy).alias("row"), "_cells",
-        dx.alias("_dx"), dy.alias("_dy"), ((dx == 0) & (dy == 0)).alias("_own"),
+        dx.alias("_dx"), dy.alias("_dy"), ((dx == 0) & (dy == 0) & F.col("_cells").isNotNull()).alias("_own"),
         (x0 - dx * cols + radius).alias("x"), (y0 - dy * rows + radius).alias("y"),
         (x1 - x0).alias("w"), (y1 - y0).alias("h"), x0.alias("x0"), y0.alias("y0"),
     )
@@ -214,10 +214,10 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
         F.col("_cells"), F.lit(cols), F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
     )
     part = F.when(F.col("_own"), F.col("_cells")).otherwise(part)
-    patch = F.struct("x", "y", "w", "h", part.alias("cells"))
+    patch = F.when(F.col("_cells").isNotNull(), F.struct("x", "y", "w", "h", part.alias("cells")))
     # One aggregate per direction: a group holds one patch of each, whatever the input repeats.
     gathered = (
-        sent.where("_cells IS NOT NULL AND w > 0 AND h > 0")
+        sent.where("w > 0 AND h > 0")
         .select("col", "row", "_own", "_dx", "_dy", patch.alias("_patch"))
         .groupBy("col", "row")
         .agg(

@@ -54,7 +54,7 @@ def pixel_table(bands: Sequence[DataFrame], labels: DataFrame) -> DataFrame:
     return explode_tiles(base_table(bands, labels)).dropna()
 
 
-def pixel_pipeline(bands: Sequence[str], label: str, max_depth: int = 5, seed: int = 42) -> Pipeline:
+def pixel_estimator(bands: Sequence[str], label: str, max_depth: int = 5, seed: int = 42) -> Pipeline:
     """Explode tiles, drop NoData, assemble the bands, grow a decision tree."""
     columns = [*bands, label]
     return Pipeline(
@@ -80,7 +80,7 @@ def train(
 
     Folds are drawn by tile, so the pixels of one tile never train and test at once.
     """
-    pipeline = pixel_pipeline(bands, label, seed=seed)
+    pipeline = pixel_estimator(bands, label, seed=seed)
     tree = pipeline.getStages()[-1]
     grid = ParamGridBuilder()
     if depths:
@@ -110,5 +110,5 @@ def retile(scored: DataFrame, cols: int, rows: int) -> DataFrame:
     """Predictions back in tiles."""
     return st_assemble_tile(
         scored.withColumn("prediction", F.col("prediction").cast("double")),
-        [KEY], "column_index", "row_index", "prediction", cols, rows, cell_type="int", distinct_cells=True,
+        [KEY], "column_index", "row_index", "prediction", cols, rows, cell_type="int",
     )

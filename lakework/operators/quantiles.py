@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bins per refinement pass.
+# Bins of one refinement pass: for one interval, and over all intervals together.
 _BINS = 1024
+_ALL_BINS = 65536
 
 
 def min_max(df: DataFrame, col: str) -> DataFrame:
@@ -17,25 +18,13 @@ def min_max(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(col).alias("min"), F.max(col).alias("max"))
 
 
-def _bin_of(value: Column, low: float, high: float, bins: int) -> Column:
-    """Equal-width bin of a value; the lowest is in the first bin and the highest in the last."""
-    if high <= low:
-        return F.lit(0)
-    width = (high - low) / bins
-    if not math.isfinite(width):
-        width = high / bins - low / bins
-    if width == 0:
-        return F.when(value > F.lit(low), F.lit(bins - 1)).otherwise(F.lit(0))
-    index = F.floor((value / width) - F.lit(low / width)) if math.isinf(high - low) else F.floor((value - F.lit(low)) / width)
-    return F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1)).cast("int")
-
-
 def cell_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Exact equal-width histogram: ``bin, n`` for the bins that hold values."""
     bounds = min_max(df.where(F.col(col).isNotNull()), col).first()
     if bounds["min"] is None:
         return df.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
-    index = _bin_of(F.col(col), float(bounds["min"]), float(bounds["max"]), bins)
+    low, width = float(bounds["min"]), (float(bounds["max"]) - float(bounds["min"])) / bins
+    index = _clip(F.floor((F.col(col) - F.lit(low)) / width), bins) if width > 0 else F.lit(0)
     return df.where(F.col(col).isNotNull()).groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -43,9 +32,9 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     """Interpolated quantiles of a numeric column; NULL and NaN do not count.
 
     Each pass counts the values of the open intervals in equal bins, with partial
-    sums on the map side, and narrows every interval to the bin that holds its rank.
-    The driver sees bin counts, and at the end a bounded list of distinct values, so
-    neither the size nor the skew of the column matters.
+    sums on the map side, and narrows every interval to the bin that holds its rank,
+    until the bin holds a single value. The driver sees bin counts only, so neither
+    the size nor the skew of the column matters.
     """
     if not probabilities:
         return []
@@ -83,22 +72,37 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     return out
 
 
+def _clip(index: Column, bins: int) -> Column:
+    return F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
 def _count_bins(
     values: DataFrame, intervals: list[tuple[float, float, int]]
 ) -> dict[tuple[float, float, int], list[tuple[float, float, int]]]:
-    """Per interval its bins in order: smallest value, largest value and rows of each."""
-    which = F.lit(None).cast("int")
-    index = F.lit(None).cast("int")
+    """Per interval its bins in order: smallest value, largest value and rows of each.
+
+    The lowest value of an interval is in its first bin and the highest in its last, so
+    every pass splits them.
+    """
+    bins = max(16, min(_BINS, _ALL_BINS // len(intervals)))
+    which, lows, widths, scales = None, [], [], []
     for i, (low, high, _) in enumerate(intervals):
         inside = F.col("v").between(low, high)
-        which = F.when(inside, F.lit(i)).otherwise(which)
-        index = F.when(inside, _bin_of(F.col("v"), low, high, _BINS)).otherwise(index)
+        which = F.when(inside, F.lit(i)) if which is None else which.when(inside, F.lit(i))
+        scale = 1.0 if math.isfinite(high - low) else 0.5
+        lows.append(low * scale)
+        widths.append((high * scale - low * scale) / bins)
+        scales.append(scale)
+    pick = lambda numbers: F.get(F.array(*[F.lit(n) for n in numbers]), F.col("i"))
+    offset = F.col("v") * pick(scales) - pick(lows)
+    # Values too close for a width are only told from the lowest.
+    index = F.coalesce(F.floor(F.try_divide(offset, pick(widths))), F.when(offset > 0, F.lit(bins - 1)).otherwise(0))
     rows = (
-        values.select("v", which.alias("i"), index.alias("b"))
+        values.select("v", which.alias("i"))
         .where("i IS NOT NULL")
-        .groupBy("i", "b")
+        .groupBy("i", _clip(index, bins).alias("b"))
         .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-        # At most _BINS rows per interval.
+        # At most _ALL_BINS rows, or 16 per interval.
         .collect()
     )
     counts = {interval: [] for interval in intervals}
@@ -116,7 +120,12 @@ def classify(value: Column | str, breaks: Sequence[float]) -> Column:
     """Class index of a value: the number of breaks strictly below it."""
     v = F.col(value) if isinstance(value, str) else value
     over = [(v > F.lit(float(b))).cast("int") for b in breaks]
-    return sum(over[1:], over[0]) if over else F.when(v.isNotNull(), F.lit(0))
+    if not over:
+        return F.when(v.isNotNull(), F.lit(0))
+    # Add in pairs: the depth of the expression grows with the logarithm of the breaks.
+    while len(over) > 1:
+        over = [over[i] + over[i + 1] if i + 1 < len(over) else over[i] for i in range(0, len(over), 2)]
+    return over[0]
 
 
 def quantile_classify(df: DataFrame, col: str, n: int, alias: str = "class") -> DataFrame:

@@ -142,15 +142,17 @@ def raster_join(
     right: DataFrame,
     how: str = "left",
     resample: str = "nearest",
-    bucket: float | None = None,
 ) -> DataFrame:
     """Join layers of different CRS, extent and resolution where their extents intersect.
 
     Right tiles take the CRS, extent and cells of the left tiles they meet. Both sides
-    need ``spatial_key, crs, extent``. Extents are cut into square buckets and joined
-    on the bucket; a pair counts only in the bucket of its intersection's lower left
-    corner, so no pair comes twice and nothing has to be made distinct. ``how`` is
-    ``left`` or ``inner``; left tiles without a partner get NULL tiles.
+    need ``spatial_key, crs, extent``. Extents are put into square buckets and joined
+    on the bucket. The bucket size of a right tile is the power of two of the left tile
+    size that fits it, so tiles of any size fall into at most four buckets, and a few
+    large ones do not make the buckets of the small ones larger. A pair counts only in
+    the bucket of its intersection's lower left corner, so no pair comes twice and
+    nothing has to be made distinct. ``how`` is ``left`` or ``inner``; left tiles
+    without a partner get NULL tiles.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unknown join type {how!r}")
@@ -160,7 +162,9 @@ def raster_join(
         raise ValueError(f"both layers have {sorted(clash)}")
     left_tile = tile_columns(left)[0]
     left_crs, cols, rows = _uniform(left, "crs", f"{left_tile}.cols", f"{left_tile}.rows")
-    (right_crs,) = _uniform(right, "crs")
+    if cols is None:
+        return left.join(right.select(KEY, *bands).limit(0), on=KEY, how=how)
+    right_crs = _uniform(right, "crs")[0] or left_crs
     targets = left.select(
         F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), F.col("extent").alias("_te")
     )
@@ -180,19 +184,22 @@ def raster_join(
             F.col("_sb.xmax") + grow_x, F.col("_sb.ymax") + grow_y,
         ),
     )
-    if bucket is None:
-        bucket = max(_widest(targets, "_te"), _widest(sources, "_sb"))
+    side = _widest(targets, "_te")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(_side("_sb") / side))).cast("int")
+    sources = sources.withColumn("_lv", level)
+    # At most one row per power of two between the smallest and the largest tile.
+    levels = [r["_lv"] for r in sources.select("_lv").where("_lv IS NOT NULL").distinct().collect()]
+    targets = targets.withColumn("_lv", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    size = F.lit(side) * F.pow(F.lit(2.0), F.col("_lv"))
     pairs = (
-        _bucketed(targets, "_te", bucket)
-        .join(_bucketed(sources, "_sb", bucket), on=["_bx", "_by"])
+        _bucketed(targets, "_te", size)
+        .join(_bucketed(sources, "_sb", size), on=["_lv", "_bx", "_by"])
+        .where("_te.xmin < _sb.xmax AND _sb.xmin < _te.xmax AND _te.ymin < _sb.ymax AND _sb.ymin < _te.ymax")
         .where(
-            "_te.xmin < _sb.xmax AND _sb.xmin < _te.xmax AND _te.ymin < _sb.ymax AND _sb.ymin < _te.ymax"
+            (F.col("_bx") == F.floor(F.greatest("_te.xmin", "_sb.xmin") / size))
+            & (F.col("_by") == F.floor(F.greatest("_te.ymin", "_sb.ymin") / size))
         )
-        .where(
-            (F.col("_bx") == F.floor(F.greatest("_te.xmin", "_sb.xmin") / bucket))
-            & (F.col("_by") == F.floor(F.greatest("_te.ymin", "_sb.ymin") / bucket))
-        )
-        .drop("_bx", "_by", "_sb")
+        .drop("_lv", "_bx", "_by", "_sb")
     )
     drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample)
     # On the key's fields, by which the drawn tiles are partitioned already.
@@ -200,12 +207,15 @@ def raster_join(
     return left.join(drawn, same, how).drop("_tc", "_tr")
 
 
+def _side(box: str) -> Column:
+    return F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin"))
+
+
 def _widest(df: DataFrame, box: str) -> float:
-    side = F.max(F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin")))
-    return df.agg(side.alias("side")).first().side or 1.0
+    return df.agg(F.max(_side(box)).alias("side")).first().side or 1.0
 
 
-def _bucketed(df: DataFrame, box: str, size: float) -> DataFrame:
+def _bucketed(df: DataFrame, box: str, size: Column) -> DataFrame:
     def span(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(f"{box}.{low}") / size), F.floor(F.col(f"{box}.{high}") / size))
 

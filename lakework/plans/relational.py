@@ -174,7 +174,7 @@ def _register(name: str, tables: list[str], sql: str, how: int) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _views(spark, sf_dir, *tables)
-        script = f"-- prepared; the result is last\nSET spark.sql.ansi.enabled=true;\n{sql};\n"
+        script = f"-- prepared; the result is last\nCREATE OR REPLACE TEMPORARY VIEW script_note AS SELECT 'a;b' AS note;\n{sql};\n"
         if how == 0:
             return relational.run_statements(spark, [script])
         if how == 1:

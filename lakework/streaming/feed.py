@@ -8,7 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -99,7 +99,8 @@ def apply_batch(batch: DataFrame, batch_id: int, config: CdcConfig, value_col: s
             return (batch_id, shape.db, shape.table, report.upserts, report.deletes, report.skipped, report.compacted, millis)
 
         with ThreadPoolExecutor(max_workers=config.parallel_tables) as pool:
-            rows = list(pool.map(write, shapes))
+            # The threads keep the job group of the stream, so stopping it stops their jobs.
+            rows = list(pool.map(inheritable_thread_target(write), shapes))
         dropped = rejected.count()
     finally:
         decoded.unpersist()

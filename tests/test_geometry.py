@@ -91,12 +91,35 @@ def test_raster_join_keeps_unmatched_left_tiles(spark):
     assert resample.raster_join(left, right, how="inner").count() == 1
 
 
+def test_raster_join_with_an_empty_side(spark):
+    left = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0] * 4, "a")
+    right = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0] * 4, "b")
+    assert resample.raster_join(left, right.limit(0)).first().b is None
+    assert resample.raster_join(left.limit(0), right).count() == 0
+
+
 def test_raster_join_is_never_a_nested_loop(spark, sf_dir):
     other = frames.other_grid(spark, sf_dir, (40.0, -12.0), 1.25)
     plan = resample.raster_join(frames.plain_layer(spark, sf_dir), other)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_one_huge_tile_does_not_widen_the_buckets(spark):
+    def grid(n, name, value):
+        return spark.range(n).select(
+            F.struct(F.col("id").cast("int").alias("col"), F.lit(0).alias("row")).alias(KEY), F.lit("EPSG:3857").alias("crs"),
+            g.make_box(F.col("id") * 2, F.lit(0.0), F.col("id") * 2 + 2, F.lit(2.0)).alias("extent"),
+            F.struct(F.lit(1).alias("cols"), F.lit(1).alias("rows"), F.array(value.cast("double")).alias("cells")).alias(name),
+        )
+
+    huge = one_tile(spark, (0, 9), (-4096.0, -4096.0, 8192.0, 8192.0), [-1.0], "b")
+    left = grid(600, "a", F.lit(1))
+    right = grid(500, "b", F.when(F.col("id") % 2 == 0, F.col("id"))).unionByName(huge)
+    rows = resample.raster_join(left, right).select(f"{KEY}.col", F.get("b.cells", F.lit(0)).alias("v")).collect()
+    want = {i: (float(i) if i < 500 and i % 2 == 0 else -1.0) for i in range(600)}
+    assert {r.col: r.v for r in rows} == want
+
+
 def test_a_stack_of_sources_on_one_target_settles_by_order(spark):
     left = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [0.0] * 4, "a")
     right = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [0.0] * 4, "b")

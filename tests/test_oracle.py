@@ -19,9 +19,9 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, sf_dir, name):
-    ours = queries()[name](spark, sf_dir).toPandas()
-    theirs = con.execute(ORACLES[name]).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
+    ours = queries()[name](spark, sf_dir).toArrow()
+    theirs = con.sql(ORACLES[name]).to_arrow_table()
+    assert sorted(ours.column_names) == sorted(theirs.column_names)
     assert canonical(ours) == canonical(theirs)
 
 

@@ -167,10 +167,20 @@ def test_library_has_no_unbounded_gathering():
     """Results reach the driver only where a comment or name bounds them; no local checkpoints, no cross joins."""
     root = Path(__file__).resolve().parents[1] / "lakework"
     allowed = {
-        "sources/layers.py": 1, "operators/relational.py": 1, "operators/upsert.py": 1, "operators/changes.py": 1, "operators/quantiles.py": 1,
+        "sources/layers.py": 1, "operators/relational.py": 1, "operators/upsert.py": 1, "operators/changes.py": 1, "operators/quantiles.py": 1, "operators/resample.py": 1,
     }
     for path in root.rglob("*.py"):
         text = path.read_text()
         name = str(path.relative_to(root))
         assert text.count(".collect()") == allowed.get(name, 0), name
         assert "localCheckpoint" not in text and "crossJoin" not in text and "toPandas" not in text
+
+
+def test_many_classes_of_one_column(spark):
+    rng = np.random.default_rng(5)
+    data = np.round(rng.normal(size=20_000) * 1000)
+    df = spark.createDataFrame([(float(v),) for v in data], "v double")
+    breaks = quantiles.quantile_breaks(df, "v", 256)
+    assert np.allclose(breaks, np.quantile(data, [i / 256 for i in range(1, 256)]))
+    classed = df.select("v", quantiles.classify("v", breaks).alias("class")).toPandas()
+    assert (classed["class"].to_numpy() == np.searchsorted(breaks, data, side="left")).all()
