@@ -100,7 +100,7 @@ def apply_batch(batch: DataFrame, batch_id: int, config: CdcConfig, value_col: s
 
         with ThreadPoolExecutor(max_workers=config.parallel_tables) as pool:
             # The threads keep the job group of the stream, so stopping it stops their jobs.
-            rows = list(pool.map(inheritable_thread_target(write), shapes))
+            rows = list(pool.map(inheritable_thread_target(spark)(write), shapes))
         dropped = rejected.count()
     finally:
         decoded.unpersist()
