@@ -327,6 +327,17 @@ def register_sql_functions(spark: SparkSession) -> None:
             "named_struct('xmin', least(p.x, q.x), 'ymin', least(p.y, q.y),"
             " 'xmax', greatest(p.x, q.x), 'ymax', greatest(p.y, q.y))",
         ),
+        f"st_geometry(e {BOX_DDL})": (
+            RING_DDL,
+            "array(named_struct('x', e.xmin, 'y', e.ymin), named_struct('x', e.xmin, 'y', e.ymax),"
+            " named_struct('x', e.xmax, 'y', e.ymax), named_struct('x', e.xmax, 'y', e.ymin),"
+            " named_struct('x', e.xmin, 'y', e.ymin))",
+        ),
+        f"st_extent(r {RING_DDL})": (
+            BOX_DDL,
+            "named_struct('xmin', array_min(transform(r, p -> p.x)), 'ymin', array_min(transform(r, p -> p.y)),"
+            " 'xmax', array_max(transform(r, p -> p.x)), 'ymax', array_max(transform(r, p -> p.y)))",
+        ),
         f"st_contains(b {BOX_DDL}, p {POINT_DDL})": (
             "BOOLEAN",
             "p.x > b.xmin AND p.x < b.xmax AND p.y > b.ymin AND p.y < b.ymax",
@@ -351,12 +362,27 @@ def register_sql_functions(spark: SparkSession) -> None:
             "named_struct('cols', t.cols, 'rows', t.rows, 'cells',"
             " zip_with(t.cells, m.cells, (x, y) -> CASE WHEN y IS NOT NULL THEN x END))",
         ),
+        f"st_local_less(t {tile}, bound DOUBLE)": (
+            tile,
+            "named_struct('cols', t.cols, 'rows', t.rows, 'cells', transform(t.cells, x -> cast(x < bound AS double)))",
+        ),
+        f"st_rgb_composite(r {tile}, g {tile}, b {tile})": (
+            tile,
+            "named_struct('cols', r.cols, 'rows', r.rows, 'cells',"
+            " zip_with(zip_with(r.cells, g.cells, (x, y) -> CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN"
+            " floor(least(greatest(x, 0D), 255D)) * 65536 + floor(least(greatest(y, 0D), 255D)) * 256 END),"
+            " b.cells, (h, z) -> CASE WHEN z IS NOT NULL THEN cast(h + floor(least(greatest(z, 0D), 255D)) AS double) END))",
+        ),
         f"st_log(t {tile})": (
             tile,
             "named_struct('cols', t.cols, 'rows', t.rows, 'cells',"
             " transform(t.cells, x -> CASE WHEN x > 0 THEN ln(x) END))",
         ),
     }
+    # Two names are usual without the underscore as well; SQL ignores the case.
+    for name, usual in (("st_make_box2d", "st_makeBox2d"), ("st_buffer_point", "st_bufferPoint")):
+        signature = next(s for s in bodies if s.startswith(f"{name}("))
+        bodies[signature.replace(name, usual)] = bodies[signature]
     operators = {"add": "x + y", "subtract": "x - y", "multiply": "x * y", "divide": "try_divide(x, y)"}
     for name, expression in operators.items():
         bodies[f"st_local_{name}(a {tile}, b {tile})"] = (

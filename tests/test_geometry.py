@@ -194,3 +194,21 @@ def test_geojson_polygons(spark, tmp_path):
     rows = features.read_geojson(spark, str(path)).orderBy("id").collect()
     assert [r.id for r in rows] == [0, 1]
     assert [(p.x, p.y) for p in rows[0].geom] == [(0, 0), (4, 0), (4, 4), (0, 0)]
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from lakework.functions import tiles
+
+    g.register_sql_functions(spark)
+    df = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 4.0), [1.0, 300.0, -5.0, None], "a")
+    df.createOrReplaceTempView("one_tile")
+    row = spark.sql(
+        "SELECT st_local_less(a, 2.0D).cells AS less, st_rgb_composite(a, a, a).cells AS rgb, st_log(a).cells AS log,"
+        " st_extent(st_geometry(extent)) AS box, st_contains(st_makeBox2D(st_point(38, 48), st_point(52, 62)), st_point(40, 50)) AS inside"
+        ", size(ST_BufferPoint(st_point(40, 50), 10)) AS corners FROM one_tile"
+    ).first()
+    want = df.select(
+        tiles.st_local_less("a", 2)["cells"].alias("less"), tiles.st_rgb_composite("a", "a", "a")["cells"].alias("rgb"),
+        tiles.st_log("a")["cells"].alias("log"), g.st_extent(g.st_geometry("extent")).alias("box"),
+    ).first()
+    assert (row.less, row.rgb, row.log, row.box) == tuple(want) and row.inside and row.corners == 33
