@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from check import TABLES, canonical
+from lakework.plans import ORACLE, QUERIES
 
-ORACLES = oracle_sql()
+ORACLES = ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -30,5 +31,5 @@ def test_entry_gives_rows(spark):
 
 
 def test_every_query_is_named_by_what_it_does():
-    for name in queries():
+    for name in QUERIES:
         assert name.islower() and "pipeline" not in name and not name.startswith("op")
