@@ -128,7 +128,7 @@ def judge_urls(
     host, path = _split(F.col(f"`{url}`"))
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
     parted = pages.select(*kept, host.alias("host"), path.alias("path"))
-    schema = parted.select("*", F.lit("").cast("string").alias("rule"), F.lit("").alias("verdict")).schema
+    schema = parted.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).schema
     automaton = GlobAutomaton([*(host_glob(r) for _, r in host_rules), *globs])
     # The longest rule comes first; a sentinel column stands for none.
     ranked = sorted(range(len(host_rules)), key=lambda i: (-len(host_rules[i][1]), i))
