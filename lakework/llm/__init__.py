@@ -1,9 +1,12 @@
 """Operators for training-data pipelines; each module holds one operator, its query and its SQL."""
 
-from lakework.llm import pii, secrets, toxicity, urls
+from lakework.llm import packing, pii, secrets, sharding, toxicity, urls, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op4_sharding": sharding.op4_sharding,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
