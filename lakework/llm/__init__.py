@@ -1,8 +1,9 @@
 """Operators for training-data pipelines; each module holds one operator, its query and its SQL."""
 
-from lakework.llm import packing, pii, secrets, sharding, toxicity, urls, warc
+from lakework.llm import packing, pii, secrets, sharding, tiling, toxicity, urls, warc
 
 QUERIES = {
+    "op1_decontamination": tiling.op1_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_sharding": sharding.op4_sharding,
     "op6_url_filter": urls.op6_url_filter,

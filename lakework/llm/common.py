@@ -114,7 +114,7 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(width) * _PLACES[63], np.uint64)
+    total = np.full(n, width, np.uint64) * _PLACES[63]
     for j in range(width):
         total += hashes[j : j + n] * _PLACES[j]
     return mix(total)
