@@ -1,11 +1,13 @@
 """Operators for training-data pipelines; each module holds one operator, its query and its SQL."""
 
-from lakework.llm import packing, pii, secrets, sharding, tiling, toxicity, urls, warc
+from lakework.llm import jaccard, packing, pii, secrets, sharding, tiling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
+    "op2_embeddings": vectors.op2_embeddings,
     "op3_warc": warc.op3_warc,
     "op4_sharding": sharding.op4_sharding,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_url_filter": urls.op6_url_filter,
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
