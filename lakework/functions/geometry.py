@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Radius of the Web-Mercator sphere and metres per degree on it.
 EARTH_RADIUS = 6378137.0
 MERCATOR_LIMIT = math.pi * EARTH_RADIUS
+MERCATOR_LATITUDE = math.degrees(2 * math.atan(math.exp(math.pi)) - math.pi / 2)
 # The WGS84 ellipsoid and the scale on a UTM central meridian.
 WGS84_FLATTENING = 1 / 298.257223563
 UTM_SCALE = 0.9996
@@ -283,10 +284,14 @@ def reproject_extent(extent: Column | str, src: str, dst: str) -> Column:
     e = _col(extent)
     if src == dst:
         return e
-    mx, my = (e["xmin"] + e["xmax"]) / 2, (e["ymin"] + e["ymax"]) / 2
+    low, high = e["ymin"], e["ymax"]
+    if src == "EPSG:4326" and dst == "EPSG:3857":
+        # The square of Web Mercator ends there; the poles themselves lie at infinity.
+        low, high = (F.greatest(F.lit(-MERCATOR_LATITUDE), F.least(F.lit(MERCATOR_LATITUDE), y)) for y in (low, high))
+    mx, my = (e["xmin"] + e["xmax"]) / 2, (low + high) / 2
     xs, ys = [], []
     for px in (e["xmin"], mx, e["xmax"]):
-        for py in (e["ymin"], my, e["ymax"]):
+        for py in (low, my, high):
             qx, qy = reproject(px, py, src, dst)
             xs.append(qx)
             ys.append(qy)

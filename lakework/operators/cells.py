@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,44 @@ def st_assemble_tile(
     )
 
 
+def merge_repeated(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """One row of ``keys`` and ``arrays`` per key; where a key repeats, cell by cell the largest value.
+
+    Only the rows of repeated keys are taken apart; whether there are any is asked first.
+    """
+    repeated = df.groupBy(*keys).count().where("count > 1").select(*keys)
+    if repeated.isEmpty():
+        return df.select(*keys, *arrays)
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rest = df.alias("d").join(repeated.alias("r"), reduce(and_, same), "left_anti").select(*keys, *arrays)
+    empty = F.array().cast("array<double>")
+    cells = (
+        df.alias("d").join(repeated.alias("r"), reduce(and_, same), "left_semi")
+        .select(*keys, F.posexplode(F.arrays_zip(*[F.coalesce(F.col(a), empty).alias(a) for a in arrays])).alias("_p", "_c"))
+        .groupBy(*keys, "_p").agg(*[F.max(F.col("_c")[a]).alias(a) for a in arrays])
+    )
+    gathered = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", *arrays))).alias("_e"))
+
+    def cells_in_order(name: str) -> Column:
+        return F.transform("_e", lambda e: e[name]).alias(name)
+
+    merged = gathered.select(*keys, *map(cells_in_order, arrays))
+    return rest.unionByName(merged)
+
+
+def unique_tiles(layer: DataFrame, bands: Sequence[str], key: str = "spatial_key") -> DataFrame:
+    """Key and bands of a layer with every key once, as in a union of scenes on one grid."""
+    flat = layer.select(
+        F.col(f"{key}.col").alias("_col"), F.col(f"{key}.row").alias("_row"), cols_of(bands[0]).alias("_w"), rows_of(bands[0]).alias("_h"),
+        *[cells_of(b).alias(b) for b in bands],
+    )
+    once = merge_repeated(flat, ["_col", "_row", "_w", "_h"], bands)
+    return once.select(
+        F.struct(F.col("_col").alias("col"), F.col("_row").alias("row")).alias(key),
+        *[F.when(F.col(b).isNotNull(), F.struct(F.col("_w").alias("cols"), F.col("_h").alias("rows"), F.col(b).alias("cells"))).alias(b) for b in bands],
+    )
+
+
 def st_agg_local_min(df: DataFrame, tile: str, keys: Sequence[str], cols: int, rows: int) -> DataFrame:
     """Cell-wise minimum over the tiles of each group; NoData is skipped."""
     cells = explode_tiles(df, [tile], keep=list(keys))
@@ -188,13 +228,14 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
 
     Every tile sends itself to its own key and only its border strips to its
     neighbours, so a tile gathers one patch per neighbour and the shuffle grows with
-    the perimeter. Windows without data give NoData.
+    the perimeter. Windows without data give NoData. Tiles that share a key are one tile
+    first. Sums come from a summed-area table, so the work does not grow with the radius.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
     reach_x, reach_y = math.ceil(radius / cols), math.ceil(radius / rows)
     steps = [(dx, dy) for dx in range(-reach_x, reach_x + 1) for dy in range(-reach_y, reach_y + 1)]
-    sent = layer.select(
+    sent = unique_tiles(layer, [band], key).select(
         F.col(f"{key}.col").alias("_c"), F.col(f"{key}.row").alias("_r"), cells_of(band).alias("_cells"),
         F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("_d"),
     )
@@ -233,14 +274,20 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
 
     def per_batch(batch: pa.Array) -> pa.Array:
         side = 2 * radius + 1
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            area = np.pad(values.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            return area[side:, side:] - area[:-side, side:] - area[side:, :-side] + area[:-side, :-side]
+
         canvases = []
         for i in range(len(batch)):
             canvas = np.full((rows + 2 * radius, cols + 2 * radius), np.nan)
             _paint(canvas, batch[i].values)
             known = ~np.isnan(canvas)
-            windows = np.lib.stride_tricks.sliding_window_view
-            total = windows(np.where(known, canvas, 0.0), (side, side)).sum(axis=(2, 3))
-            count = windows(known.astype("int64"), (side, side)).sum(axis=(2, 3))
+            count = sums(known.astype("int64"))
+            # Around the mean, so that the running sums stay small and exact to the last digits.
+            middle = canvas[known].mean() if known.any() else 0.0
+            total = sums(np.where(known, canvas - middle, 0.0)) + middle * count
             canvases.append(np.divide(total, count, out=np.full((rows, cols), np.nan), where=count > 0))
         return _cells_of_canvases(canvases)
 

@@ -265,18 +265,32 @@ def _decimal_for(row, options: TypeOptions) -> tuple[int, int]:
 
 _DATE = r"^\d{1,4}-\d{1,2}-\d{1,2}$"
 _DATETIME = r"^\d{1,4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$"
-_TIME = r"^\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$"
+_TIME = r"^(-?)(\d{1,3}):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$"
+# Parts may be missing, as in 2020-01 or 2020-01-; anything else that is no date or time is an error.
+_PARTIAL = r"^[-:. T0-9]*$"
+_ZERO = r"^[-:. T0]*$"
 
 
 def _instant(text: Column, type_id: int) -> Column:
-    """Date and time text as a timestamp in milliseconds; missing parts give NULL."""
+    """Date and time text as a timestamp in milliseconds; missing parts and zero dates give NULL.
+
+    A time is a span with a sign and up to three digits of hours, counted from 1970-01-01.
+    """
     if type_id in TIME_IDS:
-        whole = F.when(text.rlike(_TIME), F.concat(F.lit("1970-01-01 "), text))
-    elif type_id in DATE_IDS:
-        whole = F.when(text.rlike(_DATE), text)
-    else:
-        whole = F.when(text.rlike(_DATETIME), text)
-    return F.timestamp_millis(F.unix_millis(whole.try_cast("timestamp")))
+        hours, minutes = (F.regexp_extract(text, _TIME, g).cast("long") for g in (2, 3))
+        seconds = F.regexp_extract(text, _TIME, 4).cast("decimal(20,6)")
+        millis = F.floor(((hours * 60 + minutes) * 60 + seconds) * 1000)
+        signed = F.when(F.regexp_extract(text, _TIME, 1) == "-", -millis).otherwise(millis).cast("long")
+        return _checked(text, text.rlike(_TIME), F.timestamp_millis(signed))
+    pattern = _DATE if type_id in DATE_IDS else _DATETIME
+    return _checked(text, text.rlike(pattern), F.timestamp_millis(F.unix_millis(text.try_cast("timestamp"))))
+
+
+def _checked(text: Column, matches: Column, value: Column) -> Column:
+    """The value of a whole text, NULL for one with missing parts; other text fails, as numbers do."""
+    wrong = F.raise_error(F.concat(F.lit("not a date or time: "), text)).cast("timestamp")
+    partial = F.when(text.isNull() | text.rlike(_PARTIAL), F.lit(None).cast("timestamp")).otherwise(wrong)
+    return F.when(matches & (value.isNotNull() | text.rlike(_ZERO)), value).when(matches, wrong).otherwise(partial)
 
 
 def convert_value(text: Column, type_id: int, kind: T.DataType, all_to_string: bool = False) -> Column:
@@ -294,7 +308,7 @@ def convert_value(text: Column, type_id: int, kind: T.DataType, all_to_string: b
     if type_id in EPOCH_IDS:
         return F.timestamp_millis(text.cast("long"))
     if type_id in DATE_IDS:
-        return F.when(text.rlike(_DATE), text.try_cast("date"))
+        return _instant(text, type_id).cast("date")
     if type_id in TIME_IDS + DATETIME_IDS:
         return _instant(text, type_id)
     return text.cast(kind)

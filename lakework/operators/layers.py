@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakework.functions.geometry import make_box
 from lakework.functions.tiles import cells_of, cols_of, make_tile, rows_of
-from lakework.operators.cells import is_tile, paint_patches, tile_columns, window_cells
+from lakework.operators.cells import is_tile, merge_repeated, paint_patches, tile_columns, unique_tiles, window_cells
 
 KEY = "spatial_key"
 
@@ -53,8 +51,8 @@ def to_layer(raster: DataFrame, cols: int, rows: int, name: str, tile: str = "ti
         (x1 - x0).alias("pw"), (y1 - y0).alias("ph"),
         window_cells(F.col("cells"), F.col("w"), x0 - F.col("ox"), y0 - F.col("oy"), x1 - x0, y1 - y0).alias("cells"),
     )
-    # One window per place: repeated pieces merge before a tile gathers its windows.
-    once = cut.groupBy("col", "row", "x", "y", "pw", "ph").agg(F.max("cells").alias("cells"))
+    # One window per place: repeated pieces merge cell by cell before a tile gathers its windows.
+    once = merge_repeated(cut, ["col", "row", "x", "y", "pw", "ph"], ["cells"])
     patch = F.struct("x", "y", F.col("pw").alias("w"), F.col("ph").alias("h"), "cells")
     gathered = once.groupBy("col", "row").agg(F.sort_array(F.collect_list(patch)).alias("_patches"))
     return gathered.select(
@@ -83,16 +81,24 @@ def with_extent(
 
 
 def layer_metadata(layer: DataFrame) -> DataFrame:
-    """One row: key bounds, tile size, and CRS and extent where the layer has them."""
+    """One row: key bounds, tile size, and CRS and extent where the layer has them.
+
+    A layer has one CRS and one tile size; a mixed one fails.
+    """
     tile = tile_columns(layer)[0]
+
+    def one(value: Column, what: str) -> Column:
+        low, high = F.min(value), F.max(value)
+        return F.when(low.eqNullSafe(high), high).otherwise(F.raise_error(F.lit(f"the layer has more than one {what}")))
+
     fields = [
         F.min(f"{KEY}.col").alias("min_col"), F.max(f"{KEY}.col").alias("max_col"),
         F.min(f"{KEY}.row").alias("min_row"), F.max(f"{KEY}.row").alias("max_row"),
-        F.max(cols_of(tile)).alias("tile_cols"), F.max(rows_of(tile)).alias("tile_rows"),
+        one(cols_of(tile), "tile width").alias("tile_cols"), one(rows_of(tile), "tile height").alias("tile_rows"),
         F.count("*").alias("tiles"),
     ]
     if "crs" in layer.columns:
-        fields.append(F.min("crs").alias("crs"))
+        fields.append(one(F.col("crs"), "CRS").alias("crs"))
     if "extent" in layer.columns:
         fields += [
             F.min("extent.xmin").alias("xmin"), F.min("extent.ymin").alias("ymin"),
@@ -116,8 +122,10 @@ def to_raster(layer: DataFrame, band: str, width: int, height: int, resample: st
     Each tile works out by integer arithmetic which output cells its own cells feed,
     so ``nearest`` needs no join and no shuffle; ``bilinear`` adds up the weighted
     parts of the neighbouring cells per output cell. Cells without data are left out.
+    Tiles that share a key are one tile first, cell by cell the largest value.
     """
-    meta = layer_metadata(layer.select(KEY, band)).first()
+    layer = unique_tiles(layer, [band])
+    meta = layer_metadata(layer).first()
     if meta.tiles == 0:
         raise ValueError("the layer is empty")
     tc, tr = meta.tile_cols, meta.tile_rows
@@ -188,7 +196,3 @@ def _bilinear_mosaic(start, tc, tr, total_w, total_h, width, height) -> DataFram
         (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value")
     )
 
-
-def bands_as_columns(layer: DataFrame, stack: str, names: Sequence[str]) -> DataFrame:
-    """Unstack a multiband column into one tile column per name."""
-    return layer.select("*", *[F.get(stack, F.lit(i)).alias(n) for i, n in enumerate(names)]).drop(stack)

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakework.functions.tiles import cells_of, make_tile
-from lakework.operators.cells import tile_columns
+from lakework.operators.cells import tile_columns, unique_tiles
 from lakework.operators.layers import KEY
 from lakework.operators.resample import _uniform
 from lakework.session import cut_lineage
 
 
-def z_key(col: Column | str, row: Column | str, bits: int = 24) -> Column:
+def z_key(col: Column | str, row: Column | str, bits: int = 31) -> Column:
     """Z-curve position of a key: the bits of col and row in turn, col lowest."""
     c = F.col(col) if isinstance(col, str) else col
     r = F.col(row) if isinstance(row, str) else row
@@ -41,15 +41,17 @@ def _halved(cells: Column, cols: int, rows: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(cols * rows // 4 - 1)), block)
 
 
-def parent_level(layer: DataFrame, cols: int, rows: int) -> DataFrame:
+def parent_level(layer: DataFrame, cols: int, rows: int, unique: bool = False) -> DataFrame:
     """The next coarser level: 2 x 2 cells become one, 2 x 2 tiles become one.
 
     Tiles shrink before the shuffle, so a quarter of the data moves, and each parent
-    keeps one value per quadrant.
+    keeps one value per quadrant. Tiles that share a key are made one first; ``unique``
+    says that there are none.
     """
     if cols % 2 or rows % 2:
         raise ValueError("tile sizes must be even")
     bands = tile_columns(layer)
+    layer = layer if unique else unique_tiles(layer, bands)
     small = layer.select(
         F.floor(F.col(f"{KEY}.col") / 2).cast("int").alias("col"),
         F.floor(F.col(f"{KEY}.row") / 2).cast("int").alias("row"),
@@ -89,8 +91,8 @@ def build_pyramid(layer: DataFrame, max_zoom: int, min_zoom: int = 0) -> DataFra
     bands = tile_columns(layer)
     base = layer.select(KEY, *bands)
     cols, rows = _uniform(base, f"{bands[0]}.cols", f"{bands[0]}.rows")
-    levels, current = [base.withColumn("zoom", F.lit(max_zoom))], base
+    levels, current = [base.withColumn("zoom", F.lit(max_zoom))], unique_tiles(base, bands)
     for zoom in range(max_zoom - 1, min_zoom - 1, -1):
-        current = cut_lineage(parent_level(current, cols, rows))
+        current = cut_lineage(parent_level(current, cols, rows, unique=True))
         levels.append(current.withColumn("zoom", F.lit(zoom)))
     return reduce(DataFrame.unionByName, levels)

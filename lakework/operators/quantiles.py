@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bins of one refinement pass: for one interval, and over all intervals together.
-_BINS = 1024
-_ALL_BINS = 65536
+# Cut points of one round: for one range, and over all ranges together. Few rows are told one by one.
+_CUTS = 1024
+_ALL_CUTS = 65536
+_FEW = 65536
 
 
 def min_max(df: DataFrame, col: str) -> DataFrame:
@@ -24,17 +27,18 @@ def cell_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     if bounds["min"] is None:
         return df.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
     low, width = float(bounds["min"]), (float(bounds["max"]) - float(bounds["min"])) / bins
-    index = _clip(F.floor((F.col(col) - F.lit(low)) / width), bins) if width > 0 else F.lit(0)
+    index = F.least(F.greatest(F.floor((F.col(col) - F.lit(low)) / width), F.lit(0)), F.lit(bins - 1)).cast("int") if width > 0 else F.lit(0)
     return df.where(F.col(col).isNotNull()).groupBy(index.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> list[float]:
     """Interpolated quantiles of a numeric column; NULL and NaN do not count.
 
-    Each pass counts the values of the open intervals in equal bins, with partial
-    sums on the map side, and narrows every interval to the bin that holds its rank,
-    until the bin holds a single value. The driver sees bin counts only, so neither
-    the size nor the skew of the column matters.
+    Every round brackets the ranks by rank: an approximate quantile sketch of the rows that
+    are still in question gives cut points, and one pass counts exactly how many rows lie at
+    and between them. A round leaves about a thousandth of the rows, whatever their values,
+    and the last few are counted one by one. The driver sees cut points and counts only, so
+    neither the size nor the skew of the column matters.
     """
     if not probabilities:
         return []
@@ -46,24 +50,14 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
         raise ValueError(f"infinite values in column {col!r}")
     positions = [p * (total.n - 1) for p in probabilities]
     ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    # rank -> (low, high, rows below low); equal intervals share one scan.
-    open_ranks = {r: (float(total.lo), float(total.hi), 0) for r in ranks}
-    found: dict[int, float] = {}
-    while open_ranks:
-        intervals = sorted(set(open_ranks.values()))
-        counts = _count_bins(values, intervals)
-        narrowed = {}
-        for rank, interval in open_ranks.items():
-            low, high, below = interval
-            for bin_low, bin_high, n in counts[interval]:
-                if rank < below + n:
-                    if bin_low == bin_high:
-                        found[rank] = bin_low
-                    else:
-                        narrowed[rank] = (bin_low, bin_high, below)
-                    break
-                below += n
-        open_ranks = narrowed
+    found = {r: v for r, v in ((0, float(total.lo)), (total.n - 1, float(total.hi))) if r in ranks}
+    # Open ranges between two values: (low, high, rows up to low, rows inside, ranks inside).
+    left = [r for r in ranks if r not in found]
+    open_ranges = [(-math.inf, math.inf, 0, total.n, left)] if left else []
+    while open_ranges:
+        few = sum(r[3] for r in open_ranges) <= _FEW
+        cuts = _values_inside(values, open_ranges) if few else _cut_points(values, open_ranges)
+        open_ranges = _narrow(values, open_ranges, cuts, found)
     out = []
     for p in positions:
         a, b = found[math.floor(p)], found[math.ceil(p)]
@@ -72,43 +66,59 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     return out
 
 
-def _clip(index: Column, bins: int) -> Column:
-    return F.least(F.greatest(index, F.lit(0)), F.lit(bins - 1)).cast("int")
+_Range = tuple[float, float, int, int, list[int]]
 
 
-def _count_bins(
-    values: DataFrame, intervals: list[tuple[float, float, int]]
-) -> dict[tuple[float, float, int], list[tuple[float, float, int]]]:
-    """Per interval its bins in order: smallest value, largest value and rows of each.
+def _place(cuts: Sequence[float]) -> Column:
+    """2i for a value between cut i - 1 and cut i, 2i + 1 for one at cut i, by binary search."""
+    edges = np.asarray(cuts)
 
-    The lowest value of an interval is in its first bin and the highest in its last, so
-    every pass splits them.
-    """
-    bins = max(16, min(_BINS, _ALL_BINS // len(intervals)))
-    which, lows, widths, scales = None, [], [], []
-    for i, (low, high, _) in enumerate(intervals):
-        inside = F.col("v").between(low, high)
-        which = F.when(inside, F.lit(i)) if which is None else which.when(inside, F.lit(i))
-        scale = 1.0 if math.isfinite(high - low) else 0.5
-        lows.append(low * scale)
-        widths.append((high * scale - low * scale) / bins)
-        scales.append(scale)
-    pick = lambda numbers: F.get(F.array(*[F.lit(n) for n in numbers]), F.col("i"))
-    offset = F.col("v") * pick(scales) - pick(lows)
-    # Values too close for a width are only told from the lowest.
-    index = F.coalesce(F.floor(F.try_divide(offset, pick(widths))), F.when(offset > 0, F.lit(bins - 1)).otherwise(0))
-    rows = (
-        values.select("v", which.alias("i"))
-        .where("i IS NOT NULL")
-        .groupBy("i", _clip(index, bins).alias("b"))
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-        # At most _ALL_BINS rows, or 16 per interval.
-        .collect()
-    )
-    counts = {interval: [] for interval in intervals}
-    for row in sorted(rows, key=lambda r: (r.i, r.b)):
-        counts[intervals[row.i]].append((row.lo, row.hi, row.n))
-    return counts
+    def place(v: pa.Array) -> pa.Array:
+        numbers = v.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(edges, numbers)
+        same = edges[np.minimum(at, len(edges) - 1)] == numbers
+        return pa.array(2 * at + same, pa.int32())
+
+    place.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    return F.arrow_udf(place, "int")(F.col("v"))
+
+
+def _inside(values: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """The values in the open ranges, with the number of their range."""
+    edges = sorted({e for low, high, *_ in ranges for e in (low, high)})
+    numbers = F.create_map(*[F.lit(x) for i, r in enumerate(ranges) for x in (2 * edges.index(r[1]), i)])
+    return values.select("v", F.try_element_at(numbers, _place(edges)).alias("i")).where("i IS NOT NULL")
+
+
+def _cut_points(values: DataFrame, ranges: list[_Range]) -> list[float]:
+    """About a thousand values that part the rows of the ranges evenly; they need not be exact."""
+    n = max(16, min(_CUTS, _ALL_CUTS // len(ranges)))
+    grid = F.array(*[F.lit(k / n) for k in range(n + 1)])
+    sketches = _inside(values, ranges).groupBy("i").agg(F.percentile_approx("v", grid, 4 * n).alias("cuts"))
+    return sorted({float(c) for r in sketches.collect() for c in r.cuts})  # at most _ALL_CUTS numbers
+
+
+def _values_inside(values: DataFrame, ranges: list[_Range]) -> list[float]:
+    return sorted(r.v for r in _inside(values, ranges).select("v").distinct().collect())  # at most _FEW rows
+
+
+def _narrow(values: DataFrame, ranges: list[_Range], cuts: list[float], found: dict[int, float]) -> list[_Range]:
+    """Count the rows at and between the cuts; ranks at a cut are found, the others get narrower ranges."""
+    counts = dict(values.select(_place(cuts).alias("b")).groupBy("b").count().collect())  # two rows per cut
+    ranks = sorted(r for *_, inside in ranges for r in inside)
+    out: list[_Range] = []
+    below, k = 0, 0
+    for b in range(2 * len(cuts) + 1):
+        n, own = counts.get(b, 0), []
+        while k < len(ranks) and ranks[k] < below + n:
+            own.append(ranks[k])
+            k += 1
+        if own and b % 2:
+            found.update(dict.fromkeys(own, cuts[b // 2]))
+        elif own:
+            out.append((cuts[b // 2 - 1] if b else -math.inf, cuts[b // 2] if b // 2 < len(cuts) else math.inf, below, n, own))
+        below += n
+    return out
 
 
 def quantile_breaks(df: DataFrame, col: str, n: int) -> list[float]:

@@ -14,14 +14,18 @@ from lakework.operators.cells import st_assemble_tile, tile_columns
 from lakework.operators.layers import KEY, with_extent
 
 
-def _uniform(df: DataFrame, *cols: str) -> list:
-    """The one value of each column, in one scan; a layer has a single CRS and tile size."""
+def _uniform(df: DataFrame, *cols: str, widest: str | None = None) -> list:
+    """The one value of each column, in one scan; a layer has a single CRS and tile size.
+
+    ``widest`` adds the longest side of a box column.
+    """
     bounds = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("low", F.min), ("high", F.max))]
+    bounds += [F.max(_side(widest)).alias("side")] if widest else []
     row = df.agg(*bounds).first()
     for i, c in enumerate(cols):
         if row[f"low{i}"] != row[f"high{i}"]:
             raise ValueError(f"{c} must be the same in all rows, found {row[f'low{i}']!r} and {row[f'high{i}']!r}")
-    return [row[f"low{i}"] for i in range(len(cols))]
+    return [row[f"low{i}"] for i in range(len(cols))] + ([row.side or 1.0] if widest else [])
 
 
 def resample_pairs(
@@ -32,10 +36,11 @@ def resample_pairs(
     target_crs: str,
     source_crs: str,
     method: str,
+    target: Sequence[str] = ("_tc", "_tr"),
 ) -> DataFrame:
-    """Draw source tiles on target tiles: one row per target key with the bands resampled.
+    """Draw source tiles on target tiles: one row per target with the bands resampled.
 
-    ``pairs`` holds ``_tc, _tr`` (target key), ``_te`` (target extent), ``_se`` (source
+    ``pairs`` holds ``_tc, _tr`` (target key; ``target`` names what tells targets apart), ``_te`` (target extent), ``_se`` (source
     extent), ``_ord`` (source order, for overlaps) and the source bands. Each pair makes
     only the target cells near its source tile, and these meet per target cell in a
     partial aggregate, so overlapping sources add no load to a single task.
@@ -43,8 +48,9 @@ def resample_pairs(
     if method not in ("nearest", "bilinear"):
         raise ValueError(f"unknown resampling {method!r}")
     box = reproject_extent("_se", source_crs, target_crs)
+    target = list(target)
     located = pairs.select(
-        "_tc", "_tr", "_te", "_se", "_ord",
+        *target, "_te", "_se", "_ord",
         box.alias("_box"), cols_of(bands[0]).alias("_sw"), rows_of(bands[0]).alias("_sh"),
         *[cells_of(b).alias(b) for b in bands],
     ).select(
@@ -83,27 +89,27 @@ def resample_pairs(
     )
     # Position in source cells, from the upper left corner.
     centres = centres.select(
-        "_tc", "_tr", "_i", "_j", "_ord", "_sw", "_sh", *bands,
+        *target, "_i", "_j", "_ord", "_sw", "_sh", *bands,
         ((px - F.col("_se.xmin")) / F.col("_scw")).alias("_fx"),
         ((F.col("_se.ymax") - py) / F.col("_sch")).alias("_fy"),
     )
-    sampled = _nearest(centres, bands) if method == "nearest" else _bilinear(centres, bands)
-    return st_assemble_tile(sampled, ["_tc", "_tr"], "_i", "_j", list(bands), cols, rows, distinct_cells=True)
+    sampled = _nearest(centres, bands, target) if method == "nearest" else _bilinear(centres, bands, target)
+    return st_assemble_tile(sampled, target, "_i", "_j", list(bands), cols, rows, distinct_cells=True)
 
 
-def _nearest(centres: DataFrame, bands: Sequence[str]) -> DataFrame:
+def _nearest(centres: DataFrame, bands: Sequence[str], target: list[str]) -> DataFrame:
     """The source cell that holds the centre; a centre on an edge belongs to the right and upper cell."""
     at = centres.select(
         "*", F.floor("_fx").cast("int").alias("_sc"), (F.ceil("_fy") - 1).cast("int").alias("_sr")
     ).where("_sc >= 0 AND _sc < _sw AND _sr >= 0 AND _sr < _sh")
     place = F.col("_sr") * F.col("_sw") + F.col("_sc")
-    picked = at.select("_tc", "_tr", "_i", "_j", "_ord", *[F.get(b, place).alias(b) for b in bands])
+    picked = at.select(*target, "_i", "_j", "_ord", *[F.get(b, place).alias(b) for b in bands])
     # Where sources overlap, the first in source order that has data.
     first = [F.min_by(b, F.when(F.col(b).isNotNull(), F.col("_ord"))).alias(b) for b in bands]
-    return picked.groupBy("_tc", "_tr", "_i", "_j").agg(*first)
+    return picked.groupBy(*target, "_i", "_j").agg(*first)
 
 
-def _bilinear(centres: DataFrame, bands: Sequence[str]) -> DataFrame:
+def _bilinear(centres: DataFrame, bands: Sequence[str], target: list[str]) -> DataFrame:
     """Mean of the four cells around the centre, weighted by distance over those with data.
 
     Every source tile gives the share of the neighbours it holds; the shares of
@@ -126,8 +132,8 @@ def _bilinear(centres: DataFrame, bands: Sequence[str]) -> DataFrame:
                 weight = weight + F.when(cell.isNotNull(), wx * wy).otherwise(0.0)
         shares += [weighted.alias(f"_n_{b}"), weight.alias(f"_w_{b}")]
     return (
-        spots.select("_tc", "_tr", "_i", "_j", *shares)
-        .groupBy("_tc", "_tr", "_i", "_j")
+        spots.select(*target, "_i", "_j", *shares)
+        .groupBy(*target, "_i", "_j")
         .agg(*[F.try_divide(F.sum(f"_n_{b}"), F.sum(f"_w_{b}")).alias(b) for b in bands])
     )
 
@@ -151,7 +157,8 @@ def raster_join(
     size that fits it, so tiles of any size fall into at most four buckets, and a few
     large ones do not make the buckets of the small ones larger. A pair counts only in
     the bucket of its intersection's lower left corner, so no pair comes twice and
-    nothing has to be made distinct. ``how`` is ``left`` or ``inner``; left tiles
+    nothing has to be made distinct. A left tile is told by its key and its extent, so
+    scenes that repeat keys stay apart. ``how`` is ``left`` or ``inner``; left tiles
     without a partner get NULL tiles.
     """
     if how not in ("left", "inner"):
@@ -161,13 +168,14 @@ def raster_join(
     if clash:
         raise ValueError(f"both layers have {sorted(clash)}")
     left_tile = tile_columns(left)[0]
-    left_crs, cols, rows = _uniform(left, "crs", f"{left_tile}.cols", f"{left_tile}.rows")
+    left_crs, cols, rows, side = _uniform(left, "crs", f"{left_tile}.cols", f"{left_tile}.rows", widest="extent")
     if cols is None:
         return left.join(right.select(KEY, *bands).limit(0), on=KEY, how=how)
     right_crs = _uniform(right, "crs")[0] or left_crs
+    place = F.xxhash64("extent.xmin", "extent.ymin", "extent.xmax", "extent.ymax")
     targets = left.select(
-        F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), F.col("extent").alias("_te")
-    )
+        F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), place.alias("_tp"), F.col("extent").alias("_te")
+    ).distinct()
     sources = right.select(
         F.col("extent").alias("_se"), _source_order().alias("_ord"),
         reproject_extent("extent", right_crs, left_crs).alias("_sb"), *bands,
@@ -184,7 +192,6 @@ def raster_join(
             F.col("_sb.xmax") + grow_x, F.col("_sb.ymax") + grow_y,
         ),
     )
-    side = _widest(targets, "_te")
     level = F.greatest(F.lit(0), F.ceil(F.log2(_side("_sb") / side))).cast("int")
     sources = sources.withColumn("_lv", level)
     # At most one row per power of two between the smallest and the largest tile.
@@ -201,20 +208,16 @@ def raster_join(
         )
         .drop("_lv", "_bx", "_by", "_sb")
     )
-    drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample)
+    drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample, ("_tc", "_tr", "_tp"))
     # On the key's fields, by which the drawn tiles are partitioned already.
-    same = (F.col(f"{KEY}.col") == F.col("_tc")) & (F.col(f"{KEY}.row") == F.col("_tr"))
-    return left.join(drawn, same, how).drop("_tc", "_tr")
+    same = (F.col(f"{KEY}.col") == F.col("_tc")) & (F.col(f"{KEY}.row") == F.col("_tr")) & (place == F.col("_tp"))
+    return left.join(drawn, same, how).drop("_tc", "_tr", "_tp")
 
 
 def _side(box: str) -> Column:
     return F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin"))
 
 
-def _widest(df: DataFrame, box: str) -> float:
-    return df.agg(F.max(_side(box)).alias("side")).first().side or 1.0
-
-
 def _bucketed(df: DataFrame, box: str, size: Column) -> DataFrame:
     def span(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(f"{box}.{low}") / size), F.floor(F.col(f"{box}.{high}") / size))

@@ -22,6 +22,8 @@ from lakework.sources import hadoop
 
 COPY_ON_WRITE = "copy_on_write"
 MERGE_ON_READ = "merge_on_read"
+ARRIVAL = "arrival"
+EVENT_TIME = "event_time"
 BUCKET = "_bucket"
 VERSION = "_version"
 
@@ -97,36 +99,60 @@ def _same_key(left: str, right: str, key: Sequence[str]) -> Column:
     return match
 
 
+def _base_schema(commit: Commit, schema: T.StructType) -> T.StructType:
+    """What base files hold: in an event-time table deleted keys stay, with their order and a flag."""
+    flag = [T.StructField(DELETED, T.BooleanType())] if commit.ordering == EVENT_TIME else []
+    return T.StructType([*schema.fields, *flag])
+
+
 def _merge(old: DataFrame, new: DataFrame, commit: Commit, columns: Sequence[str]) -> DataFrame:
-    """Live rows after ``new`` (one row per key, with the delete flag) comes over ``old``."""
+    """Base rows after ``new`` (one row per key, with the delete flag) comes over ``old``.
+
+    By event time a deleted key stays as a flagged row, so that an older record that
+    arrives later finds its order, however often the table was compacted in between.
+    """
     names = [*columns, BUCKET]
-    if commit.ordering == "event_time":
-        both = old.select(*names, F.lit(False).alias(DELETED), F.lit(0).alias("_late")).unionByName(
+    if commit.ordering == EVENT_TIME:
+        both = old.select(*names, DELETED, F.lit(0).alias("_late")).unionByName(
             new.select(*names, DELETED, F.lit(1).alias("_late"))
         )
-        newest = latest_per_key(both, commit.key, [*commit.order, "_late"])
-        return newest.where(~F.col(DELETED)).select(*names)
+        return latest_per_key(both, commit.key, [*commit.order, "_late"]).select(*names, DELETED)
     survivors = old.alias("o").join(new.alias("n"), _same_key("o", "n", commit.key), "left_anti")
     return survivors.select(*names).unionByName(new.where(~F.col(DELETED)).select(*names))
 
 
-def _snapshot(spark: SparkSession, path: str, commit: Commit, only: set[int] | None = None) -> DataFrame:
-    """Live rows of a version, or of some of its buckets, with the bucket column."""
+def _snapshot(
+    spark: SparkSession, path: str, commit: Commit, only: set[int] | None = None, flagged: bool = False
+) -> DataFrame:
+    """Rows of a version, or of some of its buckets, with the bucket column.
+
+    ``flagged`` keeps what base files keep, deleted keys of an event-time table too.
+    """
+    rows = _stored_rows(spark, path, commit, only)
+    if commit.ordering != EVENT_TIME:
+        return rows
+    rows = rows.withColumn(DELETED, F.coalesce(DELETED, F.lit(False)))
+    return rows if flagged else rows.where(~F.col(DELETED)).drop(DELETED)
+
+
+def _stored_rows(spark: SparkSession, path: str, commit: Commit, only: set[int] | None) -> DataFrame:
     schema = commit.stored
+    held = _base_schema(commit, schema)
     wanted = lambda b: only is None or b in only
     base = [(int(b), v) for b, v in commit.base.items() if wanted(int(b))]
     deltas = [(b, d["version"]) for d in commit.deltas for b in d["buckets"] if wanted(b)]
     if not deltas:
-        return _read(spark, path, "base", base, schema).drop(VERSION)
+        return _read(spark, path, "base", base, held).drop(VERSION)
     fresh = {b for b, _ in deltas}
     quiet = [p for p in base if p[0] not in fresh]
-    old = _read(spark, path, "base", [p for p in base if p[0] in fresh], schema).drop(VERSION)
-    flagged = T.StructType([*schema.fields, T.StructField(DELETED, T.BooleanType())])
-    changes = _read(spark, path, "delta", deltas, flagged)
-    order = [*commit.order, VERSION] if commit.ordering == "event_time" else [VERSION]
+    old = _read(spark, path, "base", [p for p in base if p[0] in fresh], held).drop(VERSION)
+    if commit.ordering == EVENT_TIME:
+        old = old.withColumn(DELETED, F.coalesce(DELETED, F.lit(False)))
+    changes = _read(spark, path, "delta", deltas, T.StructType([*schema.fields, T.StructField(DELETED, T.BooleanType())]))
+    order = [*commit.order, VERSION] if commit.ordering == EVENT_TIME else [VERSION]
     new = latest_per_key(changes, [*commit.key, BUCKET], order)
     merged = _merge(old, new, commit, schema.names)
-    return merged.unionByName(_read(spark, path, "base", quiet, schema).drop(VERSION)) if quiet else merged
+    return merged.unionByName(_read(spark, path, "base", quiet, held).drop(VERSION)) if quiet else merged
 
 
 def read_upsert_table(
@@ -164,7 +190,7 @@ def upsert_table(
     precombine: str | Sequence[str],
     mode: str = "append",
     table_type: str = COPY_ON_WRITE,
-    ordering: str = "arrival",
+    ordering: str | None = None,
     buckets: int = 16,
     compact_inline: bool = True,
     max_delta_commits: int = 10,
@@ -173,11 +199,12 @@ def upsert_table(
 ) -> WriteReport:
     """Write rows over a table by key: the last of each key wins, deleted keys go.
 
-    ``precombine`` orders the rows of a key inside the batch. With ``arrival`` a later
-    batch always wins; with ``event_time`` the stored order decides as well, for keys
-    that are still stored: a deleted key keeps no order. A column ``_is_deleted`` marks
-    deletes. ``batch_id`` makes replays of a writer's batch do
-    nothing. ``mode`` is append, overwrite, errorifexists or ignore.
+    ``precombine`` orders the rows of a key inside the batch. With ``arrival``, the default
+    of a new table, a later batch always wins; with ``event_time`` the stored order decides
+    as well, also that of deleted keys. A table keeps the ordering it was made with; naming
+    another one is an error. A column ``_is_deleted`` marks deletes. ``batch_id`` makes replays
+    of a writer's batch do nothing; a writer is one sequence of rising batch numbers.
+    ``mode`` is append, overwrite, errorifexists or ignore.
     """
     spark = df.sparkSession
     stored = current_commit(spark, path)
@@ -193,13 +220,15 @@ def upsert_table(
     fields = [f for f in df.schema.fields if f.name != DELETED]
     known = stored.stored if stored and mode != "overwrite" else None
     schema = merge_schemas(known, fields)
+    if known is not None and ordering not in (None, stored.ordering):
+        raise ValueError(f"the table is ordered by {stored.ordering}, not {ordering}")
     commit = Commit(
         version=stored.version + 1 if stored else 1,
         table_type=stored.table_type if known is not None else table_type,
         key=stored.key if known is not None else list(key),
         order=stored.order if known is not None else order,
         buckets=stored.buckets if known is not None else buckets,
-        ordering=ordering,
+        ordering=stored.ordering if known is not None else ordering or ARRIVAL,
         schema=schema.json(),
         base=dict(stored.base) if known is not None else {},
         deltas=list(stored.deltas) if known is not None else [],
@@ -231,11 +260,14 @@ def upsert_table(
                 written = _write(latest, path, "delta", commit.version)
                 commit.deltas.append({"version": commit.version, "buckets": written})
         elif touched:
-            old = _snapshot(spark, path, stored, touched) if known is not None else None
-            if old is None:
-                live = latest.where(~F.col(DELETED)).drop(DELETED)
+            old = _snapshot(spark, path, stored, touched, flagged=True) if known is not None else None
+            if old is not None:
+                keep = [BUCKET, DELETED] if commit.ordering == EVENT_TIME else [BUCKET]
+                live = _merge(_conform(old, schema, keep=keep), latest, commit, schema.names)
+            elif commit.ordering == EVENT_TIME:
+                live = latest
             else:
-                live = _merge(_conform(old, schema, keep=[BUCKET]), latest, commit, schema.names)
+                live = latest.where(~F.col(DELETED)).drop(DELETED)
             written = _write(live, path, "base", commit.version)
             kept = {b: v for b, v in commit.base.items() if int(b) not in touched}
             commit.base = {**kept, **{str(b): commit.version for b in written}}
@@ -275,7 +307,7 @@ def compact(spark: SparkSession, path: str) -> int:
     touched = {b for d in commit.deltas for b in d["buckets"]}
     if not touched:
         return commit.version
-    rows = _snapshot(spark, path, commit, touched)
+    rows = _snapshot(spark, path, commit, touched, flagged=True)
     commit.version += 1
     written = _write(rows, path, "base", commit.version)
     kept = {b: v for b, v in commit.base.items() if int(b) not in touched}
@@ -305,25 +337,43 @@ def drop_old_versions(spark: SparkSession, path: str) -> int:
 
 
 def sync_table(spark: SparkSession, db: str, table: str, path: str) -> str:
-    """Register the base files in the catalog as an external table, one partition per bucket.
+    """Register the current rows in the catalog as an external table, one partition per bucket.
 
-    Each bucket's partition points at the folder of its current version, so a sync
-    after a write only moves locations. Rows in deltas appear after compaction.
+    Deltas are folded in first, so the catalog never shows half a table. A table that is
+    there with the same columns keeps its name throughout: only the locations of its
+    partitions move. Files of an event-time table also hold deleted keys, so its name is a
+    view over the table ``<name>_rows`` that leaves them out.
     """
-    commit = current_commit(spark, path)
-    if commit is None:
+    if current_commit(spark, path) is None:
         raise FileNotFoundError(path)
-    name = f"`{db}`.`{table}`"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commit.stored)
+    compact(spark, path)
+    commit = current_commit(spark, path)
+    held = _base_schema(commit, commit.stored)
+    timed = commit.ordering == EVENT_TIME
+    stored_as = f"{table}_rows" if timed else table
+    name = f"`{db}`.`{stored_as}`"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}, `{BUCKET}` INT) USING parquet PARTITIONED BY (`{BUCKET}`) LOCATION '{path}/base'"
-    )
-    if commit.base:
-        parts = " ".join(
-            f"PARTITION (`{BUCKET}`={b}) LOCATION '{path}/base/{VERSION}={v}/{BUCKET}={b}'"
-            for b, v in sorted(commit.base.items(), key=lambda p: int(p[0]))
+    want = [(f.name.lower(), f.dataType.simpleString()) for f in held] + [(BUCKET, "int")]
+    have = []
+    if spark.catalog.tableExists(f"{db}.{stored_as}"):
+        have = [(f.name.lower(), f.dataType.simpleString()) for f in spark.table(name).schema]
+    if have != want:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}, `{BUCKET}` INT) USING parquet PARTITIONED BY (`{BUCKET}`) LOCATION '{path}/base'"
         )
+    known = {int(r[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}  # one row per bucket
+    places = {int(b): f"{path}/base/{VERSION}={v}/{BUCKET}={b}" for b, v in commit.base.items()}
+    for b in sorted(known & set(places)):
+        spark.sql(f"ALTER TABLE {name} PARTITION (`{BUCKET}`={b}) SET LOCATION '{places[b]}'")
+    if fresh := sorted(set(places) - known):
+        parts = " ".join(f"PARTITION (`{BUCKET}`={b}) LOCATION '{places[b]}'" for b in fresh)
         spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {parts}")
-    return name
+    if gone := sorted(known - set(places)):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION (`{BUCKET}`={b})" for b in gone))
+    spark.catalog.refreshTable(f"{db}.{stored_as}")
+    if timed:
+        shown = ", ".join(f"`{f.name}`" for f in commit.stored)
+        spark.sql(f"CREATE OR REPLACE VIEW `{db}`.`{table}` AS SELECT {shown}, `{BUCKET}` FROM {name} WHERE NOT coalesce(`{DELETED}`, false)")
+    return f"`{db}`.`{table}`"

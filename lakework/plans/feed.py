@@ -389,3 +389,105 @@ def _(spark, sf_dir):
     upsert.upsert_table(flagged, path, ["s_suppkey"], "_order_ts", mode="append")
     upsert.upsert_table(suppliers, path, ["s_suppkey"], "_order_ts", mode="ignore")
     return upsert.read_upsert_table(spark, f"{path}/*", merge_schema=True)
+
+
+_LATE = """
+SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, round(o_totalprice + 7, 2) FROM orders WHERE o_orderkey % 9 = 0
+"""
+
+
+@query("feed_upsert_late_records", f"SELECT h.how, l.* FROM ({_LATE}) l, (VALUES ('one batch'), ('copy on write'), ('compacted')) h(how)")
+def _(spark, sf_dir):
+    """A third of the orders is deleted before its older inserts arrive; a ninth comes back later.
+
+    One batch, copy on write and a compaction after every two deltas leave the same rows.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+
+    def step(rows: DataFrame, at: int, gone: bool = False) -> DataFrame:
+        return rows.withColumns({"_order_ts": F.lit(at).cast("long"), "_is_deleted": F.lit(gone)})
+
+    third, ninth = orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 9 = 0")
+    batches = [
+        step(third, 5, gone=True), step(orders, 3), step(third, 1),
+        step(ninth.withColumn("o_totalprice", F.col("o_totalprice") + 7), 8), step(third, 4),
+    ]
+    ways = {
+        "one batch": ([union_all(batches)], {}),
+        "copy on write": (batches, {}),
+        "compacted": (batches, {"table_type": upsert.MERGE_ON_READ, "max_delta_commits": 2}),
+    }
+    out = []
+    for how, (parts, settings) in ways.items():
+        path = f"{scratch_dir(spark, 'tables')}/shop/orders"
+        for part in parts:
+            upsert.upsert_table(part, path, ["o_orderkey"], "_order_ts", ordering=upsert.EVENT_TIME, **settings)
+        rows = upsert.read_upsert_table(spark, path)
+        out.append(rows.select(F.lit(how).alias("how"), "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice")))
+    return union_all(out)
+
+
+@query("feed_two_checkpoints", _FINAL_CUSTOMERS)
+def _(spark, sf_dir):
+    """Two feeds into one table, each with its own checkpoint and so with its own batch numbers from zero."""
+    root = scratch_dir(spark, "job")
+    records = change_records(spark, sf_dir).where("object_name = 'crm.eu.customer'")
+    config = feed.CdcConfig(base_path=f"{root}/tables", trigger=None)
+    even = F.expr("cast(coalesce(after, before)['c_custkey'] AS bigint) % 2 = 0")
+    for name, part in (("even", records.where(even)), ("odd", records.where(~even))):
+        changes.encode_envelope(part).write.parquet(f"{root}/{name}")
+        source = jobs.read_stream(spark, "parquet", f"{root}/{name}", "value binary")
+        feed.run_cdc(source, config, f"{root}/checkpoint-{name}").awaitTermination()
+    return upsert.read_upsert_table(spark, f"{root}/tables/crm/customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
+    )
+
+
+# One column per type id of the feed: its text from the supplier's key ``k``, and the value in SQL.
+_MATRIX: list[tuple[int, str, str]] = [
+    *((i, "cast(k as string)", "CAST(k AS VARCHAR)") for i in (1, 2, 3, 9, 13, 16, 8)),
+    (4, "concat(k, '.5')", "CAST(CAST(k + 0.5 AS DOUBLE) AS VARCHAR)"), (5, "concat(k, '.25')", "CAST(CAST(k + 0.25 AS DOUBLE) AS VARCHAR)"),
+    *((i, "concat(k, '.75')", "printf('%.2f', k + 0.75)") for i in (0, 246)),
+    *((i, "cast(k * 1000 + 7 as string)", "CAST(k * 1000 + 7 AS VARCHAR)") for i in (7, 17)),
+    *((i, "format_string('20%02d-%02d-%02d', k % 100, k % 12 + 1, k % 28 + 1)", "CAST(epoch_ms(make_date(2000 + k % 100, k % 12 + 1, k % 28 + 1)) AS VARCHAR)") for i in (10, 14)),
+    *((i, "concat(if(k % 2 = 0, '-', ''), k % 400, ':', format_string('%02d', k % 60), ':07.5')",
+       "CAST((CASE WHEN k % 2 = 0 THEN -1 ELSE 1 END) * (((k % 400) * 60 + k % 60) * 60000 + 7500) AS VARCHAR)") for i in (11, 19)),
+    *((i, "format_string('2001-%02d-%02d %02d:30:00.25', k % 12 + 1, k % 28 + 1, k % 24)",
+       "CAST(epoch_ms(make_timestamp(2001, k % 12 + 1, k % 28 + 1, k % 24, 30, 0.25)) AS VARCHAR)") for i in (12, 18)),
+    *((i, "concat('t', k)", "'t' || k") for i in (6, 15, 245, 247, 248, 249, 250, 251, 252, 253, 254, 255)),
+]
+
+
+@query(
+    "feed_type_matrix",
+    "WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)\n"
+    + "\nUNION ALL ".join(f"SELECT {i}::INTEGER AS type_id, k, CASE WHEN k % 10 <> 0 THEN {want} END AS value FROM s" for i, _, want in _MATRIX),
+)
+def _(spark, sf_dir):
+    """Every type id of the feed as a column; each tenth row has no value. Instants are shown in milliseconds."""
+    source = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    names = ["k", *(f"c{i}" for i, _, _ in _MATRIX)]
+    texts = [F.expr("cast(k as string)"), *(F.expr(f"if(k % 10 = 0, NULL, {text})") for _, text, _ in _MATRIX)]
+    image = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*texts))
+    fields = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("name"), F.lit(i).alias("type"),
+                F.lit(12 if i in (0, 246) else None).cast("int").alias("precision"), F.lit(2 if i in (0, 246) else None).cast("int").alias("scale"),
+            )
+            for n, i in zip(names, [8, *(i for i, _, _ in _MATRIX)])
+        ]
+    )
+    records = source.select(*_record("INSERT", 1, "shop.matrix", F.col("k"), ["k"], fields, None, image))
+    states = changes.prepare(changes.decode_envelope(changes.encode_envelope(records)))[0]
+    (shape,) = changes.table_shapes(states)
+    rows = changes.typed_rows(states, shape)
+    kinds = dict(rows.dtypes)
+
+    def shown(name: str):
+        value = F.col(name).cast("timestamp") if kinds[name] in ("date", "timestamp") else F.col(name)
+        return (F.unix_millis(value) if kinds[name] in ("date", "timestamp") else value.cast("double") if kinds[name] == "float" else value).cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("type_id"), shown(f"c{i}").alias("value")) for i, _, _ in _MATRIX])
+    return rows.select("k", F.inline(pairs)).select("type_id", "k", "value")

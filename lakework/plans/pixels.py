@@ -56,4 +56,4 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     scored = pixels.score(_model(spark, sf_dir), frames.gappy_layer(spark, sf_dir))
     tiles = pixels.retile(scored, SIDE, SIDE)
-    return layers.to_raster(tiles, "prediction", 186, 169)
+    return layers.to_raster(tiles, "prediction", 150, 135)

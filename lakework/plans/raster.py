@@ -29,6 +29,18 @@ def cells_of_layer(layer: DataFrame, *bands: str) -> DataFrame:
     )
 
 
+def _every_other(rest: int) -> Column:
+    """The cells of ``band_1`` at even or odd places; the others are NoData."""
+    cells = F.transform("band_1.cells", lambda v, i: F.when(i % 2 == rest, v))
+    return tiles.make_tile(cells, SIDE, SIDE)
+
+
+def _two_scenes(layer: DataFrame) -> DataFrame:
+    """A layer as the union of two scenes on its keys that complement each other."""
+    rest = [c for c in layer.columns if c not in ("band_1", "band_2")]
+    return layer.select(*rest, _every_other(0).alias("band_1")).unionByName(layer.select(*rest, _every_other(1).alias("band_1")))
+
+
 def _local(name: str, expression: Callable[[], Column], sql: str) -> None:
     """Register a cell-wise function over the two gappy bands."""
 
@@ -46,7 +58,7 @@ _local(
     lambda: tiles.st_local_divide("band_1", tiles.st_local_subtract("band_2", 10000)),
     "CASE WHEN band_2 - 10000 <> 0 THEN band_1 / (band_2 - 10000) END",
 )
-_local("tile_local_less", lambda: tiles.st_local_less("band_1", 10500), "CAST(band_1 < 10500 AS DOUBLE)")
+_local("tile_local_less", lambda: tiles.st_local_less("band_1", 10700), "CAST(band_1 < 10700 AS DOUBLE)")
 _local(
     "tile_log",
     lambda: tiles.map_cells(tiles.st_log(tiles.st_local_subtract("band_1", 10000)), lambda x: F.round(x, 6)),
@@ -60,8 +72,8 @@ _local(
 )
 _local(
     "tile_map_cells",
-    lambda: tiles.map_cells("band_1", lambda x: F.when(x > 10500, x)),
-    "CASE WHEN band_1 > 10500 THEN band_1 END",
+    lambda: tiles.map_cells("band_1", lambda x: F.when(x > 10700, x)),
+    "CASE WHEN band_1 > 10700 THEN band_1 END",
 )
 _NDVI = "CASE WHEN band_1 + band_2 <> 0 THEN (band_1 - band_2) / (band_1 + band_2) END"
 _local("tile_normalized_difference", lambda: tiles.normalized_difference("band_1", "band_2"), _NDVI)
@@ -208,6 +220,19 @@ def _(spark, sf_dir):
     return cells_of_layer(layers.to_layer(pieces, *_RETILE, "band_1"), "band_1")
 
 
+@query(
+    "layer_from_overlapping_pieces",
+    f"SELECT {_PLACE}, band_1 FROM ({GAPPY_CELLS})",
+)
+def _(spark, sf_dir):
+    """Every piece comes twice on the same place: once with its even cells only, once with the odd ones."""
+    pieces = frames.gappy_layer(spark, sf_dir).select(
+        (F.col(f"{KEY}.col") * SIDE).alias("col_off"), (F.col(f"{KEY}.row") * SIDE).alias("row_off"), "band_1",
+    )
+    parts = [pieces.select("col_off", "row_off", _every_other(b).alias("tile")) for b in (0, 1)]
+    return cells_of_layer(layers.to_layer(parts[0].unionByName(parts[1]), SIDE, SIDE, "band_1"), "band_1")
+
+
 @query(
     "layer_crs_and_extent",
     f"SELECT DISTINCT tile_col, tile_row, 'EPSG:4326' AS crs, {GEO_ORIGIN[0]}::DOUBLE + tile_col * 2.0::DOUBLE AS xmin,"
@@ -263,7 +288,7 @@ def _(spark, sf_dir):
     return cells_of_layer(named, "v0", "v1")
 
 
-_OUT = (466, 428)
+_OUT = (310, 275)
 
 
 def _global(source: str) -> str:
@@ -287,16 +312,16 @@ def _(spark, sf_dir):
     f"""
 WITH source AS ({_global(GAPPY_CELLS)}), size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM source),
 px AS (SELECT i, CAST(floor(f) AS BIGINT) + d AS x, CASE d WHEN 0 THEN 1 - (f - floor(f)) ELSE f - floor(f) END AS w
-       FROM (SELECT i, (2 * i + 1) * CAST(w AS DOUBLE) / {2.0 * 186} - 0.5 AS f FROM size, range(0, 186) t(i)), range(0, 2) s(d)),
+       FROM (SELECT i, (2 * i + 1) * CAST(w AS DOUBLE) / {2.0 * 150} - 0.5 AS f FROM size, range(0, 150) t(i)), range(0, 2) s(d)),
 py AS (SELECT i, CAST(floor(f) AS BIGINT) + d AS y, CASE d WHEN 0 THEN 1 - (f - floor(f)) ELSE f - floor(f) END AS w
-       FROM (SELECT i, (2 * i + 1) * CAST(h AS DOUBLE) / {2.0 * 169} - 0.5 AS f FROM size, range(0, 169) t(i)), range(0, 2) s(d))
+       FROM (SELECT i, (2 * i + 1) * CAST(h AS DOUBLE) / {2.0 * 135} - 0.5 AS f FROM size, range(0, 135) t(i)), range(0, 2) s(d))
 SELECT px.i AS column_index, py.i AS row_index, round(sum(px.w * py.w * v) / sum(px.w * py.w), 6) AS value
 FROM source JOIN px ON px.x = source.x JOIN py ON py.y = source.y
 WHERE v IS NOT NULL AND px.w > 0 AND py.w > 0 GROUP BY px.i, py.i
 """,
 )
 def _(spark, sf_dir):
-    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", 186, 169, "bilinear").withColumn(
+    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", 150, 135, "bilinear").withColumn(
         "value", F.round("value", 6)
     )
 
@@ -333,8 +358,8 @@ def _(spark, sf_dir):
     return quantiles.quantile_classify(cells_of_layer(frames.gappy_layer(spark, sf_dir), "band_1"), "band_1", 8)
 
 
-_BROWN_GREEN = [(166, 97, 26), (223, 194, 125), (245, 245, 245), (128, 205, 193), (1, 133, 113)]
-_STOPS = color.color_ramp(_BROWN_GREEN, 16)
+_DUSK = [(20, 12, 60), (120, 40, 110), (230, 110, 70), (250, 220, 150)]
+_STOPS = color.color_ramp(_DUSK, 16)
 
 
 @query(
@@ -401,6 +426,31 @@ def _(spark, sf_dir):
     return cells_of_layer(joined, "band_1", "other")
 
 
+@query(
+    "raster_join_of_two_scenes",
+    f"""
+WITH l AS (SELECT scene, tile_col, tile_row, column_index, row_index, tile_col * {SIDE} + column_index + 0.5::DOUBLE + scene * 24 AS x,
+                  -(tile_row * {SIDE} + row_index + 0.5::DOUBLE) AS y FROM ({GAPPY_CELLS}), (VALUES (0), (1)) s(scene)),
+r AS ({OTHER_CELLS})
+SELECT CAST(scene AS INTEGER) AS scene, {_PLACE}, other FROM l LEFT JOIN r
+ON gc = CAST(floor((x - {_SHIFTED[0]}) / 1.25) AS BIGINT) AND gr = CAST(ceil(({_SHIFTED[1]} - y) / 1.25) - 1 AS BIGINT)
+""",
+)
+def _(spark, sf_dir):
+    """Two scenes with the same keys, the second three tiles to the east."""
+    first = frames.plain_layer(spark, sf_dir).withColumn("scene", F.lit(0))
+    moved = F.struct(
+        (F.col("extent.xmin") + 24).alias("xmin"), F.col("extent.ymin").alias("ymin"),
+        (F.col("extent.xmax") + 24).alias("xmax"), F.col("extent.ymax").alias("ymax"),
+    )
+    scenes = first.unionByName(first.withColumns({"extent": moved, "scene": F.lit(1)}))
+    joined = resample.raster_join(scenes.drop("band_2"), frames.other_grid(spark, sf_dir, _SHIFTED, 1.25))
+    out = cell_ops.explode_tiles(joined, ["band_1", "other"], keep=[KEY, "scene"])
+    return out.select(
+        "scene", F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"), "column_index", "row_index", "other"
+    )
+
+
 @query(
     "raster_join_bilinear",
     f"""
@@ -472,6 +522,38 @@ def _(spark, sf_dir):
     )
 
 
+_WORLD_ZOOM = 2
+_WORLD_CELL = resample.mercator_cell(_WORLD_ZOOM, _WEB_TILE)
+_WORLD_SPAN = ACROSS * SIDE  # columns of cells around the globe
+
+
+@query(
+    "layer_zoomed_layout_world",
+    f"""
+WITH size AS (SELECT (max(tile_row) + 1) * {SIDE} AS h FROM ({CELLS})),
+s AS (SELECT tile_col * {SIDE} + column_index AS sc, tile_row * {SIDE} + row_index AS sr, band_1 FROM ({CELLS})),
+g AS (SELECT c.i AS gc, r.i AS gr, degrees(((c.i + 0.5::DOUBLE) * {_WORLD_CELL} - {_LIMIT}) / {_R}) AS lon,
+             degrees(2 * atan(exp(({_LIMIT} - (r.i + 0.5::DOUBLE) * {_WORLD_CELL}) / {_R})) - {math.pi / 2}) AS lat
+      FROM range(0, {_WEB_TILE * 2**_WORLD_ZOOM}) c(i), range(0, {_WEB_TILE * 2**_WORLD_ZOOM}) r(i))
+SELECT CAST(gc // {_WEB_TILE} AS INTEGER) AS tile_col, CAST(gr // {_WEB_TILE} AS INTEGER) AS tile_row,
+       CAST(gc % {_WEB_TILE} AS INTEGER) AS column_index, CAST(gr % {_WEB_TILE} AS INTEGER) AS row_index, band_1
+FROM g, size JOIN s ON sc = CAST(floor((lon + 180) / (360.0::DOUBLE / {_WORLD_SPAN})) AS BIGINT)
+AND sr = CAST(ceil((90 - lat) / (180.0::DOUBLE / h)) - 1 AS BIGINT)
+""",
+)
+def _(spark, sf_dir):
+    """The layer stretched over the globe, from pole to pole."""
+    plain = frames.layer(spark, sf_dir).select(KEY, "band_1")
+    rows = plain.agg(F.max(f"{KEY}.row").alias("last")).first().last + 1
+    wide, high = 360.0 / ACROSS, 180.0 / rows
+    col, row = F.col(f"{KEY}.col"), F.col(f"{KEY}.row")
+    box = F.struct(
+        (col * wide - 180).alias("xmin"), (90 - (row + 1) * high).alias("ymin"), ((col + 1) * wide - 180).alias("xmax"), (90 - row * high).alias("ymax")
+    )
+    web = resample.to_zoomed_layout(layers.with_crs(plain.withColumn("extent", box), "EPSG:4326"), _WEB_TILE, zoom=_WORLD_ZOOM)
+    return cells_of_layer(web, "band_1").where("band_1 IS NOT NULL")
+
+
 def _pyramid_sql() -> str:
     """Levels 3 to 0, each the mean of the 2 x 2 data cells of the one before."""
     levels = [f"z3 AS (SELECT x, y, v FROM ({_global(GAPPY_CELLS)}) WHERE v IS NOT NULL)"]
@@ -485,6 +567,17 @@ def _pyramid_sql() -> str:
     )
 
 
+@query("raster_pyramid_of_two_scenes", _pyramid_sql().replace("SELECT CAST(3 AS INTEGER) AS zoom, x, y, v FROM z3 UNION ALL ", ""))
+def _(spark, sf_dir):
+    scenes = _two_scenes(frames.gappy_layer(spark, sf_dir).select(KEY, "band_1"))
+    levels = pyramid.build_pyramid(scenes, max_zoom=3).where("zoom < 3")
+    out = cell_ops.explode_tiles(levels, ["band_1"]).where("band_1 IS NOT NULL")
+    return out.select(
+        "zoom", F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"),
+        "column_index", "row_index", F.round("band_1", 6).alias("band_1"),
+    )
+
+
 @query("raster_pyramid", _pyramid_sql())
 def _(spark, sf_dir):
     levels = pyramid.build_pyramid(frames.gappy_layer(spark, sf_dir).select(KEY, "band_1"), max_zoom=3)
@@ -516,22 +609,26 @@ def _(spark, sf_dir):
     "layer_store_and_catalog",
     f"""
 WITH coarse AS (SELECT x // 2 AS x, y // 2 AS y, sum(v) / count(*) AS v FROM ({_global(GAPPY_CELLS)}) WHERE v IS NOT NULL GROUP BY ALL)
-SELECT 'scene' AS name, CAST(1 AS INTEGER) AS zoom, tile_col, tile_row, column_index, row_index, band_1 FROM ({GAPPY_CELLS}) WHERE band_1 IS NOT NULL
+SELECT 'scene' AS name, CAST(1 AS INTEGER) AS zoom, tile_col, tile_row, column_index, row_index, band_1, NULL::DOUBLE AS band_2 FROM ({GAPPY_CELLS}) WHERE band_1 IS NOT NULL
 UNION ALL
-SELECT 'scene', 0, CAST(x // {SIDE} AS INTEGER), CAST(y // {SIDE} AS INTEGER), CAST(x % {SIDE} AS INTEGER), CAST(y % {SIDE} AS INTEGER), round(v, 6) FROM coarse
+SELECT 'scene', 0, CAST(x // {SIDE} AS INTEGER), CAST(y // {SIDE} AS INTEGER), CAST(x % {SIDE} AS INTEGER), CAST(y % {SIDE} AS INTEGER), round(v, 6), NULL FROM coarse
+UNION ALL
+SELECT 'two bands', 2, tile_col, tile_row, column_index, row_index, band_1, band_2 FROM ({GAPPY_CELLS}) WHERE band_1 IS NOT NULL OR band_2 IS NOT NULL
 """,
 )
 def _(spark, sf_dir):
     root = scratch_dir(spark, "layers")
     source = frames.gappy_layer(spark, sf_dir).select(KEY, "band_1")
+    # Written twice, first with less and other data: the second write stands. Another layer has two bands.
+    layer_store.write_layer(source.where(f"{KEY}.col > 2").withColumn("zoom", F.lit(7)), root, "scene")
     layer_store.write_layer(pyramid.build_pyramid(source, max_zoom=1), root, "scene")
-    layer_store.write_layer(source.withColumn("zoom", F.lit(1)), root, "other")
-    catalog = layer_store.read_layer_catalog(spark, root).where("layer.id.name = 'scene' AND layer.id.zoom <= 1")
-    loaded = layer_store.load_layers(spark, root, catalog)
-    out = cell_ops.explode_tiles(loaded, ["band_1"]).where("band_1 IS NOT NULL")
+    two = frames.gappy_layer(spark, sf_dir).withColumn("zoom", F.lit(2))
+    layer_store.write_layer(two, root, "two bands")
+    loaded = layer_store.load_layers(spark, root, layer_store.read_layer_catalog(spark, root))
+    out = cell_ops.explode_tiles(loaded, ["band_1", "band_2"]).where("band_1 IS NOT NULL OR band_2 IS NOT NULL")
     return out.select(
         "name", "zoom", F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"),
-        "column_index", "row_index", F.round("band_1", 6).alias("band_1"),
+        "column_index", "row_index", F.round("band_1", 6).alias("band_1"), "band_2",
     )
 
 

@@ -72,8 +72,14 @@ def _(spark, sf_dir):
 @query("cached_reuse", "SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY lang")
 def _(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("lang", "n_chars").cache()
-    counts = documents.groupBy("lang").agg(F.count("*").alias("n"))
-    return counts.join(documents.groupBy("lang").agg(F.max("n_chars").alias("longest")), on="lang")
+    try:
+        counts = documents.groupBy("lang").agg(F.count("*").alias("n"))
+        joined = counts.join(documents.groupBy("lang").agg(F.max("n_chars").alias("longest")), on="lang")
+        path = scratch_dir(spark, "reused")
+        joined.write.parquet(path)
+        return spark.read.schema(joined.schema).parquet(path)
+    finally:
+        documents.unpersist()
 
 
 @query(

@@ -50,7 +50,7 @@ def _(spark, sf_dir):
 
 @query("managed_table", "SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY p_brand")
 def _(spark, sf_dir):
-    saved = files.save_table(table(spark, sf_dir, "part"), "lakework_part", scratch_dir(spark, "table"))
+    saved = files.save_table(table(spark, sf_dir, "part"), "lakework_part")
     return saved.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
@@ -69,15 +69,19 @@ def _(spark, sf_dir):
 @query(
     "key_range_predicates",
     """
-WITH b AS (SELECT (max(o_orderkey) + 100) // 100 AS batch FROM orders)
-SELECT CAST(o_orderkey // batch AS INTEGER) AS part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders, b GROUP BY ALL
+WITH k AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey FROM orders),
+b AS (SELECT max(o_orderkey) // 2 + 1 AS stop, (max(o_orderkey) // 2 + 100) // 100 AS batch FROM k)
+SELECT CAST(CASE WHEN o_orderkey IS NULL OR o_orderkey < 0 THEN 0 ELSE least(o_orderkey // batch, (stop - 1) // batch) END AS INTEGER) AS part,
+       count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM k, b GROUP BY ALL
 """,
 )
 def _(spark, sf_dir):
-    """The predicates of a chunked bulk read of the whole key range, each row in the one range that takes it."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    total = orders.agg(F.max("o_orderkey").alias("last")).first()["last"] + 1
-    predicates = jdbc.range_predicates("o_orderkey", 0, total, (total + 99) // 100)
+    """The predicates of a chunked bulk read: each row in one range, also NULL, negative and larger keys."""
+    key = F.col("o_orderkey")
+    kept = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, -key).otherwise(key)
+    orders = table(spark, sf_dir, "orders").select(kept.alias("o_orderkey"))
+    stop = orders.agg(F.max("o_orderkey").alias("last")).first()["last"] // 2 + 1
+    predicates = jdbc.range_predicates("o_orderkey", 0, stop, (stop + 99) // 100)
     part = F.when(F.expr(predicates[0]), F.lit(0))
     for i, predicate in enumerate(predicates[1:], start=1):
         part = part.when(F.expr(predicate), F.lit(i))
@@ -87,12 +91,12 @@ def _(spark, sf_dir):
 
 _CELL_CATALOG = json.dumps(
     {
-        "table": {"namespace": "default", "name": "customers"},
+        "table": {"namespace": "shop", "name": "buyers"},
         "rowkey": "rowkey",
         "columns": {
             "id": {"cf": "rowkey", "col": "rowkey", "type": "bigint"},
-            "name": {"cf": "cf", "col": "a", "type": "String"},
-            "balance": {"cf": "cf", "col": "b", "type": "double"},
+            "name": {"cf": "who", "col": "full", "type": "String"},
+            "balance": {"cf": "money", "col": "bal", "type": "double"},
             "nation": {"cf": "geo", "col": "n", "type": "integer"},
         },
     }
@@ -114,7 +118,7 @@ def _(spark, sf_dir):
 @query(
     "wide_column_cells",
     f"""
-SELECT CAST(id AS VARCHAR) AS rowkey, 'cf' AS cf, 'a' AS col, name AS value FROM ({_CUSTOMERS})
+SELECT CAST(id AS VARCHAR) AS rowkey, 'who' AS cf, 'full' AS col, name AS value FROM ({_CUSTOMERS})
 UNION ALL SELECT CAST(id AS VARCHAR), 'geo', 'n', CAST(nation AS VARCHAR) FROM ({_CUSTOMERS})
 """,
 )
@@ -131,12 +135,12 @@ _TABLE_CATALOG = json.dumps(
     {
         "columns": {
             "id": {"col": "s_suppkey", "type": "long"},
-            "company": {"col": "s_name", "type": "string"},
+            "firm": {"col": "s_name", "type": "string"},
             "nation": {"col": "s_nationkey", "type": "integer"},
         }
     }
 )
-_SUPPLIERS = "SELECT s_suppkey AS id, s_name AS company, s_nationkey AS nation FROM supplier"
+_SUPPLIERS = "SELECT s_suppkey AS id, s_name AS firm, s_nationkey AS nation FROM supplier"
 
 
 @query("declared_columns", _SUPPLIERS)
@@ -144,7 +148,7 @@ def _(spark, sf_dir):
     return keyvalue.apply_catalog(table(spark, sf_dir, "supplier"), _TABLE_CATALOG)
 
 
-@query("declared_columns_range", f"SELECT * FROM ({_SUPPLIERS}) WHERE id > 10 AND company < 'Supplier#000000090'")
+@query("declared_columns_range", f"SELECT * FROM ({_SUPPLIERS}) WHERE id > 10 AND firm < 'Supplier#000000090'")
 def _(spark, sf_dir):
     declared = keyvalue.apply_catalog(table(spark, sf_dir, "supplier"), _TABLE_CATALOG, push_down_range_string=False)
-    return declared.where("id > 10 AND company < 'Supplier#000000090'")
+    return declared.where("id > 10 AND firm < 'Supplier#000000090'")

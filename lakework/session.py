@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -20,39 +20,56 @@ SETTINGS = {
 
 
 def build_session(app_name: str = "lakework", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC timestamps and adaptive execution. Cluster settings win over ours."""
+    """A session with UTC timestamps and adaptive execution, where nothing else is set.
+
+    ``conf`` is the caller's and always holds; what the cluster or an open session sets
+    stays as it is.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
+    active = SparkSession.getActiveSession()
+    given = active.sparkContext.getConf() if active else _cluster_settings()
+    for key, value in SETTINGS.items():
+        if key not in conf and not given.contains(key):
+            builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for intermediate tables, under the folder the cluster shares.
+def _cluster_settings():
+    """What spark-submit and its defaults file have set, before a context is there."""
+    SparkContext._ensure_initialized()
+    return SparkConf()
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, which is a
-    single-machine session, a local temporary folder takes its place.
-    """
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables, under the folder the cluster shares."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or else one in the session's warehouse, which is shared as well."""
     root = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lakework-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`scratch_dir` gave, once its operator is through."""
+    if not path.startswith(checkpoint_root(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is no scratch folder")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df, eager: bool = True):
     """Materialise ``df`` in the shared folder, so that lost executors cannot force a long replay."""
     checkpoint_root(df.sparkSession)

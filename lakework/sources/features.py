@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakework.functions.geometry import st_point
+from lakework.operators.pyramid import z_key
 from lakework.sources import hadoop
 
 FID = "__fid__"
@@ -79,8 +80,8 @@ def create_feature(spark: SparkSession, root: str, feature: str, spec: str) -> N
 def write_features(df: DataFrame, root: str, feature: str, create: bool = False) -> None:
     """Append features to a type that exists; ``create`` declares it from the frame first.
 
-    Features without an id get a random one. The order of files follows the default
-    point, so that box filters skip files by their statistics.
+    Features without an id get a random one. Rows are ranged by the Z key of the point, so
+    every file covers a small box and box filters skip the others by their statistics.
     """
     spark = df.sparkSession
     if not hadoop.exists(spark, f"{_place(root, feature)}/_spec"):
@@ -95,10 +96,22 @@ def write_features(df: DataFrame, root: str, feature: str, create: bool = False)
     )
     point = next((f.name for f in schema if f.dataType == POINT), None)
     if point:
-        rows = rows.sortWithinPartitions(F.floor(F.col(f"{point}.x")), F.col(f"{point}.y"))
+        rows = rows.withColumn("_z", _point_key(F.col(f"{point}.x"), F.col(f"{point}.y")))
+        rows = rows.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
     rows.write.mode("append").parquet(_place(root, feature))
 
 
+def _point_key(x: Column, y: Column) -> Column:
+    """Z key of a point on a grid of a thousandth of a unit, with zero on a coarse line of the curve.
+
+    What lies outside the grid counts as its edge.
+    """
+    def place(v: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), F.floor((v + (1 << 20)) * 1000).cast("long")))
+
+    return F.coalesce(z_key(place(x), place(y)), F.lit(-1))
+
+
 def read_features(spark: SparkSession, root: str, feature: str) -> DataFrame:
     """The features of a type: id, attributes, geometry."""
     path = _place(root, feature)
@@ -110,14 +123,50 @@ def read_features(spark: SparkSession, root: str, feature: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a FeatureCollection of polygons: ``id`` and the outer ring as ``geom``."""
+    """Features of GeoJSON: a FeatureCollection per file, or one feature per line.
+
+    ``id`` (of the feature, or of its properties), ``type`` of the geometry, ``geom`` the
+    outer ring of a polygon, ``polygons`` all polygons with all their rings (holes follow
+    the outer one), ``points`` the positions of points and lines, ``geometry`` its JSON text
+    and ``properties`` all properties as text. A collection is one JSON value, so a file of it
+    is read by one task; large sets come as lines.
+    """
     position = T.ArrayType(T.DoubleType())
-    geometry = T.StructType(
-        [T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(position)))]
+    ring = T.ArrayType(position)
+    rings = T.ArrayType(ring)
+    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
+    feature = T.StructType(
+        [
+            T.StructField("id", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("geometry", T.StringType()),
+        ]
+    )
+    schema = T.StructType([*feature.fields, T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(feature))])
+    one = F.array(F.struct("id", "properties", "geometry"))
+    lines = spark.read.text(path)
+    # A line that is a whole JSON object stands alone; otherwise the file is one value.
+    single = lines.where(F.trim("value") != "").select(F.try_parse_json("value").isNotNull().alias("whole")).agg(F.min("whole").alias("w")).first().w
+    read = spark.read.schema(schema).json(path, multiLine=not single)
+    features = read.select(F.explode(F.coalesce("features", F.when(F.col("type") == "Feature", one))).alias("f"))
+    parsed = features.select("f.id", "f.properties", F.col("f.geometry").alias("geometry"), F.from_json("f.geometry", geometry).alias("g"))
+    kind, text = F.col("g.type"), F.col("g.coordinates")
+
+    def points(ring: Column) -> Column:
+        return F.transform(ring, lambda p: st_point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+
+    def polygon(value: Column) -> Column:
+        return F.transform(value, points)
+
+    polygons = F.when(kind == "Polygon", F.array(polygon(F.from_json(text, rings)))).when(
+        kind == "MultiPolygon", F.transform(F.from_json(text, T.ArrayType(rings)), polygon)
+    )
+    spots = (
+        F.when(kind == "Point", points(F.array(F.from_json(text, position))))
+        .when(kind.isin("MultiPoint", "LineString"), points(F.from_json(text, ring)))
+        .when(kind == "MultiLineString", F.flatten(polygon(F.from_json(text, rings))))
+    )
+    return parsed.select(
+        F.coalesce(F.try_element_at("properties", F.lit("id")), "id").try_cast("long").alias("id"),
+        kind.alias("type"), F.get(F.get(polygons, F.lit(0)), F.lit(0)).alias("geom"),
+        polygons.alias("polygons"), spots.alias("points"), "geometry", "properties",
     )
-    properties = T.StructType([T.StructField("id", T.LongType())])
-    feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
-    schema = T.StructType([T.StructField("features", T.ArrayType(feature))])
-    features = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: st_point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
-    return features.where("f.geometry.type = 'Polygon'").select(F.col("f.properties.id").alias("id"), ring.alias("geom"))

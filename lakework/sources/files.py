@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakework.session import scratch_dir
 from lakework.sources import hadoop
 
 
@@ -49,27 +48,20 @@ def write_source(
 def overwrite_and_verify(df: DataFrame, path: str, key: str) -> DataFrame:
     """Overwrite a parquet folder, read it back, and report counts and key differences in one row.
 
-    Every key must come back: both anti joins have to be empty.
+    Both sides are counted per key in one shuffle; every key, NULL too, must come back as often.
     """
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    missing = df.select(key).join(back.select(key), on=key, how="left_anti")
-    extra = back.select(key).join(df.select(key), on=key, how="left_anti")
-    counts = [
-        ("written", df.agg(F.count("*").alias("n"))),
-        ("read", back.agg(F.count("*").alias("n"))),
-        ("missing_keys", missing.agg(F.count("*").alias("n"))),
-        ("extra_keys", extra.agg(F.count("*").alias("n"))),
-    ]
-    tagged = None
-    for name, count in counts:
-        one = count.withColumn("what", F.lit(name))
-        tagged = one if tagged is None else tagged.unionByName(one)
-    report = tagged.agg(*[F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name, _ in counts])
-    return report.withColumn(
-        "ok",
-        (F.col("written") == F.col("read")) & (F.col("missing_keys") == 0) & (F.col("extra_keys") == 0),
+    both = df.select(key, F.lit(1).alias("_in"), F.lit(0).alias("_out")).unionAll(back.select(key, F.lit(0), F.lit(1)))
+    per_key = both.groupBy(key).agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    report = per_key.agg(
+        F.coalesce(F.sum("_in"), F.lit(0)).alias("written"),
+        F.coalesce(F.sum("_out"), F.lit(0)).alias("read"),
+        F.count_if((F.col("_in") > 0) & (F.col("_out") == 0)).alias("missing_keys"),
+        F.count_if((F.col("_in") == 0) & (F.col("_out") > 0)).alias("extra_keys"),
+        F.count_if(F.col("_in") != F.col("_out")).alias("_differ"),
     )
+    return report.select("written", "read", "missing_keys", "extra_keys", (F.col("_differ") == 0).alias("ok"))
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -89,12 +81,15 @@ def rows_to_df(spark: SparkSession, rows: Iterable, schema: T.StructType | str |
 def json_rows_to_df(texts: DataFrame) -> DataFrame:
     """A frame of JSON texts, one column, as a frame with the schema that all of them need.
 
-    The texts go to the scratch folder, so that Spark's JSON source infers the schema
-    from every row in parallel and then reads them.
+    One aggregate finds the schema over every row, then the texts are parsed where they
+    are. Texts that are no JSON objects give rows of NULL.
     """
-    path = scratch_dir(texts.sparkSession, "json")
-    texts.write.text(path)
-    return texts.sparkSession.read.json(path)
+    text = F.col(f"`{texts.columns[0]}`")
+    found = texts.agg(F.schema_of_variant_agg(F.try_parse_json(text)).alias("s")).first().s
+    fields = found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING") if found and found.startswith("OBJECT<") else None
+    if fields is None:
+        return texts.select(F.lit(None).cast("string").alias("_corrupt_record")).limit(0)
+    return texts.where(text.isNotNull()).select(F.from_json(text, fields).alias("_row")).select("_row.*")
 
 
 def load_properties(spark: SparkSession, path: str, defaults: Mapping[str, str] | None = None) -> dict[str, str]:

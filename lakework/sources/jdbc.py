@@ -27,13 +27,20 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**options).load()
 
 
-def range_predicates(split_field: str, start: int = 0, total: int = 10_000_000, batch: int = 100_000) -> list[str]:
-    """Half-open ranges ``[start, start + batch)`` that cover ``[start, total)``; the last may be shorter."""
+def range_predicates(split_field: str, start: int, stop: int, batch: int = 100_000) -> list[str]:
+    """Half-open ranges of ``batch`` keys from ``start`` to ``stop``, one predicate each.
+
+    Together they take every row once: the first range also takes smaller keys and NULL,
+    the last also larger ones.
+    """
     if batch <= 0:
         raise ValueError("batch must be positive")
-    return [
-        f"{split_field} >= {low} AND {split_field} < {min(low + batch, total)}" for low in range(start, total, batch)
-    ]
+    cuts = list(range(start + batch, stop, batch))
+    if not cuts:
+        return ["1 = 1"]
+    first = f"{split_field} < {cuts[0]} OR {split_field} IS NULL"
+    inner = [f"{split_field} >= {low} AND {split_field} < {high}" for low, high in zip(cuts, cuts[1:])]
+    return [first, *inner, f"{split_field} >= {cuts[-1]}"]
 
 
 def read_jdbc_chunked(
@@ -41,13 +48,21 @@ def read_jdbc_chunked(
     url: str,
     table: str,
     split_field: str,
-    start: int = 0,
-    total: int = 10_000_000,
+    start: int | None = None,
+    stop: int | None = None,
     batch: int = 100_000,
     properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Bulk read by key ranges, one partition per range."""
-    predicates = range_predicates(split_field, start, total, batch)
+    """Bulk read by key ranges, one partition per range; every row is read.
+
+    Bounds that are not given are asked of the database. They only say where to cut.
+    """
+    if start is None or stop is None:
+        asked = f"SELECT min({split_field}) AS low, max({split_field}) AS high FROM {table}"
+        bounds = read_jdbc(spark, url, query=asked, **dict(properties or {})).first()
+        start = int(bounds[0] or 0) if start is None else start
+        stop = int(bounds[1] or 0) + 1 if stop is None else stop
+    predicates = range_predicates(split_field, start, stop, batch)
     return spark.read.jdbc(url, table, predicates=predicates, properties=dict(properties or {}))
 
 

@@ -56,8 +56,11 @@ def kv_read(cells: DataFrame, catalog_json: str) -> DataFrame:
     )
 
 
-def kv_write(df: DataFrame, catalog_json: str, num_regions: int = 3) -> DataFrame:
-    """A typed frame as cells, ranged over regions by row key and sorted in them. NULL makes no cell."""
+def kv_write(df: DataFrame, catalog_json: str, num_regions: int | None = None) -> DataFrame:
+    """A typed frame as cells, ranged over regions by row key and sorted in them. NULL makes no cell.
+
+    Without ``num_regions`` adaptive execution sizes the regions by their bytes.
+    """
     columns = parse_catalog(catalog_json)
     key = next(c for c in columns if c.family == _ROWKEY)
     items = F.array(
@@ -71,7 +74,8 @@ def kv_write(df: DataFrame, catalog_json: str, num_regions: int = 3) -> DataFram
     )
     cells = df.select(F.col(key.name).cast("string").alias("rowkey"), F.explode(items).alias("_c"))
     plain = cells.select("rowkey", "_c.cf", "_c.col", "_c.value").where("value IS NOT NULL")
-    return plain.repartitionByRange(num_regions, "rowkey", "cf", "col").sortWithinPartitions("rowkey", "cf", "col")
+    regions = () if num_regions is None else (num_regions,)
+    return plain.repartitionByRange(*regions, "rowkey", "cf", "col").sortWithinPartitions("rowkey", "cf", "col")
 
 
 def apply_catalog(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import time
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakework.functions.tiles import cols_of, rows_of
 from lakework.operators.cells import tile_columns
@@ -18,44 +22,61 @@ def write_layer(df: DataFrame, root: str, name: str) -> None:
 
     ``df`` has ``spatial_key``, ``zoom`` and tile columns. Rows are ranged by zoom and
     curve position, so neighbours share files and a box query skips the rest by the
-    key's statistics.
+    key's statistics. A layer that is there is replaced: its levels are written over, and
+    the newest write alone is listed. The catalog keeps the columns of each write.
     """
-    keyed = df.withColumns({"z": z_key(f"{KEY}.col", f"{KEY}.row"), "name": F.lit(name)})
+    keyed = df.withColumns({"z": z_key(f"{KEY}.col", f"{KEY}.row"), "name": F.lit(name), "zoom": F.col("zoom").cast("int")})
     ordered = keyed.repartitionByRange("zoom", "z").sortWithinPartitions("zoom", "z")
-    ordered.write.mode("append").partitionBy("name", "zoom").parquet(f"{root}/tiles")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name", "zoom").parquet(f"{root}/tiles")
     tile = tile_columns(df)[0]
+    columns = T.StructType([f for f in keyed.schema.fields if f.name not in ("name", "zoom")])
     # The listing reads back what was stored, key and tile sizes only.
-    stored = df.sparkSession.read.parquet(f"{root}/tiles").where(F.col("name") == name)
+    stored = _tiles(df.sparkSession, root, columns.json()).where(F.col("name") == name)
     entry = stored.groupBy("name", "zoom").agg(
         F.count("*").alias("tiles"),
         F.min(f"{KEY}.col").alias("min_col"), F.max(f"{KEY}.col").alias("max_col"),
         F.min(f"{KEY}.row").alias("min_row"), F.max(f"{KEY}.row").alias("max_row"),
         F.max(cols_of(tile)).alias("tile_cols"), F.max(rows_of(tile)).alias("tile_rows"),
     )
-    listed = entry.select(
+    levels = [r.zoom for r in df.select(F.col("zoom").cast("int").alias("zoom")).distinct().collect()]  # a few levels
+    listed = entry.where(F.col("zoom").isin(levels)).select(
         F.struct(
             F.struct("name", "zoom").alias("id"),
             "tiles", "min_col", "max_col", "min_row", "max_row", "tile_cols", "tile_rows",
-        ).alias("layer")
+        ).alias("layer"),
+        F.lit(time.time_ns()).alias("written"), F.lit(columns.json()).alias("columns"),
     )
-    listed.coalesce(1).write.mode("append").parquet(f"{root}/catalog")
+    listed.write.mode("append").parquet(f"{root}/catalog")
+
+
+def _tiles(spark: SparkSession, root: str, columns: str) -> DataFrame:
+    """The tile folder with the columns of one layer."""
+    schema = T.StructType.fromJson(json.loads(columns)).add("name", T.StringType()).add("zoom", T.IntegerType())
+    return spark.read.schema(schema).parquet(f"{root}/tiles")
 
 
 def read_layer_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """One row per stored layer and zoom, with the nested ``layer.id.name`` and ``layer.id.zoom``."""
+    """One row per stored layer and zoom, with the nested ``layer.id.name`` and ``layer.id.zoom``, and its columns."""
     entries = spark.read.parquet(f"{root}/catalog")
-    newest = entries.groupBy("layer.id").agg(F.max_by("layer", "layer.tiles").alias("layer"))
-    return newest.select("layer")
+    newest = entries.groupBy(F.col("layer.id.name").alias("name")).agg(F.max("written").alias("newest"))
+    current = entries.join(newest, (F.col("layer.id.name") == F.col("name")) & (F.col("written") == F.col("newest")))
+    return current.select("layer", "columns")
 
 
 def load_layers(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame:
-    """The union of the layers that a catalog frame lists; only their folders are read."""
+    """The union of the layers that a catalog frame lists; only their folders are read.
+
+    A band that one of them lacks is NULL there.
+    """
     # A catalog has one row per layer and level.
-    chosen = [(r.name, r.zoom) for r in catalog.select("layer.id.name", "layer.id.zoom").collect()]
+    chosen = catalog.select("layer.id.name", "layer.id.zoom", "columns").collect()
     if not chosen:
         raise ValueError("no layer chosen")
-    wanted = [(F.col("name") == name) & (F.col("zoom") == zoom) for name, zoom in chosen]
-    return spark.read.parquet(f"{root}/tiles").where(reduce(lambda a, b: a | b, wanted)).drop("z")
+    by_columns: dict[str, list] = {}
+    for r in chosen:
+        by_columns.setdefault(r.columns, []).append((F.col("name") == r.name) & (F.col("zoom") == r.zoom))
+    parts = [_tiles(spark, root, columns).where(reduce(or_, wanted)).drop("z") for columns, wanted in sorted(by_columns.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_image(df: DataFrame, root: str, image_id: int, level: int) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -22,7 +23,7 @@ from lakework.operators.changes import (
     table_shapes,
     typed_rows,
 )
-from lakework.operators.upsert import MERGE_ON_READ, sync_table, table_path, upsert_table
+from lakework.operators.upsert import COPY_ON_WRITE, sync_table, table_path, upsert_table
 from lakework.streaming.jobs import trigger_of
 
 log = logging.getLogger(__name__)
@@ -37,15 +38,14 @@ class CdcConfig:
     """Settings of the change-feed job."""
 
     base_path: str
-    table_type: str = MERGE_ON_READ
+    table_type: str = COPY_ON_WRITE
     compact_inline: bool = True
     max_delta_commits: int = 10
-    ordering: str = "arrival"
+    ordering: str | None = None
     buckets: int = 16
     all_to_string: bool = False
     decimal_to_string: bool = False
     decimals: str = ""
-    max_per_trigger: int = 10_000
     trigger: str | None = "60 seconds"
     catalog_sync: bool = False
     catalog_db: str | None = None
@@ -67,13 +67,15 @@ class CdcConfig:
         return cls(**given)
 
 
-def apply_batch(batch: DataFrame, batch_id: int, config: CdcConfig, value_col: str = "value") -> DataFrame:
+def apply_batch(
+    batch: DataFrame, batch_id: int, config: CdcConfig, value_col: str = "value", writer: str = "batches"
+) -> DataFrame:
     """Write one batch of envelopes to its tables; gives a report row per table.
 
     The batch stays distributed: only the names and schemas of its tables reach the
     driver. Tables are independent of each other, so several are written at a time.
     A failed write fails the batch. Records without a primary key are counted under
-    the empty table name.
+    the empty table name. ``writer`` names the sequence that the batch numbers belong to.
     """
     spark = batch.sparkSession
     decoded = decode_envelope(batch, value_col).persist(StorageLevel.MEMORY_AND_DISK)
@@ -88,7 +90,7 @@ def apply_batch(batch: DataFrame, batch_id: int, config: CdcConfig, value_col: s
                 typed_rows(states, shape, config.types), path, shape.pk, ORDER_COLUMNS,
                 table_type=config.table_type, ordering=config.ordering, buckets=config.buckets,
                 compact_inline=config.compact_inline, max_delta_commits=config.max_delta_commits,
-                writer="feed", batch_id=batch_id,
+                writer=writer, batch_id=batch_id,
             )
             if config.catalog_sync:
                 try:
@@ -116,18 +118,27 @@ def run_cdc(
     checkpoint: str,
     on_report: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Start the job on a stream with a ``value`` column of envelopes."""
+    """Start the job on a stream with a ``value`` column of envelopes.
+
+    Batches are numbered by the query, whose id is new with every checkpoint, so a second
+    feed or a lost checkpoint starts a sequence of its own and loses nothing.
+    """
+    started, query_id = threading.Event(), []
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        report = apply_batch(batch, batch_id, config)
+        started.wait()
+        report = apply_batch(batch, batch_id, config, writer=query_id[0])
         if config.report_path:
-            report.coalesce(1).write.mode("overwrite").parquet(f"{config.report_path}/batch={batch_id}")
+            report.write.mode("overwrite").parquet(f"{config.report_path}/query={query_id[0]}/batch={batch_id}")
         if on_report:
             on_report(report)
 
-    return (
+    query = (
         source.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_of(config.trigger))
         .start()
     )
+    query_id.append(str(query.id))
+    started.set()
+    return query

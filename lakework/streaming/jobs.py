@@ -14,11 +14,16 @@ from pyspark.sql.streaming import StreamingQuery
 from lakework.operators.relational import cast_kv
 
 # How sources word a position that is gone.
-_OUT_OF_RANGE = ("offset out of range", "offsetoutofrange", "offsets out of range")
+_OUT_OF_RANGE = ("offset out of range", "offsetoutofrange", "offsets out of range", "cannot fetch offset")
 
 
-def starting_offsets(topic: str, offset: str | int | None) -> str:
-    """Start of a subscription: earliest, latest, or a number for partition 0."""
+def starting_offsets(topic: str, offset: str | int | Mapping[int, int] | None, partitions: int = 1) -> str:
+    """Start of a subscription: earliest, latest, a number for all of ``partitions``, or one for each.
+
+    A topic wants a position for every partition it has.
+    """
+    if isinstance(offset, Mapping):
+        return json.dumps({topic: {str(p): int(n) for p, n in sorted(offset.items())}})
     if offset is None:
         return "latest"
     text = str(offset).strip()
@@ -26,7 +31,7 @@ def starting_offsets(topic: str, offset: str | int | None) -> str:
         return text
     if not text.lstrip("-").isdigit():
         raise ValueError(f"offset must be earliest, latest or a number, not {offset!r}")
-    return json.dumps({topic: {"0": int(text)}})
+    return json.dumps({topic: {str(p): int(text) for p in range(partitions)}})
 
 
 def read_stream(
@@ -40,17 +45,26 @@ def read_stream(
 
 
 def subscribe(
-    spark: SparkSession, servers: str, topic: str, offset: str | int | None = None, max_per_trigger: int = 10_000
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    offset: str | int | Mapping[int, int] | None = None,
+    max_per_trigger: int | None = None,
+    partitions: int = 1,
 ) -> DataFrame:
-    """A topic as a stream; needs the Kafka connector on the classpath."""
+    """A topic as a stream; needs the Kafka connector on the classpath.
+
+    Without ``max_per_trigger`` a batch takes all that has come, so that no lag builds up.
+    """
+    limit = {} if max_per_trigger is None else {"maxOffsetsPerTrigger": str(max_per_trigger)}
     return read_stream(
         spark,
         "kafka",
         **{
             "kafka.bootstrap.servers": servers,
             "subscribe": topic,
-            "startingOffsets": starting_offsets(topic, offset),
-            "maxOffsetsPerTrigger": str(max_per_trigger),
+            "startingOffsets": starting_offsets(topic, offset, partitions),
+            **limit,
         },
     )
 
@@ -89,7 +103,7 @@ def per_batch(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        summarize(batch).coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        summarize(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -92,9 +92,9 @@ def test_decimals_of_one_column_fit_together(spark):
 
 
 def test_decimal_definitions():
-    assert changes.parse_decimal_defs("t1:a,10,2;b,5,2;c,6,1#t2:a1,5,2") == {
-        "t1": {"a": (10, 2), "b": (5, 2), "c": (6, 1)},
-        "t2": {"a1": (5, 2)},
+    assert changes.parse_decimal_defs("fees:net,12,4;tax,7,3#rents:cold,9,2") == {
+        "fees": {"net": (12, 4), "tax": (7, 3)},
+        "rents": {"cold": (9, 2)},
     }
     assert changes.parse_decimal_defs("") == {} == changes.parse_decimal_defs(None)
 
@@ -240,6 +240,8 @@ def test_starting_offsets():
     assert jobs.starting_offsets("t", "earliest") == "earliest"
     assert jobs.starting_offsets("t", None) == "latest"
     assert jobs.starting_offsets("t", 42) == '{"t": {"0": 42}}'
+    assert jobs.starting_offsets("t", 42, partitions=3) == '{"t": {"0": 42, "1": 42, "2": 42}}'
+    assert jobs.starting_offsets("t", {1: 5, 0: 7}) == '{"t": {"0": 7, "1": 5}}'
     with pytest.raises(ValueError):
         jobs.starting_offsets("t", "soon")
 
@@ -259,12 +261,13 @@ def _failure(text):
     return StreamingQueryException(text)
 
 
-def test_lost_position_restarts_from_earliest():
+@pytest.mark.parametrize("words", ["Offsets out of range with no configured reset policy", "Cannot fetch offset 7 (GroupId: g, TopicPartition: t-0)"])
+def test_lost_position_restarts_from_earliest(words):
     offsets = []
 
     def start(offset):
         offsets.append(offset)
-        return _Query(_failure("Offsets out of range with no configured reset policy") if len(offsets) == 1 else None)
+        return _Query(_failure(words) if len(offsets) == 1 else None)
 
     jobs.run_with_recovery(start)
     assert offsets == [None, "earliest"]
@@ -310,6 +313,47 @@ def test_catalog_follows_and_its_failure_does_not_stop(spark, tmp_path, monkeypa
     def broken(*args):
         raise RuntimeError("no catalog")
 
+    config = feed.CdcConfig(str(tmp_path), table_type=upsert.COPY_ON_WRITE, catalog_sync=True, catalog_db="synced")
     monkeypatch.setattr(feed, "sync_table", broken)
     feed.apply_batch(envelopes(spark, simple("INSERT", 40, 40, "c")), 2, config)
     assert (40, "c") in read(spark, tmp_path)
+
+
+@pytest.mark.parametrize("settings", [{"table_type": upsert.MERGE_ON_READ, "max_delta_commits": n} for n in (2, 10)] + [{}])
+def test_a_deleted_key_keeps_its_order(spark, tmp_path, settings):
+    path = str(tmp_path / "t")
+
+    def put(key, order, gone=False):
+        row = spark.createDataFrame([(key, order, gone)], "k long, at long, _is_deleted boolean")
+        upsert.upsert_table(row, path, ["k"], "at", ordering=upsert.EVENT_TIME, **settings)
+
+    put(1, 1), put(2, 1), put(1, 5, gone=True), put(1, 3), put(3, 2)
+    assert sorted(r.k for r in upsert.read_upsert_table(spark, path).collect()) == [2, 3]
+    name = upsert.sync_table(spark, "synced_late", f"t{len(settings)}{settings.get('max_delta_commits', 0)}", path)
+    assert sorted(r.k for r in spark.sql(f"SELECT k FROM {name}").collect()) == [2, 3]
+    put(1, 9)
+    assert sorted(r.k for r in upsert.read_upsert_table(spark, path).collect()) == [1, 2, 3]
+    upsert.sync_table(spark, "synced_late", name.split(".")[1].strip("`"), path)
+    assert sorted(r.k for r in spark.sql(f"SELECT k FROM {name}").collect()) == [1, 2, 3]
+
+
+def test_the_ordering_of_a_table_is_binding(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(3).selectExpr("id k", "id at")
+    upsert.upsert_table(rows, path, ["k"], "at", ordering=upsert.EVENT_TIME)
+    upsert.upsert_table(rows, path, ["k"], "at")
+    assert upsert.current_commit(spark, path).ordering == upsert.EVENT_TIME
+    with pytest.raises(ValueError, match="ordered by event_time"):
+        upsert.upsert_table(rows, path, ["k"], "at", ordering=upsert.ARRIVAL)
+
+
+def test_times_with_sign_and_many_hours(spark):
+    rows = spark.createDataFrame([("-01:00:00",), ("100:00:00.5",), ("838:59:59",), ("2020-01",), (None,), ("01:02",)], "t string")
+    got = [r.m for r in rows.select(F.unix_millis(changes.convert_value(F.col("t"), 11, T.TimestampType())).alias("m")).collect()]
+    assert got == [-3_600_000, 360_000_500, 3_020_399_000, None, None, None]
+    days = spark.createDataFrame([("2020-02-29",), ("2020-02",), ("0000-00-00",)], "t string")
+    assert [str(r.d) for r in days.select(changes.convert_value(F.col("t"), 10, T.DateType()).alias("d")).collect()] == ["2020-02-29", "None", "None"]
+    for text, kind in (("noon", 11), ("2020-13-45", 10), ("tomorrow", 12)):
+        bad = spark.createDataFrame([(text,)], "t string")
+        with pytest.raises(Exception, match="not a date or time"):
+            bad.select(changes.convert_value(F.col("t"), kind, T.TimestampType()).alias("d")).collect()

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,9 +169,9 @@ def test_mosaic_resampling_names_are_checked(spark):
 
 
 def test_feature_spec_round_trip():
-    spec = "name:String:index=true,dtg:Date,*geom:Point:srid=4326"
+    spec = "species:String:index=true,seen:Date,count:Integer,*spot:Point:srid=4326"
     schema = features.spec_to_schema(spec)
-    assert schema.names == ["name", "dtg", "geom"]
+    assert schema.names == ["species", "seen", "count", "spot"]
     assert features.schema_to_spec(schema) == spec
     assert features.schema_to_spec(schema, "people").startswith("people=")
     with pytest.raises(ValueError):
@@ -196,6 +198,70 @@ def test_geojson_polygons(spark, tmp_path):
     assert [(p.x, p.y) for p in rows[0].geom] == [(0, 0), (4, 0), (4, 4), (0, 0)]
 
 
+def test_geojson_keeps_holes_parts_and_properties(spark, tmp_path):
+    features_ = [
+        {"type": "Feature", "properties": {"id": 7, "crop": "rye", "area": 2.5}, "geometry": {"type": "Polygon", "coordinates": [
+            [[0, 0], [9, 0], [9, 9], [0, 0]], [[2, 1], [3, 1], [3, 2], [2, 1]]]}},
+        {"type": "Feature", "properties": None, "id": "8", "geometry": {"type": "MultiPolygon", "coordinates": [
+            [[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]], [[5.2, 5.1], [5.3, 5.1], [5.3, 5.2], [5.2, 5.1]]]]}},
+        {"type": "Feature", "properties": {"id": 9}, "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}},
+        {"type": "Feature", "properties": {"id": 10}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}},
+        {"type": "Feature", "properties": {"id": 11}, "geometry": None},
+    ]
+    whole, lines = tmp_path / "whole.geojson", tmp_path / "lines.geojson"
+    whole.write_text(json.dumps({"type": "FeatureCollection", "features": features_}, indent=1))
+    lines.write_text("\n".join(json.dumps(f) for f in features_))
+    for path in (whole, lines):
+        rows = {r.id: r for r in features.read_geojson(spark, str(path)).collect()}
+        assert sorted(rows) == [7, 8, 9, 10, 11]
+        assert [[len(ring) for ring in p] for p in rows[7].polygons] == [[4, 4]] and rows[7].polygons[0][1][1].x == 3
+        assert rows[7].properties == {"id": "7", "crop": "rye", "area": "2.5"} and len(rows[7].geom) == 4
+        assert [[len(ring) for ring in p] for p in rows[8].polygons] == [[4], [4, 4]]
+        assert [(p.x, p.y) for p in rows[9].points] == [(1, 2), (3, 4)] and [(p.x, p.y) for p in rows[10].points] == [(1.5, 2.5)]
+        assert rows[11].type is None and rows[11].polygons is None
+
+
+def test_a_small_box_reads_few_files(spark, tmp_path):
+    points = spark.range(40_000).select(
+        F.col("id"), g.st_point(F.expr("CAST(id * 7919 % 3600 AS DOUBLE) / 10 - 180"), F.expr("CAST(id * 104729 % 1700 AS DOUBLE) / 10 - 85")).alias("geom")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        features.write_features(points.repartition(8), str(tmp_path), "places", create=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = features.read_features(spark, str(tmp_path), "places")
+    name = F.col("_metadata.file_name")
+    box = stored.groupBy(name.alias("f")).agg(F.min("geom.x").alias("x0"), F.max("geom.x").alias("x1"), F.min("geom.y").alias("y0"), F.max("geom.y").alias("y1"))
+    files = box.collect()
+    met = [f for f in files if f.x0 <= 21 and f.x1 >= 20 and f.y0 <= 41 and f.y1 >= 40]
+    assert len(files) >= 6 and 2 * len(met) < len(files)
+
+
+def test_poles_are_drawn_to_the_edge(spark):
+    row = spark.sql("SELECT struct(-180D AS xmin, -90D AS ymin, 180D AS xmax, 90D AS ymax) AS e").select(g.reproject_extent("e", "EPSG:4326", "EPSG:3857").alias("b")).first()
+    assert [round(v / g.MERCATOR_LIMIT, 9) for v in row.b] == [-1, -1, 1, 1]
+
+
+def test_repeated_keys_are_one_tile(spark):
+    a = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0, None, 3.0, None], "a").select("spatial_key", "a")
+    b = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [None, 2.0, None, None], "a").select("spatial_key", "a")
+    both = a.unionByName(b)
+    (row,) = pyramid.parent_level(both, 2, 2).collect()
+    assert row.a.cells[0] == 2.0
+    assert sorted(r.value for r in layers.to_raster(both, "a", 2, 2).collect()) == [1.0, 2.0, 3.0]
+    from lakework.operators.cells import focal_mean
+
+    (row,) = focal_mean(both, "a", 1, 2, 2).collect()
+    assert row.a.cells == [2.0] * 4
+
+
+def test_mixed_layers_have_no_metadata(spark):
+    a = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0] * 4, "a").withColumn("crs", F.lit("EPSG:4326"))
+    with pytest.raises(Exception, match="more than one CRS"):
+        layers.layer_metadata(a.unionByName(a.withColumn("crs", F.lit("EPSG:3857")))).collect()
+
+
 def test_sql_functions_equal_the_column_functions(spark):
     from lakework.functions import tiles
 
@@ -204,8 +270,8 @@ def test_sql_functions_equal_the_column_functions(spark):
     df.createOrReplaceTempView("one_tile")
     row = spark.sql(
         "SELECT st_local_less(a, 2.0D).cells AS less, st_rgb_composite(a, a, a).cells AS rgb, st_log(a).cells AS log,"
-        " st_extent(st_geometry(extent)) AS box, st_contains(st_makeBox2D(st_point(38, 48), st_point(52, 62)), st_point(40, 50)) AS inside"
-        ", size(ST_BufferPoint(st_point(40, 50), 10)) AS corners FROM one_tile"
+        " st_extent(st_geometry(extent)) AS box, st_contains(st_makeBox2D(st_point(-7, 3), st_point(11, 29)), st_point(2, 17)) AS inside"
+        ", size(ST_BufferPoint(st_point(2, 17), 5)) AS corners FROM one_tile"
     ).first()
     want = df.select(
         tiles.st_local_less("a", 2)["cells"].alias("less"), tiles.st_rgb_composite("a", "a", "a")["cells"].alias("rgb"),

@@ -13,14 +13,14 @@ from lakework.sources import files, jdbc, keyvalue
 
 def test_csv_names_by_position(spark, tmp_path):
     path = tmp_path / "people.csv"
-    path.write_text("name,age\nfox,18\ntiger,20\nalice,36\n")
+    path.write_text("plant,height\nbirch,14\nheather,1\nlinden,22\n")
     df = files.read_csv(spark, str(path), header=True, names=["n", "a"])
     assert df.dtypes == [("n", "string"), ("a", "string")] and df.count() == 3
 
 
 def test_rows_with_and_without_schema(spark):
-    rows = [("james", "brown"), ("alice", "xx")]
-    assert files.rows_to_df(spark, rows, ["first_name", "last_name"]).columns == ["first_name", "last_name"]
+    rows = [("oslo", "fjord"), ("bern", "lake")]
+    assert files.rows_to_df(spark, rows, ["city", "water"]).columns == ["city", "water"]
     assert files.rows_to_df(spark, rows).columns == ["_1", "_2"]
 
 
@@ -39,9 +39,11 @@ def test_properties(spark, tmp_path):
 
 def test_ranges_cover_each_key_once(spark):
     predicates = jdbc.range_predicates("id", 0, 1050, 100)
-    assert len(predicates) == 11 and predicates[-1] == "id >= 1000 AND id < 1050"
-    hits = sum(F.expr(p).cast("int") for p in predicates)
-    assert spark.range(1050).select(hits.alias("n")).distinct().collect()[0].n == 1
+    assert len(predicates) == 11 and predicates[-1] == "id >= 1000"
+    hits = sum(F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in predicates)
+    keys = spark.range(-500, 3000).unionAll(spark.sql("SELECT cast(NULL AS bigint) AS id"))
+    assert [r.n for r in keys.select(hits.alias("n")).distinct().collect()] == [1]
+    assert jdbc.range_predicates("id", 5, 7, 100) == ["1 = 1"]
     with pytest.raises(ValueError):
         jdbc.range_predicates("id", 0, 1, 0)
 
@@ -79,27 +81,27 @@ CELLS = json.dumps(
     {
         "rowkey": "rowkey",
         "columns": {
-            "col0": {"cf": "rowkey", "col": "rowkey", "type": "string"},
-            "col1": {"cf": "cf", "col": "a", "type": "String"},
-            "col2": {"cf": "cf", "col": "b", "type": "String"},
+            "plot": {"cf": "rowkey", "col": "rowkey", "type": "string"},
+            "crop": {"cf": "field", "col": "sown", "type": "String"},
+            "soil": {"cf": "field", "col": "ground", "type": "String"},
         },
     }
 )
 
 
 def test_wide_columns(spark):
-    rows = [(f"aa{c}", "cf", q, f"value_aa{c}") for c in "abcdefghij" for q in "ab"]
-    cells = spark.createDataFrame([*rows, ("aaa", "other", "a", "x")], "rowkey string, cf string, col string, value string")
+    rows = [(f"plot-{n}", "field", q, f"{q} {n}") for n in range(12) for q in ("sown", "ground")]
+    cells = spark.createDataFrame([*rows, ("plot-3", "other", "sown", "x")], "rowkey string, cf string, col string, value string")
     wide = keyvalue.kv_read(cells, CELLS)
-    assert wide.columns == ["col0", "col1", "col2"] and wide.count() == 10
-    assert wide.where("col0 = 'aaa'").first().col1 == "value_aaa"
+    assert wide.columns == ["plot", "crop", "soil"] and wide.count() == 12
+    assert wide.where("plot = 'plot-3'").first().crop == "sown 3"
     back = keyvalue.kv_write(wide, CELLS)
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
 
 
 def test_newest_cell_version_wins(spark):
     cells = spark.createDataFrame(
-        [("k", "cf", "a", "new", 2), ("k", "cf", "a", "old", 1), ("k", "cf", "b", "only", 1)],
+        [("k", "field", "sown", "new", 2), ("k", "field", "sown", "old", 1), ("k", "field", "ground", "only", 1)],
         "rowkey string, cf string, col string, value string, ts long",
     )
     assert tuple(keyvalue.kv_read(cells, CELLS).first()) == ("k", "new", "only")
@@ -107,17 +109,17 @@ def test_newest_cell_version_wins(spark):
 
 def test_range_pushdown_switches(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(10).selectExpr("id", "cast(id as string) company").write.parquet(path)
-    catalog = json.dumps({"columns": {"id": {"col": "id", "type": "long"}, "company": {"col": "company", "type": "string"}}})
+    spark.range(10).selectExpr("id", "cast(id as string) firm").write.parquet(path)
+    catalog = json.dumps({"columns": {"id": {"col": "id", "type": "long"}, "firm": {"col": "firm", "type": "string"}}})
 
     def pushed(**switches):
-        df = keyvalue.apply_catalog(spark.read.parquet(path), catalog, **switches).where("id > 4 AND company < '8'")
+        df = keyvalue.apply_catalog(spark.read.parquet(path), catalog, **switches).where("id > 4 AND firm < '8'")
         assert df.count() == 3
         return re.search(r"PushedFilters: \[(.*?)\]", df._jdf.queryExecution().executedPlan().toString()).group(1)
 
-    assert "GreaterThan(id,4)" in pushed() and "LessThan(company,8)" in pushed()
+    assert "GreaterThan(id,4)" in pushed() and "LessThan(firm,8)" in pushed()
     assert "GreaterThan(id,4)" not in pushed(push_down_range_long=False)
-    assert "LessThan(company,8)" not in pushed(push_down_range_string=False)
+    assert "LessThan(firm,8)" not in pushed(push_down_range_string=False)
 
 
 def test_statements_are_cut_outside_quotes_and_comments(spark):
@@ -151,6 +153,20 @@ def test_quantiles_equal_numpy(spark, shape):
         assert value == low + (high - low) * (place - np.floor(place)) or (np.isinf(high - low) and low <= value)
 
 
+def test_quantiles_of_any_spread_take_few_passes(spark, monkeypatch):
+    """Values over 600 decades: the passes depend on the rows, not on the values."""
+    monkeypatch.setattr(quantiles, "_FEW", 200)
+    rng = np.random.default_rng(11)
+    data = 10.0 ** rng.uniform(-300, 300, 20_000)
+    df = spark.createDataFrame([(float(v),) for v in data], "v double")
+    passes = []
+    for name in ("_cut_points", "_values_inside", "_narrow"):
+        plain = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, plain=plain, name=name: passes.append(name) or plain(*a))
+    (median,) = quantiles.exact_quantiles(df, "v", [0.5])
+    assert median == pytest.approx(np.median(data), rel=1e-12) and 1 + len(passes) <= 5
+
+
 def test_infinite_values_have_no_quantiles(spark):
     with pytest.raises(ValueError):
         quantiles.exact_quantiles(spark.createDataFrame([(float("inf"),), (1.0,)], "v double"), "v", [0.5])
@@ -167,11 +183,14 @@ def test_library_has_no_unbounded_gathering():
     """Results reach the driver only where a comment or name bounds them; no local checkpoints, no cross joins."""
     root = Path(__file__).resolve().parents[1] / "lakework"
     allowed = {
-        "sources/layers.py": 1, "operators/relational.py": 1, "operators/upsert.py": 1, "operators/changes.py": 1, "operators/quantiles.py": 1, "operators/resample.py": 1,
+        "sources/layers.py": 2, "operators/relational.py": 1, "operators/upsert.py": 2, "operators/changes.py": 1, "operators/quantiles.py": 3, "operators/resample.py": 1,
     }
     for path in root.rglob("*.py"):
         text = path.read_text()
         name = str(path.relative_to(root))
+        if name.startswith("llm/"):
+            continue
+        assert "coalesce(1)" not in text and "tempfile" not in text, name
         assert text.count(".collect()") == allowed.get(name, 0), name
         assert "localCheckpoint" not in text and "crossJoin" not in text and "toPandas" not in text
 
