@@ -79,6 +79,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _MIX[2])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of byte ranges, by differences of one running sum."""
+    n = len(data)
+    up, down = _power_tables(n)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE_CODES[data] * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words are maximal runs of bytes outside ``separator`` within one text.
 
@@ -97,11 +107,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | cuts[1:])) + 1
-    up, down = _power_tables(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_CODES[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = range_hashes(data, starts, ends)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     return hashes, rows, starts, ends
 

@@ -25,72 +25,163 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakework.llm.common import stored, table
+from lakework.llm.common import range_hashes, slices, stored, table, text_bytes
 
 WINDOW = 4096
 BIN = 64
 CLOSING_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
-# The fast way is for texts of printable Latin-1 only; letters and numbers are those of that range.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
-_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+")
+# Byte classes of simple texts: white space, letter, number, other; the second byte of a character counts as its first.
+_SPACE, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _NUMBER
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[ord("'")] = _ODD  # it may begin a contraction
+_CLASS[0xC2], _CLASS[0xC3] = _OTHER, _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# After 0xC2: signs that are neither letter, number, space nor format. After 0xC3: all but two signs.
+_AFTER_C2 = np.isin(np.arange(256), [*range(0xA1, 0xC0)]) & ~np.isin(np.arange(256), [0xAA, 0xAD, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+_AFTER_C3 = np.isin(np.arange(256), [*range(0x80, 0xC0)]) & ~np.isin(np.arange(256), [0x97, 0xB7])
+# Texts with contractions take the same way word by word, in the range of Latin-1.
+_BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
+_WORD_LETTER, _WORD_NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_WORD_LETTER}]+|[{_WORD_NUMBER}]|[^\t\n\r {_WORD_LETTER}{_WORD_NUMBER}]+")
 
 
 class WordEncoder:
-    """Ids of a tokenizer that splits into words before its merges, remembered word by word.
+    """Ids of a tokenizer that splits into words before its merges; known words are looked up.
 
-    Texts outside the range above, or with the opening of a special token, go to the tokenizer whole.
+    Simple texts are split, lower-cased and hashed as byte arrays, many at a time, and their
+    words found in a table by 64-bit hash. The tokenizer sees each new word once. Texts with
+    contractions go word by word, all others to the tokenizer whole.
     """
 
     def __init__(self, path: str, most_words: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most = Tokenizer.from_file(path), most_words
+        self._slots = 1 << max(10, (6 * most_words).bit_length())
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
-        self._starts, self._lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self._pool, self._used = np.zeros(1 << 14, np.uint32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        n = len(self._index)
-        while n + len(words) > len(self._starts):
-            self._starts, self._lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._lengths))
+        self._table = np.zeros(self._slots, np.int32)  # word number by hash, 0: none
+        self._hashes, self._starts, self._lengths = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self._pool, self._used, self._n = np.zeros(1 << 14, np.uint32), 0, 1
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        n, new = self._n, len(words)
+        while n + new > len(self._starts):
+            self._hashes, self._starts, self._lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self._hashes, self._starts, self._lengths))
         # White space ends a word for the tokenizer, so that one call can take all words.
         encoded = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(encoded.ids, np.uint32)
-        lengths = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(words))
+        lengths = np.bincount(np.array(encoded.word_ids, np.int64), minlength=new)
         while self._used + len(ids) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         self._pool[self._used : self._used + len(ids)] = ids
-        self._lengths[n : n + len(words)] = lengths
-        self._starts[n : n + len(words)] = self._used + np.cumsum(lengths) - lengths
-        self._index.update(zip(words, range(n, n + len(words))))
-        self._used += len(ids)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        for text in texts:
-            if "<|" in text or _OTHER.search(text):
-                yield np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            words = _WORD.findall(text.lower())
-            get = self._index.get
-            at = list(map(get, words))
-            if None in at:
-                if len(self._index) > self._most:
-                    self._forget()
-                    get = self._index.get
-                self._learn(list(dict.fromkeys(w for w in words if w not in self._index)))
-                at = list(map(get, words))
-            at = np.array(at, np.int64)
-            lengths = self._lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self._pool[np.repeat(self._starts[at] - ends + lengths, lengths) + np.arange(total)]
+        self._lengths[n : n + new] = lengths
+        self._starts[n : n + new] = self._used + np.cumsum(lengths) - lengths
+        self._hashes[n : n + new] = hashes
+        mask, table = self._slots - 1, self._table
+        for number, slot in enumerate((hashes & np.uint64(mask)).tolist(), n):
+            while table[slot]:
+                slot = (slot + 1) & mask
+            table[slot] = number
+        self._used, self._n = self._used + len(ids), n + new
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers, 0 for what is not known; open addressing, one step for all at a time."""
+        mask = self._slots - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        number = self._table[slot]
+        open_ = np.flatnonzero((number != 0) & (self._hashes[number] != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & mask
+            number[open_] = self._table[slot[open_]]
+            open_ = open_[(number[open_] != 0) & (self._hashes[number[open_]] != hashes[open_])]
+        return number
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
+        data, offsets = text_bytes(column)
+        for first, last in slices(offsets):
+            own = offsets[first : last + 1] - offsets[first]
+            part = data[offsets[first] : offsets[last]]
+            odd = self._odd_texts(part, own)
+            ids, ends = self._encode_simple(part, own, odd)
+            for i in range(last - first):
+                yield self._encode_text(part[own[i] : own[i + 1]].tobytes().decode()) if odd[i] else ids[ends[i] : ends[i + 1]]
+
+    def _odd_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        kind = _CLASS[data]
+        bad = kind == _ODD
+        for lead, fine in ((0xC2, _AFTER_C2), (0xC3, _AFTER_C3)):
+            at = np.flatnonzero(data[:-1] == lead)
+            good = at[fine[data[at + 1]]]
+            bad[at], bad[good + 1] = True, False
+            bad[good] = False
+        bad[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        return np.diff(np.searchsorted(np.flatnonzero(bad), offsets)) > 0
+
+    def _encode_simple(self, data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all simple texts, one after the other, and where those of each text end."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        kind = _CLASS[data]
+        follows = np.flatnonzero(data >= 0x80)
+        follows = follows[(data[follows] & 0xC0) == 0x80]
+        kind[follows] = kind[follows - 1]
+        if odd.any():
+            kind[np.repeat(odd, np.diff(offsets))] = _SPACE
+        low = _LOWER[data]
+        capital = follows[(data[follows - 1] == 0xC3) & (data[follows] <= 0x9E)]
+        low[capital] += 32
+        begins = np.empty(len(data), bool)
+        begins[0], begins[1:] = True, (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        word = kind[starts] != _SPACE
+        starts, ends = starts[word], ends[word]
+        hashes = range_hashes(low, starts, ends)
+        number = self._find(hashes)
+        missing = np.flatnonzero(number == 0)
+        if len(missing):
+            if self._n > self._most:
+                self._forget()
+                missing = np.arange(len(hashes))
+            new, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            self._learn([low[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())], new)
+            number = self._find(hashes)
+        lengths = self._lengths[number]
+        last = np.cumsum(lengths)
+        total = int(last[-1]) if len(last) else 0
+        ids = self._pool[np.repeat(self._starts[number] - last + lengths, lengths) + np.arange(total)]
+        return ids, np.append(0, last)[np.searchsorted(starts, offsets)]
+
+    def _encode_text(self, text: str) -> np.ndarray:
+        if "<|" in text or _BEYOND.search(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        words = [w.encode() for w in _WORD.findall(text.lower())]
+        if not words:
+            return np.zeros(0, np.uint32)
+        ends = np.cumsum([len(w) for w in words])
+        hashes = range_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+        number = self._find(hashes)
+        missing = np.flatnonzero(number == 0)
+        if len(missing):
+            if self._n > self._most:
+                self._forget()
+                missing = np.arange(len(hashes))
+            new, at = np.unique(hashes[missing], return_index=True)
+            self._learn([words[i].decode() for i in missing[at]], new)
+            number = self._find(hashes)
+        return np.concatenate([self._pool[s : s + n] for s, n in zip(self._starts[number], self._lengths[number])])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -226,9 +317,8 @@ def _cut_documents(path: str, id_column: str, with_ids: bool):
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 some = batch.slice(first, 512)
-                texts = [t or "" for t in some.column(some.schema.get_field_index("text")).to_pylist()]
                 rows, owner = [], []
-                for i, ids in enumerate(encoder.encode(texts)):
+                for i, ids in enumerate(encoder.encode(some.column(some.schema.get_field_index("text")))):
                     ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
                     for start, length in cut(len(ids)):
                         own = ids[start : start + length]

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,8 +25,9 @@ def test_words_give_the_tokenizers_ids(plain):
     rng = random.Random(4)
     alphabet = "abcdeéÈßùñ 'sltm.,-_#0123²½ABCÀ\n\t"
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) for _ in range(400)]
+    texts += ["".join(rng.choice("abéÈßùÑÿÞ 12.,-¿¡«»×÷ªµ²A\n") for _ in range(rng.randint(0, 200))) for _ in range(400)]
     encoder = WordEncoder(PATH, most_words=200)
-    for text, ids in zip(texts, encoder.encode(texts)):
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
