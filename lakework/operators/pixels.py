@@ -54,6 +54,9 @@ def pixel_table(bands: Sequence[DataFrame], labels: DataFrame) -> DataFrame:
     return explode_tiles(base_table(bands, labels)).dropna()
 
 
+_FOLD = "_fold"
+
+
 def pixel_estimator(bands: Sequence[str], label: str, max_depth: int = 5, seed: int = 42) -> Pipeline:
     """Explode tiles, drop NoData, assemble the bands, grow a decision tree."""
     columns = [*bands, label]
@@ -78,7 +81,8 @@ def train(
 ) -> CrossValidatorModel:
     """Cross-validate on F1 over tree depths; without depths the default tree is validated alone.
 
-    Folds are drawn by tile, so the pixels of one tile never train and test at once.
+    The fold of a tile is a hash of its key, so the pixels of one tile never train and test
+    at once, and the folds do not depend on the partitions.
     """
     pipeline = pixel_estimator(bands, label, seed=seed)
     tree = pipeline.getStages()[-1]
@@ -88,8 +92,8 @@ def train(
     evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="f1")
     return CrossValidator(
         estimator=pipeline, estimatorParamMaps=grid.build(), evaluator=evaluator, numFolds=folds, seed=seed,
-        parallelism=parallelism,
-    ).fit(abt)
+        parallelism=parallelism, foldCol=_FOLD,
+    ).fit(abt.withColumn(_FOLD, F.pmod(F.xxhash64(f"{KEY}.col", f"{KEY}.row"), F.lit(folds)).cast("int")))
 
 
 def cv_metrics(df: DataFrame, model: CrossValidatorModel) -> DataFrame:
