@@ -318,6 +318,19 @@ def bbox_during(
     )
 
 
+# Even-odd rule over the edges of the ring ``r``; -1 marks a point on an edge, which is outside.
+_RING_CONTAINS = """
+(aggregate(
+  zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) -> named_struct('a', a, 'b', b,
+    's', (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))),
+  0, (n, e) -> CASE
+    WHEN n < 0 OR e.s = 0 AND p.x BETWEEN least(e.a.x, e.b.x) AND greatest(e.a.x, e.b.x)
+      AND p.y BETWEEN least(e.a.y, e.b.y) AND greatest(e.a.y, e.b.y) THEN -1
+    WHEN (e.a.y > p.y) <> (e.b.y > p.y) AND (e.b.y > e.a.y AND e.s > 0 OR e.b.y <= e.a.y AND e.s < 0) THEN n + 1
+    ELSE n END, n -> n > 0 AND n % 2 = 1))
+"""
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """Make the spatial and tile functions callable from SQL text.
 
@@ -388,6 +401,9 @@ def register_sql_functions(spark: SparkSession) -> None:
     for name, usual in (("st_make_box2d", "st_makeBox2d"), ("st_buffer_point", "st_bufferPoint")):
         signature = next(s for s in bodies if s.startswith(f"{name}("))
         bodies[signature.replace(name, usual)] = bodies[signature]
+    # Signatures of the same name differ by type, so these have names of their own, as has the polygon.
+    bodies[f"st_contains_polygon(r {RING_DDL}, p {POINT_DDL})"] = ("BOOLEAN", _RING_CONTAINS)
+    bodies[f"st_tile(t {tile})"] = (tile, "t")
     operators = {"add": "x + y", "subtract": "x - y", "multiply": "x * y", "divide": "try_divide(x, y)"}
     for name, expression in operators.items():
         bodies[f"st_local_{name}(a {tile}, b {tile})"] = (
@@ -395,5 +411,9 @@ def register_sql_functions(spark: SparkSession) -> None:
             "named_struct('cols', a.cols, 'rows', a.rows, 'cells',"
             f" zip_with(a.cells, b.cells, (x, y) -> {expression}))",
         )
+        bodies[f"st_local_{name}_scalar(a {tile}, y DOUBLE)"] = (
+            tile,
+            f"named_struct('cols', a.cols, 'rows', a.rows, 'cells', transform(a.cells, x -> {expression}))",
+        )
     for signature, (returns, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {returns} RETURN {body}")

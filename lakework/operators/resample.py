@@ -41,7 +41,8 @@ def resample_pairs(
     """Draw source tiles on target tiles: one row per target with the bands resampled.
 
     ``pairs`` holds ``_tc, _tr`` (target key; ``target`` names what tells targets apart), ``_te`` (target extent), ``_se`` (source
-    extent), ``_ord`` (source order, for overlaps) and the source bands. Each pair makes
+    extent), ``_ord`` (source order, for overlaps), ``_sw, _sh`` (source cells) and the cells of
+    the source bands. Each pair makes
     only the target cells near its source tile, and these meet per target cell in a
     partial aggregate, so overlapping sources add no load to a single task.
     """
@@ -51,8 +52,7 @@ def resample_pairs(
     target = list(target)
     located = pairs.select(
         *target, "_te", "_se", "_ord",
-        box.alias("_box"), cols_of(bands[0]).alias("_sw"), rows_of(bands[0]).alias("_sh"),
-        *[cells_of(b).alias(b) for b in bands],
+        box.alias("_box"), "_sw", "_sh", *bands,
     ).select(
         "*",
         ((F.col("_te.xmax") - F.col("_te.xmin")) / cols).alias("_cw"),
@@ -138,6 +138,14 @@ def _bilinear(centres: DataFrame, bands: Sequence[str], target: list[str]) -> Da
     )
 
 
+def _flat(bands: Sequence[str]) -> list[Column]:
+    """Size and cells of the tiles as plain columns.
+
+    Above two generators over literal extents the optimizer loses track of tile structs.
+    """
+    return [cols_of(bands[0]).alias("_sw"), rows_of(bands[0]).alias("_sh"), *[cells_of(b).alias(b) for b in bands]]
+
+
 def _source_order() -> Column:
     """Row-major order of source keys in one long."""
     return F.col(f"{KEY}.row").cast("long") * F.lit(1 << 31) + F.col(f"{KEY}.col")
@@ -178,13 +186,13 @@ def raster_join(
     ).distinct()
     sources = right.select(
         F.col("extent").alias("_se"), _source_order().alias("_ord"),
-        reproject_extent("extent", right_crs, left_crs).alias("_sb"), *bands,
+        reproject_extent("extent", right_crs, left_crs).alias("_sb"), *_flat(bands),
     )
     # Bilinear weights reach half a source cell beyond a tile.
     grow_x = grow_y = F.lit(0.0)
     if resample == "bilinear":
-        grow_x = (F.col("_sb.xmax") - F.col("_sb.xmin")) / cols_of(bands[0]) / 2
-        grow_y = (F.col("_sb.ymax") - F.col("_sb.ymin")) / rows_of(bands[0]) / 2
+        grow_x = (F.col("_sb.xmax") - F.col("_sb.xmin")) / F.col("_sw") / 2
+        grow_y = (F.col("_sb.ymax") - F.col("_sb.ymin")) / F.col("_sh") / 2
     sources = sources.withColumn(
         "_sb",
         make_box(
@@ -249,12 +257,12 @@ def to_zoomed_layout(
     (crs,) = _uniform(layer, "crs")
     sources = layer.select(
         F.col("extent").alias("_se"), _source_order().alias("_ord"),
-        reproject_extent("extent", crs, "EPSG:3857").alias("_sb"), *bands,
+        reproject_extent("extent", crs, "EPSG:3857").alias("_sb"), *_flat(bands),
     )
     if zoom is None:
         finest = F.least(
-            (F.col("_sb.xmax") - F.col("_sb.xmin")) / cols_of(bands[0]),
-            (F.col("_sb.ymax") - F.col("_sb.ymin")) / rows_of(bands[0]),
+            (F.col("_sb.xmax") - F.col("_sb.xmin")) / F.col("_sw"),
+            (F.col("_sb.ymax") - F.col("_sb.ymin")) / F.col("_sh"),
         )
         zoom = zoom_for(sources.agg(F.min(finest).alias("cell")).first().cell, tile_size)
     cell = mercator_cell(zoom, tile_size)
@@ -264,8 +272,8 @@ def to_zoomed_layout(
         first = F.greatest(F.lit(0), F.floor((low - margin) / side).cast("int"))
         return F.sequence(F.least(first, F.lit(last)), F.least(F.lit(last), F.greatest(first, F.floor((high + margin) / side).cast("int"))))
 
-    margin_x = (F.col("_sb.xmax") - F.col("_sb.xmin")) / cols_of(bands[0])
-    margin_y = (F.col("_sb.ymax") - F.col("_sb.ymin")) / rows_of(bands[0])
+    margin_x = (F.col("_sb.xmax") - F.col("_sb.xmin")) / F.col("_sw")
+    margin_y = (F.col("_sb.ymax") - F.col("_sb.ymin")) / F.col("_sh")
     x_keys = keys(F.col("_sb.xmin") + MERCATOR_LIMIT, F.col("_sb.xmax") + MERCATOR_LIMIT, margin_x)
     y_keys = keys(MERCATOR_LIMIT - F.col("_sb.ymax"), MERCATOR_LIMIT - F.col("_sb.ymin"), margin_y)
     pairs = (

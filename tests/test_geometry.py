@@ -262,6 +262,32 @@ def test_mixed_layers_have_no_metadata(spark):
         layers.layer_metadata(a.unionByName(a.withColumn("crs", F.lit("EPSG:3857")))).collect()
 
 
+def test_literal_extents_can_be_laid_out(spark):
+    tile = one_tile(spark, (0, 0), (0.0, 0.0, 10.0, 10.0), [1.0, 2.0, 3.0, 4.0], "a").select("spatial_key", "a")
+    literal = tile.withColumns({"crs": F.lit("EPSG:4326"), "extent": F.expr("named_struct('xmin', 0D, 'ymin', 0D, 'xmax', 10D, 'ymax', 10D)")})
+    web = resample.to_zoomed_layout(literal, 16, zoom=3)
+    assert web.select(F.explode("a.cells").alias("v")).where("v IS NOT NULL").count() > 4
+
+
+def test_sql_names_for_scalars_and_polygons(spark):
+    from lakework.functions import tiles
+
+    g.register_sql_functions(spark)
+    one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0, 2.0, None, 4.0], "a").createOrReplaceTempView("scalar_tile")
+    row = spark.sql(
+        "SELECT st_local_add_scalar(a, 2D).cells AS plus, st_local_divide_scalar(a, 0D).cells AS none, st_tile(a).cells AS same FROM scalar_tile"
+    ).first()
+    want = spark.table("scalar_tile").select(tiles.st_local_add("a", 2)["cells"].alias("p"), tiles.st_local_divide("a", 0)["cells"].alias("n")).first()
+    assert row.plus == want.p == [3.0, 4.0, None, 6.0] and row.none == want.n and row.same == [1.0, 2.0, None, 4.0]
+    ring = [(0, 0), (6, 0), (6, 6), (3, 2), (0, 6)]
+    points = spark.createDataFrame([(x / 2, y / 2) for x in range(-1, 14) for y in range(-1, 14)], "x double, y double")
+    both = points.select(
+        g.st_contains(g.ring_of(ring), g.st_point("x", "y"), "polygon").alias("a"),
+        F.call_function("st_contains_polygon", g.ring_of(ring), g.st_point("x", "y")).alias("b"),
+    )
+    assert both.where("a <> b").count() == 0 and both.where("b").count() > 20
+
+
 def test_sql_functions_equal_the_column_functions(spark):
     from lakework.functions import tiles
 
