@@ -50,6 +50,7 @@ SKETCH_BITS = 18
 SKETCH_SEGMENTS = 64
 COPY_GROUPS = 100_000
 GROUP_SHINGLES = 100_000
+LEAST_SHARED = 32
 _MU = 0.0085  # weight of a long list's length in choosing how many to probe
 
 
@@ -76,14 +77,15 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _shared(n: int, percent: int) -> int:
-    """t for a set of n: half of the plain prefix."""
-    return max(1, (n - least_overlap(n, percent) + 1) // 2)
+    """t for a set of n: as many as the plain prefix has, in small sets more; it grows with n."""
+    least = least_overlap(n, percent)
+    return min(least, max(n - least + 1, LEAST_SHARED))
 
 
 def taken(n: int, percent: int) -> tuple[int, int]:
     """(how many of n shingles are taken, how many of them any partner shares)."""
     if n == 0:
-        return 0, 1
+        return 0, 0
     # A partner has at least the least overlap as its size, and t grows with the size.
     return min(n, n - least_overlap(n, percent) + _shared(n, percent)), _shared(least_overlap(n, percent), percent)
 
@@ -233,8 +235,9 @@ def candidate_groups(docs: DataFrame, size: int, percent: int, hot_list: int) ->
         summed = postings.where("hot").groupBy("h").agg(F.count("*").alias("df")).hint("rebalance")
         counted = counted.unionByName(postings.where("hot").join(summed, "h"))
     # t of the least partner, as taken() has it.
-    least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    need = F.greatest(F.lit(1), F.floor((least - F.floor((F.lit(percent) * least + 99) / 100) + 1) / 2))
+    size_y = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    least = F.floor((F.lit(percent) * size_y + 99) / 100)
+    need = F.least(least, F.greatest(size_y - least + 1, F.lit(LEAST_SHARED)))
     shared = counted.where("df > 1").drop("hot")
     by_id = Window.partitionBy("id")
     kept = (
