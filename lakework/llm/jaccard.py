@@ -252,7 +252,8 @@ def candidate_groups(docs: DataFrame, size: int, percent: int, hot_list: int) ->
 def linked_components(docs: DataFrame, size: int = 5, percent: int = 80, hot_list: int = 20_000, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(node, component) of the documents (id, text; ids not null) that link with another one."""
     groups = stored(candidate_groups(docs, size, percent, hot_list).withColumnRenamed("node", "id"), "jaccard-groups")
-    members = docs.join(groups, "id").select("id", "component", "text")
+    # Members grow with the documents, so they are merged at any size and never broadcast.
+    members = docs.join(groups.hint("merge"), "id").select("id", "component", "text")
     weight = F.size(F.split("text", " ")) + 1
     members = stored(members.withColumn("weight", weight.cast("long")), "jaccard-members")
     sizes = members.groupBy("component").agg(F.sum("weight").alias("total"), F.count("*").alias("docs"))
@@ -307,31 +308,37 @@ def _across(members: DataFrame, sizes: DataFrame, rest: DataFrame, size: int, pe
     return stored(indexed.unionAll(asked).groupBy("component", "part", "block").applyInArrow(_search(size, percent), "a long, b long"), "jaccard-edges")
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, hot_list: int = 20_000, group_shingles: int = GROUP_SHINGLES, id_column: str = "doc_id"
-) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; the component is the least id reachable by links."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), "text")
-    marked = stored(rows.select("id", digest("text").alias("digest")), "jaccard-digests")
+def _linked(rows: DataFrame, size: int, percent: int, hot_list: int, group_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digest of each row (id, text) with words, copies (digest, rep), linked documents (rep, component))."""
+    filled = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    worded = rows.where(F.col("id").isNotNull() & filled)
+    marked = stored(worded.select("id", digest("text").alias("digest")), "jaccard-digests")
     # A bounded table: the largest groups of exact copies, each with its least id.
     copies = (
-        marked.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+        marked.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
         .orderBy(F.desc("copies"), "digest").limit(COPY_GROUPS).select("digest", "rep")
     )
     copies = stored(copies, "jaccard-copies")
     single = (
-        rows.where("id IS NOT NULL").withColumn("digest", digest("text")).join(F.broadcast(copies), "digest", "left")
-        .where("rep IS NULL OR rep = id").select("id", F.coalesce("text", F.lit("")).alias("text"))
+        worded.withColumn("digest", digest("text")).join(F.broadcast(copies), "digest", "left")
+        .where("rep IS NULL OR rep = id").select("id", "text")
     )
-    joined = stored(linked_components(single, size, percent, hot_list, group_shingles).select(F.col("node").alias("rep"), "component"), "jaccard-classes")
+    joined = linked_components(single, size, percent, hot_list, group_shingles).select(F.col("node").alias("rep"), "component")
+    return marked, copies, stored(joined, "jaccard-classes")
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = 5, percent: int = 80, hot_list: int = 20_000, group_shingles: int = GROUP_SHINGLES, id_column: str = "doc_id"
+) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; the component is the least id reachable by links."""
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), "text")
+    _, copies, joined = _linked(rows, size, percent, hot_list, group_shingles)
     counted = (
         rows.withColumn("digest", digest("text")).mapInArrow(_count_shingles(size, ["id", "digest"]), "id long, digest binary, n_shingles long")
-        .join(F.broadcast(copies), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+        .join(F.broadcast(copies), "digest", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     )
     out = counted.join(joined, "rep", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -339,9 +346,12 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
     Rows that repeat one id are one document and stay or go together; a row with a null id stays.
     """
-    classes = jaccard_components(docs, size, percent)
-    gone = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    marked, copies, joined = _linked(rows, size, percent, 20_000, GROUP_SHINGLES)
+    copied = marked.join(F.broadcast(copies), "digest").where("id <> rep").select("id")
+    gone = copied.unionAll(joined.where("rep <> component").select("rep")).distinct().select(F.col("id").alias("doc_id"))
+    # What goes grows with the documents, so it is merged at any size and never broadcast.
+    return docs.join(stored(gone, "jaccard-gone").hint("merge"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
