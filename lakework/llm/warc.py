@@ -47,18 +47,22 @@ def sha1_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def without_scripts(page: str) -> str:
+    """The page without comments, scripts, styles and the like."""
+    return _SKIP.sub(" ", page)
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: no scripts, styles or comments; block elements break lines; entities resolved."""
-    page = _SKIP.sub(" ", page)
+    """Text of a page that holds no scripts: block elements break lines; entities resolved."""
     page = _TAG.sub(lambda m: "\n" if m[2].lower() in _BLOCK else "", page)
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(page))).strip()
 
 
 def page_metadata(page: str, target: str | None) -> dict:
-    """Title, meta tags and links; relative links are resolved against the target where that is possible."""
+    """Title, meta tags and links of a page that holds no scripts; relative links are resolved against the target where that is possible."""
     title = _TITLE.search(page)
     found: dict = {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Metas": [], "Links": []}
-    for m in _TAG.finditer(_SKIP.sub(" ", page)):
+    for m in _TAG.finditer(page):
         name = m[2].lower()
         if m[1] or name not in _LINKS and name != "meta":
             continue
@@ -83,6 +87,7 @@ def derive(source: dict) -> list[dict]:
     payload = source["payload"] or ""
     data = payload.encode("utf-8", "surrogatepass")
     digest = sha1_digest(data)
+    page = without_scripts(payload)
     kept = {k: source[v] for k, v in (("WARC-Target-URI", "target_uri"), ("WARC-Date", "date")) if source[v] is not None}
     http = {k: v for k, v in (source["http_headers"] or [])}
     envelope = {
@@ -90,7 +95,7 @@ def derive(source: dict) -> list[dict]:
             "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source["record_id"], **kept, "WARC-Payload-Digest": digest},
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
-                    "Headers": http, "HTML-Metadata": page_metadata(payload, source["target_uri"]),
+                    "Headers": http, "HTML-Metadata": page_metadata(page, source["target_uri"]),
                     "Entity-Length": len(data), "Entity-Digest": digest,
                 }
             },
@@ -98,7 +103,7 @@ def derive(source: dict) -> list[dict]:
     }
     blocks = (
         ("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)),
-        ("conversion", "text/plain", plain_text(payload)),
+        ("conversion", "text/plain", plain_text(page)),
     )
     out = []
     for kind, content_type, block in blocks:

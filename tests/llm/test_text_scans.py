@@ -223,11 +223,13 @@ def test_text_and_links_of_a_page():
         "<!DOCTYPE html><html><head><title>A &amp; B</title><meta name='k' content=\"v>w\"><style>p{}</style><script>var t='</p>';</script></head><body>"
         "<nav><a href='/x?a=1&amp;b=2'>go</a></nav><!-- no <p>t</p> --><p>One<b>two</b> &eacute;<br>three</p><img src=i.png><p>last</body></html>"
     )
+    page = warc.without_scripts(page)
     assert warc.plain_text(page) == "A & B\ngo\nOnetwo é\nthree\nlast"
     found = warc.page_metadata(page, "http://h.org/d/e")
     assert found["Title"] == "A & B" and found["Metas"] == [{"name": "k", "content": "v>w"}]
     assert [x["url"] for x in found["Links"]] == ["http://h.org/x?a=1&b=2", "http://h.org/d/i.png"]
-    assert warc.plain_text("<script" * 20_000) == "" and warc.plain_text("a < b <!-- c") == "a < b"
+    assert warc.without_scripts("<script>" * 20_000).strip() == "" and warc.plain_text(warc.without_scripts("a < b <!-- c")) == "a < b"
+    assert warc.plain_text("<p " * 20_000) == ""
 
 
 def test_records_point_back_to_their_response(spark):
