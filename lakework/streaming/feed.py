@@ -10,7 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakework.operators.changes import (
@@ -23,7 +25,8 @@ from lakework.operators.changes import (
     table_shapes,
     typed_rows,
 )
-from lakework.operators.upsert import COPY_ON_WRITE, sync_table, table_path, upsert_table
+from lakework.operators.upsert import COPY_ON_WRITE, drop_old_versions, sync_table, table_path, upsert_table
+from lakework.session import drop_scratch, scratch_dir
 from lakework.streaming.jobs import trigger_of
 
 log = logging.getLogger(__name__)
@@ -47,6 +50,7 @@ class CdcConfig:
     decimal_to_string: bool = False
     decimals: str = ""
     trigger: str | None = "60 seconds"
+    drop_old_versions: bool = False  # only where no reader stays on an older version
     catalog_sync: bool = False
     catalog_db: str | None = None
     parallel_tables: int = 4
@@ -67,13 +71,22 @@ class CdcConfig:
         return cls(**given)
 
 
+_PART = "_part"
+
+
+def _part_of(db: Column, table: Column) -> Column:
+    """A folder name for a table, whatever its name holds."""
+    return F.sha1(F.concat(F.length(db).cast("string"), F.lit("/"), db, table))
+
+
 def apply_batch(
     batch: DataFrame, batch_id: int, config: CdcConfig, value_col: str = "value", writer: str = "batches"
 ) -> DataFrame:
     """Write one batch of envelopes to its tables; gives a report row per table.
 
     The batch stays distributed: only the names and schemas of its tables reach the
-    driver. Tables are independent of each other, so several are written at a time.
+    driver. One pass parts it by table, so every table then reads its own rows alone.
+    Tables are independent of each other, so several are written at a time.
     A failed write fails the batch. Records without a primary key are counted under
     the empty table name. ``writer`` names the sequence that the batch numbers belong to.
     """
@@ -82,16 +95,21 @@ def apply_batch(
     try:
         states, rejected = prepare(decoded)
         shapes = table_shapes(states, config.types)
+        parted = scratch_dir(spark, "batch")
+        states.withColumn(_PART, _part_of(F.col("db_name"), F.col("table_name"))).write.partitionBy(_PART).parquet(parted)
+        own = spark.read.schema(T.StructType([*states.schema.fields, T.StructField(_PART, T.StringType())])).parquet(parted)
 
         def write(shape: TableShape) -> tuple:
             start = time.time()
             path = table_path(config.base_path, shape.db, shape.table)
             report = upsert_table(
-                typed_rows(states, shape, config.types), path, shape.pk, ORDER_COLUMNS,
+                typed_rows(own.where(F.col(_PART) == _part_of(F.lit(shape.db), F.lit(shape.table))), shape, config.types), path, shape.pk, ORDER_COLUMNS,
                 table_type=config.table_type, ordering=config.ordering, buckets=config.buckets,
                 compact_inline=config.compact_inline, max_delta_commits=config.max_delta_commits,
                 writer=writer, batch_id=batch_id,
             )
+            if config.drop_old_versions:
+                drop_old_versions(spark, path)
             if config.catalog_sync:
                 try:
                     sync_table(spark, config.catalog_db or shape.db, shape.table, path)
@@ -104,6 +122,7 @@ def apply_batch(
             # The threads keep the job group of the stream, so stopping it stops their jobs.
             rows = list(pool.map(inheritable_thread_target(spark)(write), shapes))
         dropped = rejected.count()
+        drop_scratch(spark, parted)
     finally:
         decoded.unpersist()
     if dropped:
