@@ -318,7 +318,10 @@ def compact(spark: SparkSession, path: str) -> int:
 
 
 def drop_old_versions(spark: SparkSession, path: str) -> int:
-    """Delete data that the current commit does not name; no reader may be on an older version."""
+    """Delete data and commits that the current commit replaces; no reader may be on an older version.
+
+    Readers and writers list the commits that are left, so their number stays small.
+    """
     commit = current_commit(spark, path)
     if commit is None:
         return 0
@@ -333,6 +336,9 @@ def drop_old_versions(spark: SparkSession, path: str) -> int:
             if version is not None and version <= commit.version and version not in versions:
                 hadoop.remove(spark, f"{path}/{folder}/{name}")
                 dropped += 1
+    for name in hadoop.list_names(spark, f"{path}/_commits"):
+        if name.endswith(".json") and int(name.removesuffix(".json")) < commit.version:
+            hadoop.remove(spark, f"{path}/_commits/{name}")
     return dropped
 
 

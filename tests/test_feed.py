@@ -357,3 +357,19 @@ def test_times_with_sign_and_many_hours(spark):
         bad = spark.createDataFrame([(text,)], "t string")
         with pytest.raises(Exception, match="not a date or time"):
             bad.select(changes.convert_value(F.col("t"), kind, T.TimestampType()).alias("d")).collect()
+
+
+def test_old_versions_and_commits_go(spark, tmp_path):
+    config = feed.CdcConfig(str(tmp_path), drop_old_versions=True)
+    for n in range(3):
+        feed.apply_batch(envelopes(spark, *[simple("INSERT", 10 * n + i, i, f"v{n}") for i in range(5)]), n, config)
+    assert read(spark, tmp_path) == [(i, "v2") for i in range(5)]
+    path = upsert.table_path(str(tmp_path), "db", "t")
+    assert len(hadoop.list_names(spark, f"{path}/_commits")) == 1 and len(hadoop.list_names(spark, f"{path}/base")) == 1
+
+
+def test_a_batch_of_odd_table_names_is_parted(spark, tmp_path):
+    names = ["db.t", "db.T%2", "d/b.t", "x.y.t"]
+    rows = [record("INSERT", 1, i, n, ("id",), (("id", 3, None, None), ("v", 253, None, None)), None, {"id": str(i), "v": n}) for i, n in enumerate(names)]
+    report = feed.apply_batch(envelopes(spark, *rows), 0, feed.CdcConfig(str(tmp_path))).collect()
+    assert sorted((r.db, r.table, r.upserts) for r in report) == sorted([("db", "t", 1), ("db", "T%2", 1), ("d/b", "t", 1), ("x", "t", 1)])
