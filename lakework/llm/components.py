@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakework.llm.common import stored
+from lakework.session import drop_scratch, scratch_dir
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) of every node of an edge that is not a loop; the component is its least node.
 
     Large stars tie every larger neighbour of a node to the least one around it, small stars every
-    smaller one; the edges become stars around the least nodes. Every round is a written table.
+    smaller one; the edges become stars around the least nodes. Every round is a written
+    table, and what a round has replaced is removed.
     """
+    spark, places = edges.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        places.append(scratch_dir(spark, "edges"))
+        df.write.parquet(places[-1])
+        return spark.read.schema(df.schema).parquet(places[-1])
+
     u, v = F.col(a), F.col(b)
-    now = stored(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    now = written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,10 +41,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             both.join(_least(both), "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         )
-        large = stored(large, "edges")
+        large = written(large)
         least = _least(large)
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        for place in places[:-1]:
+            drop_scratch(spark, place)
+        del places[:-1]
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -12,8 +12,9 @@ a kept shingle belong to one candidate group. A list names only its least docume
 so the number of rows stays that of the postings and no list is ever paired out.
 
 Step 2 searches each group by T-occurrence (DivideSkip) over all shingles of the whole texts: per
-document, its short inverted lists are merged and counted, and for what is met often enough to
-reach the overlap together with the long lists, the long ones are probed by binary search. Groups
+document, its short inverted lists are merged through a heap that skips ahead where too few of
+them agree, and for what is met often enough to reach the overlap together with the long lists,
+the long ones are probed by binary search. Groups
 too large for a task are dealt out in parts that all hold some common documents; what is not
 joined through these is searched against all parts.
 
@@ -32,7 +33,9 @@ than id and text are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +169,38 @@ class GroupIndex:
         own[by_hash] = number
         ends = np.concatenate([[0], np.cumsum(self.sizes)])
         self.lists = [own[a:b] for a, b in zip(ends, ends[1:])]
+        self.posted = self.docs.tolist()
+
+    def merge_skip(self, lists: np.ndarray, x: int, need: int) -> dict[int, int]:
+        """Documents before ``x`` that at least ``need`` of the lists hold, with their counts.
+
+        A heap holds the head of every list. Where too few heads are equal, all but the last
+        list that matters jump to the next head by binary search.
+        """
+        posted, place, ends, heap, counts = self.posted, {}, {}, [], {}
+        for n, (a, b) in enumerate(zip(self.starts[lists].tolist(), self.starts[lists + 1].tolist())):
+            if posted[a] < x:
+                place[n], ends[n] = a, bisect_left(posted, x, a, b)
+                heap.append((posted[a], n))
+        heapify(heap)
+        while len(heap) >= need:
+            top, popped = heap[0][0], []
+            while heap and heap[0][0] == top:
+                popped.append(heappop(heap)[1])
+            if len(popped) >= need:
+                counts[top] = len(popped)
+                goal = top + 1
+            else:
+                while heap and len(popped) < need - 1:
+                    popped.append(heappop(heap)[1])
+                if not heap:
+                    break
+                goal = heap[0][0]
+            for n in popped:
+                at = place[n] = bisect_left(posted, goal, place[n], ends[n])
+                if at < ends[n]:
+                    heappush(heap, (posted[at], n))
+        return counts
 
     def edges(self) -> list[tuple[int, int]]:
         """Links that join what belongs together: pairs already joined are not tested again."""
@@ -182,23 +217,16 @@ class GroupIndex:
             lists, lengths = lists[order], lengths[order]
             n_long = min(least - 1, int(least / (_MU * math.log2(max(2, int(lengths[-1]))) + 1)))
             short, probed = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-            spans = lengths[: len(short)]
-            at = np.repeat(self.starts[short] - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))
-            counts = np.bincount(self.docs[at], minlength=n)[:x]
-            maybe = np.flatnonzero((counts >= max(1, least - n_long)) & (self.sizes[:x] >= least))
-            failed: set[int] = set()
-            for y in maybe[np.argsort(-counts[maybe], kind="stable")]:
-                y = int(y)
-                if forest.find(x) == forest.find(y) or y in failed:
+            counts = self.merge_skip(short, x, least - n_long)
+            for y in sorted(counts, key=lambda y: (-counts[y], y)):
+                if self.sizes[y] < least or forest.find(x) == forest.find(y):
                     continue
                 keys = probed * n + y
                 place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                overlap = int(counts[y]) + int((self.keys[place] == keys).sum())
+                overlap = counts[y] + int((self.keys[place] == keys).sum())
                 if 100 * overlap >= self.percent * (size + int(self.sizes[y]) - overlap):
                     forest.union(x, y)
                     found.append((int(self.ids[x]), int(self.ids[y])))
-                else:
-                    failed.add(y)
         return found
 
 

@@ -87,6 +87,18 @@ def test_local_search_finds_all_links():
     assert all(classes[i] == classes[j] for i, j in linked)
 
 
+def test_merge_with_skips_counts_like_a_plain_merge():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint64)) for _ in range(25)]
+        index = GroupIndex(np.arange(25), sets, 80)
+        x = int(rng.integers(1, 25))
+        lists = rng.permutation(index.lists[x])[: int(rng.integers(1, 30))]
+        plain = np.bincount(np.concatenate([index.docs[index.starts[i] : index.starts[i + 1]] for i in lists]), minlength=25)[:x]
+        for need in (1, 2, 3, 5):
+            assert index.merge_skip(lists, x, need) == {y: int(c) for y, c in enumerate(plain) if c >= need}
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_taken_shingles_hold_what_partners_share(percent):
     rng = np.random.default_rng(3)
