@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.llm.common import table
+from lakework.llm.common import free_name, table
 
 KINDS = ("assign", "access", "hex", "checked")
 
@@ -124,7 +124,8 @@ def scan_secrets(docs: DataFrame, column: str = "secrets") -> DataFrame:
 
 def keep_without_secrets(docs: DataFrame) -> DataFrame:
     """The documents in which the scan finds nothing, with their own columns."""
-    return scan_secrets(docs, "_secrets").where(F.size("_secrets") == 0).drop("_secrets")
+    column = free_name(docs, "_secrets")
+    return scan_secrets(docs, column).where(F.size(column) == 0).drop(column)
 
 
 def span_text(column: str, kinds: tuple[str, ...] | None = None):

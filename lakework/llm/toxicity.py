@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.llm.common import table
+from lakework.llm.common import free_name, table
 
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7, 8)
-TIERS = (3.0, 5.0, 8.0)  # z-scores from which a unit counts as weak, middling, strong
+TIERS = (0.35, 0.55, 0.8)  # shares from which a unit counts as weak, middling, strong
+LEAST_TEXTS = 3  # toxic texts that hold a unit of the lexicon, or one in two hundred
+PRIOR = 5.0  # texts of the common share that every unit starts with
 WORD = re.compile(r"[^\W\d_]+")
 OBFUSCATED = re.compile(r"[^\W\d_][@$!*0134|+]+[^\W\d_]|\b(?:[^\W\d_][.\-_ ]){3,}[^\W\d_]\b")
 REPEATED = re.compile(r"([^\w\s])\1{2,}")
@@ -47,25 +49,27 @@ def units(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
-def count_units(texts: list[str]) -> Counter:
-    """In how many of the texts each unit stands."""
+def count_units(texts: list[str], only: set[str] | None = None) -> Counter:
+    """In how many of the texts each unit stands; ``only`` names the units that matter."""
     found: Counter = Counter()
     for text in texts:
-        found.update({u for w in set(WORD.findall(text.lower())) for u in units(w)})
+        own = {u for w in set(WORD.findall(text.lower())) for u in units(w)}
+        found.update(own if only is None else own & only)
     return found
 
 
 def learn_lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> dict[str, float]:
-    """z-score of the log odds of each unit between toxic and other texts; units from the weakest tier up."""
+    """Share of toxic texts among those that hold a unit, drawn to the common share; units from the weakest tier up.
+
+    A unit that stands in most texts tells nothing, however often it was counted, so it is
+    the share and not its significance that counts.
+    """
+    base = n_toxic / max(1, n_toxic + n_other)
     lexicon = {}
     for unit, a in toxic.items():
-        if a < 3:
-            continue
-        b = other.get(unit, 0)
-        odds = math.log((a + 0.5) / (n_toxic - a + 0.5)) - math.log((b + 0.5) / (n_other - b + 0.5))
-        z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if z >= TIERS[0]:
-            lexicon[unit] = round(z, 4)
+        share = (a + PRIOR * base) / (a + other.get(unit, 0) + PRIOR)
+        if a >= max(LEAST_TEXTS, n_toxic // 200) and share >= TIERS[0]:
+            lexicon[unit] = round(share, 4)
     return lexicon
 
 
@@ -211,21 +215,31 @@ class ToxicityModel:
         self.lexicon: dict[str, float] = {}
         if len(y) == 0 or y.min() == y.max():
             return
-        # Positives and the rest are dealt apart over the folds, so that each fold has its share.
+        # Positives and the rest are dealt apart over the folds, so that each has its share; copies stay together.
         fold = np.empty(len(y), np.int64)
         for label in (0, 1):
             rows = np.flatnonzero(y == label)
-            fold[rows] = np.arange(len(rows)) % FOLDS
+            order: dict[str, int] = {}
+            fold[rows] = [order.setdefault(texts[i], len(order)) % FOLDS for i in rows]
         x = np.empty((len(y), len(FEATURES)))
-        parts = [[count_units([texts[i] for i in np.flatnonzero((fold == k) & (y == v))]) for v in (0, 1)] for k in range(FOLDS)]
+        # Copies count once, or a text that is often copied would make a lexicon of its own.
+        dealt = [[sorted({texts[i] for i in np.flatnonzero((fold == k) & (y == v))}) for v in (0, 1)] for k in range(FOLDS)]
+        # Only units of several toxic texts can enter a lexicon, so the others are never held.
+        seen: Counter = Counter()
+        for own in dealt:
+            seen.update(count_units(own[1]))
+        several = {u for u, n in seen.items() if n >= LEAST_TEXTS}
+        del seen
+        parts = [[count_units(own[v], several) for v in (0, 1)] for own in dealt]
         sums = [sum((p[v] for p in parts), Counter()) for v in (0, 1)]
-        sizes = [int((y == v).sum()) for v in (0, 1)]
+        distinct = [[len(own[v]) for v in (0, 1)] for own in dealt]
+        sizes = [sum(d[v] for d in distinct) for v in (0, 1)]
         for k in range(FOLDS):
             # A row's features come from a lexicon that has not seen its label.
             left = [Counter(sums[v]) for v in (0, 1)]
             for v in (0, 1):
                 left[v].subtract(parts[k][v])
-            apart_sizes = [sizes[v] - int(((fold == k) & (y == v)).sum()) for v in (0, 1)]
+            apart_sizes = [sizes[v] - distinct[k][v] for v in (0, 1)]
             weights = _Weights(learn_lexicon(left[1], left[0], apart_sizes[1], apart_sizes[0]))
             for i in np.flatnonzero(fold == k):
                 x[i] = features(texts[i], weights)
@@ -285,8 +299,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score below ``threshold``, with their own columns."""
-    scored = score_documents(docs, fit(docs, labels), "_toxic_score")
-    return scored.where(F.col("_toxic_score") < threshold).drop("_toxic_score")
+    column = free_name(docs, "_toxic_score")
+    scored = score_documents(docs, fit(docs, labels), column)
+    return scored.where(F.col(column) < threshold).drop(column)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
