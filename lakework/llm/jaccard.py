@@ -20,8 +20,8 @@ joined through these is searched against all parts.
 
 Lists that are longer than any fair share (seen in a sketch of all lists) are counted by an
 aggregate with map-side sums; all others by a window. Exact copies are reduced to one document
-before step 1, the 100,000 largest groups of them by a broadcast table of that size, smaller ones
-in the search itself.
+before step 1, the largest groups of them by a broadcast table of at most 100,000 rows, smaller
+ones in the search itself.
 
 Defined cases: words are runs of bytes outside space and U+0009 to U+000D, A-Z lower-cased. A text
 with fewer words than a shingle is one shingle. A null text or one without words has an empty set,
@@ -282,7 +282,7 @@ def linked_components(docs: DataFrame, size: int = 5, percent: int = 80, hot_lis
     groups = stored(candidate_groups(docs, size, percent, hot_list).withColumnRenamed("node", "id"), "jaccard-groups")
     # Members grow with the documents, so they are merged at any size and never broadcast.
     members = docs.join(groups.hint("merge"), "id").select("id", "component", "text")
-    weight = F.size(F.split("text", " ")) + 1
+    weight = F.octet_length("text") / 6 + 1  # about one shingle for six bytes
     members = stored(members.withColumn("weight", weight.cast("long")), "jaccard-members")
     sizes = members.groupBy("component").agg(F.sum("weight").alias("total"), F.count("*").alias("docs"))
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("total") / group_shingles).cast("int")), "jaccard-sizes")
@@ -336,17 +336,29 @@ def _across(members: DataFrame, sizes: DataFrame, rest: DataFrame, size: int, pe
     return stored(indexed.unionAll(asked).groupBy("component", "part", "block").applyInArrow(_search(size, percent), "a long, b long"), "jaccard-edges")
 
 
+def _largest_copies(marked: DataFrame) -> DataFrame:
+    """(digest, rep) of the largest groups of exact copies, at most ``COPY_GROUPS``, each with its least id.
+
+    Groups are tallied by the power of two of their size, and whole powers are taken from the top.
+    """
+    groups = marked.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    groups = stored(groups.withColumn("power", F.floor(F.log2("copies")).cast("int")), "jaccard-copies")
+    tally = {r["power"]: r["count"] for r in groups.groupBy("power").count().collect()}  # at most 63 rows
+    least, total = 64, 0
+    for power in sorted(tally, reverse=True):
+        total += tally[power]
+        if total > COPY_GROUPS:
+            break
+        least = power
+    return groups.where(F.col("power") >= least).select("digest", "rep")
+
+
 def _linked(rows: DataFrame, size: int, percent: int, hot_list: int, group_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(digest of each row (id, text) with words, copies (digest, rep), linked documents (rep, component))."""
     filled = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     worded = rows.where(F.col("id").isNotNull() & filled)
     marked = stored(worded.select("id", digest("text").alias("digest")), "jaccard-digests")
-    # A bounded table: the largest groups of exact copies, each with its least id.
-    copies = (
-        marked.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-        .orderBy(F.desc("copies"), "digest").limit(COPY_GROUPS).select("digest", "rep")
-    )
-    copies = stored(copies, "jaccard-copies")
+    copies = _largest_copies(marked)
     single = (
         worded.withColumn("digest", digest("text")).join(F.broadcast(copies), "digest", "left")
         .where("rep IS NULL OR rep = id").select("id", "text")

@@ -121,6 +121,13 @@ def test_taken_shingles_hold_what_partners_share(percent):
         assert len(set(sorted(x)[:lx]) & set(sorted(y)[:ly])) >= max(need_x, need_y)
 
 
+def test_copies_beyond_the_table_are_found_by_the_search(documents, monkeypatch):
+    monkeypatch.setattr("lakework.llm.jaccard.COPY_GROUPS", 1)
+    rows = [(i, f"many copies of text one {'x ' * 9}") for i in range(20)] + [(i, f"two of this text here {'y ' * 9}") for i in (30, 31)] + [(40, "alone it stands")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(documents(rows), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
 def test_odd_rows(odd_documents, spark):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(odd_documents).collect()}
     assert rows == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (None, 2, None), (5, 59996, 5), (6, 1, 6)}
