@@ -60,7 +60,7 @@ class WordEncoder:
     contractions go word by word, all others to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000) -> None:
+    def __init__(self, path: str, most_words: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most = Tokenizer.from_file(path), most_words

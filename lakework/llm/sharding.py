@@ -175,7 +175,8 @@ def shard_documents(
 
     With ``capacity``, as few shards of that many bytes as best-fit finds; otherwise ``shards`` of
     sizes that are as even as the groups allow. ``grain`` is how many items make up a shard: the
-    driver packs about ``2 * grain`` items a shard, plus one for each range partition.
+    driver packs about ``2 * grain`` items a shard, plus one for each range partition, so take a
+    small one where a capacity asks for very many shards.
     """
     spark = docs.sparkSession
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))

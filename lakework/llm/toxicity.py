@@ -82,7 +82,7 @@ class _Weights(dict):
 
     def __missing__(self, word: str) -> float:
         weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = weight
         return weight
