@@ -14,6 +14,6 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE = {"op6_url_filter": urls.SQL}
+ORACLE = {"op2_embeddings": vectors.SQL, "op5_jaccard": jaccard.SQL, "op6_url_filter": urls.SQL}
 
 __all__ = ["ORACLE", "QUERIES"]

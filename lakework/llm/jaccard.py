@@ -396,3 +396,21 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w
+), p AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT x, y FROM pairs WHERE 100 * c >= 85 * (nx + ny - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, edges.y FROM reach JOIN edges ON edges.x = reach.r)
+SELECT s.doc_id, len(sh) AS n_shingles, (SELECT min(r) FROM reach WHERE d = s.doc_id) AS component_id FROM s
+"""

@@ -67,7 +67,7 @@ def estimates(bits: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> np.n
     return (signs @ rotated.T) / factor[:, None]
 
 
-def needed_estimate(factor: np.ndarray, threshold: float, confidence: float | None = None) -> np.ndarray:
+def needed_estimate(factor: np.ndarray, threshold: float, confidence: float | None = None, bits: int = 256) -> np.ndarray:
     """Least estimate at which a pair may still reach ``threshold``.
 
     Without ``confidence`` the bound is certain: the part of a code across its vector is at most
@@ -75,7 +75,8 @@ def needed_estimate(factor: np.ndarray, threshold: float, confidence: float | No
     many standard deviations of the random rotation, which is narrower and may miss pairs.
     """
     across = np.sqrt(np.maximum(0, 1 - factor**2)) / factor
-    width = across * math.sqrt(max(0.0, 1 - threshold**2)) if confidence is None else across * confidence
+    spread = 1.0 if confidence is None else confidence / math.sqrt(bits - 1)
+    width = across * math.sqrt(max(0.0, 1 - threshold**2)) * spread
     return threshold - width - _SLACK
 
 
@@ -258,3 +259,17 @@ def near_duplicates(
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT reach.d, edges.y FROM reach JOIN edges ON edges.x = reach.r),
+found AS (SELECT vec_id, (SELECT count(*) FROM edges WHERE x = vec_id) AS n_links, (SELECT min(r) FROM reach WHERE d = vec_id) AS component_id FROM embeddings)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+"""

@@ -5,7 +5,6 @@ import json
 import random
 import re
 
-import duckdb
 import pyarrow as pa
 import pytest
 
@@ -207,14 +206,6 @@ def test_verdicts(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_url_oracle(spark, sf_dir):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
-    want = sorted(con.sql(urls.SQL).fetchall(), key=str)
-    got = urls.op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", "verdict").collect()
-    assert sorted(map(tuple, got), key=str) == want
-
-
 # --- WARC
 
 

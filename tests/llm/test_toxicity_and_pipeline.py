@@ -2,11 +2,13 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
+from lakework import llm
 from lakework.llm import pii, secrets, toxicity
 from lakework.llm.packing import WINDOW
 
@@ -122,6 +124,16 @@ def test_every_dealt_query_is_registered():
     assert "op6_url_filter" in oracle_sql()
 
 
+@pytest.mark.parametrize("name", sorted(llm.ORACLE))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    theirs = con.sql(llm.ORACLE[name]).to_arrow_table()
+    ours = llm.QUERIES[name](spark, sf_dir).toArrow().select(theirs.column_names)
+    assert sorted(map(str, zip(*ours.to_pydict().values()))) == sorted(map(str, zip(*theirs.to_pydict().values())))
+
+
 def test_digest_columns(spark, sf_dir):
     for query, module, kinds in ((secrets.op9_secrets, secrets, ("assign", "access", "hex")), (pii.op8_pii, pii, pii.KINDS)):
         for r in query(spark, sf_dir).collect():
