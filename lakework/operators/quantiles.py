@@ -55,9 +55,10 @@ def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) ->
     left = [r for r in ranks if r not in found]
     open_ranges = [(-math.inf, math.inf, 0, total.n, left)] if left else []
     while open_ranges:
-        few = sum(r[3] for r in open_ranges) <= _FEW
-        cuts = _values_inside(values, open_ranges) if few else _cut_points(values, open_ranges)
-        open_ranges = _narrow(values, open_ranges, cuts, found)
+        if sum(r[3] for r in open_ranges) <= _FEW:
+            _tell(values, open_ranges, found)
+            break
+        open_ranges = _narrow(values, open_ranges, _cut_points(values, open_ranges), found)
     out = []
     for p in positions:
         a, b = found[math.floor(p)], found[math.ceil(p)]
@@ -85,6 +86,8 @@ def _place(cuts: Sequence[float]) -> Column:
 
 def _inside(values: DataFrame, ranges: list[_Range]) -> DataFrame:
     """The values in the open ranges, with the number of their range."""
+    if ranges[0][:2] == (-math.inf, math.inf):
+        return values.select("v", F.lit(0).alias("i"))
     edges = sorted({e for low, high, *_ in ranges for e in (low, high)})
     numbers = F.create_map(*[F.lit(x) for i, r in enumerate(ranges) for x in (2 * edges.index(r[1]), i)])
     return values.select("v", F.try_element_at(numbers, _place(edges)).alias("i")).where("i IS NOT NULL")
@@ -98,8 +101,15 @@ def _cut_points(values: DataFrame, ranges: list[_Range]) -> list[float]:
     return sorted({float(c) for r in sketches.collect() for c in r.cuts})  # at most _ALL_CUTS numbers
 
 
-def _values_inside(values: DataFrame, ranges: list[_Range]) -> list[float]:
-    return sorted(r.v for r in _inside(values, ranges).select("v").distinct().collect())  # at most _FEW rows
+def _tell(values: DataFrame, ranges: list[_Range], found: dict[int, float]) -> None:
+    """Find the ranks of ranges that hold few rows together, by counting each value."""
+    rows = sorted(tuple(r) for r in _inside(values, ranges).groupBy("i", "v").count().collect())  # at most _FEW rows
+    for i, (_, _, below, _, inside) in enumerate(ranges):
+        left = sorted(inside)
+        for _, v, n in (r for r in rows if r[0] == i):
+            below += n
+            while left and left[0] < below:
+                found[left.pop(0)] = v
 
 
 def _narrow(values: DataFrame, ranges: list[_Range], cuts: list[float], found: dict[int, float]) -> list[_Range]:

@@ -72,6 +72,7 @@ class CdcConfig:
 
 
 _PART = "_part"
+_TABLES_IN_MEMORY = 3  # so many tables filter the cached batch faster than it is written apart
 
 
 def _part_of(db: Column, table: Column) -> Column:
@@ -85,7 +86,8 @@ def apply_batch(
     """Write one batch of envelopes to its tables; gives a report row per table.
 
     The batch stays distributed: only the names and schemas of its tables reach the
-    driver. One pass parts it by table, so every table then reads its own rows alone.
+    driver. Where it holds several tables, one pass parts it by table, and every table then
+    reads its own rows alone.
     Tables are independent of each other, so several are written at a time.
     A failed write fails the batch. Records without a primary key are counted under
     the empty table name. ``writer`` names the sequence that the batch numbers belong to.
@@ -95,15 +97,19 @@ def apply_batch(
     try:
         states, rejected = prepare(decoded)
         shapes = table_shapes(states, config.types)
-        parted = scratch_dir(spark, "batch")
-        states.withColumn(_PART, _part_of(F.col("db_name"), F.col("table_name"))).write.partitionBy(_PART).parquet(parted)
-        own = spark.read.schema(T.StructType([*states.schema.fields, T.StructField(_PART, T.StringType())])).parquet(parted)
+        parted = scratch_dir(spark, "batch") if len(shapes) > _TABLES_IN_MEMORY else None
+        if parted:
+            states.withColumn(_PART, _part_of(F.col("db_name"), F.col("table_name"))).write.partitionBy(_PART).parquet(parted)
+            by_table = spark.read.schema(T.StructType([*states.schema.fields, T.StructField(_PART, T.StringType())])).parquet(parted)
+
+        def own(shape: TableShape) -> DataFrame:
+            return by_table.where(F.col(_PART) == _part_of(F.lit(shape.db), F.lit(shape.table))) if parted else states
 
         def write(shape: TableShape) -> tuple:
             start = time.time()
             path = table_path(config.base_path, shape.db, shape.table)
             report = upsert_table(
-                typed_rows(own.where(F.col(_PART) == _part_of(F.lit(shape.db), F.lit(shape.table))), shape, config.types), path, shape.pk, ORDER_COLUMNS,
+                typed_rows(own(shape), shape, config.types), path, shape.pk, ORDER_COLUMNS,
                 table_type=config.table_type, ordering=config.ordering, buckets=config.buckets,
                 compact_inline=config.compact_inline, max_delta_commits=config.max_delta_commits,
                 writer=writer, batch_id=batch_id,
@@ -122,7 +128,8 @@ def apply_batch(
             # The threads keep the job group of the stream, so stopping it stops their jobs.
             rows = list(pool.map(inheritable_thread_target(spark)(write), shapes))
         dropped = rejected.count()
-        drop_scratch(spark, parted)
+        if parted:
+            drop_scratch(spark, parted)
     finally:
         decoded.unpersist()
     if dropped:
