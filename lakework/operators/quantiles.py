@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Cut points of one round: for one range, and over all ranges together. Few rows are told one by one.
 _CUTS = 1024
 _ALL_CUTS = 65536
-_FEW = 65536
+_FEW = 131072
 
 
 def min_max(df: DataFrame, col: str) -> DataFrame:
