@@ -2,9 +2,8 @@
 
 The field labels white-space tokens from word-shape features. It is trained on a small labelled
 table of phrases by gradient ascent on the exact likelihood (forward-backward), and decodes by
-Viterbi over numpy batches of windows. A window is every token that holds a digit, ``@`` or an
-"at" in brackets, with two tokens on either side; a label other than "none" can stand only on
-what such a window holds, so the rest of a text needs no decoding.
+Viterbi over numpy batches of whole texts, so a run of labels has no longest length. Texts without
+a digit, ``@`` or an "at" in brackets are not decoded: no kind's test passes without one of them.
 
 Kinds, in this order: email, ip, card, phone. Spans are code points, the end exclusive. Base spans
 always stay. A labelled run is added where it overlaps no base span and passes its kind's own
@@ -174,7 +173,8 @@ class ChainField:
             for value, g, s in ((self.weights, grad, square[0]), (self.moves, moved, square[1])):
                 s += g**2
                 value += rate * g / np.sqrt(s)
-        self._cache: dict[tuple[str, ...], np.ndarray] = {}
+        self._known: dict[str, int] = {}
+        self._parts = np.zeros((1, 3, k))
 
     def _numbers(self, tokens: Sequence[str], i: int, grow: bool = False) -> list[int]:
         around = [("", tokens[i])]
@@ -202,75 +202,66 @@ class ChainField:
             edge += np.exp(ahead[i - 1][:, None] + self.moves + (emit[i] + back[i])[None] - total)
         return np.exp(ahead + back - total), edge
 
-    def emissions(self, tokens: Sequence[str]) -> np.ndarray:
-        out = np.empty((len(tokens), len(LABELS)))
-        for i in range(len(tokens)):
-            key = (tokens[i - 1] if i else "", tokens[i], tokens[i + 1] if i + 1 < len(tokens) else "")
-            if key not in self._cache:
-                if len(self._cache) > 50_000:
-                    self._cache.clear()
-                self._cache[key] = self.weights[self._numbers(tokens, i)].sum(0)
-            out[i] = self._cache[key]
+    def _part(self, token: str) -> np.ndarray:
+        """What a token adds to its own emission, to that of the token before it and of the one after it."""
+        features = token_features(token)
+        ids = ([self.index[x] for x in (f"{at}{f}" for f in features) if x in self.index] for at in ("", "+1", "-1"))
+        return np.stack([self.weights[i].sum(0) for i in ids])
+
+    def _lookup(self, tokens: Sequence[str]) -> np.ndarray:
+        """Row of every token in the table of parts; row 0 is no token."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self._known]
+        if len(self._known) + len(new) > 50_000:
+            self._known, self._parts, new = {}, self._parts[:1], list(dict.fromkeys(tokens))
+        if new:
+            self._known.update((t, len(self._parts) + i) for i, t in enumerate(new))
+            self._parts = np.concatenate([self._parts, np.stack([self._part(t) for t in new])])
+        return np.fromiter(map(self._known.__getitem__, tokens), np.int64, len(tokens))
+
+    def emissions(self, tokens: Sequence[str], lengths: Sequence[int] | None = None) -> np.ndarray:
+        """Scores of the labels of every token; ``lengths`` tells where several texts in a row end."""
+        rows = self._lookup(tokens)
+        ends = np.cumsum(lengths if lengths is not None else [len(tokens)])
+        starts = np.concatenate([[0], ends[:-1]])
+        before, after = np.concatenate([[0], rows[:-1]]), np.concatenate([rows[1:], [0]])
+        before[starts], after[ends - 1] = 0, 0
+        out = self._parts[rows, 0] + self._parts[before, 2] + self._parts[after, 1]
+        if "start" in self.index:
+            out[starts] += self.weights[self.index["start"]]
         return out
 
-    def decode(self, windows: Sequence[Sequence[str]], batch: int = 1024) -> list[np.ndarray]:
-        """Best label numbers of every window: Viterbi over padded batches of like length."""
-        best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(windows)
-        order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+    def decode(self, texts: Sequence[Sequence[str]], batch: int = 1 << 17) -> list[np.ndarray]:
+        """Best label numbers of every text: Viterbi over batches of about ``batch`` tokens, longest texts first."""
+        best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: -len(texts[i]))
         first = 0
         while first < len(order):
-            longest = len(windows[order[min(first + batch, len(order)) - 1]])
-            size = max(1, min(batch, (1 << 20) // max(1, longest)))
-            own = order[first : first + size]
-            first += size
-            lengths = np.array([len(windows[i]) for i in own])
-            steps, k = int(lengths.max()), len(LABELS)
-            emit = np.zeros((len(own), steps, k))
-            for row, i in enumerate(own):
-                emit[row, : lengths[row]] = self.emissions(windows[i])
-            score = emit[:, 0]
-            came = np.zeros((len(own), steps, k), np.int8)
-            for t in range(1, steps):
-                ways = score[:, :, None] + self.moves[None]
-                came[:, t] = ways.argmax(1)
-                score = np.where((t < lengths)[:, None], ways.max(1) + emit[:, t], score)
-            label = score.argmax(1)
-            paths = np.zeros((len(own), steps), np.int64)
-            for t in range(steps - 1, -1, -1):
-                paths[:, t] = np.where(t < lengths, label, 0)
-                label = np.where(t < lengths, came[np.arange(len(own)), t, label], label)
-            for row, i in enumerate(own):
-                best[i] = paths[row, : lengths[row]]
+            stop, held = first, 0
+            while stop < len(order) and (stop == first or held + len(texts[order[stop]]) <= batch):
+                held += len(texts[order[stop]])
+                stop += 1
+            own = order[first:stop]
+            first = stop
+            lengths = np.array([len(texts[i]) for i in own])
+            emit = self.emissions([t for i in own for t in texts[i]], lengths)
+            starts = np.cumsum(lengths) - lengths
+            # Of the texts, longest first, the first live[t] have a token t.
+            live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+            scores = [emit[starts].T]
+            for t in range(1, lengths[0]):
+                ways = scores[-1][:, None, : live[t]] + self.moves[:, :, None]
+                scores.append(ways.max(0) + emit[starts[: live[t]] + t].T)
+            paths, label = np.zeros(held, np.int64), np.zeros(0, np.int64)
+            for t in range(lengths[0] - 1, -1, -1):
+                score = scores[t]
+                came = (score[:, : len(label)] + self.moves[:, label]).argmax(0)
+                label = np.concatenate([came, score[:, len(label) :].argmax(0)])
+                paths[starts[: live[t]] + t] = label
+            for i, start, n in zip(own, starts, lengths):
+                best[i] = paths[start : start + n]
         return best
 
 
-CONTEXT = 2
-
-
-def windows_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens around those that may hold personal data, as (start, end) of each token."""
-    mark = _MARK.search(text)
-    if not mark:
-        return []
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts = np.array([s for s, _ in tokens])
-    marked, last = [], -1
-    while mark:
-        at = int(np.searchsorted(starts, mark.start(), side="right")) - 1
-        if at != last:
-            marked.append(at)
-        last = at
-        mark = _MARK.search(text, max(tokens[at][1], mark.end()))
-    out: list[list[int]] = []
-    for at in marked:
-        low, high = max(0, at - CONTEXT), min(len(tokens), at + CONTEXT + 1)
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [tokens[a:b] for a, b in out]
-
-
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     while start < end and text[start] in ".,;:!?<>\"'|":
         start += 1
@@ -291,25 +282,25 @@ def _added_holds(kind: str, text: str) -> bool:
 
 def find_personal(texts: Sequence[str | None], field: ChainField) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, added spans) of every text."""
-    out, windows, owner = [], [], []
+    out, owner, words = [], [], []
     for i, text in enumerate(texts):
         text = text or ""
         out.append((base_spans(text), []))
-        for w in windows_of(text):
-            windows.append(w)
+        if _MARK.search(text):
             owner.append(i)
-    labels = field.decode([[texts[i][s:e] for s, e in w] for w, i in zip(windows, owner)]) if windows else []
-    for w, i, path in zip(windows, owner, labels):
-        base, added = out[i]
-        t = 0
-        while t < len(w):
+            words.append(text.split())
+    for i, path in zip(owner, field.decode(words)):
+        if not path.any():
+            continue
+        (base, added), tokens, t = out[i], [m.span() for m in _TOKEN.finditer(texts[i])], 0
+        while t < len(tokens):
             if path[t] == 0:
                 t += 1
                 continue
             kind, stop = LABELS[path[t]].split("-")[1], t + 1
-            while stop < len(w) and LABELS[path[stop]] == f"next-{kind}":
+            while stop < len(tokens) and LABELS[path[stop]] == f"next-{kind}":
                 stop += 1
-            start, end = _trim(texts[i], w[t][0], w[stop - 1][1])
+            start, end = _trim(texts[i], tokens[t][0], tokens[stop - 1][1])
             apart = all(end <= s or e <= start for _, s, e in base)
             if start < end and apart and _added_holds(kind, texts[i][start:end]):
                 added.append((kind, start, end))

@@ -144,6 +144,31 @@ def test_field_learns_its_table_and_finds_new_phrases(field):
     assert [s[0] for s in found["d"][1]] == ["phone"]
 
 
+def test_spans_of_whole_texts(field):
+    wrong = []
+    for phrase in pii.LABELLED:
+        plain = re.sub(r"\{\w+\|([^}]*)\}", r"\1", phrase)
+        want = {(k, plain.index(t) + len(t)) for k, t in re.findall(r"\{(\w+)\|([^}]*)\}", phrase)}
+        for text in (plain, f"we said {plain}", f"{plain} as we said"):
+            (base, added), *_ = pii.find_personal([text], field)
+            ends = {(k, e - text.index(plain)) for k, _, e in base + added}
+            wrong += [(text, ends)] if text == plain and ends != want else []
+            assert "[dot]" not in text or ends == want, (text, ends)
+    assert len(wrong) <= 0.05 * len(pii.LABELLED), wrong
+    for long in ("anna [at] post [dot] example [dot] co [dot] uk", "anna [at] post [dot] example [dot] org"):
+        (_, added), *_ = pii.find_personal([f"some words before, mail {long} and more words"], field)
+        assert added == [("email", 24, 24 + len(long))]
+
+
+def test_batches_decode_like_single_texts(field):
+    rng = random.Random(5)
+    words = ["call", "(212)", "555-0147", "a", "[at]", "b.org", "[dot]", "the", "10.0.0.7", "4111", "tel."]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 30))] for _ in range(60)]
+    for got, tokens in zip(field.decode(texts, batch=100), texts):
+        assert got.tolist() == (field.decode([tokens])[0].tolist() if tokens else [])
+        assert not tokens or abs(field.emissions(tokens) - [field.weights[field._numbers(tokens, i)].sum(0) for i in range(len(tokens))]).max() < 1e-9
+
+
 def test_viterbi_equals_trying_all_paths(field):
     import itertools
 
