@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,18 +79,34 @@ def rows_to_df(spark: SparkSession, rows: Iterable, schema: T.StructType | str |
     return spark.createDataFrame(rows, schema)
 
 
+# Quoted names, plain names (before a colon) and the two types that a struct does not know.
+_VARIANT_SCHEMA = re.compile(r"`(?:[^`]|``)*`|([^\s`<>,:()]+)(?=: )|\bOBJECT(?=<)|\bVARIANT\b")
+
+
+def _struct_of(found: str | None) -> str | None:
+    """The schema of variant objects as that of a struct; None if no object has a field."""
+    if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
+        return None
+    types = {"OBJECT": "STRUCT", "VARIANT": "STRING"}
+    return _VARIANT_SCHEMA.sub(lambda m: f"`{m[1]}`" if m[1] else types.get(m[0], m[0]), found)
+
+
 def json_rows_to_df(texts: DataFrame) -> DataFrame:
-    """A frame of JSON texts, one column, as a frame with the schema that all of them need.
+    """A frame of JSON texts, one column, as a frame with the schema that all objects need.
 
-    One aggregate finds the schema over every row, then the texts are parsed where they
-    are. Texts that are no JSON objects give rows of NULL.
+    One aggregate finds the schema over every object, then the texts are parsed where they
+    are. Every text gives a row; NULL and texts that are no JSON objects give rows of NULL, in
+    a column ``_corrupt_record`` where no object has a field.
     """
     text = F.col(f"`{texts.columns[0]}`")
-    found = texts.agg(F.schema_of_variant_agg(F.try_parse_json(text)).alias("s")).first().s
-    fields = found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING") if found and found.startswith("OBJECT<") else None
+    value = F.try_parse_json(text)
+    objects = F.when(F.schema_of_variant(value).startswith("OBJECT<"), value)
+    fields = _struct_of(texts.agg(F.schema_of_variant_agg(objects).alias("s")).first().s)
     if fields is None:
-        return texts.select(F.lit(None).cast("string").alias("_corrupt_record")).limit(0)
-    return texts.where(text.isNotNull()).select(F.from_json(text, fields).alias("_row")).select("_row.*")
+        return texts.select(F.lit(None).cast("string").alias("_corrupt_record"))
+    # from_json takes the first object of an array, so what does not begin as an object is left out here.
+    whole = F.when(text.rlike(r"^\s*\{"), text)
+    return texts.select(F.from_json(whole, fields).alias("_row")).select("_row.*")
 
 
 def load_properties(spark: SparkSession, path: str, defaults: Mapping[str, str] | None = None) -> dict[str, str]:

@@ -203,3 +203,16 @@ def test_many_classes_of_one_column(spark):
     assert np.allclose(breaks, np.quantile(data, [i / 256 for i in range(1, 256)]))
     classed = df.select("v", quantiles.classify("v", breaks).alias("class")).toPandas()
     assert (classed["class"].to_numpy() == np.searchsorted(breaks, data, side="left")).all()
+
+
+def test_json_rows_of_mixed_texts(spark):
+    texts = ['{"k": 1, "VARIANT": {"OBJECT": 2}}', '{"k": "x", "a VARIANT": [1, "y"]}', "[1]", '[{"k": 5}]', "5", '"x"', "{bro", "null", None]
+    rows = files.json_rows_to_df(spark.createDataFrame([(t,) for t in texts], "t string"))
+    got = [r.asDict(recursive=True) for r in rows.collect()]
+    assert sorted(rows.columns) == ["VARIANT", "a VARIANT", "k"] and len(got) == len(texts)
+    assert got[0] == {"k": "1", "VARIANT": {"OBJECT": 2}, "a VARIANT": None}
+    assert got[1]["k"] == "x" and got[1]["VARIANT"] is None and got[1]["a VARIANT"] == ["1", "y"]
+    assert all(v is None for r in got[2:] for v in r.values())
+    none = files.json_rows_to_df(spark.createDataFrame([("5",), ("{}",), ("x",)], "t string"))
+    assert none.collect() == [(None,)] * 3
+    assert files.json_rows_to_df(spark.createDataFrame([], "t string")).count() == 0
