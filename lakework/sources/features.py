@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,14 +124,58 @@ def read_features(spark: SparkSession, root: str, feature: str) -> DataFrame:
     return spark.read.schema(full).parquet(path)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+_BROKEN = "_broken"
+
+
+def _json_values(spark: SparkSession, path: str, schema: T.StructType, strict: bool) -> DataFrame:
+    """The JSON values of every file, each with its own layout: one value in all, or one a line.
+
+    A file whose first line is a whole value with a type has one a line. Any other is one value if
+    it parses as such, and else lines of which the first is broken. The driver sees one row of counts.
+    """
+    kept = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    read = spark.read.schema(kept).option("columnNameOfCorruptRecord", _BROKEN)
+    place, columns = F.col("_metadata.file_path").alias("_file"), [f.name for f in schema]
+    lines = read.json(path).select("*", place, F.col("_metadata.file_block_start").alias("_at"))
+    numbered = lines.withColumn("_line", F.struct("_at", F.monotonically_increasing_id()))
+    files = numbered.groupBy("_file").agg(
+        F.min_by(F.col(_BROKEN).isNull() & F.col("type").isNotNull(), "_line").alias("whole"), F.count_if(F.col(_BROKEN).isNotNull()).alias("broken")
+    )
+    once = read.json(path, multiLine=True).select("*", place).where(F.col(_BROKEN).isNull() & F.col("type").isNotNull())
+    once = once.join(files.where("NOT whole").select("_file"), "_file", "left_semi")
+    apart = once.select("_file")
+
+    def counts(files: DataFrame):
+        faulty = F.col("broken") > 0
+        return files.agg(
+            F.count_if(~F.col("whole")).alias("others"), F.sum("broken").alias("lines"), F.count_if(faulty).alias("files"),
+            F.min(F.when(faulty, F.col("_file"))).alias("one"),
+        ).first()
+
+    found = counts(files)
+    mixed = found.others > 0
+    if mixed:
+        found = counts(files.join(apart, "_file", "left_anti"))
+    if found.lines:
+        said = f"{found.lines} lines in {found.files} files are no JSON, as in {found.one}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(f"{said}; they are left out", stacklevel=3)
+    values = lines.where(F.col(_BROKEN).isNull())
+    if not mixed:
+        return values.select(columns)
+    return values.join(apart, "_file", "left_anti").select(columns).unionAll(once.select(columns))
+
+
+def read_geojson(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Features of GeoJSON: a FeatureCollection per file, or one feature per line.
 
     ``id`` (of the feature, or of its properties), ``type`` of the geometry, ``geom`` the
     outer ring of a polygon, ``polygons`` all polygons with all their rings (holes follow
     the outer one), ``points`` the positions of points and lines, ``geometry`` its JSON text
-    and ``properties`` all properties as text. A collection is one JSON value, so a file of it
-    is read by one task; large sets come as lines.
+    and ``properties`` all properties as text. Each file is told apart by itself. A collection
+    over several lines is one JSON value, so a file of it is read by one task; large sets come as
+    lines. Lines that are no JSON are counted in a warning and left out, or raise if ``strict``.
     """
     position = T.ArrayType(T.DoubleType())
     ring = T.ArrayType(position)
@@ -143,10 +189,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     )
     schema = T.StructType([*feature.fields, T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(feature))])
     one = F.array(F.struct("id", "properties", "geometry"))
-    lines = spark.read.text(path)
-    # A line that is a whole JSON object stands alone; otherwise the file is one value.
-    single = lines.where(F.trim("value") != "").select(F.try_parse_json("value").isNotNull().alias("whole")).agg(F.min("whole").alias("w")).first().w
-    read = spark.read.schema(schema).json(path, multiLine=not single)
+    read = _json_values(spark, path, schema, strict)
     features = read.select(F.explode(F.coalesce("features", F.when(F.col("type") == "Feature", one))).alias("f"))
     parsed = features.select("f.id", "f.properties", F.col("f.geometry").alias("geometry"), F.from_json("f.geometry", geometry).alias("g"))
     kind, text = F.col("g.type"), F.col("g.coordinates")

@@ -304,3 +304,23 @@ def test_sql_functions_equal_the_column_functions(spark):
         tiles.st_log("a")["cells"].alias("log"), g.st_extent(g.st_geometry("extent")).alias("box"),
     ).first()
     assert (row.less, row.rgb, row.log, row.box) == tuple(want) and row.inside and row.corners == 33
+
+
+def test_geojson_files_keep_their_own_layout(spark, tmp_path):
+    def line(i):
+        return json.dumps({"type": "Feature", "id": i, "properties": {"n": i}, "geometry": {"type": "Point", "coordinates": [i, 1]}})
+
+    def pretty(*ids):
+        return '{\n"type": "FeatureCollection",\n"features": [\n' + ",\n".join(map(line, ids)) + "\n]\n}\n"
+
+    folder = tmp_path / "mixed set"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join([line(1), "", line(2), '{"type": "Feature", "prop', line(3)]))
+    (folder / "b.json").write_text("\n".join(['{"type":', line(4), line(5)]))
+    (folder / "c.json").write_text(pretty(6, 7))
+    (folder / "d.json").write_text(json.dumps(json.loads(pretty(8, 9))))
+    with pytest.warns(UserWarning, match="2 lines in 2 files"):
+        assert sorted(r.id for r in features.read_geojson(spark, str(folder)).collect()) == list(range(1, 10))
+    with pytest.raises(ValueError, match="2 lines"):
+        features.read_geojson(spark, str(folder), strict=True)
+    assert sorted(r.id for r in features.read_geojson(spark, str(folder / "c.json"), strict=True).collect()) == [6, 7]
