@@ -31,8 +31,15 @@ from lakework.llm.common import table
 _SKIP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z!?][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+# A quote opens a value right after "=" only, as in HTML; elsewhere it is a part of a name or of a value.
+_S = r"[ \t\n\r\f]"
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_ATTRIBUTES = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_S}*+={_S}*+(?:{_VALUE})?+)?+)*+"
+_TAG = re.compile(rf"<(?:(/?)([a-zA-Z][^\s>/]*+)({_ATTRIBUTES})|[!?][a-zA-Z!?\[-]?+[^>]*+)(?:>|\Z)")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*+={_S}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*+))?+)?+")
+# Comments, and scripts and styles with their start tag in group 1.
+_BODY = re.compile(rf"<!--.*?(?:-->|\Z)|(<(script|style)(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)).*?(?:</\2\s*>|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html"
@@ -52,21 +59,30 @@ def without_scripts(page: str) -> str:
     return _SKIP.sub(" ", page)
 
 
+def without_bodies(page: str) -> str:
+    """The page without comments and what scripts and styles hold; their start tags stay."""
+    return _BODY.sub(lambda m: m[1] or " ", page)
+
+
 def plain_text(page: str) -> str:
     """Text of a page that holds no scripts: block elements break lines; entities resolved."""
-    page = _TAG.sub(lambda m: "\n" if m[2].lower() in _BLOCK else "", page)
+    page = _TAG.sub(lambda m: "\n" if m[2] and m[2].lower() in _BLOCK else "", page)
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(page))).strip()
 
 
-def page_metadata(page: str, target: str | None) -> dict:
-    """Title, meta tags and links of a page that holds no scripts; relative links are resolved against the target where that is possible."""
+def page_metadata(page: str, target: str | None, tags: str | None = None) -> dict:
+    """Title, meta tags and links of a page that holds no scripts; relative links are resolved against the target where that is possible.
+
+    ``tags`` is the page that meta tags and links are taken from, if another: one that has the start tags of its scripts.
+    """
     title = _TITLE.search(page)
     found: dict = {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Metas": [], "Links": []}
-    for m in _TAG.finditer(page):
-        name = m[2].lower()
+    for m in _TAG.finditer(page if tags is None else tags):
+        name = (m[2] or "").lower()
         if m[1] or name not in _LINKS and name != "meta":
             continue
-        pairs = {a[1].lower(): html.unescape(next(v for v in a.groups()[1:] if v is not None)) for a in _ATTRIBUTE.finditer(m[3])}
+        given = ((a[1].lower(), next((v for v in a.groups()[1:] if v is not None), None)) for a in _ATTRIBUTE.finditer(m[3]))
+        pairs = {k: html.unescape(v) for k, v in given if v is not None}
         if name == "meta":
             found["Metas"].append(pairs)
         elif (link := pairs.get(_LINKS[name])) is not None:
@@ -95,7 +111,7 @@ def derive(source: dict) -> list[dict]:
             "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": source["record_id"], **kept, "WARC-Payload-Digest": digest},
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
-                    "Headers": http, "HTML-Metadata": page_metadata(page, source["target_uri"]),
+                    "Headers": http, "HTML-Metadata": page_metadata(page, source["target_uri"], page if page == payload else without_bodies(payload)),
                     "Entity-Length": len(data), "Entity-Digest": digest,
                 }
             },

@@ -248,6 +248,30 @@ def test_text_and_links_of_a_page():
     assert warc.plain_text("<p " * 20_000) == ""
 
 
+def test_stray_quotes_do_not_cut_a_page():
+    text = lambda page: warc.plain_text(warc.without_scripts(page))
+    assert text('<a href=/x">one</a> two three four') == "one two three four"
+    assert text("<p title=it's>Hello</p><p>more text don't stop</p>end") == "Hello\nmore text don't stop\nend"
+    assert text('<p "x>a</p><b class="q" ">c</b><i a = \'>\' b=">" c>d</i><!DOCTYPE a "b>e') == "a\ncde"
+    assert text('<p a=b"c>d</p><p =">e</p>f') == "d\ne\nf"
+    page = '<a href=/x">1</a><a href="/y"id=3>2</a><img alt=it\'s src=/z><a title="a>b" href = \'/w\'>3</a>'
+    assert [x["url"] for x in warc.page_metadata(page, None)["Links"]] == ['/x"', "/y", "/z", "/w"]
+
+
+def test_links_of_scripts_and_hidden_parts():
+    page = (
+        "<svg><title>icon</title></svg><title>T</title><script async data-x='>' src=/a.js>document.write('<a href=/no>')</script><!-- <img src=/no> -->"
+        "<style>a:before{content:'<img src=/no>'}</style><noscript><img src=/b.png></noscript><p>x<a href=/c>y</a></p>"
+    )
+    source = {"payload": page, "record_id": "r", "target_uri": "http://h.org/", "date": None, "http_headers": None}
+    meta, text = (r["block"] for r in warc.derive(source))
+    found = json.loads(meta)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+    assert [(x["path"], x["url"]) for x in found["Links"]] == [
+        ("SCRIPT@/src", "http://h.org/a.js"), ("IMG@/src", "http://h.org/b.png"), ("A@/href", "http://h.org/c"),
+    ]
+    assert found["Title"] == "T" and text == "T\nxy"
+
+
 def test_records_point_back_to_their_response(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "<p>Hé</p>"), (1, "http://a.org/", "<p>Hé</p>"), (2, None, None), (3, "", ""), (None, "u", "x" * 300_000)], "page_id long, url string, html string")
     responses = {r["record_id"]: r for r in warc.page_responses(pages, "2024-01-01T00:00:00Z").collect()}
