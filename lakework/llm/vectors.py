@@ -7,11 +7,13 @@ factor ``a``. For a second vector ``y`` the inner product of the first's code wi
 ``a``. Pairs whose bound lies under the threshold are dropped, every other pair is computed anew in
 double precision, so no reported link depends on an estimate.
 
-Candidates come from slices of the code: each of several tables groups the vectors by some of
-their bits. The bits per table grow with the number of vectors, so that a bucket holds a few tens
-of unrelated ones, and the number of tables follows from the wanted recall at the threshold. A
-pair that meets in several tables counts in the first. A bucket above ``BUCKET_ROWS`` is dealt out
-over pairs of its parts, so none is ever cut off and no task holds one whole.
+Candidates come from an exact cover, so no link is lost. Every vector is at home in the cell of the
+nearest of a few sampled pivots. Two vectors within the threshold's angle of each other differ by no
+more than that angle in their distance to any pivot, so each visits every other cell whose pivot is
+at most twice the angle farther than its own; the two meet in the bucket of their cells, and only
+there. Where distances to the pivots hardly differ, as among random vectors of many dimensions, this
+compares all pairs. A cell above four times ``BUCKET_ROWS`` is dealt out over parts, so none is ever
+cut off and no task holds one whole.
 
 Equal vectors are one class with a count from the start; links to and among copies are counted.
 
@@ -36,7 +38,9 @@ from lakework.llm.components import Forest, connected_components
 
 BUCKET_TARGET = 32
 BUCKET_ROWS = 2048
+PIVOTS = 4096
 _SLACK = 1e-5
+_ANGLE_SLACK = 1e-3
 
 
 def rotations(dim: int, bits: int, seed: int = 11) -> np.ndarray:
@@ -87,102 +91,97 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def table_keys(bits: np.ndarray, width: int, tables: int) -> np.ndarray:
-    """The key of every table: ``width`` own bits of the code each."""
-    weights = (1 << np.arange(width, dtype=np.int64))[None, :]
-    return np.stack([(bits[:, t * width : (t + 1) * width] * weights).sum(axis=1) for t in range(tables)], axis=1)
-
-
 def link_bucket(
-    ids: np.ndarray, copies: np.ndarray, side: np.ndarray, raw: np.ndarray, codes: np.ndarray, factor: np.ndarray,
-    rotation: np.ndarray, width: int, tables: int, own: int, threshold: float,
+    ids: np.ndarray, copies: np.ndarray, side: np.ndarray, raw: np.ndarray, rotation: np.ndarray, threshold: float
 ) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each class in this bucket (counting copies), and edges that span the links found.
 
     ``side`` parts a bucket in two of which only pairs across count; one value means all pairs.
     """
-    n, size = len(ids), rotation.shape[0]
-    bits = np.unpackbits(codes, axis=1, count=size).astype(bool)
-    unit = unit_rows(raw)
+    n, order = len(ids), np.argsort(side, kind="stable")
+    ids, copies, side = ids[order], copies[order], side[order]
+    unit = unit_rows(raw[order])
     rotated = unit.astype(np.float32) @ rotation.T
+    bits, factor = encode(unit, rotation)
     links, forest, edges = np.zeros(n, np.int64), Forest(n), []
-    needed = needed_estimate(factor, threshold)
-    both = side.min() != side.max()
-    for first in range(0, n, 512):
-        rows = slice(first, min(n, first + 512))
-        maybe = estimates(bits[rows], factor[rows], rotated) >= needed[rows, None]
-        a, b = np.nonzero(maybe)
-        a += first
-        keep = (a < b) & ((side[a] != side[b]) if both else True)
-        a, b = a[keep], b[keep]
+    needed = needed_estimate(factor.astype(np.float64), threshold, bits=rotation.shape[0])
+    both = side[0] != side[-1]
+    split = int(np.searchsorted(side, side[-1])) if both else n
+    for first in range(0, split, 512):
+        rows, start = slice(first, min(split, first + 512)), split if both else first
+        a, b = np.nonzero(estimates(bits[rows], factor[rows], rotated[start:]) >= needed[rows, None])
+        a, b = a + first, b + start
+        a, b = a[a < b], b[a < b]
         if not len(a):
             continue
         near = np.empty(len(a), bool)
         for at in range(0, len(a), 1 << 15):
             near[at : at + (1 << 15)] = (unit[a[at : at + (1 << 15)]] * unit[b[at : at + (1 << 15)]]).sum(axis=1) >= threshold
         a, b = a[near], b[near]
-        if own and len(a):
-            keys = table_keys(bits, width, own)
-            fresh = np.ones(len(a), bool)
-            for t in range(own):
-                fresh &= keys[a, t] != keys[b, t]
-            a, b = a[fresh], b[fresh]
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
         edges += [(int(ids[i]), int(ids[j])) for i, j in zip(a, b) if forest.union(int(i), int(j))]
-    return links, edges
+    back = np.empty(n, np.int64)
+    back[order] = links
+    return back, edges
+
+
+def visited_cells(unit: np.ndarray, pivots: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of every unit vector, mask of the cells in which it may have links, its own among them)."""
+    if pivots is None:
+        return np.zeros(len(unit), np.int64), np.ones((len(unit), 1), bool)
+    angles = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+    home = angles.argmin(axis=1)
+    widest = angles[np.arange(len(unit)), home] + 2 * math.acos(max(-1.0, min(1.0, threshold))) + _ANGLE_SLACK
+    return home, angles <= widest[:, None]
 
 
-def _encode_batches(field: str, dtype: str, width: int, tables: int):
+def _cell_batches(field: str, dtype: str, pivots: dict[int, np.ndarray], threshold: float, home_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for first in range(0, batch.num_rows, 4096):
-                part = batch.slice(first, 4096)
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
                 column = part.column(part.schema.get_field_index(field))
                 lengths = np.diff(np.asarray(column.offsets))
                 values = column.flatten().to_numpy(zero_copy_only=False)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
-                for dim in np.unique(lengths):
+                for dim in map(int, np.unique(lengths)):
                     rows = np.flatnonzero(lengths == dim)
-                    dim = int(dim)
-                    if dim not in known:
-                        known[dim] = rotations(dim, max(256, width * tables))
                     raw = values[(ends[rows][:, None] + np.arange(dim)[None, :])].astype(dtype)
-                    bits, factor = encode(unit_rows(raw), known[dim])
-                    keys = table_keys(bits, width, tables)
-                    codes = np.packbits(bits, axis=1)
-                    at = pa.array(rows)
-                    ids, copies = (part.column(part.schema.get_field_index(c)).take(at) for c in ("rep", "copies"))
-                    blob = pa.array([r.tobytes() for r in raw], pa.binary())
-                    code = pa.array([c.tobytes() for c in codes], pa.binary())
-                    for t in range(tables):
+                    home, mask = visited_cells(unit_rows(raw), pivots.get(dim), threshold)
+                    if home_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim), pa.int32()), pa.array(home, pa.int64())], ["dim", "home"])
+                        continue
+                    blob = pa.array([x.tobytes() for x in raw], pa.binary())
+                    ids, copies = (part.column(part.schema.get_field_index(c)).take(pa.array(rows)) for c in ("rep", "copies"))
+                    for cell in np.flatnonzero(mask.any(axis=0)):
+                        own = np.flatnonzero(mask[:, cell])
+                        at = pa.array(own)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), dim), pa.int32()), pa.array(np.full(len(rows), t), pa.int32()), pa.array(keys[:, t]),
-                             ids, copies, blob, code, pa.array(factor, pa.float32())],
-                            ["dim", "tab", "bits", "rep", "copies", "raw", "code", "factor"],
+                            [pa.array(np.full(len(own), dim), pa.int32()), pa.array(home[own], pa.int64()), pa.array(np.full(len(own), cell), pa.int64()),
+                             ids.take(at), copies.take(at), blob.take(at)],
+                            ["dim", "home", "cell", "rep", "copies", "raw"],
                         )
 
     return run
 
 
-_KEY = ("dim", "tab", "bits", "low", "high")
+_KEY = ("dim", "low", "high")
 
 
-def _link_batches(dtype: str, width: int, tables: int, threshold: float):
+def _link_batches(dtype: str, threshold: float):
     """Buckets stand together and sorted; each is handled as soon as its last row has come."""
 
     def flush(parts: list[pa.RecordBatch], known: dict[int, np.ndarray]):
         rows = pa.Table.from_batches(parts).combine_chunks()
-        if rows.num_rows < 2:
+        ids, copies, side = (rows[c].to_numpy() for c in ("rep", "copies", "side"))
+        if rows.num_rows < 2 or (rows["low"][0] != rows["high"][0] and side.min() == side.max()):
             return
-        dim, own = rows["dim"][0].as_py(), rows["tab"][0].as_py()
+        dim = rows["dim"][0].as_py()
         if dim not in known:
-            known[dim] = rotations(dim, max(256, width * tables))
+            known[dim] = rotations(dim, 256)
         raw = np.frombuffer(b"".join(rows["raw"].to_pylist()), dtype).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        ids, copies, side, factor = (rows[c].to_numpy() for c in ("rep", "copies", "chunk", "factor"))
-        links, edges = link_bucket(ids, copies, side, raw, codes, factor.astype(np.float64), known[dim], width, tables, own, threshold)
+        links, edges = link_bucket(ids, copies, side, raw, known[dim], threshold)
         hit = np.flatnonzero(links)
         if len(hit):
             yield pa.RecordBatch.from_arrays(
@@ -216,7 +215,7 @@ def _link_batches(dtype: str, width: int, tables: int, threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, id_column: str = "vec_id", column: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", column: str = "embedding"
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; see the module for the method and the defined cases."""
     kind = vectors.schema[column].dataType.elementType.typeName()
@@ -229,20 +228,27 @@ def near_duplicates(
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable")
     classes = stored(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    width, tables = plan_tables(classes.count(), threshold, recall)
-    keyed = classes.mapInArrow(
-        _encode_batches("v", dtype, width, tables), "dim int, tab int, bits long, rep long, copies long, raw binary, code binary, factor float"
-    )
-    bucket = ["dim", "tab", "bits"]
-    large = keyed.groupBy(bucket).count().where(F.col("count") > BUCKET_ROWS).select(*bucket, F.ceil(F.col("count") / (BUCKET_ROWS // 2)).cast("int").alias("parts"))
-    parted = keyed.join(large, bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    parted = parted.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parted = parted.select(
-        *bucket, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "copies", "raw", "code", "factor"
-    )
+    n = classes.count()
+    wanted = min(PIVOTS, max(1, min(16, n // 64), -(-n // (2 * BUCKET_ROWS))))
+    sampled: dict[int, list[list[float]]] = {}
+    for row in classes.orderBy(F.xxhash64("v", "rep"), "rep").select("v").limit(wanted).collect():  # at most PIVOTS
+        sampled.setdefault(len(row["v"]), []).append(row["v"])
+    pivots = {dim: unit_rows(np.array(v)) for dim, v in sampled.items()}
+    keyed = classes.mapInArrow(_cell_batches("v", dtype, pivots, threshold, False), "dim int, home long, cell long, rep long, copies long, raw binary")
+    homes = classes.mapInArrow(_cell_batches("v", dtype, pivots, threshold, True), "dim int, home long").groupBy("dim", "home").count()
+    large = stored(homes.where(F.col("count") > 4 * BUCKET_ROWS).withColumn("parts", F.ceil(F.col("count") / (2 * BUCKET_ROWS))), "vector-cells")
+    parts = large.select("dim", "home", "parts"), large.select("dim", F.col("home").alias("cell"), F.col("parts").alias("others"))
+    parted = keyed.withColumn("parts", F.lit(1)).withColumn("others", F.lit(1))
+    if not large.isEmpty():
+        parted = keyed.join(parts[0], ["dim", "home"], "left").join(parts[1], ["dim", "cell"], "left")
+        parted = parted.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "others")})
+    # A part of a cell is the cell's number times 2 ** 32 and the number of the part.
+    parted = parted.withColumn("side", F.shiftleft("home", 32) + F.pmod(F.xxhash64("rep"), F.col("parts")))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    parted = parted.withColumn("other", F.shiftleft("cell", 32) + F.col("other"))
+    parted = parted.select("dim", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "copies", "raw")
     dealt = parted.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    found = stored(dealt.mapInArrow(_link_batches(dtype, width, tables, threshold), "a long, b long, links long"), "vector-links")
+    found = stored(dealt.mapInArrow(_link_batches(dtype, threshold), "a long, b long, links long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.where("b IS NOT NULL"))
     told = (

@@ -77,3 +77,17 @@ def test_odd_vectors(spark, kind):
 def test_tables_grow_with_the_vectors():
     sizes = [plan_tables(n, 0.95, 0.995) for n in (10, 10_000, 1_000_000, 100_000_000)]
     assert sizes == sorted(sizes) and sizes[-1][1] < 120
+
+
+def test_no_link_is_lost_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((1500, 64))
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.9501 * x + np.sqrt(1 - 0.9501**2) * away])
+    rows = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    links, component = brute(both)
+    assert [r["n_links"] for r in rows] == links.tolist() and [r["component_id"] for r in rows] == component.tolist()
+    assert links.min() >= 1
