@@ -6,12 +6,14 @@ all free is marked again and again, and one that is partly taken is cut to its f
 share of an item's tokens that tiles cover does not depend on their order, so passages that were
 reordered or interrupted are caught.
 
-Tokens are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The benchmark is
+Tokens are runs of ASCII letters, digits and non-ASCII characters other than white space and
+punctuation, lower-cased; a script that sets no spaces gives one token a phrase. The benchmark is
 the stated query set: it goes to the executors in blocks of a bounded size (``block_bytes``), one
 pass over the documents for each block, so its size is never a limit.
 
-Defined cases: a null text has no tokens. An item shorter than ``min_match`` tokens is matched
-as a whole; one without tokens matches nothing. Repeated rows and items are reported row by row.
+Defined cases: a null text has no tokens. An item shorter than ``min_match`` tokens matches only a
+document that has its tokens and no others; one without tokens matches nothing. An item with a null
+id is not in the pairs, but judges documents in ``keep_uncontaminated``. Repeated rows and items are reported row by row.
 Ties between matches go to the earlier one in the document, then in the item. Empty tables give
 an empty result. Other columns than id and text are not read by the pairs.
 """
@@ -34,6 +36,7 @@ THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
 _TABLE_BITS = 20
 
+_OTHER_SEPARATORS = "[\u0085\\p{Z}\\p{P}]"
 SEPARATOR = np.ones(256, bool)
 for _first, _last in ((48, 58), (97, 123), (128, 256)):
     SEPARATOR[_first:_last] = False
@@ -41,7 +44,11 @@ for _first, _last in ((48, 58), (97, 123), (128, 256)):
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts and the row of each token."""
-    data, offsets = text_bytes(pc.utf8_lower(texts))
+    texts = pc.utf8_lower(texts)
+    wide = pc.invert(pc.string_is_ascii(texts)).fill_null(False)
+    if wide.true_count:
+        texts = pc.replace_with_mask(texts, wide, pc.replace_substring_regex(texts.filter(wide), _OTHER_SEPARATORS, " "))
+    data, offsets = text_bytes(texts)
     hashes, rows, _, _ = word_hashes(data, offsets, SEPARATOR)
     return hashes, rows
 
@@ -87,6 +94,7 @@ class SeedIndex:
         ends = np.searchsorted(rows, np.arange(len(ids) + 1))
         self.ids, self.items = list(ids), [hashes[a:b] for a, b in zip(ends, ends[1:])]
         found: dict[int, list[tuple[int, int, int]]] = {}
+        self.min_match = min_match
         self.widths = [min(min_match, len(item)) for item in self.items]
         for n, (item, width) in enumerate(zip(self.items, self.widths)):
             for j, h in enumerate(window_hashes(item, width) if width else ()):
@@ -119,6 +127,8 @@ class SeedIndex:
         for (row, n), seeds in sorted(shared.items()):
             item = self.items[n]
             width = self.widths[n]
+            if len(item) < self.min_match and starts[row + 1] - starts[row] != len(item):
+                continue
             reach = np.zeros(len(item) + 1, np.int64)
             for j in {j for _, j in seeds}:
                 reach[j] += 1
@@ -138,9 +148,9 @@ _FOUND = (
 )
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of about ``block_bytes``; a block at a time is on the driver."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The items in blocks of about ``block_bytes``, those with a null id if ``unnamed``; a block at a time is on the driver."""
+    items = benchmark.where(F.lit(unnamed) | F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
@@ -186,7 +196,7 @@ def contaminated_pairs(
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that no item contaminates, with their own columns. Rows are judged by their text, not by id."""
     kept = docs
-    for ids, texts in _blocks(benchmark, BLOCK_BYTES):
+    for ids, texts in _blocks(benchmark, BLOCK_BYTES, unnamed=True):
         shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

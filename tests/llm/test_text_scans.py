@@ -69,6 +69,15 @@ def test_contaminated_pairs(documents, spark):
     assert tiling.contaminated_pairs(docs.limit(0), items).count() == 0
 
 
+def test_short_items_nameless_items_and_other_separators(documents, spark):
+    words = "the quick brown fox jumps over the lazy dog".split()
+    docs = documents([(1, "Yes"), (2, "he said yes to all of it"), (3, "yes yes"), (4, "\u2014".join(words)), (5, "\u201c" + "\u00a0".join(words) + "\u201d"), (6, "\u3000".join("a b c d e f".split()))])
+    items = spark.createDataFrame([(1, "yes!"), (2, " ".join(words)), (None, "a b c d e f")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in tiling.contaminated_pairs(docs, items).collect())
+    assert got == [(1, 1, 1.0), (4, 2, 1.0), (5, 2, 1.0)]
+    assert sorted(r["doc_id"] for r in tiling.keep_uncontaminated(docs, items).collect()) == [2, 3]
+
+
 # --- secrets
 
 PLAIN_SECRETS = (
