@@ -1,6 +1,6 @@
 """Operators for training-data pipelines; each module holds one operator, its query and its SQL."""
 
-from lakework.llm import jaccard, packing, pii, secrets, sharding, tiling, toxicity, urls, vectors, warc
+from lakework.llm import jaccard, packing, pieces, pii, secrets, sharding, tiling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLE = {"op2_embeddings": vectors.SQL, "op5_jaccard": jaccard.SQL, "op6_url_filter": urls.SQL}
 
