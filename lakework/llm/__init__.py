@@ -1,6 +1,6 @@
 """Operators for training-data pipelines; each module holds one operator, its query and its SQL."""
 
-from lakework.llm import jaccard, negatives, packing, pieces, pii, secrets, sharding, tiling, toxicity, urls, vectors, warc
+from lakework.llm import jaccard, lexical, negatives, packing, pieces, pii, secrets, sharding, tiling, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
@@ -13,9 +13,16 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
-ORACLE = {"op2_embeddings": vectors.SQL, "op5_jaccard": jaccard.SQL, "op6_url_filter": urls.SQL, "op12_hard_negatives": negatives.SQL}
+ORACLE = {
+    "op2_embeddings": vectors.SQL,
+    "op5_jaccard": jaccard.SQL,
+    "op6_url_filter": urls.SQL,
+    "op11_lexical_search": lexical.SQL,
+    "op12_hard_negatives": negatives.SQL,
+}
 
 __all__ = ["ORACLE", "QUERIES"]
