@@ -80,34 +80,44 @@ def st_contains(area: Column | str, point: Column | str, kind: str = "box") -> C
     return _inside_ring(area, point["x"], point["y"])
 
 
-def _inside_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over the ring's edges, minus the points on an edge."""
-    starts = F.slice(ring, 1, F.size(ring) - 1)
-    ends = F.slice(ring, 2, F.size(ring) - 1)
+def ring_edges(ring: Column) -> Column:
+    """The edges of a ring as ``array<struct<p,q>>``, from each point to the next."""
+    starts = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
+    ends = F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.zip_with(starts, ends, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
 
-    def side(p: Column, q: Column) -> Column:
-        return (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
+def inside_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over edges, minus the points on an edge.
+
+    A point's ray runs to larger x, so edges wholly to its left, above or below it may be left out.
+    """
 
-    def edge(p: Column, q: Column) -> Column:
+    def test(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        side = (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
         upward = q["y"] > p["y"]
-        crossed = ((p["y"] > y) != (q["y"] > y)) & ((upward & (side(p, q) > 0)) | (~upward & (side(p, q) < 0)))
+        crossed = ((p["y"] > y) != (q["y"] > y)) & ((upward & (side > 0)) | (~upward & (side < 0)))
         touches = (
-            (side(p, q) == 0)
+            (side == 0)
             & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]))
             & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
         )
         return F.struct(crossed.alias("crossed"), touches.alias("touches"))
 
-    edges = F.zip_with(starts, ends, edge)
     # One pass: a negative count marks a touched edge.
     crossings = F.aggregate(
-        edges,
+        F.transform(edges, test),
         F.lit(0),
         lambda n, e: F.when((n < 0) | e["touches"], F.lit(-1)).otherwise(n + e["crossed"].cast("int")),
     )
     return (crossings > 0) & (crossings % 2 == 1)
 
 
+def _inside_ring(ring: Column, x: Column, y: Column) -> Column:
+    return inside_edges(ring_edges(ring), x, y)
+
+
 def st_contains_polygon(points: list[tuple[float, float]], point: Column | str) -> Column:
     """Containment in a literal polygon, with its bounding box as a cheap first test.
 
