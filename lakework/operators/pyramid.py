@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakework.functions.curves import interleave
 from lakework.functions.tiles import cells_of, make_tile
 from lakework.operators.cells import tile_columns, unique_tiles
 from lakework.operators.layers import KEY
@@ -16,15 +17,7 @@ from lakework.session import cut_lineage
 
 def z_key(col: Column | str, row: Column | str, bits: int = 31) -> Column:
     """Z-curve position of a key: the bits of col and row in turn, col lowest."""
-    c = F.col(col) if isinstance(col, str) else col
-    r = F.col(row) if isinstance(row, str) else row
-
-    def spread(v: Column, shift: int) -> Column:
-        v = v.cast("long")
-        parts = [F.shiftleft(F.shiftright(v, i).bitwiseAND(F.lit(1)), 2 * i + shift) for i in range(bits)]
-        return reduce(lambda a, b: a + b, parts)
-
-    return spread(c, 0) + spread(r, 1)
+    return interleave([F.col(v) if isinstance(v, str) else v for v in (col, row)], bits)
 
 
 def _halved(cells: Column, cols: int, rows: int) -> Column:

@@ -632,6 +632,20 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "layer_window",
+    f"SELECT tile_col, tile_row, column_index, row_index, band_1 FROM ({CELLS}) WHERE tile_col BETWEEN 3 AND 13 AND tile_row BETWEEN 2 AND 9",
+)
+def _(spark, sf_dir):
+    """A window of a stored layer, asked for as ranges of its Z key."""
+    root = scratch_dir(spark, "layers")
+    layer_store.write_layer(frames.band_layer(spark, sf_dir, "band_1").withColumn("zoom", F.lit(5)), root, "scene")
+    window = layer_store.load_window(spark, root, "scene", 5, (3, 2), (13, 9))
+    return cell_ops.explode_tiles(window, ["band_1"]).select(
+        F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"), "column_index", "row_index", "band_1"
+    )
+
+
 @query("image_store", f"SELECT {_PLACE}, band_2 FROM ({CELLS})")
 def _(spark, sf_dir):
     root = scratch_dir(spark, "images")

@@ -108,6 +108,19 @@ def _(spark, sf_dir):
     return stored.select("__fid__", "name", F.col("dtg").cast("timestamp_ntz").alias("dtg"), "geom.x", "geom.y")
 
 
+@query(
+    "features_during_by_index",
+    f"SELECT __fid__, name, x, y FROM ({_EVENTS}) WHERE x BETWEEN -90 AND 60 AND y BETWEEN -40.5 AND 52"
+    " AND dtg > TIMESTAMP '2024-01-05 00:00:00' AND dtg < TIMESTAMP '2024-01-20 12:00:00'",
+)
+def _(spark, sf_dir):
+    """The same box and time, asked of a feature type with an index by place and time."""
+    root = scratch_dir(spark, "features")
+    features.write_features(event_features(spark, sf_dir), root, "events", create=True, time="dtg", period=24 * 3600)
+    found = features.read_during(spark, root, "events", -90, -40.5, 60, 52, "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    return found.select("__fid__", "name", "geom.x", "geom.y")
+
+
 @query("feature_count", "SELECT 2 * count(*) AS n, 2 * count(DISTINCT event_type) AS names FROM events")
 def _(spark, sf_dir):
     """Appended twice without ids: every feature gets one of its own."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import warnings
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakework.functions.geometry import st_point
+from lakework.functions.curves import curve_ranges, in_ranges, interleave, place, place_of
+from lakework.functions.geometry import bbox_during, st_point
 from lakework.operators.pyramid import z_key
 from lakework.sources import hadoop
 
@@ -79,30 +83,108 @@ def create_feature(spark: SparkSession, root: str, feature: str, spec: str) -> N
     hadoop.write_text_once(spark, f"{_place(root, feature)}/_spec", spec)
 
 
-def write_features(df: DataFrame, root: str, feature: str, create: bool = False) -> None:
+_BIN, _CELL = "_bin", "_cell"
+_BITS = 20  # of each of x, y and the time within its bin
+BOUNDS = (-180.0, -90.0, 180.0, 90.0)
+WEEK = 7 * 24 * 3600
+
+
+def write_features(
+    df: DataFrame, root: str, feature: str, create: bool = False, time: str | None = None,
+    bounds: tuple[float, float, float, float] = BOUNDS, period: int = WEEK,
+) -> None:
     """Append features to a type that exists; ``create`` declares it from the frame first.
 
     Features without an id get a random one. Rows are ranged by the Z key of the point, so
-    every file covers a small box and box filters skip the others by their statistics.
+    every file covers a small box and box filters skip the others by their statistics. With
+    ``time``, a column that the type then keeps as its index, they are ranged by place and time
+    instead: by bins of ``period`` seconds, and within a bin by a curve over x, y and the time,
+    whose key is stored. Place outside ``bounds`` counts as their edge.
     """
     spark = df.sparkSession
     if not hadoop.exists(spark, f"{_place(root, feature)}/_spec"):
         if not create:
             raise FileNotFoundError(f"feature type {feature!r} does not exist")
+        if time is not None:
+            index = {"time": time, "bounds": list(bounds), "period": period}
+            hadoop.write_text_once(spark, f"{_place(root, feature)}/_index", json.dumps(index))
         create_feature(spark, root, feature, schema_to_spec(df.schema))
     schema = spec_to_schema(hadoop.read_text(spark, f"{_place(root, feature)}/_spec"))
+    index = _index_of(spark, root, feature)
+    if time is not None and (index is None or index["time"] != time):
+        raise ValueError(f"feature type {feature!r} has no index by {time!r}")
     given = F.col(FID).cast("string") if FID in df.columns else F.lit(None).cast("string")
     rows = df.select(
         F.coalesce(given, F.uuid()).alias(FID),
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema],
     )
-    point = next((f.name for f in schema if f.dataType == POINT), None)
-    if point:
+    point = _point_of(schema)
+    if index is not None:
+        keyed = rows.withColumns(_space_time_key(F.col(f"{point}.x"), F.col(f"{point}.y"), F.unix_micros(F.col(index["time"])), index))
+        rows = keyed.repartitionByRange(_BIN, _CELL).sortWithinPartitions(_BIN, _CELL)
+    elif point:
         rows = rows.withColumn("_z", _point_key(F.col(f"{point}.x"), F.col(f"{point}.y")))
         rows = rows.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
     rows.write.mode("append").parquet(_place(root, feature))
 
 
+def _point_of(schema: T.StructType) -> str | None:
+    return next((f.name for f in schema if f.dataType == POINT), None)
+
+
+def _index_of(spark: SparkSession, root: str, feature: str) -> dict | None:
+    path = f"{_place(root, feature)}/_index"
+    return json.loads(hadoop.read_text(spark, path)) if hadoop.exists(spark, path) else None
+
+
+def _space_time_key(x: Column, y: Column, micros: Column, index: dict) -> dict[str, Column]:
+    """The bin of a time, and the position of (x, y, time in the bin) on the curve; NULL where one is NULL."""
+    (x0, y0, x1, y1), width = index["bounds"], index["period"] * 1_000_000
+    bin_ = F.floor(micros / width)
+    within = place(F.pmod(micros, F.lit(width)), 0, width, _BITS)
+    known = x.isNotNull() & y.isNotNull() & micros.isNotNull()
+    cell = interleave([place(x, x0, x1, _BITS), place(y, y0, y1, _BITS), within], _BITS)
+    return {_BIN: F.when(known, bin_.cast("int")), _CELL: F.when(known, cell)}
+
+
+def during_ranges(index: dict, box: tuple[float, float, float, float], first: int, last: int, max_ranges: int = 32):
+    """(first bin, last bin, key ranges) that cover a box and the microseconds from ``first`` to ``last``.
+
+    The first and the last bin have ranges of their own, all between them share one set.
+    """
+    (x0, y0, x1, y1), width = index["bounds"], index["period"] * 1_000_000
+    low = [place_of(box[0], x0, x1, _BITS), place_of(box[1], y0, y1, _BITS)]
+    high = [place_of(box[2], x0, x1, _BITS), place_of(box[3], y0, y1, _BITS)]
+    whole = (0, (1 << _BITS) - 1)
+    start, stop = (place_of(t % width, 0, width, _BITS) for t in (first, last))
+    a, b = first // width, last // width
+    spans = [(a, a, start, stop)] if a == b else [(a, a, start, whole[1]), (a + 1, b - 1, *whole), (b, b, whole[0], stop)]
+    return [(u, v, curve_ranges((*low, s), (*high, e), _BITS, max_ranges)) for u, v, s, e in spans if u <= v]
+
+
+def read_during(
+    spark: SparkSession, root: str, feature: str, xmin: float, ymin: float, xmax: float, ymax: float, t1: str, t2: str, max_ranges: int = 32
+) -> DataFrame:
+    """The features of an indexed type in a box, edges included, strictly between two instants.
+
+    Bins and key ranges are compared in the scan, so files and row groups elsewhere in place or time
+    are skipped; the features' own place and time decide what is left.
+    """
+    index = _index_of(spark, root, feature)
+    if index is None:
+        raise ValueError(f"feature type {feature!r} has no index by place and time")
+    schema = spec_to_schema(hadoop.read_text(spark, f"{_place(root, feature)}/_spec"))
+    stored = T.StructType([T.StructField(FID, T.StringType()), *schema.fields, T.StructField(_BIN, T.IntegerType()), T.StructField(_CELL, T.LongType())])
+    rows = spark.read.schema(stored).parquet(_place(root, feature))
+    first, last = spark.range(1).select(*(F.unix_micros(F.lit(t).cast("timestamp")) for t in (t1, t2))).first()
+    if first is None or last is None or first >= last or xmin > xmax or ymin > ymax:
+        near = rows.where(F.lit(False))
+    else:
+        spans = during_ranges(index, (xmin, ymin, xmax, ymax), first, last, max_ranges)
+        near = rows.where(reduce(or_, [F.col(_BIN).between(a, b) & in_ranges(F.col(_CELL), ranges) for a, b, ranges in spans]))
+    return bbox_during(near, xmin, ymin, xmax, ymax, t1, t2, _point_of(schema), index["time"]).drop(_BIN, _CELL)
+
+
 def _point_key(x: Column, y: Column) -> Column:
     """Z key of a point on a grid of a thousandth of a unit, with zero on a coarse line of the curve.
 

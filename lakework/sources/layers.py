@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakework.functions.curves import curve_ranges, in_ranges
 from lakework.functions.tiles import cols_of, rows_of
 from lakework.operators.cells import tile_columns
 from lakework.operators.layers import KEY
@@ -79,6 +80,36 @@ def load_layers(spark: SparkSession, root: str, catalog: DataFrame) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def window_ranges(first: tuple[int, int], last: tuple[int, int], max_ranges: int = 32) -> list[tuple[int, int]]:
+    """Z ranges of a window of tile keys (col, row), both corners included; negative keys follow the others."""
+    half = 1 << 31
+    sides = []
+    for a, b in zip(first, last):
+        pieces = [(max(a, 0), min(b, half - 1)), (half + max(a, -half), half + min(b, -1))]
+        sides.append([(lo, hi) for lo, hi in pieces if lo <= hi])
+    boxes = [(c, r) for c in sides[0] for r in sides[1]]
+    each = max(1, max_ranges // max(1, len(boxes)))
+    return sorted(z for (c0, c1), (r0, r1) in boxes for z in curve_ranges((c0, r0), (c1, r1), 31, each))
+
+
+def load_window(
+    spark: SparkSession, root: str, name: str, zoom: int, first: tuple[int, int], last: tuple[int, int], max_ranges: int = 32
+) -> DataFrame:
+    """The tiles of a stored layer from key ``first`` to key ``last``, (col, row), both included.
+
+    The window is asked for as a few ranges of the Z key, in the order of which the files lie, so
+    all others are skipped by their statistics; the keys themselves decide what is left.
+    """
+    entries = read_layer_catalog(spark, root).where((F.col("layer.id.name") == name) & (F.col("layer.id.zoom") == zoom))
+    columns = entries.select("columns").first()
+    if columns is None:
+        raise ValueError(f"no layer {name!r} at zoom {zoom}")
+    tiles = _tiles(spark, root, columns[0]).where((F.col("name") == name) & (F.col("zoom") == zoom))
+    near = tiles.where(in_ranges(F.col("z"), window_ranges(first, last, max_ranges)))
+    inside = F.col(f"{KEY}.col").between(first[0], last[0]) & F.col(f"{KEY}.row").between(first[1], last[1])
+    return near.where(inside).drop("z")
+
+
 def write_image(df: DataFrame, root: str, image_id: int, level: int) -> None:
     """Store one pyramid level of an image."""
     tagged = df.withColumns({"image": F.lit(image_id), "level": F.lit(level)})
