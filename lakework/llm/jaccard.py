@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakework.llm.common import digest, slices, stored, table, text_bytes, window_hashes, word_hashes
+from lakework.llm.common import digest, free_name, slices, stored, table, text_bytes, window_hashes, word_hashes
 from lakework.llm.components import Forest, connected_components
 
 SEPARATOR = np.zeros(256, bool)
@@ -54,6 +54,7 @@ SKETCH_SEGMENTS = 64
 COPY_GROUPS = 100_000
 GROUP_SHINGLES = 100_000
 LEAST_SHARED = 32
+_FILLED = "[^\\x20\\x09-\\x0D]"
 _MU = 0.0085  # weight of a long list's length in choosing how many to probe
 
 
@@ -355,8 +356,7 @@ def _largest_copies(marked: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, size: int, percent: int, hot_list: int, group_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(digest of each row (id, text) with words, copies (digest, rep), linked documents (rep, component))."""
-    filled = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    worded = rows.where(F.col("id").isNotNull() & filled)
+    worded = rows.where(F.col("id").isNotNull() & F.col("text").rlike(_FILLED))
     marked = stored(worded.select("id", digest("text").alias("digest")), "jaccard-digests")
     copies = _largest_copies(marked)
     single = (
@@ -381,17 +381,44 @@ def jaccard_components(
     return out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+_REPEATED_FROM = 1 << 62  # keys of rows whose id is not theirs alone; they come after all ids below
+
+
+def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """The documents with a key that tells rows apart, and whether any key is not the row's id.
+
+    It is the id where no other row has it, and else made of text and id, so that only rows equal
+    in both share one.
+    """
+    own = F.col("doc_id").cast("long")
+    shared = docs.groupBy(own.alias("doc_id")).count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(key))
+    shared = stored(shared, "jaccard-shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn(key, own), False
+    made = F.xxhash64(digest("text"), own).bitwiseAND(F.lit(_REPEATED_FROM - 1)) + F.lit(_REPEATED_FROM)
+    joined = docs.join(shared, own == F.col(key), "left")
+    return joined.withColumn(key, F.when(own.isNull() | F.col(key).isNotNull(), made).otherwise(own)), True
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least id, with its own columns.
+    """One row of each component, with its own columns; rows are judged by their text.
 
-    Rows that repeat one id are one document and stay or go together; a row with a null id stays.
+    The row with the least id stays; rows whose id is null or repeats come after the others. Of rows
+    equal in text and id one stays; rows of one id but unlike texts are judged apart. Rows without words stay.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    key = free_name(docs, "_key")
+    keyed, some_shared = _keyed(docs, key)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = keyed.select(F.col(key).alias("id"), "text")
     marked, copies, joined = _linked(rows, size, percent, 20_000, GROUP_SHINGLES)
     copied = marked.join(F.broadcast(copies), "digest").where("id <> rep").select("id")
-    gone = copied.unionAll(joined.where("rep <> component").select("rep")).distinct().select(F.col("id").alias("doc_id"))
+    gone = copied.unionAll(joined.where("rep <> component").select("rep")).distinct().select(F.col("id").alias(key))
     # What goes grows with the documents, so it is merged at any size and never broadcast.
-    return docs.join(stored(gone, "jaccard-gone").hint("merge"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    kept = keyed.join(stored(gone, "jaccard-gone").hint("merge"), key, "left_anti")
+    if some_shared:
+        again = F.coalesce((F.col(key) >= _REPEATED_FROM) & F.col("text").rlike(_FILLED), F.lit(False))
+        kept = kept.where(~again).unionAll(kept.where(again).dropDuplicates([key]))
+    return kept.select(*names)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ and the rates of capitals, punctuation, repeated marks and obfuscated spellings.
 labels of the row itself nor language, source or id enter a score.
 
 Defined cases: a null text is scored as the empty text. Repeated rows and ids are scored row by
-row. A label that is null or belongs to no document is left out. Without labelled rows of both
-classes every score is the share of toxic labels (0 without labels). An empty table gives an
+row. A label that is null or belongs to no document is left out. Of labels of one id that clash, toxic
+counts; a document whose id repeats teaches once, by the least of its texts. Without labelled rows
+of both classes every score is the share of toxic labels (0 without labels). An empty table gives an
 empty result. Columns other than the named ones are not read.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.llm.common import free_name, table
+from lakework.llm.common import free_name, stored, table
 
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -268,15 +269,39 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> ToxicityModel:
-    """Fit on at most ``max_rows`` labelled rows in the order of a hash of their id; held-out ids are never used."""
-    rows = (
+MAX_ROWS, MAX_BYTES = 12_000, 64 << 20
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> pa.Table:
+    """(doc_id, text, toxic) of the documents to learn from, one row per id, in the order of their ids.
+
+    Of the labelled documents that are there, those with the first hashes of their id are taken, up to
+    ``max_rows`` and as long as their texts fit ``max_bytes`` together; a text above a sixteenth of
+    that is left out. Where labels of one id clash, toxic counts; where texts do, the least one.
+    """
+    told = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
-    return ToxicityModel([t or "" for t in texts["text"].to_pylist()], texts["toxic"].to_pylist())
+    there = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    rows = told.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = stored(rows, "toxicity-labels")  # at most max_rows rows of two numbers
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    size = F.octet_length("text").cast("long")
+    texts = texts.where(size <= max_bytes // 16).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = stored(texts.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("place")), "toxicity-texts")
+    sizes = texts.select("place", "doc_id", size.alias("size")).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    fitting = int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), max_bytes, side="right"))
+    if fitting < sizes.num_rows:
+        last = sizes.slice(fitting, 1).to_pylist()[0]
+        texts = texts.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc_id") < last["doc_id"])))
+    return texts.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Fit on the rows of :func:`labelled_texts`, whose bounds it takes; held-out ids are never used."""
+    rows = labelled_texts(docs, labels, max_rows, max_bytes)
+    return ToxicityModel(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "toxic_score") -> DataFrame:

@@ -74,6 +74,111 @@ def test_only_rows_that_are_not_held_out_teach(documents, spark):
     assert toxicity.keep_civil(docs.limit(0), labels).count() == 0
 
 
+def test_what_teaches_is_bounded(documents, spark):
+    taught = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    often, long, clash = taught[:3]
+    docs = documents([*((i, f"text {i}") for i in range(300) if i not in (often, long)), *((often, f"{k:05d} " + "x" * 500) for k in range(3000)), (long, "y" * 50_000)])
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(300)), (clash, 0), (clash, 1), *((i, 1) for i in range(100_000, 140_000))], "doc_id long, toxic int")
+    rows = toxicity.labelled_texts(docs, labels).to_pylist()
+    assert [r["doc_id"] for r in rows] == [i for i in taught if i < 300]  # absent labels do not use up the rows
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[often]["text"] == "00000 " + "x" * 500 and by_id[clash]["toxic"] == 1
+    few = toxicity.labelled_texts(docs, labels, max_rows=20).to_pylist()
+    assert len(few) == 20 and all(r in rows for r in few)
+    small = toxicity.labelled_texts(docs, labels, max_bytes=16_000).to_pylist()
+    assert long not in {r["doc_id"] for r in small} and len(small) == len(rows) - 1
+    tiny = toxicity.labelled_texts(docs, labels, max_bytes=600).to_pylist()
+    assert 0 < len(tiny) < len(rows) and sum(len(r["text"]) for r in tiny) <= 600
+
+
+def plain_tree(x, edges, gradient, hessian, depth, least, ridge):
+    """The leaf value of every row by a tree that is grown by trying each cut."""
+    score = lambda rows: gradient[rows].sum() ** 2 / (hessian[rows].sum() + ridge)
+    leaves = np.zeros(len(x))
+
+    def grow(rows, level):
+        best = (1e-6, None)
+        if level < depth and len(rows):
+            for f, cuts in enumerate(edges):
+                for cut in cuts:
+                    left, right = rows[x[rows, f] < cut], rows[x[rows, f] >= cut]
+                    if hessian[left].sum() < least / 4 or hessian[right].sum() < least / 4:
+                        continue
+                    gain = score(left) + score(right) - score(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (left, right))
+        if best[1] is None:
+            leaves[rows] = gradient[rows].sum() / (hessian[rows].sum() + ridge)
+        else:
+            grow(best[1][0], level + 1)
+            grow(best[1][1], level + 1)
+
+    grow(np.arange(len(x)), 0)
+    return leaves
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_grow_as_by_trying_each_cut(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.random((120, 3)), 1 + seed % 2)
+    y = (x[:, 0] + 0.3 * rng.standard_normal(120) > 0.5).astype(float)
+    model = toxicity.BoostedTrees(rounds=1, depth=3, rate=1.0, bins=8)
+    model.fit(x, y)
+    rate = y.mean()
+    want = plain_tree(x, model.edges, y - rate, np.full(120, rate * (1 - rate)), 3, model.least, model.ridge)
+    assert np.allclose(model.margin(x) - model.start, want)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_calibration_is_the_least_squares_increasing_fit(seed):
+    rng = np.random.default_rng(seed)
+    margins, y = rng.permutation(60).astype(float), (rng.random(60) < 0.4).astype(float)
+    at, rate = toxicity.isotonic(margins, y)
+    own = y[np.argsort(margins)]
+    n = len(own)
+    # The fit at a place is the largest over starts of the least over ends of the means between them.
+    fit = [max(min(own[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    levels = sorted(set(np.round(fit, 12)))
+    sizes = [sum(np.isclose(fit, v)) for v in levels]
+    assert np.allclose(rate, np.maximum.accumulate([(v * m + 0.01) / (m + 0.02) for v, m in zip(levels, sizes)]))
+    ends = np.cumsum(sizes)
+    assert np.allclose(at, [np.sort(margins)[e - m : e].mean() for e, m in zip(ends, sizes)])
+
+
+def jaccard(a, b):
+    words = lambda t: t.lower().split()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words(a), words(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if all(sets) else 0
+
+
+def test_near_duplicate_stage_against_brute_force(spark, documents):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(rng.randint(6, 80))) for _ in range(40)]
+    near = [t.replace(t.split()[0], "changed", 1) for t in texts[:15]]
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(near)), *((200 + i, texts[i]) for i in range(10))]
+    rows += [(5, texts[20]), (5, "a text of its own with the id of another one"), (None, texts[30]), (None, texts[30]), (None, "nameless text that stands only here once")]
+    rows += [(300, texts[31]), (300, texts[31]), (301, "twice the same row of text and id"), (301, "twice the same row of text and id"), (7, ""), (7, None), (None, " ")]
+    rng.shuffle(rows)
+    docs = documents(rows)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, None).collect()]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8 and label[i] != label[j]:
+                label = [label[j] if v == label[i] else v for v in label]
+    groups = {}
+    for row, v in zip(rows, label):
+        groups.setdefault(v, []).append(row)
+    ids = [i for i, _ in rows]
+    alone = lambda row: row[0] is not None and ids.count(row[0]) == 1
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        here = [k for k in kept if k in members]
+        assert len(here) >= 1
+        if any(map(alone, members)):
+            assert min(m for m in members if alone(m)) in here
+
+
 def test_held_out_scores_rank_the_labels(spark, sf_dir):
     rows = toxicity.op10_toxicity(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
@@ -113,21 +218,22 @@ def test_stages_take_and_give_documents(spark, sf_dir, tmp_path):
 
 def test_stages_pass_odd_and_empty_tables(spark, odd_documents, sf_dir):
     for docs in (odd_documents, odd_documents.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, docs, sf_dir)
-            assert kept.schema == docs.schema and kept.count() == docs.count()
+            again = docs.count() - docs.distinct().count() if name == "near duplicates" else 0  # a row that repeats goes
+            assert kept.schema == docs.schema and kept.count() == docs.count() - again
 
 
 def test_every_dealt_query_is_registered():
     found = queries()
-    assert all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 11)) and "pipeline" in found
+    assert all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 14)) and "pipeline" in found
     assert "op6_url_filter" in oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLE))
 def test_queries_match_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     theirs = con.sql(llm.ORACLE[name]).to_arrow_table()
     ours = llm.QUERIES[name](spark, sf_dir).toArrow().select(theirs.column_names)
