@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.llm.common import slices, table, text_bytes, window_hashes, word_hashes
+from lakework.llm.common import slices, stored, table, text_bytes, window_hashes, word_hashes
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
-BLOCK_BYTES = 16 << 20
-_TABLE_BITS = 20
+BLOCK_BYTES = 8 << 20
+PROBED = 4  # places of a block that a seed may stand in and be probed in any case
+CHAIN = 4  # blocks of items that one job of keep_uncontaminated asks for
 
 _OTHER_SEPARATORS = "[\u0085\\p{Z}\\p{P}]"
 SEPARATOR = np.ones(256, bool)
@@ -87,59 +88,131 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, seeds: Sequence[tuple[int, i
 
 
 class SeedIndex:
-    """The seeds of a block of items, per seed width, behind a small bit table."""
-
-    def __init__(self, ids: Sequence[int], texts: Sequence[str | None], min_match: int = MIN_MATCH) -> None:
-        hashes, rows = tokens(pa.array([t or "" for t in texts], pa.large_string()))
-        ends = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.ids, self.items = list(ids), [hashes[a:b] for a, b in zip(ends, ends[1:])]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        self.min_match = min_match
-        self.widths = [min(min_match, len(item)) for item in self.items]
-        for n, (item, width) in enumerate(zip(self.items, self.widths)):
-            for j, h in enumerate(window_hashes(item, width) if width else ()):
-                found.setdefault(width, []).append((int(h), n, j))
-        self.tables = {}
-        for width, seeds in found.items():
-            seeds.sort()
-            keys = np.array([s[0] for s in seeds], np.uint64)
-            bits = np.zeros(1 << _TABLE_BITS, bool)
-            bits[keys >> np.uint64(64 - _TABLE_BITS)] = True
-            self.tables[width] = (keys, np.array([s[1:] for s in seeds], np.int64), bits)
-
-    def search(self, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """The seeds of a block of items, as sorted arrays behind a small bit table.
+
+    An item is probed through its rare seeds only. Seeds that many items share are left out as long
+    as all that are left out cover less of the item than the threshold asks for: a document that
+    reaches the threshold then holds a probed seed as well, and a stem that is common to thousands of
+    items is never paired out.
+    """
+
+    def __init__(self, ids: pa.Array | Sequence[int], texts: pa.Array | Sequence[str | None], min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> None:
+        self.ids = ids if isinstance(ids, pa.Array) else pa.array(list(ids), pa.int64())
+        self.min_match, self.threshold, n = min_match, threshold, len(self.ids)
+        texts = texts if isinstance(texts, pa.Array) else pa.array([t or "" for t in texts], pa.large_string())
+        parts = [(first, *tokens(texts.slice(first, last - first))) for first, last in slices(text_bytes(texts)[1])]
+        self.tokens = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
+        rows = np.concatenate([np.zeros(0, np.int64), *(p[2] + p[0] for p in parts)])
+        self.starts = np.searchsorted(rows, np.arange(n + 1))
+        self.sizes = np.diff(self.starts)
+        at = np.arange(max(0, len(self.tokens) - min_match + 1))
+        at = at[rows[at] == rows[at + min_match - 1]] if len(at) else at
+        seeds = window_hashes(self.tokens, min_match)[at]
+        owner = rows[at].astype(np.int32)
+        order = np.argsort(seeds, kind="stable")
+        seeds = seeds[order]
+        new = np.ones(len(seeds), bool)
+        new[1:] = seeds[1:] != seeds[:-1]
+        ends = np.append(np.flatnonzero(new), len(seeds))
+        shared = np.empty(len(seeds), np.int32)  # in how many places of the block each seed stands
+        shared[order] = np.repeat(np.diff(ends), np.diff(ends))
+        left_out = self._left_out(at, owner, shared)
+        # What the seeds that are not probed cover of every item.
+        self.hidden = self._covered(at[left_out], owner[left_out])
+        probed = order[~left_out[order]]
+        self.keys = seeds[~left_out[order]]
+        self.item, self.place = owner[probed], (at[probed] - self.starts[owner[probed]]).astype(np.int32)
+        self.bits = np.zeros(1 << max(10, (4 * len(self.keys)).bit_length()), bool)
+        self.shift = np.uint64(64 - (len(self.bits).bit_length() - 1))
+        self.bits[self.keys >> self.shift] = True
+        short = np.flatnonzero((self.sizes > 0) & (self.sizes < min_match))
+        self.short: dict[tuple[int, int], list[int]] = {}
+        for i in short.tolist():
+            self.short.setdefault(_whole(self.item_tokens(i)), []).append(i)
+
+    def _covered(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """How many tokens of each item the seeds at the token positions ``at`` cover."""
+        steps = np.bincount(at, minlength=len(self.tokens) + 1) - np.bincount(at + self.min_match, minlength=len(self.tokens) + 1)[: len(self.tokens) + 1]
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(steps[: len(self.tokens)]) > 0)])
+        return inside[self.starts[1:]] - inside[self.starts[:-1]]
+
+    def _left_out(self, at: np.ndarray, owner: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Which seeds need no probe: per item all above the least count that leaves less than the threshold uncovered."""
+        left_out, settled = np.zeros(len(at), bool), np.zeros(len(self.sizes), bool)
+        bound = PROBED
+        while not settled.all() and (shared > bound).any():
+            over = shared > bound
+            fits = self._covered(at[over], owner[over]) < self.threshold * self.sizes
+            own = fits & ~settled
+            left_out |= over & own[owner]
+            settled |= fits
+            bound *= 4
+        return left_out
+
+    def item_tokens(self, n: int) -> np.ndarray:
+        return self.tokens[self.starts[n] : self.starts[n + 1]]
+
+    def candidates(self, seeds: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+        """(row, item) of the pairs whose probed seeds may reach the threshold, with what the others could cover."""
+        maybe = at[self.bits[seeds[at] >> self.shift]]
+        low = np.searchsorted(self.keys, seeds[maybe], side="left")
+        count = np.searchsorted(self.keys, seeds[maybe], side="right") - low
+        ends = np.cumsum(count)
+        if not len(ends) or not ends[-1]:
+            return []
+        entry = np.arange(ends[-1]) + np.repeat(low - ends + count, count)
+        pair = np.repeat(rows[maybe], count).astype(np.int64) * len(self.sizes) + self.item[entry]
+        # Each place of an item counts once, however often the document repeats it.
+        places = np.lexsort((self.place[entry], pair))
+        pair, place = pair[places], self.place[entry][places]
+        first = np.ones(len(pair), bool)
+        first[1:] = (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])
+        pairs, hits = np.unique(pair[first], return_counts=True)
+        item = pairs % len(self.sizes)
+        able = hits * self.min_match + self.hidden[item] >= self.threshold * self.sizes[item]
+        return [(int(p) // len(self.sizes), int(p) % len(self.sizes)) for p in pairs[able]]
+
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         """(row, item number, tiles) of every pair that reaches the threshold."""
         hashes, rows = tokens(texts)
         starts = np.searchsorted(rows, np.arange(len(texts) + 1))
-        shared: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for width, (keys, places, bits) in self.tables.items():
-            seeds = window_hashes(hashes, width)
-            if not len(seeds):
-                continue
-            maybe = np.flatnonzero(bits[seeds >> np.uint64(64 - _TABLE_BITS)])
-            maybe = maybe[rows[maybe] == rows[maybe + width - 1]]
-            low = np.searchsorted(keys, seeds[maybe], side="left")
-            high = np.searchsorted(keys, seeds[maybe], side="right")
-            for at, a, b in zip(maybe[high > low], low[high > low], high[high > low]):
-                row = int(rows[at])
-                for n, j in places[a:b]:
-                    shared.setdefault((row, int(n)), []).append((int(at - starts[row]), int(j)))
-        for (row, n), seeds in sorted(shared.items()):
-            item = self.items[n]
-            width = self.widths[n]
-            if len(item) < self.min_match and starts[row + 1] - starts[row] != len(item):
-                continue
+        if self.short:
+            for row in np.flatnonzero((np.diff(starts) > 0) & (np.diff(starts) < self.min_match)).tolist():
+                own = hashes[starts[row] : starts[row + 1]]
+                for n in self.short.get(_whole(own), ()):
+                    yield row, n, [(0, 0, len(own))]
+        seeds = window_hashes(hashes, self.min_match)
+        if not len(seeds) or not len(self.keys):
+            return
+        at = np.arange(len(seeds))
+        at = at[rows[at] == rows[at + self.min_match - 1]]
+        seen, order, ordered = -1, at, seeds
+        for row, n in self.candidates(seeds, at, rows):
+            if row != seen:
+                own = seeds[starts[row] : starts[row + 1] - self.min_match + 1]
+                seen, order = row, np.argsort(own, kind="stable")
+                ordered = own[order]
+            item = self.item_tokens(n)
+            wanted = window_hashes(item, self.min_match)
+            low = np.searchsorted(ordered, wanted, side="left")
+            count = np.searchsorted(ordered, wanted, side="right") - low
             reach = np.zeros(len(item) + 1, np.int64)
-            for j in {j for _, j in seeds}:
-                reach[j] += 1
-                reach[j + width] -= 1
-            if (np.cumsum(reach[:-1]) > 0).sum() < threshold * len(item):
+            np.add.at(reach, np.flatnonzero(count), 1)
+            np.add.at(reach, np.flatnonzero(count) + self.min_match, -1)
+            if (np.cumsum(reach[:-1]) > 0).sum() < self.threshold * len(item):
                 continue
-            tiles = greedy_tiles(hashes[starts[row] : starts[row + 1]], item, seeds, width)
-            if sum(t[2] for t in tiles) >= threshold * len(item):
+            ends = np.cumsum(count)
+            places = order[np.arange(ends[-1]) + np.repeat(low - ends + count, count)]
+            pairs = zip(places.tolist(), np.repeat(np.arange(len(wanted)), count).tolist())
+            tiles = greedy_tiles(hashes[starts[row] : starts[row + 1]], item, list(pairs), self.min_match)
+            if sum(t[2] for t in tiles) >= self.threshold * len(item):
                 yield row, n, tiles
 
 
+def _whole(own: np.ndarray) -> tuple[int, int]:
+    return len(own), int(window_hashes(own, len(own))[0])
+
+
 _FOUND = (
     ("item_id", "long", pa.int64()), ("item_tokens", "long", pa.int64()), ("matched_tokens", "long", pa.int64()),
     ("n_tiles", "long", pa.int64()), ("longest_tile", "long", pa.int64()), ("coverage", "double", pa.float64()),
@@ -148,7 +221,7 @@ _FOUND = (
 )
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Iterator[tuple[list[int | None], list[str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Iterator[tuple[pa.Array, pa.Array]]:
     """The items in blocks of about ``block_bytes``, those with a null id if ``unnamed``; a block at a time is on the driver."""
     items = benchmark.where(F.lit(unnamed) | F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -156,7 +229,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> It
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         if rows.num_rows:
-            yield rows["item_id"].to_pylist(), rows["text"].to_pylist()
+            rows = rows.combine_chunks()
+            yield rows["item_id"].chunk(0), rows["text"].chunk(0)
 
 
 def contaminated_pairs(
@@ -169,7 +243,7 @@ def contaminated_pairs(
     schema = source.select(F.col(f"`{id_column}`"), *(F.lit(None).cast(kind).alias(name) for name, kind, _ in _FOUND)).schema
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(SeedIndex(ids, texts, min_match))
+        shared = spark.sparkContext.broadcast(SeedIndex(ids, texts, min_match, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -178,11 +252,11 @@ def contaminated_pairs(
                 _, offsets = text_bytes(column)
                 for first, last in slices(offsets):
                     owner, rows = [], []
-                    for row, n, tiles in index.search(column.slice(first, last - first), threshold):
+                    for row, n, tiles in index.search(column.slice(first, last - first)):
                         owner.append(first + row)
-                        size, matched = len(index.items[n]), sum(t[2] for t in tiles)
+                        size, matched = int(index.sizes[n]), sum(t[2] for t in tiles)
                         listed = [{"doc_token": i, "item_token": j, "length": k} for i, j, k in tiles]
-                        rows.append((index.ids[n], size, matched, len(tiles), max(t[2] for t in tiles), matched / size, listed))
+                        rows.append((index.ids[n].as_py(), size, matched, len(tiles), max(t[2] for t in tiles), matched / size, listed))
                     if rows:
                         yield pa.RecordBatch.from_arrays(
                             [keys.take(pa.array(owner, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(_FOUND))],
@@ -193,11 +267,16 @@ def contaminated_pairs(
     return out
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that no item contaminates, with their own columns. Rows are judged by their text, not by id."""
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that no item contaminates, with their own columns. Rows are judged by their text, not by id.
+
+    Blocks of items follow each other in one pass; beyond ``CHAIN`` of them what is left is written in between.
+    """
     kept = docs
-    for ids, texts in _blocks(benchmark, BLOCK_BYTES, unnamed=True):
-        shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(ids, texts))
+    for k, (ids, texts) in enumerate(_blocks(benchmark, block_bytes, unnamed=True)):
+        if k and k % CHAIN == 0:
+            kept = stored(kept, "uncontaminated")
+        shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(ids, texts, threshold=threshold))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,7 +284,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
                 clean = np.ones(batch.num_rows, bool)
                 _, offsets = text_bytes(column)
                 for first, last in slices(offsets):
-                    for row, _, _ in shared.value.search(column.slice(first, last - first), threshold):
+                    for row, _, _ in shared.value.search(column.slice(first, last - first)):
                         clean[first + row] = False
                 yield batch.filter(pa.array(clean))
 

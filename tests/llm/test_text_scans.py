@@ -42,8 +42,8 @@ def test_tiling_covers_what_the_plain_form_covers(seed):
     for item in items:
         cut = len(item) // 2
         docs.append([*(rng.choice(words) for _ in range(20)), *item[cut:], "x", "y", *item[:cut], *(rng.choice(words) for _ in range(9))])
-    index = tiling.SeedIndex(range(len(items)), [" ".join(i) for i in items])
-    got = {(row, n): sum(t[2] for t in tiles) for row, n, tiles in index.search(pa.array([" ".join(d) for d in docs]), 0.0)}
+    index = tiling.SeedIndex(range(len(items)), [" ".join(i) for i in items], threshold=0.0)
+    got = {(row, n): sum(t[2] for t in tiles) for row, n, tiles in index.search(pa.array([" ".join(d) for d in docs]))}
     for row, doc in enumerate(docs):
         for n, item in enumerate(items):
             want = sum(t[2] for t in plain_tiles(doc, item, 4))
