@@ -2,8 +2,9 @@
 
 The field labels white-space tokens from word-shape features. It is trained on a small labelled
 table of phrases by gradient ascent on the exact likelihood (forward-backward), and decodes by
-Viterbi over numpy batches of whole texts, so a run of labels has no longest length. Texts without
-a digit, ``@`` or an "at" in brackets are not decoded: no kind's test passes without one of them.
+Viterbi over numpy batches of whole texts, so neither a token nor a run of labels has a longest
+length. Tokens of one signature share their features, which are computed once. Texts without a
+digit, ``@``, an "at" in brackets or a "dot" are not decoded: no kind's test passes without one of them.
 
 Kinds, in this order: email, ip, card, phone. Spans are code points, the end exclusive. Base spans
 always stay. A labelled run is added where it overlaps no base span and passes its kind's own
@@ -32,10 +33,14 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
+_MARK = re.compile(r"[0-9@]|[\[(]at[\])]|[\[( ]dot[\]) ]", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 
+# An address in plain words: a name, "at", a name that is no article, and one "dot" or more.
+_SPELLED = re.compile(r"\S+\s+at\s+(?!(?:the|an?|this|that|my|our|his|her)\s)\S+(?:\s+dot\s+\S+)+\Z", re.I)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -100,13 +105,70 @@ LABELLED = (
     "between 1 000 and 2 000 people", "add 250 ml, wait 10 min, add 50 g", "flight 747 left at 6.30", "zip 90210 is known", "pages 100 101 102 103",
 )
 _TOKEN = re.compile(r"\S+")
-_SHAPE = (re.compile(r"[A-Z]+"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"[0-9]+"))
 _CUES = {
     "phone": set("tel tel. telefon phone call ring mobile fax tél. fon number teléfono llame".split()),
     "email": set("mail email e-mail contact write courriel reach correo".split()),
     "ip": set("host server ping ip from port".split()),
     "card": set("card karte carte tarjeta pay visa".split()),
+    "at": {"at", "(at)", "[at]"},
+    "dot": {"dot", "(dot)", "[dot]"},
+}
+_CUE_OF = {word: cue for cue, words in _CUES.items() for word in words}
+_MARKS = "@.,:;()[]+-/_%#$*'\""
+
+# The rest of the table comes from a rule: carriers with a gap, and forms that fill it. In a form 9 is a
+# digit, ~ a number up to 255, & a word, ^ a last part of a domain; cards end in their check digit.
+_CARRIERS = (
+    "please use {} for this", "it was {} all along", "we found {} in the note", "and then {} again", "the line says {} here", "{} is what she wrote", "he gave us {} last week",
+    "das war {} im Text", "voici {} dans le texte", "aquí está {} en el texto", "as noted, {} remains", "see {}, or not",
+    "they wrote {} twice", "the old page had {} on it", "{} was in the letter", "man fand {} im Brief", "on a lu {} hier", "dijo {} y nada más", "copy {} from there", "under {} you find it",
+)
+_CUED = {
+    "phone": ("call {} now", "phone {} today", "tel {} please", "fax {} only"), "email": ("mail {} first", "write to {} soon", "contact {} there"),
+    "ip": ("server {} failed", "ping {} again", "host {} is up"), "card": ("card {} was used", "pay with {} now", "Karte {} bitte"),
+}
+_FORMS = {
+    "phone": (
+        "(999) 999-9999", "999-999-9999", "999.999.9999", "+9 999 999 9999", "+99 99 9999 9999", "0999/999999", "0999 999 999", "09 99 99 99 99", "09999-999999",
+        "999) 999 9999",
+    ),
+    "email": (
+        "&@&.^", "&.&@&.^", "& [at] &.^", "&(at)&.^", "&[at]&.^", "& (at) &.^", "& [at] & [dot] ^", "& (at) & dot ^", "& at & dot ^", "& at & dot & dot ^", "&.& [at] &.&.^",
+    ),
+    "ip": ("~.~.~.~",),
+    "card": ("9999 9999 9999 9999", "9999-9999-9999-9999", "9999999999999999", "9999 999999 99999"),
 }
+# Forms that look like personal data and are none.
+_LOOKALIKES = (
+    "9999-99-99", "99.99.9999", "99:99", "9.9.99", "99.9", "9,999", "999 - 999", "99-99", "ISBN 999-9-99-999999-9", "no. 99999", "9999999 rows", "9 of 99", "99 % of 999", "page 999",
+    "$ 9,999.99", "@&", "@& and @&", "& at &", "& (at) noon", "at the & dot", "& dot &", "version 9.9.9.", "99 km", "a9b99c9", "#9999", "9/9", "999 999 of them", "&-99", "9999 to 9999",
+    "9.99E-99",
+)
+_WORDS = "anna bob carla dora emil frida gina hans ida jon kira lea mona nina olaf paul rita sven tina ulf vera willi mail post info office example sample demo test acme".split()
+_ENDS = ("org", "com", "net", "de", "fr", "es", "co", "io")
+
+
+def fill_form(form: str, rng: np.random.Generator, kind: str = "") -> str:
+    """A form with random digits, numbers and words; a card gets the check digit that holds."""
+    parts = {"9": lambda: rng.integers(10), "~": lambda: rng.integers(256), "&": lambda: rng.choice(_WORDS), "^": lambda: rng.choice(_ENDS)}
+    text = re.sub(r"[9~&^]", lambda m: str(parts[m[0]]()), form)
+    if kind == "card":
+        text = next(text[:-1] + c for c in "0123456789" if luhn(_digits(text[:-1] + c)))
+    return text
+
+
+def made_phrases(seed: int, each: int, carriers: Sequence[str] = _CARRIERS[::2]) -> list[str]:
+    """``each`` labelled phrases of every kind, and as many without personal data, by the rule of the forms."""
+    rng, phrases = np.random.default_rng(seed), []
+    for kind, forms in _FORMS.items():
+        for i in range(each):
+            own = (*carriers, *_CUED[kind])
+            phrases.append(own[rng.integers(len(own))].format(f"{{{kind}|{fill_form(forms[i % len(forms)], rng, kind)}}}"))
+    for i in range(2 * each):
+        phrases.append(carriers[rng.integers(len(carriers))].format(fill_form(_LOOKALIKES[i % len(_LOOKALIKES)], rng)))
+    return phrases
+
+
 LABELS = ("none", *(f"{p}-{k}" for k in KINDS for p in ("first", "next")))
 
 
@@ -130,30 +192,57 @@ def parse_labelled(phrase: str) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
-def shape(token: str) -> str:
-    """Word shape: runs of capitals A, of small letters a, of digits 9 with their length; the rest stays."""
-    token = token[:40].rstrip(".,;:!?")
-    token = _SHAPE[2].sub(lambda m: f"9{min(len(m[0]), 9)}", token)
-    letters = re.sub(r"[A-Z]+", "A", token)
-    return re.sub(r"[a-zß-ÿ]+", "a", letters)
+class _Classes(dict):
+    """The class of every character: small a, capital A, other letter u, digit 9; others stand for themselves."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "a" if c.islower() else "A" if c.isupper() else "u" if c.isalpha() else "9" if c.isdigit() else c
+        return self[point]
+
+
+_CLASSES = _Classes()
+_RUNS = re.compile(r"a{2,}|A{2,}|u{2,}|9{14,}")
+
+
+def signature(token: str) -> tuple[str, str]:
+    """What the features of a token are made of: its character classes, with runs of letters as one, and its cue.
+
+    The whole token is read; runs of digits count up to thirteen.
+    """
+    return _RUNS.sub(lambda m: m[0][0] if m[0][0] != "9" else "9" * 13, token.translate(_CLASSES)), _CUE_OF.get(token.lower().strip(":,;"), "")
 
 
 def token_features(token: str) -> tuple[str, ...]:
-    low = token.lower().strip(":,;")
-    digits = sum(c.isdigit() for c in token)
-    cue = next((k for k, words in _CUES.items() if low in words), "")
-    coarse = re.sub(r"9[0-9]", "9", shape(token))
+    return _features(*signature(token))
+
+
+def _features(classes: str, cue: str) -> tuple[str, ...]:
+    """Word shape and what else the signature tells; of a long shape both ends stand for it."""
+    shape = re.sub("9+", lambda m: f"9{min(len(m[0]), 9)}", classes.rstrip(".,;:!?"))
+    coarse = re.sub("9[0-9]", "9", shape)
+    digits = classes.count("9")
+    if len(shape) > 40:
+        shape, coarse = f"{shape[:20]}~{shape[-20:]}", f"{coarse[:20]}~{coarse[-20:]}"
+    marks = "".join(m for m in _MARKS if m in classes)
+    amount = "none" if not digits else "few" if digits < 7 else "some" if digits < 16 else "many"
     return (
-        f"s={shape(token)}", f"c={coarse}", f"d={min(digits, 12)}", f"only={token.isdigit()}", f"cue={cue}", f"first={coarse[:1]}",
-        f"marks={''.join(sorted(set(re.sub(r'[A-Za-z0-9]', '', token[:40]))))}", f"at={'@' in token or low in ('[at]', '(at)')}",
+        f"kind={amount}{''.join(sorted(set(coarse) & set('aAu')))}{marks}", f"start={coarse[:1]}{amount}",
+        f"s={shape}", f"c={coarse}", f"d={min(digits, 12)}", f"only={digits == len(classes)}", f"cue={cue}", f"first={coarse[:1]}",
+        f"marks={marks}", f"at={'@' in classes or cue == 'at'}", f"in={''.join(b for b in ('[a]', '(a)') if b in classes)}",
     )
 
 
+def training_phrases() -> list[str]:
+    """The labelled table: the phrases above, and those made by the rule from every second carrier."""
+    return [*LABELLED, *made_phrases(8, 44)]
+
+
 class ChainField:
     """Linear-chain conditional random field with observation and transition weights."""
 
-    def __init__(self, phrases: Sequence[str] = LABELLED, epochs: int = 80, rate: float = 0.4, decay: float = 1e-3) -> None:
-        data = [parse_labelled(p) for p in phrases]
+    def __init__(self, phrases: Sequence[str] | None = None, epochs: int = 40, rate: float = 0.4, decay: float = 1e-3) -> None:
+        data = [parse_labelled(p) for p in (training_phrases() if phrases is None else phrases)]
         self.index: dict[str, int] = {}
         rows = [[self._numbers(tokens, i, grow=True) for i in range(len(tokens))] for tokens, _ in data]
         n, k = len(self.index), len(LABELS)
@@ -174,6 +263,7 @@ class ChainField:
                 s += g**2
                 value += rate * g / np.sqrt(s)
         self._known: dict[str, int] = {}
+        self._alike: dict[tuple[str, str], int] = {}
         self._parts = np.zeros((1, 3, k))
 
     def _numbers(self, tokens: Sequence[str], i: int, grow: bool = False) -> list[int]:
@@ -202,20 +292,25 @@ class ChainField:
             edge += np.exp(ahead[i - 1][:, None] + self.moves + (emit[i] + back[i])[None] - total)
         return np.exp(ahead + back - total), edge
 
-    def _part(self, token: str) -> np.ndarray:
+    def _part(self, features: Sequence[str]) -> np.ndarray:
         """What a token adds to its own emission, to that of the token before it and of the one after it."""
-        features = token_features(token)
         ids = ([self.index[x] for x in (f"{at}{f}" for f in features) if x in self.index] for at in ("", "+1", "-1"))
         return np.stack([self.weights[i].sum(0) for i in ids])
 
     def _lookup(self, tokens: Sequence[str]) -> np.ndarray:
-        """Row of every token in the table of parts; row 0 is no token."""
-        new = [t for t in dict.fromkeys(tokens) if t not in self._known]
-        if len(self._known) + len(new) > 50_000:
-            self._known, self._parts, new = {}, self._parts[:1], list(dict.fromkeys(tokens))
-        if new:
-            self._known.update((t, len(self._parts) + i) for i, t in enumerate(new))
-            self._parts = np.concatenate([self._parts, np.stack([self._part(t) for t in new])])
+        """Row of every token in the table of parts, one row for all tokens of one signature; row 0 is no token."""
+        if len(self._known) > 200_000 or len(self._alike) > 20_000:
+            self._known, self._alike, self._parts = {}, {}, self._parts[:1]
+        new, parts = [t for t in dict.fromkeys(tokens) if t not in self._known], []
+        for token in new:
+            alike = signature(token)
+            row = self._alike.get(alike)
+            if row is None:
+                row = self._alike[alike] = len(self._parts) + len(parts)
+                parts.append(self._part(_features(*alike)))
+            self._known[token] = row
+        if parts:
+            self._parts = np.concatenate([self._parts, np.stack(parts)])
         return np.fromiter(map(self._known.__getitem__, tokens), np.int64, len(tokens))
 
     def emissions(self, tokens: Sequence[str], lengths: Sequence[int] | None = None) -> np.ndarray:
@@ -277,7 +372,10 @@ def _added_holds(kind: str, text: str) -> bool:
         return _card_holds(text)
     if kind == "ip":
         return _ip_holds(text)
-    return bool(re.search(r"[\[(]at[\])]|@", text, re.I)) and bool(re.search(r"\.|[\[(]dot[\])]", text, re.I))
+    spelled = re.search(r"[\[(\s]dot[\])\s]", text, re.I)
+    if re.search(r"[\[(]at[\])]|@", text, re.I):
+        return bool(spelled or "." in text)
+    return bool(spelled and _SPELLED.match(text))
 
 
 def find_personal(texts: Sequence[str | None], field: ChainField) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -351,5 +449,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id", *map(count, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
-        (F.size("found") - F.size(base)).cast("long").alias("n_added"),
+        (F.size("found") - F.size(base)).cast("long").alias("n_added"), F.size("found").cast("long").alias("n_spans"),
     )

@@ -169,6 +169,79 @@ def test_spans_of_whole_texts(field):
         assert added == [("email", 24, 24 + len(long))]
 
 
+UNSEEN_FORMS = {
+    "phone": ("(999)999-9999", "999 9999 9999", "+999 99 999 9999", "0999.999.999", "99 99 99 99 99"),
+    "email": ("&_& [at] &.^", "&.& (at) & dot ^", "& at &.& dot ^", "&99 [at] &-&.^", "&(at)&[dot]^"), "ip": ("~.~.~.~",), "card": ("999999 9999999999", "9999 9999 9999 999", "99999999-99999999"),
+}
+
+
+def spans_and_marks(phrases, field):
+    """(marks of the labels, spans found) of phrases."""
+    out = []
+    for phrase in phrases:
+        plain, marks = "", set()
+        for part in re.split(r"(\{\w+\|[^}]*\})", phrase):
+            match = re.fullmatch(r"\{(\w+)\|([^}]*)\}", part)
+            if match:
+                marks.add((match[1], len(plain), len(plain) + len(match[2])))
+            plain += match[2] if match else part
+        (base, added), = pii.find_personal([plain], field)
+        out.append((marks, set(base) | set(added), set(added)))
+    return out
+
+
+def test_precision_and_recall_on_held_out_phrases(field):
+    held = spans_and_marks(pii.made_phrases(99, 60, pii._CARRIERS[1::2]), field)
+    for kind in pii.KINDS:
+        of = lambda spans: {s for s in spans if s[0] == kind}  # noqa: B023, E731
+        marked, found, right = (sum(map(len, x)) for x in zip(*((of(m), of(f), of(m & f)) for m, f, _ in held)))
+        assert marked >= 60 and right >= 0.97 * marked and right >= 0.97 * found, (kind, marked, found, right)
+    added = [s[0] for _, _, a in held for s in a]
+    assert added.count("email") >= 30 and added.count("phone") >= 30
+    clean = [f for m, f, _ in held if not m]
+    assert len(clean) == 120 and sum(map(bool, clean)) <= 2
+
+
+def test_each_look_alike_stays_clean(field):
+    import numpy as np
+
+    rng, wrong = np.random.default_rng(7), 0
+    for form in pii._LOOKALIKES:
+        phrases = [pii._CARRIERS[1::2][i % 10].format(pii.fill_form(form, rng)) for i in range(30)]
+        found = sum(bool(f) for _, f, _ in spans_and_marks(phrases, field))
+        wrong += found
+        assert found <= 4, form
+    assert wrong <= 0.01 * 30 * len(pii._LOOKALIKES)
+
+
+def test_forms_that_were_never_seen(field):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for kind, forms in UNSEEN_FORMS.items():
+        phrases = [pii._CARRIERS[1::2][i % 10].format(f"{{{kind}|{pii.fill_form(forms[i % len(forms)], rng, kind)}}}") for i in range(60)]
+        rows = spans_and_marks(phrases, field)
+        assert sum(len(m & f) for m, f, _ in rows) >= {"phone": 0.5, "email": 0.5, "ip": 0.97, "card": 0.97}[kind] * 60, kind
+
+
+def test_an_added_span_of_each_kind(field):
+    # The field adds what the expressions miss: an address or card behind digits that swallow it, spelled-out mail, national numbers.
+    texts = {"phone": "please call (212) 555-0147 now", "email": "mail carol at host dot com soon", "card": "card 5500-0000-0000-0004, please"}
+    for kind, text in texts.items():
+        (base, added), = pii.find_personal([text], field)
+        assert kind in [s[0] for s in base + added]
+    (_, added), = pii.find_personal(["write to dave (at) example dot net soon"], field)
+    assert added == [("email", 9, 34)]
+
+
+@pytest.mark.parametrize("n", [30, 41, 43, 60, 500, 70_000])
+def test_long_tokens_are_read_whole(field, n):
+    text = f"mail {'a' * n}[at]example.com and {'b' * n}9@x of {'c' * n}"
+    (base, added), = pii.find_personal([text], field)
+    assert base == [] and ("email", 5, 5 + n + 15) in added
+    assert pii.signature("a" * n + "[at]b.c") == ("a[a]a.a", "") and len(pii._features("A-" * n, "")[0]) < 60
+
+
 def test_batches_decode_like_single_texts(field):
     rng = random.Random(5)
     words = ["call", "(212)", "555-0147", "a", "[at]", "b.org", "[dot]", "the", "10.0.0.7", "4111", "tel."]
