@@ -1,10 +1,13 @@
 """Near duplicates among embeddings by binary codes of random rotations.
 
-Every vector, scaled to length one, is rotated by a few random orthogonal matrices; the signs are
-its code, and the inner product of the code with the rotated vector is stored as its correction
-factor ``a``. For a second vector ``y`` the inner product of the first's code with the rotated
-``y``, divided by ``a``, is an unbiased estimate of the cosine; how far it can be off follows from
-``a``. Pairs whose bound lies under the threshold are dropped, every other pair is computed anew in
+Every distinct vector, scaled to length one, is encoded once: rotated by a few random orthogonal
+matrices, and the signs are kept, packed to bits. The code stands for a direction, the signs
+turned back; the cosine between it and the vector is stored with the code as its correction
+factor. The cosine of two codes' directions, divided by both factors, estimates that of the
+vectors without bias. How far it can be off is certain: a factor is the cosine of the angle by
+which the direction misses its vector, so two vectors within the threshold's angle have directions
+within that angle and both their misses. Only codes travel to find what may link. Raw vectors
+follow for those alone that have a pair within the bound, and such pairs are computed anew in
 double precision, so no reported link depends on an estimate.
 
 Candidates come from an exact cover, so no link is lost. Every vector is at home in the cell of the
@@ -12,7 +15,7 @@ nearest of a few sampled pivots. Two vectors within the threshold's angle of eac
 more than that angle in their distance to any pivot, so each visits every other cell whose pivot is
 at most twice the angle farther than its own; the two meet in the bucket of their cells, and only
 there. Where distances to the pivots hardly differ, as among random vectors of many dimensions, this
-compares all pairs. A cell above four times ``BUCKET_ROWS`` is dealt out over parts, so none is ever
+compares all codes. A cell above four times ``BUCKET_ROWS`` is dealt out over parts, so none is ever
 cut off and no task holds one whole.
 
 Equal vectors are one class with a count from the start; links to and among copies are counted.
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 from lakework.llm.common import stored, table
 from lakework.llm.components import Forest, connected_components
 
-BUCKET_TARGET = 32
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 8192
 PIVOTS = 4096
+CODE_BITS = 6  # for each dimension
+_TILE = 512
+_MOST_TASKS = 1 << 16
 _SLACK = 1e-5
 _ANGLE_SLACK = 1e-3
 
@@ -59,70 +64,74 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def encode(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code bits and correction factor of unit vectors."""
-    rotated = unit.astype(np.float32) @ rotation.T
-    return rotated >= 0, np.abs(rotated).sum(axis=1) / math.sqrt(rotation.shape[0])
-
-
-def estimates(bits: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> np.ndarray:
-    """Unbiased estimates of the cosines: a row per code, a column per rotated vector."""
-    signs = np.where(bits, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(bits.shape[1]))
-    return (signs @ rotated.T) / factor[:, None]
+def directions(codes: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """The unit vectors that packed codes stand for."""
+    signs = np.unpackbits(codes, axis=1, count=rotation.shape[0]).astype(np.float32) * 2 - 1
+    turned = signs @ rotation
+    return turned / np.maximum(np.sqrt((turned * turned).sum(axis=1, keepdims=True)), np.float32(1e-30))
 
 
-def needed_estimate(factor: np.ndarray, threshold: float, confidence: float | None = None, bits: int = 256) -> np.ndarray:
-    """Least estimate at which a pair may still reach ``threshold``.
-
-    Without ``confidence`` the bound is certain: the part of a code across its vector is at most
-    sqrt(1 - a^2) long and meets at most sqrt(1 - t^2) of the other one. With it, the width is that
-    many standard deviations of the random rotation, which is narrower and may miss pairs.
-    """
-    across = np.sqrt(np.maximum(0, 1 - factor**2)) / factor
-    spread = 1.0 if confidence is None else confidence / math.sqrt(bits - 1)
-    width = across * math.sqrt(max(0.0, 1 - threshold**2)) * spread
-    return threshold - width - _SLACK
+def encode(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed codes of unit vectors and their correction factors, the cosines of direction and vector."""
+    codes = np.packbits(unit.astype(np.float32) @ rotation.T >= 0, axis=1)
+    return codes, (directions(codes, rotation) * unit).sum(axis=1)
 
 
-def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits per table, tables): buckets of about ``BUCKET_TARGET`` unrelated vectors, and the wanted recall."""
-    bits = max(4, math.ceil(math.log2(max(2, n / BUCKET_TARGET))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+def estimates(direction: np.ndarray, factor: np.ndarray, other: np.ndarray, other_factor: np.ndarray) -> np.ndarray:
+    """Estimates of the cosines of vectors from their codes' directions and factors."""
+    return (direction @ other.T) / (factor[:, None] * other_factor[None, :])
 
 
-def link_bucket(
-    ids: np.ndarray, copies: np.ndarray, side: np.ndarray, raw: np.ndarray, rotation: np.ndarray, threshold: float
-) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each class in this bucket (counting copies), and edges that span the links found.
+def bounded(direction: np.ndarray, factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices; where a row of the first times one of the second is not below -slack, the pair may reach ``threshold``.
 
-    ``side`` parts a bucket in two of which only pairs across count; one value means all pairs.
+    The product is the cosine of the directions less that of the widest angle between them, that of
+    the threshold and both misses. Rows that leave no bound with the widest miss here pass with all.
     """
-    n, order = len(ids), np.argsort(side, kind="stable")
-    ids, copies, side = ids[order], copies[order], side[order]
-    unit = unit_rows(raw[order])
-    rotated = unit.astype(np.float32) @ rotation.T
-    bits, factor = encode(unit, rotation)
+    miss = np.arccos(np.clip(factor.astype(np.float64), -1, 1)) + _SLACK
+    wide = math.acos(max(-1.0, min(1.0, threshold))) + miss
+    held = wide + miss.max(initial=0) <= math.pi
+    left = np.concatenate([direction, -np.cos(wide)[:, None], np.sin(wide)[:, None]], axis=1)
+    right = np.concatenate([direction, np.cos(miss)[:, None], np.sin(miss)[:, None]], axis=1)
+    left[~held] = 0
+    return left.astype(np.float32), right.astype(np.float32)
+
+
+class Bucket:
+    """The codes of one bucket, by side; ``side`` parts it in two of which only pairs across count, one value means all pairs."""
+
+    def __init__(self, codes: np.ndarray, factor: np.ndarray, side: np.ndarray, rotation: np.ndarray, threshold: float) -> None:
+        self.order = np.argsort(side, kind="stable")
+        side = side[self.order]
+        self.both = bool(side[0] != side[-1])
+        self.split = int(np.searchsorted(side, side[-1])) if self.both else len(side)
+        self.left, self.right = bounded(directions(codes[self.order], rotation), factor[self.order], threshold)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``order`` of the pairs that the bound leaves, a tile at a time."""
+        for first in range(0, self.split, _TILE):
+            last = min(self.split, first + _TILE)
+            start = self.split if self.both else first
+            a, b = np.nonzero(self.left[first:last] @ self.right[start:].T >= -_SLACK)
+            a, b = a + first, b + start
+            yield (a, b) if self.both else (a[a < b], b[a < b])
+
+
+def link_bucket(bucket: Bucket, ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each class in this bucket (counting copies), and edges that span the links found."""
+    n = len(ids)
+    ids, copies, unit = ids[bucket.order], copies[bucket.order], unit_rows(raw[bucket.order])
     links, forest, edges = np.zeros(n, np.int64), Forest(n), []
-    needed = needed_estimate(factor.astype(np.float64), threshold, bits=rotation.shape[0])
-    both = side[0] != side[-1]
-    split = int(np.searchsorted(side, side[-1])) if both else n
-    for first in range(0, split, 512):
-        rows, start = slice(first, min(split, first + 512)), split if both else first
-        a, b = np.nonzero(estimates(bits[rows], factor[rows], rotated[start:]) >= needed[rows, None])
-        a, b = a + first, b + start
-        a, b = a[a < b], b[a < b]
-        if not len(a):
-            continue
-        near = np.empty(len(a), bool)
+    for a, b in bucket.pairs():
         for at in range(0, len(a), 1 << 15):
-            near[at : at + (1 << 15)] = (unit[a[at : at + (1 << 15)]] * unit[b[at : at + (1 << 15)]]).sum(axis=1) >= threshold
-        a, b = a[near], b[near]
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        edges += [(int(ids[i]), int(ids[j])) for i, j in zip(a, b) if forest.union(int(i), int(j))]
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            near = (unit[x] * unit[y]).sum(axis=1) >= threshold
+            x, y = x[near], y[near]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            edges += [(int(ids[i]), int(ids[j])) for i, j in zip(x.tolist(), y.tolist()) if forest.union(i, j)]
     back = np.empty(n, np.int64)
-    back[order] = links
+    back[bucket.order] = links
     return back, edges
 
 
@@ -136,32 +145,43 @@ def visited_cells(unit: np.ndarray, pivots: np.ndarray | None, threshold: float)
     return home, angles <= widest[:, None]
 
 
-def _cell_batches(field: str, dtype: str, pivots: dict[int, np.ndarray], threshold: float, home_only: bool):
+def _vector_batches(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(dimension, rows, their vectors as a matrix) of every batch, in parts of 1024 rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1024):
+            part = batch.slice(first, 1024)
+            column = part.column(part.schema.get_field_index("v"))
+            lengths = np.diff(np.asarray(column.offsets))
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            for dim in map(int, np.unique(lengths)):
+                rows = np.flatnonzero(lengths == dim)
+                yield dim, part.take(pa.array(rows)), values[(ends[rows][:, None] + np.arange(dim)[None, :])].astype(dtype)
+
+
+def _code_bits(dim: int) -> int:
+    return max(64, CODE_BITS * dim)
+
+
+def _encode_batches(dtype: str, pivots: dict[int, np.ndarray], threshold: float):
+    """Every class once: its dimension, home, code and factor, and the cells it visits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                column = part.column(part.schema.get_field_index(field))
-                lengths = np.diff(np.asarray(column.offsets))
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                for dim in map(int, np.unique(lengths)):
-                    rows = np.flatnonzero(lengths == dim)
-                    raw = values[(ends[rows][:, None] + np.arange(dim)[None, :])].astype(dtype)
-                    home, mask = visited_cells(unit_rows(raw), pivots.get(dim), threshold)
-                    if home_only:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim), pa.int32()), pa.array(home, pa.int64())], ["dim", "home"])
-                        continue
-                    blob = pa.array([x.tobytes() for x in raw], pa.binary())
-                    ids, copies = (part.column(part.schema.get_field_index(c)).take(pa.array(rows)) for c in ("rep", "copies"))
-                    for cell in np.flatnonzero(mask.any(axis=0)):
-                        own = np.flatnonzero(mask[:, cell])
-                        at = pa.array(own)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(own), dim), pa.int32()), pa.array(home[own], pa.int64()), pa.array(np.full(len(own), cell), pa.int64()),
-                             ids.take(at), copies.take(at), blob.take(at)],
-                            ["dim", "home", "cell", "rep", "copies", "raw"],
-                        )
+        known: dict[int, np.ndarray] = {}
+        for dim, part, raw in _vector_batches(batches, dtype):
+            if dim not in known:
+                known[dim] = rotations(dim, _code_bits(dim))
+            unit = unit_rows(raw)
+            codes, factor = encode(unit, known[dim])
+            home, mask = visited_cells(unit, pivots.get(dim), threshold)
+            ends = np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(mask)[1], pa.int32()))
+            kept = (part.column(part.schema.get_field_index(c)) for c in ("rep", "cls", "copies"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(raw), dim), pa.int32()), pa.array(home, pa.int32()), cells, *kept,
+                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor, pa.float64())],
+                ["dim", "home", "cells", "rep", "cls", "copies", "code", "factor"],
+            )
 
     return run
 
@@ -169,51 +189,88 @@ def _cell_batches(field: str, dtype: str, pivots: dict[int, np.ndarray], thresho
 _KEY = ("dim", "low", "high")
 
 
-def _link_batches(dtype: str, threshold: float):
-    """Buckets stand together and sorted; each is handled as soon as its last row has come."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Buckets stand together and sorted; each is given as soon as its last row has come, if it can hold a pair."""
 
-    def flush(parts: list[pa.RecordBatch], known: dict[int, np.ndarray]):
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
         rows = pa.Table.from_batches(parts).combine_chunks()
-        ids, copies, side = (rows[c].to_numpy() for c in ("rep", "copies", "side"))
-        if rows.num_rows < 2 or (rows["low"][0] != rows["high"][0] and side.min() == side.max()):
-            return
+        side = rows["side"].to_numpy()
+        if rows.num_rows > 1 and (rows["low"][0] == rows["high"][0] or side.min() != side.max()):
+            yield rows
+
+    held: list[pa.RecordBatch] = []
+    held_key: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in _KEY], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(keys)]):
+            key = tuple(keys[start])
+            if held and key != held_key:
+                yield from whole(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            held_key = key
+    if held:
+        yield from whole(held)
+
+
+class _Codes:
+    """Reads buckets from tables of codes, with the rotations it has made."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.known = threshold, {}
+
+    def bucket(self, rows: pa.Table) -> Bucket:
         dim = rows["dim"][0].as_py()
-        if dim not in known:
-            known[dim] = rotations(dim, 256)
-        raw = np.frombuffer(b"".join(rows["raw"].to_pylist()), dtype).reshape(-1, dim)
-        links, edges = link_bucket(ids, copies, side, raw, known[dim], threshold)
-        hit = np.flatnonzero(links)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[hit]), pa.nulls(len(hit), pa.int64()), pa.array(links[hit])], ["a", "b", "links"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64()), pa.array([0] * len(edges), pa.int64())],
-                ["a", "b", "links"],
-            )
+        if dim not in self.known:
+            self.known[dim] = rotations(dim, _code_bits(dim))
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        return Bucket(codes, rows["factor"].to_numpy(), rows["side"].to_numpy(), self.known[dim], self.threshold)
+
+
+def _near_batches(threshold: float):
+    """Of every bucket the rows that have a pair within the bound; no pair leaves the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held: list[pa.RecordBatch] = []
-        held_key: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in _KEY], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(keys)]):
-                key = tuple(keys[start])
-                if held and key != held_key:
-                    yield from flush(held, known)
-                    held = []
-                held.append(batch.slice(start, stop - start))
-                held_key = key
-        if held:
-            yield from flush(held, known)
+        codes = _Codes(threshold)
+        for rows in _buckets(batches):
+            bucket = codes.bucket(rows)
+            near = np.zeros(rows.num_rows, bool)
+            for a, b in bucket.pairs():
+                near[a], near[b] = True, True
+            yield from rows.take(pa.array(np.sort(bucket.order[near]))).to_batches()
+
+    return run
+
+
+def _link_batches(dtype: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(threshold)
+        for rows in _buckets(batches):
+            ids, vectors = rows["rep"].to_numpy(), rows["v"].combine_chunks()
+            raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(rows.num_rows, -1)
+            links, edges = link_bucket(codes.bucket(rows), ids, rows["copies"].to_numpy(), raw, threshold)
+            hit = np.flatnonzero(links)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[hit]), pa.nulls(len(hit), pa.int64()), pa.array(links[hit])], ["a", "b", "links"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64()), pa.array([0] * len(edges), pa.int64())],
+                    ["a", "b", "links"],
+                )
 
     return run
 
 
+def _pivots_wanted(n: int, parallelism: int) -> int:
+    """Pivots enough for buckets of a bounded size, and for twice as many buckets as tasks run at once."""
+    least = math.ceil((math.sqrt(1 + 16 * parallelism) - 1) / 2)
+    return min(PIVOTS, max(1, min(least, n // 64), -(-n // (2 * BUCKET_ROWS))))
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", column: str = "embedding"
 ) -> DataFrame:
@@ -227,32 +284,41 @@ def near_duplicates(
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable")
-    classes = stored(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    classes = stored(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("v")), "vector-classes")
     n = classes.count()
-    wanted = min(PIVOTS, max(1, min(16, n // 64), -(-n // (2 * BUCKET_ROWS))))
+    wanted = _pivots_wanted(n, vectors.sparkSession.sparkContext.defaultParallelism)
     sampled: dict[int, list[list[float]]] = {}
     for row in classes.orderBy(F.xxhash64("v", "rep"), "rep").select("v").limit(wanted).collect():  # at most PIVOTS
         sampled.setdefault(len(row["v"]), []).append(row["v"])
     pivots = {dim: unit_rows(np.array(v)) for dim, v in sampled.items()}
-    keyed = classes.mapInArrow(_cell_batches("v", dtype, pivots, threshold, False), "dim int, home long, cell long, rep long, copies long, raw binary")
-    homes = classes.mapInArrow(_cell_batches("v", dtype, pivots, threshold, True), "dim int, home long").groupBy("dim", "home").count()
+    coded = classes.mapInArrow(
+        _encode_batches(dtype, pivots, threshold), "dim int, home int, cells array<int>, rep long, cls long, copies long, code binary, factor double"
+    )
+    coded = stored(coded, "vector-codes")
+    homes = coded.groupBy("dim", "home").count()
     large = stored(homes.where(F.col("count") > 4 * BUCKET_ROWS).withColumn("parts", F.ceil(F.col("count") / (2 * BUCKET_ROWS))), "vector-cells")
     parts = large.select("dim", "home", "parts"), large.select("dim", F.col("home").alias("cell"), F.col("parts").alias("others"))
+    keyed = coded.withColumn("cell", F.explode("cells")).drop("cells")
     parted = keyed.withColumn("parts", F.lit(1)).withColumn("others", F.lit(1))
     if not large.isEmpty():
         parted = keyed.join(parts[0], ["dim", "home"], "left").join(parts[1], ["dim", "cell"], "left")
         parted = parted.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "others")})
     # A part of a cell is the cell's number times 2 ** 32 and the number of the part.
-    parted = parted.withColumn("side", F.shiftleft("home", 32) + F.pmod(F.xxhash64("rep"), F.col("parts")))
+    number = lambda cell, part: F.shiftleft(F.col(cell).cast("long"), 32) + part
+    parted = parted.withColumn("side", number("home", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    parted = parted.withColumn("other", F.shiftleft("cell", 32) + F.col("other"))
-    parted = parted.select("dim", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "copies", "raw")
-    dealt = parted.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    found = stored(dealt.mapInArrow(_link_batches(dtype, threshold), "a long, b long, links long"), "vector-links")
+    parted = parted.withColumn("other", number("cell", F.col("other")))
+    met = parted.select("dim", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "cls", "copies", "code", "factor")
+    # Few buckets may be much work, so their number, not their bytes, tells how many tasks there are.
+    tasks = min(_MOST_TASKS, 3 * wanted * (wanted + 1) // 2)
+    dealt = met.repartition(tasks, *_KEY).sortWithinPartitions(*_KEY)
+    near = stored(dealt.mapInArrow(_near_batches(threshold), met.schema), "vector-near")
+    raw = near.join(classes.select("rep", "cls", "v"), ["rep", "cls"]).repartition(tasks, *_KEY).sortWithinPartitions(*_KEY)
+    found = stored(raw.mapInArrow(_link_batches(dtype, threshold), "a long, b long, links long"), "vector-links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.where("b IS NOT NULL"))
     told = (
-        classes.join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.drop("cls").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
         .select("v", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
     # Written, so that the join below has an exchange on either side and a common vector can be split.

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lakework.llm.vectors import encode, estimates, near_duplicates, needed_estimate, plan_tables, rotations, unit_rows
+from lakework.llm.vectors import _pivots_wanted, bounded, directions, encode, estimates, near_duplicates, rotations, unit_rows
 
 
 def brute(x, threshold=0.95):
@@ -27,31 +27,47 @@ def clustered(seed, n=400, dim=32):
     return x.astype(np.float32)
 
 
-def test_estimates_are_unbiased_and_bounds_hold():
+@pytest.mark.parametrize(("dim", "bits"), [(64, 384), (64, 64), (3, 64), (1, 64), (200, 1200)])
+def test_estimates_are_unbiased_and_bounds_hold(dim, bits):
     rng = np.random.default_rng(2)
-    unit = unit_rows(rng.standard_normal((300, 64)))
-    unit[1::2] = unit_rows(unit[::2] + rng.standard_normal((150, 64)) * 0.04)
-    rotation = rotations(64, 256)
-    bits, factor = encode(unit, rotation)
-    got = estimates(bits, factor, unit.astype(np.float32) @ rotation.T)
+    unit = unit_rows(rng.standard_normal((300, dim)))
+    unit[1::2] = unit_rows(unit[::2] + rng.standard_normal((150, dim)) * 0.04)
+    rotation = rotations(dim, bits)
+    codes, factor = encode(unit, rotation)
+    assert codes.shape == (300, -(-len(rotation) // 8)) and codes.dtype == np.uint8
+    turned = directions(codes, rotation)
     true = unit @ unit.T
-    off = ~np.eye(300, dtype=bool)
-    assert abs((got - true)[off].mean()) < 0.003
-    for threshold in (0.5, 0.9, 0.95):
-        assert (got >= needed_estimate(factor, threshold)[:, None])[true >= threshold].all()
-    assert (got >= needed_estimate(factor, 0.95)[:, None])[true < 0.5].mean() < 0.01
-
-
-def test_recall_against_brute_force(spark):
+    if dim == 64 and bits > 64:
+        far = true < 0.5
+        assert abs((estimates(turned, factor, turned, factor) - true)[far].mean()) < 0.003
+    for threshold in (0.5, 0.9, 0.95, 0.999):
+        left, right = bounded(turned, factor, threshold)
+        passed = left @ right.T >= -1e-5
+        assert passed[true >= threshold].all()
+        if dim == 64 and bits > 64 and threshold >= 0.9:
+            assert passed[true < 0.5].mean() < 1e-3
+
+
+def test_links_equal_brute_force(spark):
     x = clustered(4)
     rows = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
     links, component = brute(x.astype(float))
-    found = np.array([r["n_links"] for r in rows])
-    assert (found <= links).all() and found.sum() >= 0.9 * links.sum() > 0
-    assert (found != links).mean() <= 0.02
-    if (found == links).all():
-        assert [r["component_id"] for r in rows] == component.tolist()
-    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+    assert [r["n_links"] for r in rows] == links.tolist() and [r["component_id"] for r in rows] == component.tolist()
+    assert links.sum() > 0 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+
+
+def test_each_class_is_encoded_once_and_little_is_shipped(spark, monkeypatch):
+    from lakework.llm import vectors
+
+    written = {}
+    monkeypatch.setattr(vectors, "stored", lambda df, purpose, keep=vectors.stored: written.setdefault(purpose, keep(df, purpose)))
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 64)).astype(np.float32)
+    x[1000:1100] = x[:100]
+    near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    codes = written["vector-codes"].collect()
+    assert len(codes) == 1900 and {len(r["code"]) for r in codes} == {48}
+    assert "v" not in written["vector-codes"].columns and written["vector-near"].count() == 0  # nothing but codes travels
 
 
 def test_buckets_in_parts_count_every_pair_once(spark, monkeypatch):
@@ -74,9 +90,8 @@ def test_odd_vectors(spark, kind):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_tables_grow_with_the_vectors():
-    sizes = [plan_tables(n, 0.95, 0.995) for n in (10, 10_000, 1_000_000, 100_000_000)]
-    assert sizes == sorted(sizes) and sizes[-1][1] < 120
+def test_pivots_bound_the_buckets():
+    assert [_pivots_wanted(n, 8) for n in (10, 1000, 100_000, 10_000_000, 10**9)] == [1, 6, 7, 611, 4096]
 
 
 def test_no_link_is_lost_at_the_threshold(spark):
