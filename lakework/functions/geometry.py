@@ -414,6 +414,11 @@ def register_sql_functions(spark: SparkSession) -> None:
     # Signatures of the same name differ by type, so these have names of their own, as has the polygon.
     bodies[f"st_contains_polygon(r {RING_DDL}, p {POINT_DDL})"] = ("BOOLEAN", _RING_CONTAINS)
     bodies[f"st_tile(t {tile})"] = (tile, "t")
+    # A table function: with LATERAL the cells of every tile are rows, and Spark's own aggregates work on them.
+    bodies[f"st_explode_tile(t {tile})"] = (
+        "TABLE (column_index INT, row_index INT, value DOUBLE)",
+        "SELECT CAST(pos % t.cols AS INT), CAST(pos DIV t.cols AS INT), col FROM posexplode(t.cells)",
+    )
     operators = {"add": "x + y", "subtract": "x - y", "multiply": "x * y", "divide": "try_divide(x, y)"}
     for name, expression in operators.items():
         bodies[f"st_local_{name}(a {tile}, b {tile})"] = (

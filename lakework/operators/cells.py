@@ -223,13 +223,12 @@ def paint_patches(patches: Column, cols: int, rows: int) -> Column:
     return F.arrow_udf(per_batch, "array<double>")(patches)
 
 
-def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
-    """Mean of the data cells in the (2r+1) x (2r+1) window around each cell, across tile edges.
+def _focal(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str, kernel) -> DataFrame:
+    """Apply ``kernel`` (a canvas with ``radius`` cells around the tile, NaN for NoData, to the tile's cells) to every tile.
 
     Every tile sends itself to its own key and only its border strips to its
     neighbours, so a tile gathers one patch per neighbour and the shuffle grows with
-    the perimeter. Windows without data give NoData. Tiles that share a key are one tile
-    first. Sums come from a summed-area table, so the work does not grow with the radius.
+    the perimeter. Tiles that share a key are one tile first.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
@@ -273,22 +272,11 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
     )
 
     def per_batch(batch: pa.Array) -> pa.Array:
-        side = 2 * radius + 1
-
-        def sums(values: np.ndarray) -> np.ndarray:
-            area = np.pad(values.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            return area[side:, side:] - area[:-side, side:] - area[side:, :-side] + area[:-side, :-side]
-
         canvases = []
         for i in range(len(batch)):
             canvas = np.full((rows + 2 * radius, cols + 2 * radius), np.nan)
             _paint(canvas, batch[i].values)
-            known = ~np.isnan(canvas)
-            count = sums(known.astype("int64"))
-            # Around the mean, so that the running sums stay small and exact to the last digits.
-            middle = canvas[known].mean() if known.any() else 0.0
-            total = sums(np.where(known, canvas - middle, 0.0)) + middle * count
-            canvases.append(np.divide(total, count, out=np.full((rows, cols), np.nan), where=count > 0))
+            canvases.append(kernel(canvas))
         return _cells_of_canvases(canvases)
 
     per_batch.__annotations__ = {"batch": pa.Array, "return": pa.Array}
@@ -296,3 +284,124 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
     return gathered.select(
         F.struct("col", "row").alias(key), make_tile(focal(F.col("_patches")), cols, rows).alias(band)
     )
+
+
+def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+    """Mean of the data cells in the (2r+1) x (2r+1) window around each cell, across tile edges.
+
+    Windows without data give NoData. Sums come from a summed-area table, so the work does not
+    grow with the radius.
+    """
+    side = 2 * radius + 1
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        area = np.pad(values.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return area[side:, side:] - area[:-side, side:] - area[side:, :-side] + area[:-side, :-side]
+
+    def kernel(canvas: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(canvas)
+        count = sums(known.astype("int64"))
+        # Around the mean, so that the running sums stay small and exact to the last digits.
+        middle = canvas[known].mean() if known.any() else 0.0
+        total = sums(np.where(known, canvas - middle, 0.0)) + middle * count
+        return np.divide(total, count, out=np.full((rows, cols), np.nan), where=count > 0)
+
+    return _focal(layer, band, radius, cols, rows, key, kernel)
+
+
+def running_max(values: np.ndarray, side: int, axis: int) -> np.ndarray:
+    """Largest of every ``side`` neighbours along an axis, by two passes over blocks of ``side``.
+
+    One pass keeps the largest from each block's start, the other from its end; a window spans the end
+    of one block and the start of the next, so each cell takes two comparisons whatever the side.
+    """
+    values = np.moveaxis(values, axis, -1)
+    n = values.shape[-1]
+    padded = np.concatenate([values, np.full((*values.shape[:-1], -n % side), -np.inf)], axis=-1)
+    blocks = padded.reshape(*values.shape[:-1], -1, side)
+    ahead = np.maximum.accumulate(blocks, axis=-1).reshape(padded.shape)
+    back = np.maximum.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+    return np.moveaxis(np.maximum(back[..., : n - side + 1], ahead[..., side - 1 : n]), -1, axis)
+
+
+def focal_max(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+    """Largest data cell in the (2r+1) x (2r+1) window around each cell, across tile edges; see :func:`running_max`."""
+    side = 2 * radius + 1
+
+    def kernel(canvas: np.ndarray) -> np.ndarray:
+        most = running_max(running_max(np.where(np.isnan(canvas), -np.inf, canvas), side, 0), side, 1)
+        return np.where(most == -np.inf, np.nan, most)
+
+    return _focal(layer, band, radius, cols, rows, key, kernel)
+
+
+def focal_min(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+    """Smallest data cell in the (2r+1) x (2r+1) window around each cell, across tile edges."""
+    side = 2 * radius + 1
+
+    def kernel(canvas: np.ndarray) -> np.ndarray:
+        least = running_max(running_max(np.where(np.isnan(canvas), -np.inf, -canvas), side, 0), side, 1)
+        return np.where(least == -np.inf, np.nan, -least)
+
+    return _focal(layer, band, radius, cols, rows, key, kernel)
+
+
+class _RankHistogram:
+    """Counts of the ranks in a sliding window for all rows at once, coarse and fine, so that the middle is found in two steps."""
+
+    def __init__(self, rows: int, ranks: int) -> None:
+        self.width = max(1, math.isqrt(max(1, ranks)))
+        self.fine = np.zeros((rows, -(-ranks // self.width) * self.width + self.width), np.int32)
+        self.coarse = np.zeros((rows, self.fine.shape[1] // self.width), np.int32)
+        self.row = np.arange(rows)
+
+    def add(self, ranks: np.ndarray, sign: int) -> None:
+        """Add (or take) the ranks of one cell per row; -1 is no data."""
+        own = np.flatnonzero(ranks >= 0)
+        self.fine[own, ranks[own]] += sign
+        self.coarse[own, ranks[own] // self.width] += sign
+
+    def nth(self, n: np.ndarray) -> np.ndarray:
+        """Per row the rank of which more than ``n`` counted ones are not above."""
+        sums = np.cumsum(self.coarse, axis=1)
+        block = (sums > n[:, None]).argmax(axis=1)
+        left = n - np.where(block > 0, sums[self.row, np.maximum(block - 1, 0)], 0)
+        fine = self.fine[self.row[:, None], block[:, None] * self.width + np.arange(self.width)[None, :]]
+        return block * self.width + (np.cumsum(fine, axis=1) > left[:, None]).argmax(axis=1)
+
+
+def focal_median(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+    """Median of the data cells in the (2r+1) x (2r+1) window around each cell, across tile edges.
+
+    Of an even number the mean of the two middle ones. The window slides along all rows of a tile at
+    once over a histogram of the cells' ranks: a step adds one column of the window and takes one.
+    """
+    side = 2 * radius + 1
+
+    def kernel(canvas: np.ndarray) -> np.ndarray:
+        values, inverse = np.unique(canvas[~np.isnan(canvas)], return_inverse=True)
+        if not len(values):
+            return np.full((rows, cols), np.nan)
+        ranks = np.full(canvas.shape, -1)
+        ranks[~np.isnan(canvas)] = inverse
+        out, count = np.empty((rows, cols)), np.zeros(rows, np.int64)
+        histogram = _RankHistogram(rows, len(values))
+
+        def slide(column: int, sign: int) -> None:
+            for dy in range(side):
+                cells = ranks[dy : dy + rows, column]
+                histogram.add(cells, sign)
+                count[:] += sign * (cells >= 0)
+
+        for column in range(side - 1):
+            slide(column, 1)
+        for x in range(cols):
+            slide(x + side - 1, 1)
+            held = np.maximum(count, 1)
+            low, high = histogram.nth((held - 1) // 2), histogram.nth(held // 2)
+            last = len(values) - 1
+            out[:, x] = np.where(count > 0, (values[np.minimum(low, last)] + values[np.minimum(high, last)]) / 2, np.nan)
+            slide(x, -1)
+        return out
+
+    return _focal(layer, band, radius, cols, rows, key, kernel)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64 as b64
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -41,25 +42,57 @@ def records_to_json(df: DataFrame, alias: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(alias))
 
 
+_PART = re.compile(
+    r"""'(?:\\.|[^'\\])*'?|"(?:\\.|[^"\\])*"?|`[^`]*`?|(?P<space>\s+|--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|.""", re.S
+)
+_CLOSED = frozenset("IF WHILE LOOP REPEAT FOR CASE".split())  # END may name what it closes
+
+
+class _Blocks:
+    """Counts the open blocks of a script, word by word."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.starts, self.ended, self.labelled = True, False, False  # at a statement's start, behind END, behind its first word
+
+    def take(self, part: str, word: str) -> None:
+        starts, ended, inside = self.starts, self.ended, self.open[-1] if self.open else ""
+        self.starts = self.ended = False
+        if word == "BEGIN" and (starts or self.open):
+            self.open.append(word)
+            self.starts = True
+        elif part == ":" and self.labelled:
+            self.starts = True
+        elif not self.open:
+            pass
+        elif word == "END":
+            self.open.pop()
+            self.ended = True
+        elif ended and word in _CLOSED:
+            pass
+        elif word == "CASE":
+            self.open.append("CASE" if starts else "value")  # a statement, or the expression
+        elif starts and word in _CLOSED:
+            self.open.append(word)
+            self.starts = word in ("LOOP", "REPEAT")
+        elif word in ("THEN", "ELSE") and inside != "value" or word == "DO":
+            self.starts = True
+        self.labelled = starts and bool(word)
+
+
 def split_statements(script: str) -> Iterator[str]:
-    """Cut a SQL script at the semicolons outside quotes and comments."""
-    start, i, n = 0, 0, len(script)
-    while i < n:
-        ch, pair = script[i], script[i : i + 2]
-        if ch in "'\"`":
-            i += 1
-            while i < n and script[i] != ch:
-                i += 2 if script[i] == "\\" and ch != "`" else 1
-        elif pair == "--":
-            end = script.find("\n", i)
-            i = n if end < 0 else end
-        elif pair == "/*":
-            end = script.find("*/", i + 2)
-            i = n if end < 0 else end + 1
-        elif ch == ";":
-            yield from _nonempty(script[start:i])
-            start = i + 1
-        i += 1
+    """Cut a SQL script at the semicolons outside quotes, comments and BEGIN ... END blocks."""
+    start, blocks = 0, _Blocks()
+    for m in _PART.finditer(script):
+        if m["space"] is not None:
+            continue
+        if m[0] != ";":
+            blocks.take(m[0], (m["word"] or "").upper())
+        elif blocks.open:
+            blocks.starts = True
+        else:
+            yield from _nonempty(script[start : m.start()])
+            start, blocks = m.end(), _Blocks()
     yield from _nonempty(script[start:])
 
 
@@ -78,7 +111,8 @@ def run_statements(
     """Run SQL statements in order and give the last result.
 
     The statements come as texts, each holding one or more statements, or as a
-    script file on any file system that Spark reads. ``base64`` decodes texts first.
+    script file on any file system that Spark reads. ``base64`` decodes texts first. A compound
+    block, with its variables, loops, branches and handlers, is one statement to Spark.
     """
     if (statements is None) == (path is None):
         raise ValueError("give either statements or a path")

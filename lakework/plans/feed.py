@@ -10,7 +10,7 @@ from lakework.operators.changes import ORDER_COLUMNS, TypeOptions
 from lakework.operators.relational import union_all
 from lakework.plans.registry import query, table
 from lakework.session import scratch_dir
-from lakework.streaming import feed, jobs
+from lakework.streaming import feed, jobs, winners
 
 _T0 = 1_700_000_000
 
@@ -491,3 +491,44 @@ def _(spark, sf_dir):
 
     pairs = F.array(*[F.struct(F.lit(i).alias("type_id"), shown(f"c{i}").alias("value")) for i, _, _ in _MATRIX])
     return rows.select("k", F.inline(pairs)).select("type_id", "k", "value")
+
+
+_URGENT = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
+
+
+def _orders_stream(spark, sf_dir, root):
+    """The orders' records as a stream of three batches, in the wrong order: deletes, then updates, then inserts."""
+    records = change_records(spark, sf_dir).where("object_name = 'shop.orders'")
+    steps = [F.col("source_ts") > _T0 + 3, F.col("source_ts").between(_T0 + 2, _T0 + 3), F.col("source_ts") == _T0 + 1]
+    encoded = [changes.encode_envelope(records.where(step)) for step in steps]
+    for part in encoded:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/topic")
+    shape = next(s for s in changes.table_shapes(changes.prepare(changes.decode_envelope(union_all(encoded)))[0]) if s.table == "orders")
+    stream = jobs.read_stream(spark, "parquet", f"{root}/topic", encoded[0].schema, maxFilesPerTrigger="1")
+    return changes.typed_rows(changes.prepare(changes.decode_envelope(stream))[0], shape)
+
+
+@query(
+    "feed_winning_changes",
+    f"""
+SELECT o_orderkey, o_orderpriority = '5-LOW' OR {_URGENT} AS deleted,
+       CASE WHEN o_orderpriority <> '5-LOW' AND NOT ({_URGENT}) THEN round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END, 2) END AS price FROM orders
+UNION ALL SELECT -o_orderkey - 1, FALSE, o_totalprice FROM orders WHERE {_URGENT}
+""",
+)
+def _(spark, sf_dir):
+    """Every record comes before the older ones it replaces, so each key has one winner and no late record wins."""
+    root = scratch_dir(spark, "winners")
+    stream = _orders_stream(spark, sf_dir, root)
+    winners.append_winners(stream, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
+    price = F.when(~F.col(changes.DELETED), F.round(F.col("o_totalprice").cast("double"), 2))
+    return spark.read.parquet(f"{root}/out").select("o_orderkey", F.col(changes.DELETED).alias("deleted"), price.alias("price"))
+
+
+@query("feed_current_rows", _FINAL_ORDERS)
+def _(spark, sf_dir):
+    """The table that the winners leave, without a table format."""
+    root = scratch_dir(spark, "winners")
+    stream = _orders_stream(spark, sf_dir, root)
+    winners.append_winners(stream, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
+    return _plain_orders(winners.current_rows(spark, f"{root}/out", ["o_orderkey"]))

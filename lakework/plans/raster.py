@@ -406,6 +406,56 @@ def _(spark, sf_dir):
     return cells_of_layer(mean, "band_1").withColumn("band_1", F.round("band_1", 6))
 
 
+@query(
+    "raster_focal_extremes",
+    f"""
+WITH source AS ({_global(GAPPY_CELLS)}),
+spread AS (SELECT x + dx.i AS x, y + dy.i AS y, v FROM source, range(-2, 3) dx(i), range(-2, 3) dy(i) WHERE v IS NOT NULL),
+windows AS (SELECT x, y, min(v) AS least, max(v) AS most, median(v) AS middle FROM spread GROUP BY x, y)
+SELECT CAST(x // {SIDE} AS INTEGER) AS tile_col, CAST(y // {SIDE} AS INTEGER) AS tile_row, CAST(x % {SIDE} AS INTEGER) AS column_index,
+       CAST(y % {SIDE} AS INTEGER) AS row_index, least, most, middle
+FROM source LEFT JOIN windows USING (x, y)
+""",
+)
+def _(spark, sf_dir):
+    """Smallest, largest and middle value of the 5 x 5 window around each cell."""
+    source = frames.gappy_layer(spark, sf_dir).select(KEY, "band_1")
+    layers = [
+        fn(source, "band_1", 2, SIDE, SIDE).withColumnRenamed("band_1", name)
+        for fn, name in ((cell_ops.focal_min, "least"), (cell_ops.focal_max, "most"), (cell_ops.focal_median, "middle"))
+    ]
+    cells = cell_ops.explode_tiles(layers[0].join(layers[1], KEY).join(layers[2], KEY), ["least", "most", "middle"])
+    return cells.select(
+        F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"), "column_index", "row_index", "least", "most", "middle"
+    )
+
+
+@query("tile_explode_in_sql_text", f"SELECT {_PLACE}, band_1 FROM ({GAPPY_CELLS})")
+def _(spark, sf_dir):
+    geometry.register_sql_functions(spark)
+    frames.gappy_layer(spark, sf_dir).createOrReplaceTempView("gappy_tiles")
+    return spark.sql(
+        "SELECT spatial_key.col AS tile_col, spatial_key.row AS tile_row, e.column_index, e.row_index, e.value AS band_1"
+        " FROM gappy_tiles, LATERAL st_explode_tile(band_1) e"
+    )
+
+
+@query(
+    "tile_aggregates_in_sql_text",
+    f"SELECT tile_row, column_index, row_index, min(band_1) AS least, max(band_1) AS most, count(band_1) AS data_cells, count(*) - count(band_1) AS no_data_cells,"
+    f" sum(band_1) AS total FROM ({GAPPY_CELLS}) GROUP BY tile_row, column_index, row_index",
+)
+def _(spark, sf_dir):
+    """Cell-wise aggregates over the tiles of a group, in SQL: map-side sums of Spark's own, whatever the group's size."""
+    geometry.register_sql_functions(spark)
+    frames.gappy_layer(spark, sf_dir).createOrReplaceTempView("gappy_tiles")
+    return spark.sql(
+        "SELECT spatial_key.row AS tile_row, e.column_index, e.row_index, min(e.value) AS least, max(e.value) AS most, count(e.value) AS data_cells,"
+        " count(*) - count(e.value) AS no_data_cells, sum(e.value) AS total"
+        " FROM gappy_tiles, LATERAL st_explode_tile(band_1) e GROUP BY spatial_key.row, e.column_index, e.row_index"
+    )
+
+
 _SHIFTED = (40.0, -12.0)
 
 

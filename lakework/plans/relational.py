@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.operators import relational
+from lakework.operators import quantiles, relational
 from lakework.plans.registry import query, table
 from lakework.session import scratch_dir
 
@@ -196,3 +196,65 @@ def _register(name: str, tables: list[str], sql: str, how: int) -> None:
 
 for _i, (_name, (_tables, _sql)) in enumerate(_SCRIPTS.items()):
     _register(_name, _tables, _sql, _i % 3)
+
+
+@query(
+    "script_with_blocks",
+    """
+WITH steps AS (SELECT 250.0 * k AS least FROM range(0, 1000) t(k)),
+chosen AS (SELECT min(least) AS least FROM steps WHERE (SELECT count(*) FROM customer WHERE c_acctbal > steps.least) <= (SELECT count(*) FROM customer) / 10)
+SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS highest, CAST(count(*) > 0 AS BOOLEAN) AS filled FROM customer, chosen WHERE c_acctbal > least GROUP BY c_mktsegment
+""",
+)
+def _(spark, sf_dir):
+    """A compound block: variables, a loop until a tenth of the customers are left, a branch, a handler."""
+    _views(spark, sf_dir, "customer")
+    script = """
+-- the block is one statement; its inner semicolons do not cut it
+CREATE OR REPLACE TEMPORARY VIEW customer_view AS SELECT *, 'a;b' AS note FROM customer;
+BEGIN
+  DECLARE least DOUBLE DEFAULT 0;
+  DECLARE wanted, found BIGINT;
+  DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN SELECT 'failed; ' AS c_mktsegment, 0L AS n, 0D AS highest, false AS filled; END;
+  SET wanted = (SELECT count(*) DIV 10 FROM customer_view);
+  SET found = (SELECT count(*) FROM customer_view WHERE c_acctbal > least);
+  again: WHILE found > wanted DO
+    SET least = least + 250;
+    SET found = (SELECT count(CASE WHEN c_acctbal > least THEN 1 END) FROM customer_view);
+  END WHILE again;
+  IF found < 0 THEN SELECT 'none' AS c_mktsegment, 0L AS n, 0D AS highest, false AS filled;
+  ELSE
+    SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS highest, if(count(*) > 0, true, false) AS filled FROM customer_view WHERE c_acctbal > least GROUP BY c_mktsegment;
+  END IF;
+END;
+"""
+    return relational.run_statements(spark, [script])
+
+
+_SHARES = (0.1, 0.5, 0.9)
+
+
+@query(
+    "quantile_sketches_by_day",
+    """
+WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value FROM events)
+SELECT day, count(value) AS n, TRUE AS holds FROM e GROUP BY day UNION ALL SELECT 'all', count(value), TRUE FROM events
+""",
+)
+def _(spark, sf_dir):
+    """Sketches are kept by day and merged to one of all days; every quantile is held against exact ranks, within 0.02."""
+    root = scratch_dir(spark, "sketches")
+    events = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    quantiles.quantile_sketches(events, "value", ["day"]).write.parquet(root)
+    by_day = spark.read.parquet(root)
+    told = by_day.unionByName(quantiles.merge_sketches(by_day).withColumn("day", F.lit("all")))
+    told = told.select("day", F.kll_sketch_get_n_double("sketch").alias("n"), quantiles.sketch_quantiles(_SHARES).alias("q"))
+    values = events.unionAll(events.withColumn("day", F.lit("all")))
+    ranks = values.join(told, "day").groupBy("day", "n").agg(
+        *[F.avg((F.col("value") < F.col("q")[i]).cast("int")).alias(f"below_{i}") for i in range(len(_SHARES))],
+        *[F.avg((F.col("value") <= F.col("q")[i]).cast("int")).alias(f"upto_{i}") for i in range(len(_SHARES))],
+    )
+    holds = F.lit(True)
+    for i, p in enumerate(_SHARES):
+        holds = holds & (F.col(f"below_{i}") <= p + 0.02) & (F.col(f"upto_{i}") >= p - 0.02)
+    return ranks.select("day", "n", holds.alias("holds"))
