@@ -223,18 +223,18 @@ def paint_patches(patches: Column, cols: int, rows: int) -> Column:
     return F.arrow_udf(per_batch, "array<double>")(patches)
 
 
-def _focal(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str, kernel) -> DataFrame:
+def _focal(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str, unique: bool, kernel) -> DataFrame:
     """Apply ``kernel`` (a canvas with ``radius`` cells around the tile, NaN for NoData, to the tile's cells) to every tile.
 
     Every tile sends itself to its own key and only its border strips to its
     neighbours, so a tile gathers one patch per neighbour and the shuffle grows with
-    the perimeter. Tiles that share a key are one tile first.
+    the perimeter. Tiles that share a key are one tile first; ``unique`` says that there are none.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
     reach_x, reach_y = math.ceil(radius / cols), math.ceil(radius / rows)
     steps = [(dx, dy) for dx in range(-reach_x, reach_x + 1) for dy in range(-reach_y, reach_y + 1)]
-    sent = unique_tiles(layer, [band], key).select(
+    sent = (layer if unique else unique_tiles(layer, [band], key)).select(
         F.col(f"{key}.col").alias("_c"), F.col(f"{key}.row").alias("_r"), cells_of(band).alias("_cells"),
         F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("_d"),
     )
@@ -286,7 +286,7 @@ def _focal(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key:
     )
 
 
-def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key", unique: bool = False) -> DataFrame:
     """Mean of the data cells in the (2r+1) x (2r+1) window around each cell, across tile edges.
 
     Windows without data give NoData. Sums come from a summed-area table, so the work does not
@@ -306,7 +306,7 @@ def focal_mean(layer: DataFrame, band: str, radius: int, cols: int, rows: int, k
         total = sums(np.where(known, canvas - middle, 0.0)) + middle * count
         return np.divide(total, count, out=np.full((rows, cols), np.nan), where=count > 0)
 
-    return _focal(layer, band, radius, cols, rows, key, kernel)
+    return _focal(layer, band, radius, cols, rows, key, unique, kernel)
 
 
 def running_max(values: np.ndarray, side: int, axis: int) -> np.ndarray:
@@ -324,7 +324,7 @@ def running_max(values: np.ndarray, side: int, axis: int) -> np.ndarray:
     return np.moveaxis(np.maximum(back[..., : n - side + 1], ahead[..., side - 1 : n]), -1, axis)
 
 
-def focal_max(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+def focal_max(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key", unique: bool = False) -> DataFrame:
     """Largest data cell in the (2r+1) x (2r+1) window around each cell, across tile edges; see :func:`running_max`."""
     side = 2 * radius + 1
 
@@ -332,10 +332,10 @@ def focal_max(layer: DataFrame, band: str, radius: int, cols: int, rows: int, ke
         most = running_max(running_max(np.where(np.isnan(canvas), -np.inf, canvas), side, 0), side, 1)
         return np.where(most == -np.inf, np.nan, most)
 
-    return _focal(layer, band, radius, cols, rows, key, kernel)
+    return _focal(layer, band, radius, cols, rows, key, unique, kernel)
 
 
-def focal_min(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+def focal_min(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key", unique: bool = False) -> DataFrame:
     """Smallest data cell in the (2r+1) x (2r+1) window around each cell, across tile edges."""
     side = 2 * radius + 1
 
@@ -343,7 +343,7 @@ def focal_min(layer: DataFrame, band: str, radius: int, cols: int, rows: int, ke
         least = running_max(running_max(np.where(np.isnan(canvas), -np.inf, -canvas), side, 0), side, 1)
         return np.where(least == -np.inf, np.nan, -least)
 
-    return _focal(layer, band, radius, cols, rows, key, kernel)
+    return _focal(layer, band, radius, cols, rows, key, unique, kernel)
 
 
 class _RankHistogram:
@@ -370,7 +370,7 @@ class _RankHistogram:
         return block * self.width + (np.cumsum(fine, axis=1) > left[:, None]).argmax(axis=1)
 
 
-def focal_median(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key") -> DataFrame:
+def focal_median(layer: DataFrame, band: str, radius: int, cols: int, rows: int, key: str = "spatial_key", unique: bool = False) -> DataFrame:
     """Median of the data cells in the (2r+1) x (2r+1) window around each cell, across tile edges.
 
     Of an even number the mean of the two middle ones. The window slides along all rows of a tile at
@@ -404,4 +404,4 @@ def focal_median(layer: DataFrame, band: str, radius: int, cols: int, rows: int,
             slide(x, -1)
         return out
 
-    return _focal(layer, band, radius, cols, rows, key, kernel)
+    return _focal(layer, band, radius, cols, rows, key, unique, kernel)

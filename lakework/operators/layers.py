@@ -116,15 +116,16 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right.drop(*shared), on=KEY, how=how)
 
 
-def to_raster(layer: DataFrame, band: str, width: int, height: int, resample: str = "nearest") -> DataFrame:
+def to_raster(layer: DataFrame, band: str, width: int, height: int, resample: str = "nearest", unique: bool = False) -> DataFrame:
     """Mosaic a band and resample it to width x height cells: ``column_index, row_index, value``.
 
     Each tile works out by integer arithmetic which output cells its own cells feed,
     so ``nearest`` needs no join and no shuffle; ``bilinear`` adds up the weighted
     parts of the neighbouring cells per output cell. Cells without data are left out.
-    Tiles that share a key are one tile first, cell by cell the largest value.
+    Tiles that share a key are one tile first, cell by cell the largest value; ``unique`` says that
+    there are none, which saves a pass over the layer.
     """
-    layer = unique_tiles(layer, [band])
+    layer = layer if unique else unique_tiles(layer, [band])
     meta = layer_metadata(layer).first()
     if meta.tiles == 0:
         raise ValueError("the layer is empty")

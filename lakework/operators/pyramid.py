@@ -73,18 +73,19 @@ def parent_level(layer: DataFrame, cols: int, rows: int, unique: bool = False) -
     )
 
 
-def build_pyramid(layer: DataFrame, max_zoom: int, min_zoom: int = 0) -> DataFrame:
+def build_pyramid(layer: DataFrame, max_zoom: int, min_zoom: int = 0, unique: bool = False) -> DataFrame:
     """All levels from ``max_zoom``, the layer itself, up to ``min_zoom``, with a ``zoom`` column.
 
     Every level is written once to the checkpoint folder before the next one reads it,
-    so the base is not read again for each level.
+    so the base is not read again for each level. Tiles that share a key are made one first;
+    ``unique`` says that there are none.
     """
     if min_zoom > max_zoom:
         raise ValueError("min_zoom must not be above max_zoom")
     bands = tile_columns(layer)
     base = layer.select(KEY, *bands)
     cols, rows = _uniform(base, f"{bands[0]}.cols", f"{bands[0]}.rows")
-    levels, current = [base.withColumn("zoom", F.lit(max_zoom))], unique_tiles(base, bands)
+    levels, current = [base.withColumn("zoom", F.lit(max_zoom))], base if unique else unique_tiles(base, bands)
     for zoom in range(max_zoom - 1, min_zoom - 1, -1):
         current = cut_lineage(parent_level(current, cols, rows, unique=True))
         levels.append(current.withColumn("zoom", F.lit(zoom)))

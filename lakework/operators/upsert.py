@@ -342,6 +342,9 @@ def drop_old_versions(spark: SparkSession, path: str) -> int:
     return dropped
 
 
+_SHOWN = "shown_versions"
+
+
 def sync_table(spark: SparkSession, db: str, table: str, path: str) -> str:
     """Register the current rows in the catalog as an external table, one partition per bucket.
 
@@ -371,13 +374,17 @@ def sync_table(spark: SparkSession, db: str, table: str, path: str) -> str:
         )
     known = {int(r[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}  # one row per bucket
     places = {int(b): f"{path}/base/{VERSION}={v}/{BUCKET}={b}" for b, v in commit.base.items()}
-    for b in sorted(known & set(places)):
+    # The table remembers the version of each bucket that it shows; only those that changed are moved.
+    shown_versions = json.loads({r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get(_SHOWN, "{}"))
+    for b in sorted(b for b in known & set(places) if shown_versions.get(str(b)) != commit.base[str(b)]):
         spark.sql(f"ALTER TABLE {name} PARTITION (`{BUCKET}`={b}) SET LOCATION '{places[b]}'")
     if fresh := sorted(set(places) - known):
         parts = " ".join(f"PARTITION (`{BUCKET}`={b}) LOCATION '{places[b]}'" for b in fresh)
         spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {parts}")
     if gone := sorted(known - set(places)):
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION (`{BUCKET}`={b})" for b in gone))
+    if shown_versions != commit.base:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{_SHOWN}' = '{json.dumps(commit.base)}')")
     spark.catalog.refreshTable(f"{db}.{stored_as}")
     if timed:
         shown = ", ".join(f"`{f.name}`" for f in commit.stored)

@@ -34,6 +34,7 @@ def band_layer(spark: SparkSession, sf_dir: str, band: str) -> DataFrame:
 
 
 def layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both bands; a tile per embedding, so every key is there once."""
     return _tiles(spark, sf_dir, ACROSS).select(
         KEY,
         make_tile(F.col("numbers"), SIDE, SIDE).alias("band_1"),

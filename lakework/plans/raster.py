@@ -304,7 +304,7 @@ WHERE source.x = (2 * c.i + 1) * w // {2 * _OUT[0]} AND source.y = (2 * r.i + 1)
 """,
 )
 def _(spark, sf_dir):
-    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", *_OUT)
+    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", *_OUT, unique=True)
 
 
 @query(
@@ -321,7 +321,7 @@ WHERE v IS NOT NULL AND px.w > 0 AND py.w > 0 GROUP BY px.i, py.i
 """,
 )
 def _(spark, sf_dir):
-    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", 150, 135, "bilinear").withColumn(
+    return layers.to_raster(frames.gappy_layer(spark, sf_dir), "band_1", 150, 135, "bilinear", unique=True).withColumn(
         "value", F.round("value", 6)
     )
 
@@ -402,7 +402,7 @@ FROM source LEFT JOIN means USING (x, y)
 """,
 )
 def _(spark, sf_dir):
-    mean = cell_ops.focal_mean(frames.gappy_layer(spark, sf_dir), "band_1", 1, SIDE, SIDE)
+    mean = cell_ops.focal_mean(frames.gappy_layer(spark, sf_dir), "band_1", 1, SIDE, SIDE, unique=True)
     return cells_of_layer(mean, "band_1").withColumn("band_1", F.round("band_1", 6))
 
 
@@ -421,7 +421,7 @@ def _(spark, sf_dir):
     """Smallest, largest and middle value of the 5 x 5 window around each cell."""
     source = frames.gappy_layer(spark, sf_dir).select(KEY, "band_1")
     layers = [
-        fn(source, "band_1", 2, SIDE, SIDE).withColumnRenamed("band_1", name)
+        fn(source, "band_1", 2, SIDE, SIDE, unique=True).withColumnRenamed("band_1", name)
         for fn, name in ((cell_ops.focal_min, "least"), (cell_ops.focal_max, "most"), (cell_ops.focal_median, "middle"))
     ]
     cells = cell_ops.explode_tiles(layers[0].join(layers[1], KEY).join(layers[2], KEY), ["least", "most", "middle"])
@@ -630,7 +630,7 @@ def _(spark, sf_dir):
 
 @query("raster_pyramid", _pyramid_sql())
 def _(spark, sf_dir):
-    levels = pyramid.build_pyramid(frames.gappy_layer(spark, sf_dir).select(KEY, "band_1"), max_zoom=3)
+    levels = pyramid.build_pyramid(frames.gappy_layer(spark, sf_dir).select(KEY, "band_1"), max_zoom=3, unique=True)
     out = cell_ops.explode_tiles(levels, ["band_1"]).where("band_1 IS NOT NULL")
     return out.select(
         "zoom", F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakework.operators.relational import records_to_json
+from lakework.operators.relational import cast_kv, records_to_json
 from lakework.plans.registry import query, table
 from lakework.session import scratch_dir
+from lakework.sources import replay
 from lakework.streaming import jobs
 
 
@@ -63,3 +64,44 @@ def _(spark, sf_dir):
     spark.read.parquet(f"{root}/topic").repartition(2).write.mode("append").parquet(f"{root}/topic")
     jobs.batch_counts(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").agg(F.sum("n").alias("records"))
+
+
+def _log(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The events as a log of four partitions, in segments of 500 records."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"), F.col("ts").cast("timestamp").alias("timestamp"),
+        "event_id",
+    )
+    replay.write_log(events, f"{root}/log", F.col("event_id") % 4, F.col("event_id"), segment_records=500)
+    return f"{root}/log"
+
+
+@query(
+    "stream_replayed_log",
+    "SELECT CAST(event_id AS VARCHAR) AS key, props AS value, CAST(event_id % 4 AS INTEGER) AS partition, event_id // 4 AS offset FROM events WHERE event_id // 4 >= (event_id % 4) * 300",
+)
+def _(spark, sf_dir):
+    """From a start position in every partition, in two runs: the second goes on where the first has stopped."""
+    root = scratch_dir(spark, "replay")
+    path = _log(spark, sf_dir, root)
+    for _ in range(2):
+        stream = cast_kv(replay.read_log(spark, path, startingOffsets='{"0": 0, "1": 300, "2": 600, "3": 900}'))
+        jobs.append_to(stream.drop("timestamp"), "parquet", f"{root}/checkpoint", f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_from_expired_offset", "SELECT CAST(event_id % 4 AS INTEGER) AS partition, count(*) AS records, min(event_id // 4) AS first FROM events WHERE event_id // 4 >= 1000 GROUP BY ALL")
+def _(spark, sf_dir):
+    """The start position is gone when the stream asks for it: the job begins anew at the earliest record that is left."""
+    root = scratch_dir(spark, "replay")
+    path = _log(spark, sf_dir, root)
+    for partition in range(4):
+        replay.drop_segments(spark, path, partition, 1000)
+
+    def start(offset):
+        stream = replay.read_log(spark, path, startingOffsets=offset or '{"0": 10, "1": 700, "2": 1200, "3": 999}')
+        return jobs.append_to(stream.select("partition", "offset"), "parquet", f"{root}/checkpoint-{offset}", f"{root}/out-{offset}")
+
+    jobs.run_with_recovery(start)
+    found = spark.read.parquet(f"{root}/out-earliest").groupBy("partition")
+    return found.agg(F.count("*").alias("records"), F.min("offset").alias("first"))

@@ -93,7 +93,7 @@ def apply_batch(
     the empty table name. ``writer`` names the sequence that the batch numbers belong to.
     """
     spark = batch.sparkSession
-    decoded = decode_envelope(batch, value_col).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded, parted = decode_envelope(batch, value_col).persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         states, rejected = prepare(decoded)
         shapes = table_shapes(states, config.types)
@@ -128,10 +128,10 @@ def apply_batch(
             # The threads keep the job group of the stream, so stopping it stops their jobs.
             rows = list(pool.map(inheritable_thread_target(spark)(write), shapes))
         dropped = rejected.count()
-        if parted:
-            drop_scratch(spark, parted)
     finally:
         decoded.unpersist()
+        if parted:
+            drop_scratch(spark, parted)
     if dropped:
         log.warning("batch %s: %s records without a primary key", batch_id, dropped)
         rows.append((batch_id, "", "", dropped, 0, True, False, 0))
