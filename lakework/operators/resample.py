@@ -156,6 +156,7 @@ def raster_join(
     right: DataFrame,
     how: str = "left",
     resample: str = "nearest",
+    unique: bool = False,
 ) -> DataFrame:
     """Join layers of different CRS, extent and resolution where their extents intersect.
 
@@ -166,7 +167,8 @@ def raster_join(
     large ones do not make the buckets of the small ones larger. A pair counts only in
     the bucket of its intersection's lower left corner, so no pair comes twice and
     nothing has to be made distinct. A left tile is told by its key and its extent, so
-    scenes that repeat keys stay apart. ``how`` is ``left`` or ``inner``; left tiles
+    scenes that repeat keys stay apart; ``unique`` says that no key of the left repeats, which saves
+    making them distinct and a part of the key. ``how`` is ``left`` or ``inner``; left tiles
     without a partner get NULL tiles.
     """
     if how not in ("left", "inner"):
@@ -181,9 +183,10 @@ def raster_join(
         return left.join(right.select(KEY, *bands).limit(0), on=KEY, how=how)
     right_crs = _uniform(right, "crs")[0] or left_crs
     place = F.xxhash64("extent.xmin", "extent.ymin", "extent.xmax", "extent.ymax")
-    targets = left.select(
-        F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), place.alias("_tp"), F.col("extent").alias("_te")
-    ).distinct()
+    targets = left.select(F.col(f"{KEY}.col").alias("_tc"), F.col(f"{KEY}.row").alias("_tr"), F.col("extent").alias("_te"))
+    told_by = ("_tc", "_tr") if unique else ("_tc", "_tr", "_tp")
+    if not unique:
+        targets = targets.withColumn("_tp", F.xxhash64("_te.xmin", "_te.ymin", "_te.xmax", "_te.ymax")).distinct()
     sources = right.select(
         F.col("extent").alias("_se"), _source_order().alias("_ord"),
         reproject_extent("extent", right_crs, left_crs).alias("_sb"), *_flat(bands),
@@ -216,10 +219,12 @@ def raster_join(
         )
         .drop("_lv", "_bx", "_by", "_sb")
     )
-    drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample, ("_tc", "_tr", "_tp"))
+    drawn = resample_pairs(pairs, bands, cols, rows, left_crs, right_crs, resample, told_by)
     # On the key's fields, by which the drawn tiles are partitioned already.
-    same = (F.col(f"{KEY}.col") == F.col("_tc")) & (F.col(f"{KEY}.row") == F.col("_tr")) & (place == F.col("_tp"))
-    return left.join(drawn, same, how).drop("_tc", "_tr", "_tp")
+    same = (F.col(f"{KEY}.col") == F.col("_tc")) & (F.col(f"{KEY}.row") == F.col("_tr"))
+    if not unique:
+        same = same & (place == F.col("_tp"))
+    return left.join(drawn, same, how).drop(*told_by)
 
 
 def _side(box: str) -> Column:

@@ -472,7 +472,7 @@ SELECT {_PLACE}, band_1, other FROM m
 )
 def _(spark, sf_dir):
     other = frames.other_grid(spark, sf_dir, _SHIFTED, 1.25)
-    joined = resample.raster_join(frames.plain_layer(spark, sf_dir), other)
+    joined = resample.raster_join(frames.plain_layer(spark, sf_dir), other, unique=True)
     return cells_of_layer(joined, "band_1", "other")
 
 
@@ -515,7 +515,7 @@ SELECT {_PLACE}, round(sum(w * other) / sum(w), 6) AS other FROM near JOIN r USI
 )
 def _(spark, sf_dir):
     other = frames.other_grid(spark, sf_dir, _SHIFTED, 1.25)
-    joined = resample.raster_join(frames.plain_layer(spark, sf_dir), other, how="inner", resample="bilinear")
+    joined = resample.raster_join(frames.plain_layer(spark, sf_dir), other, how="inner", resample="bilinear", unique=True)
     return cells_of_layer(joined, "other").where("other IS NOT NULL").withColumn("other", F.round("other", 6))
 
 
@@ -538,7 +538,7 @@ AND gr = CAST(ceil(({_MERCATOR_ORIGIN[1]} - y) / {_MERCATOR_CELL}) - 1 AS BIGINT
 )
 def _(spark, sf_dir):
     other = frames.other_grid(spark, sf_dir, _MERCATOR_ORIGIN, _MERCATOR_CELL)
-    joined = resample.raster_join(frames.geo_layer(spark, sf_dir), other)
+    joined = resample.raster_join(frames.geo_layer(spark, sf_dir), other, unique=True)
     return cells_of_layer(joined, "band_1", "other")
 
 

@@ -91,6 +91,8 @@ def test_raster_join_keeps_unmatched_left_tiles(spark):
     # The right tile covers the left half; its cells are half as wide and as high.
     assert joined[0].cells == [20.0, None, 40.0, None]
     assert resample.raster_join(left, right, how="inner").count() == 1
+    once = {r[KEY].col: r.b for r in resample.raster_join(left, right, unique=True).collect()}
+    assert once == joined
 
 
 def test_raster_join_with_an_empty_side(spark):
