@@ -532,3 +532,37 @@ def _(spark, sf_dir):
     stream = _orders_stream(spark, sf_dir, root)
     winners.append_winners(stream, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
     return _plain_orders(winners.current_rows(spark, f"{root}/out", ["o_orderkey"]))
+
+
+@query(
+    "feed_batch_reports",
+    f"""
+SELECT 0::BIGINT AS batch_id, 'shop' AS db, 'orders' AS "table", count(*) AS upserts, 0::BIGINT AS deletes FROM orders
+UNION ALL SELECT 0, 'crm', 'customer', count(*), 0 FROM customer
+UNION ALL SELECT 0, '', '', count(*), 0 FROM nation
+UNION ALL SELECT 1, 'shop', 'orders', count_if(o_orderstatus = 'F') + count_if({_URGENT}), count_if({_URGENT}) FROM orders
+UNION ALL SELECT 1, 'crm', 'customer', count(*), 0 FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 2, 'shop', 'orders', 0, count(*) FROM orders WHERE o_orderpriority = '5-LOW'
+""",
+)
+def _(spark, sf_dir):
+    """What every batch reports of every table; records without a key are counted under no name."""
+    config = feed.CdcConfig(base_path=scratch_dir(spark, "tables"))
+    records = change_records(spark, sf_dir)
+    steps = [F.col("source_ts") == _T0 + 1, F.col("source_ts").between(_T0 + 2, _T0 + 3), F.col("source_ts") > _T0 + 3]
+    reports = [feed.apply_batch(changes.encode_envelope(_spread(records.where(step))), i, config) for i, step in enumerate(steps)]
+    return union_all(reports).select("batch_id", "db", "table", "upserts", "deletes")
+
+
+@query(
+    "feed_decimal_definitions",
+    "SELECT 'decimal(14,3)' AS kind, count(*) AS records, CAST(sum(CAST(o_totalprice AS DECIMAL(14, 3))) AS DOUBLE) AS total FROM orders",
+)
+def _(spark, sf_dir):
+    """The digits of a column as the user defines them, in place of those that the records state."""
+    inserts = change_records(spark, sf_dir).where(f"source_ts = {_T0 + 1}")
+    states = changes.prepare(changes.decode_envelope(changes.encode_envelope(_spread(inserts))))[0]
+    options = TypeOptions(decimals=changes.parse_decimal_defs("shop.orders:o_totalprice,14,3;o_other,5,2#customer:c_acctbal,9,1"))
+    shape = next(s for s in changes.table_shapes(states, options) if s.table == "orders")
+    rows = changes.typed_rows(states, shape, options)
+    return rows.groupBy(F.typeof("o_totalprice").alias("kind")).agg(F.count("*").alias("records"), F.sum("o_totalprice").cast("double").alias("total"))

@@ -682,6 +682,16 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "layer_as_checked",
+    f"SELECT tile_col, tile_row, CAST({SIDE * SIDE} AS INTEGER) AS cells FROM (SELECT DISTINCT tile_col, tile_row FROM ({CELLS}))",
+)
+def _(spark, sf_dir):
+    """A frame taken as a layer once its key and tiles are checked."""
+    layer = layers.as_layer(frames.layer(spark, sf_dir))
+    return layer.select(F.col(f"{KEY}.col").alias("tile_col"), F.col(f"{KEY}.row").alias("tile_row"), F.size("band_1.cells").alias("cells"))
+
+
 @query(
     "layer_window",
     f"SELECT tile_col, tile_row, column_index, row_index, band_1 FROM ({CELLS}) WHERE tile_col BETWEEN 3 AND 13 AND tile_row BETWEEN 2 AND 9",

@@ -105,3 +105,16 @@ def _(spark, sf_dir):
     jobs.run_with_recovery(start)
     found = spark.read.parquet(f"{root}/out-earliest").groupBy("partition")
     return found.agg(F.count("*").alias("records"), F.min("offset").alias("first"))
+
+
+@query("stream_at_fixed_interval", "SELECT CAST(event_id AS VARCHAR) AS key, props AS value FROM events")
+def _(spark, sf_dir):
+    """Batches at an interval, one file each, until all that is there is written."""
+    root = scratch_dir(spark, "stream")
+    stream = jobs.kv_stream(_event_stream(spark, sf_dir, root, per_trigger=1))
+    running = jobs.append_to(stream, "parquet", f"{root}/checkpoint", f"{root}/out", interval="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{root}/out")

@@ -151,6 +151,40 @@ def _(spark, sf_dir):
     )
 
 
+_SPEC = "name:String,dtg:Date,*geom:Point:srid=4326"
+
+
+@query("feature_type_from_spec", f"SELECT __fid__, name, x, y, '{_SPEC}' AS spec FROM ({_EVENTS})")
+def _(spark, sf_dir):
+    """A feature type declared by its spec, filled, and read back with the spec that its columns give."""
+    root = scratch_dir(spark, "features")
+    features.create_feature(spark, root, "events", _SPEC)
+    features.write_features(event_features(spark, sf_dir), root, "events")
+    stored = features.read_features(spark, root, "events")
+    return stored.select("__fid__", "name", "geom.x", "geom.y", F.lit(features.schema_to_spec(stored.schema)).alias("spec"))
+
+
+@query(
+    "geojson_features",
+    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Polygon' ELSE 'Point' END AS kind, s_name AS name,"
+    " CAST(CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 1 END AS INTEGER) AS corners, s_suppkey % 360 - 180.0::DOUBLE AS x FROM supplier",
+)
+def _(spark, sf_dir):
+    """Suppliers as GeoJSON, one feature a line, areas and points in turn, read back as features."""
+    path = scratch_dir(spark, "geojson")
+    lon, lat = F.expr("CAST(s_suppkey % 360 - 180 AS DOUBLE)"), F.expr("CAST(s_suppkey % 170 - 85 AS DOUBLE)")
+    ring = F.array(*[F.array(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.0))])
+    area = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    spot = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
+    shape = F.when(F.expr("s_suppkey % 2 = 0"), area).otherwise(spot)
+    properties = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    line = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
+    table(spark, sf_dir, "supplier").select(line).write.text(path)
+    read = features.read_geojson(spark, path)
+    corners = F.coalesce("geom", "points")
+    return read.select("id", F.col("type").alias("kind"), F.col("properties")["name"].alias("name"), F.size(corners).alias("corners"), corners[0]["x"].alias("x"))
+
+
 @query(
     "well_known_text",
     f"SELECT c_custkey, round(x, 6) AS px, round(y, 6) AS py, CAST(33 AS INTEGER) AS corners FROM ({POINTS})",
