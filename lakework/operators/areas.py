@@ -129,13 +129,16 @@ def edge_arrays(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
 
 
+_OWN_NAMES = {"_edges", "_x0", "_x1", "_y0", "_y1", "_start", "_leaf", "_level", "_cx", "_cy", "_inner", "_k"}
+
+
 def cover(areas: DataFrame, domain: tuple[float, float, float, float]) -> DataFrame:
     """The cells (``_level``, ``_cx``, ``_cy``) of areas, ``_inner`` or else with the ``_edges`` to test.
 
     ``areas`` has ``_edges``, and ``_start`` and ``_leaf``, the levels to begin and to end with;
     ``domain`` is (x, y, width, height) of level 0. Cells of one area do not overlap.
     """
-    own = [c for c in areas.columns if not c.startswith("_")]
+    own = [c for c in areas.columns if c not in _OWN_NAMES]
     source = areas.select(*[f"`{c}`" for c in own], "_edges", "_start", "_leaf")
     added = {"_level": "int", "_cx": "long", "_cy": "long", "_inner": "boolean"}
     schema = source.select(*[f"`{c}`" for c in own], *[F.lit(None).cast(k).alias(c) for c, k in added.items()], "_edges").schema
@@ -170,7 +173,7 @@ def cover(areas: DataFrame, domain: tuple[float, float, float, float]) -> DataFr
 
 def _renamed(areas: DataFrame, taken: list[str], leave: str) -> DataFrame:
     """The areas' columns but their shape, those that are taken with ``area_`` in front."""
-    names, used = [], {c.lower() for c in taken}
+    names, used = [], {c.lower() for c in taken} | _OWN_NAMES
     for name in (c for c in areas.columns if c != leave):
         new = name
         while new.lower() in used:
@@ -189,6 +192,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame, point: str = "geom", ar
     pairs. A column of the areas whose name the points have gets ``area_`` in front. One row of
     extents and the levels in use, a dozen numbers, come to the driver.
     """
+    if clash := _OWN_NAMES & {c.lower() for c in points.columns}:
+        raise ValueError(f"the points may not have columns named {sorted(clash)}")
     shapes = _with_bounds(_renamed(areas, points.columns, area))
     box = shapes.agg(F.min("_x0"), F.min("_y0"), F.max("_x1"), F.max("_y1")).first()
     if box[0] is None:

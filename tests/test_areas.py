@@ -104,6 +104,10 @@ def test_holes_odd_rows_and_names(spark):
     assert points_in_areas(points, areas.limit(0)).columns == got.columns
     several = areas.where("n = 1").select(F.array("area").alias("area"))
     assert points_in_areas(points, several).count() == 4
+    named = points_in_areas(points, areas.where("n = 1").selectExpr("n AS _id", "name AS _level", "area"))
+    assert named.columns == ["n", "geom", "_id", "area__level"] and {(r["_id"], r["area__level"]) for r in named.collect()} == {(1, "a")}
+    with pytest.raises(ValueError, match="may not have"):
+        points_in_areas(points.withColumn("_cx", F.lit(1)), areas)
     with pytest.raises(ValueError, match="no ring"):
         points_in_areas(points, areas, area="name")
 
