@@ -66,13 +66,13 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").agg(F.sum("n").alias("records"))
 
 
-def _log(spark: SparkSession, sf_dir: str, root: str) -> str:
-    """The events as a log of four partitions, in segments of 500 records."""
+def _log(spark: SparkSession, sf_dir: str, root: str, segment_records: int = 500) -> str:
+    """The events as a log of four partitions."""
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"), F.col("ts").cast("timestamp").alias("timestamp"),
         "event_id",
     )
-    replay.write_log(events, f"{root}/log", F.col("event_id") % 4, F.col("event_id"), segment_records=500)
+    replay.write_log(events, f"{root}/log", F.col("event_id") % 4, F.col("event_id"), segment_records)
     return f"{root}/log"
 
 
@@ -90,16 +90,23 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
-@query("stream_from_expired_offset", "SELECT CAST(event_id % 4 AS INTEGER) AS partition, count(*) AS records, min(event_id // 4) AS first FROM events WHERE event_id // 4 >= 1000 GROUP BY ALL")
+@query(
+    "stream_from_expired_offset",
+    """
+WITH n AS (SELECT count(*) AS n FROM events), kept AS (SELECT (n // 8) // greatest(20, n // 100) * greatest(20, n // 100) AS first_offset FROM n)
+SELECT CAST(event_id % 4 AS INTEGER) AS partition, count(*) AS records, min(event_id // 4) AS first FROM events, kept WHERE event_id // 4 >= first_offset GROUP BY event_id % 4
+""",
+)
 def _(spark, sf_dir):
     """The start position is gone when the stream asks for it: the job begins anew at the earliest record that is left."""
     root = scratch_dir(spark, "replay")
-    path = _log(spark, sf_dir, root)
+    n = table(spark, sf_dir, "events").count()
+    path = _log(spark, sf_dir, root, max(20, n // 100))
     for partition in range(4):
-        replay.drop_segments(spark, path, partition, 1000)
+        replay.drop_segments(spark, path, partition, n // 8)
 
     def start(offset):
-        stream = replay.read_log(spark, path, startingOffsets=offset or '{"0": 10, "1": 700, "2": 1200, "3": 999}')
+        stream = replay.read_log(spark, path, startingOffsets=offset or '{"0": 0, "1": 10, "2": 20, "3": 30}')
         return jobs.append_to(stream.select("partition", "offset"), "parquet", f"{root}/checkpoint-{offset}", f"{root}/out-{offset}")
 
     jobs.run_with_recovery(start)
