@@ -496,16 +496,17 @@ def _(spark, sf_dir):
 _URGENT = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
 
 
-def _orders_stream(spark, sf_dir, root):
-    """The orders' records as a stream of three batches, in the wrong order: deletes, then updates, then inserts."""
+def _deliver_orders(spark, sf_dir, root):
+    """The orders' records in three runs of one stream and in the wrong order: deletes, then updates, then inserts."""
     records = change_records(spark, sf_dir).where("object_name = 'shop.orders'")
     steps = [F.col("source_ts") > _T0 + 3, F.col("source_ts").between(_T0 + 2, _T0 + 3), F.col("source_ts") == _T0 + 1]
-    encoded = [changes.encode_envelope(records.where(step)) for step in steps]
-    for part in encoded:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/topic")
-    shape = next(s for s in changes.table_shapes(changes.prepare(changes.decode_envelope(union_all(encoded)))[0]) if s.table == "orders")
-    stream = jobs.read_stream(spark, "parquet", f"{root}/topic", encoded[0].schema, maxFilesPerTrigger="1")
-    return changes.typed_rows(changes.prepare(changes.decode_envelope(stream))[0], shape)
+    shape = next(s for s in changes.table_shapes(changes.prepare(changes.decode_envelope(changes.encode_envelope(records)))[0]) if s.table == "orders")
+    for step in steps:
+        part = changes.encode_envelope(records.where(step))
+        part.write.mode("append").parquet(f"{root}/topic")
+        stream = jobs.read_stream(spark, "parquet", f"{root}/topic", part.schema)
+        rows = changes.typed_rows(changes.prepare(changes.decode_envelope(stream))[0], shape)
+        winners.append_winners(rows, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
 
 
 @query(
@@ -519,8 +520,7 @@ UNION ALL SELECT -o_orderkey - 1, FALSE, o_totalprice FROM orders WHERE {_URGENT
 def _(spark, sf_dir):
     """Every record comes before the older ones it replaces, so each key has one winner and no late record wins."""
     root = scratch_dir(spark, "winners")
-    stream = _orders_stream(spark, sf_dir, root)
-    winners.append_winners(stream, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
+    _deliver_orders(spark, sf_dir, root)
     price = F.when(~F.col(changes.DELETED), F.round(F.col("o_totalprice").cast("double"), 2))
     return spark.read.parquet(f"{root}/out").select("o_orderkey", F.col(changes.DELETED).alias("deleted"), price.alias("price"))
 
@@ -529,8 +529,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The table that the winners leave, without a table format."""
     root = scratch_dir(spark, "winners")
-    stream = _orders_stream(spark, sf_dir, root)
-    winners.append_winners(stream, f"{root}/out", f"{root}/checkpoint", ["o_orderkey"]).awaitTermination()
+    _deliver_orders(spark, sf_dir, root)
     return _plain_orders(winners.current_rows(spark, f"{root}/out", ["o_orderkey"]))
 
 
