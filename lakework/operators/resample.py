@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakework.functions.geometry import MERCATOR_LIMIT, make_box, reproject, reproject_extent
+from lakework.functions.geometry import MERCATOR_LATITUDE, MERCATOR_LIMIT, make_box, reproject, reproject_extent
 from lakework.functions.tiles import cells_of, cols_of, rows_of
 from lakework.operators.cells import st_assemble_tile, tile_columns
 from lakework.operators.layers import KEY, with_extent
@@ -255,7 +255,8 @@ def to_zoomed_layout(
 ) -> DataFrame:
     """Re-tile a layer in the Web-Mercator pyramid layout, with a ``zoom`` column.
 
-    Without ``zoom`` the level is the coarsest that keeps the detail of the source.
+    Without ``zoom`` the level is the coarsest that keeps the detail of the source within the
+    layout's square; what lies beyond it, towards the poles, has no place there.
     Each source tile finds the target keys under it by arithmetic; no join is needed.
     """
     bands = tile_columns(layer)
@@ -265,11 +266,19 @@ def to_zoomed_layout(
         reproject_extent("extent", crs, "EPSG:3857").alias("_sb"), *_flat(bands),
     )
     if zoom is None:
+        rows_drawn = F.col("_sh")
+        if crs == "EPSG:4326":  # the box ends with the square, so only the rows within it share its height
+            low, high = F.greatest(F.col("_se.ymin"), F.lit(-MERCATOR_LATITUDE)), F.least(F.col("_se.ymax"), F.lit(MERCATOR_LATITUDE))
+            rows_drawn = rows_drawn * ((high - low) / (F.col("_se.ymax") - F.col("_se.ymin")))
         finest = F.least(
             (F.col("_sb.xmax") - F.col("_sb.xmin")) / F.col("_sw"),
-            (F.col("_sb.ymax") - F.col("_sb.ymin")) / F.col("_sh"),
+            F.try_divide(F.col("_sb.ymax") - F.col("_sb.ymin"), rows_drawn),
         )
-        zoom = zoom_for(sources.agg(F.min(finest).alias("cell")).first().cell, tile_size)
+        # A tile beyond the square has no side there, so it says nothing of the detail.
+        finest = sources.agg(F.min(F.when(finest > 0, finest)).alias("cell")).first().cell
+        zoom = 0 if finest is None else zoom_for(finest, tile_size)
+    if resample == "nearest":  # no target cell lies in such a tile; bilinear weights may reach it
+        sources = sources.where("_sb.xmax > _sb.xmin AND _sb.ymax > _sb.ymin")
     cell = mercator_cell(zoom, tile_size)
     side, last = cell * tile_size, 2**zoom - 1
 

@@ -245,6 +245,17 @@ def test_poles_are_drawn_to_the_edge(spark):
     assert [round(v / g.MERCATOR_LIMIT, 9) for v in row.b] == [-1, -1, 1, 1]
 
 
+def test_tiles_beyond_the_mercator_square_have_no_place(spark):
+    """A tile past the pole, and one that all but ends at the edge, say nothing of the detail."""
+    inside = one_tile(spark, (0, 0), (0.0, 0.0, 10.0, 10.0), [1.0, 2.0, 3.0, 4.0], "a", "EPSG:4326")
+    sliver = one_tile(spark, (0, 1), (0.0, -95.0, 10.0, 1e-7 - g.MERCATOR_LATITUDE), [5.0] * 4, "a", "EPSG:4326")
+    past = one_tile(spark, (0, 2), (0.0, -200.0, 10.0, -190.0), [6.0] * 4, "a", "EPSG:4326")
+    want = sorted(resample.to_zoomed_layout(inside, 16).select("zoom", "spatial_key", "a.cells").collect())
+    for more in (past, sliver.unionByName(past)):
+        assert sorted(resample.to_zoomed_layout(inside.unionByName(more), 16).select("zoom", "spatial_key", "a.cells").collect()) == want
+    assert resample.to_zoomed_layout(past, 16).count() == 0
+
+
 def test_repeated_keys_are_one_tile(spark):
     a = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [1.0, None, 3.0, None], "a").select("spatial_key", "a")
     b = one_tile(spark, (0, 0), (0.0, 0.0, 2.0, 2.0), [None, 2.0, None, None], "a").select("spatial_key", "a")
