@@ -45,3 +45,21 @@ def test_a_hot_key_and_an_empty_batch(run, spark):
     got = run([], [*hot, *((k, "x", 1, 1, k % 2 == 0) for k in range(10, 60))], restart=False)
     assert got[0] == (1, 4999, 29_999, "v29999") and len(got) == 51
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_two_checkpoints_share_a_folder(spark, tmp_path):
+    """Batch numbers start anew with a checkpoint; what the second one appends must not be taken for a replay."""
+    for name, rows in (("a", [(1, "x", 1, 1, False)]), ("b", [(2, "y", 1, 1, False)])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / name))
+        append_winners(stream, str(tmp_path / "out"), str(tmp_path / f"checkpoint-{name}"), ["k"]).awaitTermination()
+    assert {r["k"] for r in current_rows(spark, str(tmp_path / "out"), ["k"]).collect()} == {1, 2}
+
+
+def test_no_row_passes_through_python(spark, tmp_path):
+    spark.createDataFrame([(1, "x", 1, 1, False)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = append_winners(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["k"])
+    query.awaitTermination()
+    plan = query._jsq.streamingQuery().lastExecution().executedPlan().toString()
+    assert "StateStoreSave" in plan and "Python" not in plan and "mapInArrow" not in plan
