@@ -35,11 +35,8 @@ def _telling_bands(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def _model(spark: SparkSession, sf_dir: str, depths: tuple[int, ...] = (DEPTH,)):
-    abt = pixels.base_table(_telling_bands(spark, sf_dir), frames.label_layer(spark, sf_dir)).cache()
-    try:
-        return pixels.train(abt, TELLING, depths=depths)
-    finally:
-        abt.unpersist()
+    abt = pixels.base_table(_telling_bands(spark, sf_dir), frames.label_layer(spark, sf_dir))
+    return pixels.train(abt, TELLING, depths=depths)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

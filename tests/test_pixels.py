@@ -34,3 +34,19 @@ def test_classification_learns_and_skips_padding(spark):
     assert cells.explode_tiles(tiled).where("prediction IS NOT NULL").count() == 1200
     assert layers.to_raster(tiled, "prediction", 48, 32).count() == 1200
     assert tiled.columns == [KEY, "prediction"]
+
+
+def test_training_does_not_take_the_partitions_of_a_join(spark, monkeypatch):
+    """A tree runs tasks per level and partition; small pieces of a shuffle are packed before it grows."""
+    bands, label = scene(spark)
+    abt = pixels.base_table(bands, label).repartition(200, KEY)
+    seen, fit = [], pixels.CrossValidator.fit
+
+    def counted(self, dataset, params=None):
+        seen.append(dataset.rdd.getNumPartitions())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(pixels.CrossValidator, "fit", counted)
+    model = pixels.train(abt, ["band_1", "band_2"], folds=2, depths=(2,))
+    assert seen[0] <= spark.sparkContext.defaultParallelism + 1
+    assert pixels.cv_metrics(abt, model).first().metric > 0.99
