@@ -207,9 +207,11 @@ def points_in_areas(points: DataFrame, areas: DataFrame, point: str = "geom", ar
     leaf = F.least(F.lit(MAX_LEVEL // STEP), fine).cast("int")
     start = F.greatest(F.lit(0), F.least(leaf, fine.cast("int")) - 2 - deeper.cast("int"))
     levels = shapes.withColumns({"_leaf": leaf * STEP, "_start": start * STEP})
-    # Written, so that the join knows the size of the cover, which may be many times that of the areas.
+    # Written, so that the levels in use are known without a second cover.
     path = scratch_dir(areas.sparkSession, "area-cells")
-    found = cover(levels, (x0, y0, size, size))
+    # The cover is work per area, not per byte: a table of areas is small and may lie in one file.
+    parts = int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cover(levels.repartition(parts), (x0, y0, size, size))
     found.write.parquet(path)
     cells = areas.sparkSession.read.schema(found.schema).parquet(path)
     used = [r[0] for r in cells.select("_level").distinct().collect()]  # at most MAX_LEVEL / STEP + 1
@@ -221,7 +223,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame, point: str = "geom", ar
     keys = [F.struct(F.lit(n).alias("level"), place(x, x0, n).alias("cx"), place(y, y0, n).alias("cy")) for n in used]
     near = points.where(x.between(x0, box[2]) & y.between(y0, box[3])).withColumn("_k", F.explode(F.array(*keys)))
     near = near.withColumns({"_level": F.col("_k.level"), "_cx": F.col("_k.cx"), "_cy": F.col("_k.cy")}).drop("_k")
-    met = near.join(cells, ["_level", "_cx", "_cy"]).where(F.col("_inner") | inside_edges(F.col("_edges"), x, y))
+    # Files of cells pack tightly, so their size says little of what a broadcast would hold: no side is sent whole.
+    met = near.join(cells.hint("merge"), ["_level", "_cx", "_cy"]).where(F.col("_inner") | inside_edges(F.col("_edges"), x, y))
     return met.drop("_level", "_cx", "_cy", "_inner", "_edges")
 
 

@@ -6,7 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakework.functions import geometry
 from lakework.functions.geometry import st_contains
+from lakework.operators import areas
 from lakework.operators.areas import _Shape, fill_tile, points_in_areas, rasterise_areas
 from lakework.operators.cells import explode_tiles
 
@@ -157,3 +159,22 @@ def test_neighbours_share_no_cell_and_grids_may_be_odd(spark):
     assert none.collect() == [] and none.columns == ["spatial_key", "target"]
     small = spark.createDataFrame([(1, [(0.1, 0.1), (0.2, 0.1), (0.2, 0.2), (0.1, 0.1)])], f"label int, area array<{POINT}>")
     assert rasterise_areas(small, "label", 5, 3).collect() == []
+
+
+def test_areas_in_one_file_are_covered_by_many_tasks(spark, monkeypatch):
+    """The cover is work per area, and its cells are neither made in one task nor sent whole to every task."""
+    seen, cover = [], areas.cover
+
+    def counted(shapes, domain):
+        seen.append(shapes.rdd.getNumPartitions())
+        return cover(shapes, domain)
+
+    monkeypatch.setattr(areas, "cover", counted)
+    ring = F.array(*[geometry.st_point(F.col("id") % 50 + x, F.floor(F.col("id") / 50) + y) for x, y in ((0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0))])
+    shapes = spark.range(0, 500, 1, 1).select("id", ring.alias("area"))
+    points = spark.range(100).select(F.col("id").alias("p"), geometry.st_point(F.col("id") % 10 + 0.25, F.floor(F.col("id") / 10) + 0.25).alias("geom"))
+    found = areas.points_in_areas(points, shapes)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and seen[0] > 1
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    # (x, y) = (i + .25, j + .25) lies in the triangles at (i, j), (i - 1, j) and (i, j - 1) where they are there.
+    assert found.count() == 100 + 90 + 90
